@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallysheet.operators import nested_flatten, schema_drift
 from tallysheet.operators.unit_harmonise import harmonise_units, source_conversions, unit_statements
 from tallysheet.session import table
 
@@ -27,5 +28,41 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     return source_conversions(unit_statements(table(spark, d, "tag_variables"), table(spark, d, "common_units")))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_common_values": p2_common_values, "p2_sources": p2_sources}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of each sidecar file against the base shape."""
+    return schema_drift.drift_report(table(spark, d, "detections"))
+
+
+def p3_detections(spark: SparkSession, d: str) -> DataFrame:
+    """All detections of all files in the base shape."""
+    return schema_drift.unified_detections(table(spark, d, "detections"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of all detections and of their candidates."""
+    return nested_flatten.detection_positions(table(spark, d, "detections"))
+
+
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes with interval labels and the labels of their parents."""
+    return nested_flatten.link_by_containment(nested_flatten.node_table(table(spark, d, "detections")))
+
+
+def _p4(kind: str) -> Query:
+    return lambda spark, d: nested_flatten.flat_tables(table(spark, d, "detections"))[kind]
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_common_values": p2_common_values,
+    "p2_sources": p2_sources,
+    "p3_found": p3_found,
+    "p3_detections": p3_detections,
+    "p4_found": p4_found,
+    "p4_nodes": p4_nodes,
+    "p4_files": _p4("files"),
+    "p4_pages": _p4("pages"),
+    "p4_detections": _p4("detections"),
+    "p4_candidates": _p4("candidates"),
+}
 ORACLES: dict[str, str] = {}
