@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallysheet.operators import nested_flatten, schema_drift
+from tallysheet.operators import nested_flatten, packed_split, schema_drift
 from tallysheet.operators.unit_harmonise import harmonise_units, source_conversions, unit_statements
 from tallysheet.session import table
 
@@ -52,6 +52,20 @@ def _p4(kind: str) -> Query:
     return lambda spark, d: nested_flatten.flat_tables(table(spark, d, "detections"))[kind]
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    return packed_split.split_packed(table(spark, d, "schedule_tables"), table(spark, d, "tag_variables"), table(spark, d, "makers"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of the values of every cell that holds two or more."""
+    return _p5(spark, d).select("source_table", "record_id", "row_index", "field_name", "value_index").distinct()
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The values themselves with offset and error flag."""
+    return _p5(spark, d).distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_common_values": p2_common_values,
@@ -64,5 +78,7 @@ QUERIES: dict[str, Query] = {
     "p4_pages": _p4("pages"),
     "p4_detections": _p4("detections"),
     "p4_candidates": _p4("candidates"),
+    "p5_found": p5_found,
+    "p5_values": p5_values,
 }
 ORACLES: dict[str, str] = {}
