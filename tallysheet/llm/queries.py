@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysheet.llm import group_split, target_sample
+from tallysheet.llm import group_split, leak, pack, target_sample
 from tallysheet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,5 +45,45 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return jobs.join(group_split.assign_splits(jobs, group_split.split_records(runs, boxes), table(spark, d, "split_targets")), "job").select("name", "job", "split_name", F.col("rows").alias("job_rows"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p1_sample": p1_sample, "p6_found": p6_found, "p6_splits": p6_splits}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that exceed a capacity and so are cut."""
+    return pack.cut_documents(_packed(spark, d))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document or piece, for every capacity."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused share per capacity."""
+    return pack.fill_report(_packed(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items of which they hold a passage."""
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked spans to remove."""
+    return leak.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p1_sample": p1_sample,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+}
 ORACLES: dict[str, str] = {}
