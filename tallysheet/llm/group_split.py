@@ -36,7 +36,7 @@ RATIO = 4  # a word is corrected only towards one at least this many times as fr
 
 def job_words(name: Column) -> Column:
     """The words of a job name, canonical and sorted; phase and building letter make one word."""
-    n = F.upper(F.translate(name, "   –—‐‑’`´\t\n\r", "   ----'''   "))
+    n = F.upper(F.translate(name, "\u00a0  –—‐‑’`´\t\n\r", "   ----'''   "))
     n = F.regexp_replace(n, r"(?<![A-Z])(?<!BLDG_)([ODL])[_'](?=[A-Z]{3,})", "$1")
     n = F.regexp_replace(n, r"([A-Z]{3,})[_']S(?![A-Z])", "$1S")
     n = F.regexp_replace(F.translate(n, "_", " "), DATES, " ")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysheet.llm import group_split, leak, pack, target_sample
+from tallysheet.llm import group_split, leak, mojibake, pack, target_sample
 from tallysheet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,16 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with garbled characters."""
+    return mojibake.garbled_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The restored text of every affected document."""
+    return mojibake.restored_documents(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -85,5 +95,7 @@ QUERIES: dict[str, Query] = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 ORACLES: dict[str, str] = {}

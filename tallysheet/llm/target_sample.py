@@ -82,7 +82,7 @@ def plan_samples(sources: dict[str, DataFrame], sample_targets: DataFrame, seed:
     rows = sample_targets.dropna().distinct().limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"sample_targets must stay a small request table (at most {MAX_TARGETS} rows)")
-    fold = lambda s: " ".join(s.replace(" ", " ").split()).upper()
+    fold = lambda s: " ".join(s.replace("\u00a0", " ").split()).upper()
     report, plans = [], {}
     for name, records in sources.items():
         own = [r for r in rows if r["source_table"] == name]
