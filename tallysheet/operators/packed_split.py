@@ -44,14 +44,14 @@ MAX_RANGE = 1000  # a range of more marks than this is read as two marks and fla
 
 Value = tuple[str, int, str]  # text, offset in the cell, flag ('' or what was odd)
 
-_WS = re.compile(r"[\s ]*")
+_WS = re.compile(r"[\s\u00a0]*")
 _QUOTES = {'"': '"', "“": "”", "'": "'"}
 
 
 class Grammar:
     """Cell <- Delim* (Value Delim*)* ; Value <- Quoted / Bracketed / Own / Bare."""
 
-    delim = re.compile(r"[\s ]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s ]*", re.I)
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s\u00a0]*", re.I)
     quotes = '"“'
 
     def cell(self, s: str) -> list[Value]:
@@ -110,16 +110,16 @@ class Grammar:
                 end = k
                 break
             k += 1
-        text = s[j:end].strip(" \t\r\n ")
+        text = s[j:end].strip(" \t\r\n\u00a0")
         return ([(text, j, "open quote" if j > at else "")] if text else []), max(end, at + 1)
 
 
 class Marks(Grammar):
-    delim = re.compile(r"[\s ]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s ]*", re.I)
-    status = re.compile(r"\([\s ]*[A-Za-z]{1,3}[\s ]*\)[\s ]*")
-    mark = re.compile(r"([A-Za-z]{1,6})[\s ]?[-–][\s ]?([A-Za-z]{0,2})(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s\u00a0]*", re.I)
+    status = re.compile(r"\([\s\u00a0]*[A-Za-z]{1,3}[\s\u00a0]*\)[\s\u00a0]*")
+    mark = re.compile(r"([A-Za-z]{1,6})[\s\u00a0]?[-–][\s\u00a0]?([A-Za-z]{0,2})(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
     short = re.compile(r"([A-Za-z]{0,2})(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
-    through = re.compile(r"[\s ]*(?:\b(?:THRU|THROUGH|TO)\b|[-–—]|\.\.+)[\s ]*", re.I)
+    through = re.compile(r"[\s\u00a0]*(?:\b(?:THRU|THROUGH|TO)\b|[-–—]|\.\.+)[\s\u00a0]*", re.I)
 
     def bracketed(self, s: str, at: int) -> tuple[list[Value], int] | None:
         m = self.status.match(s, at)
@@ -167,11 +167,11 @@ class Marks(Grammar):
 
 
 class Makers(Grammar):
-    delim = re.compile(r"[\s ]*(?:[,;/|&+\n]|\b(?:OR|AND)\b)[\s ]*", re.I)
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:OR|AND)\b)[\s\u00a0]*", re.I)
 
     def __init__(self, makers: list[str]):
         names = sorted({m.strip() for m in makers if m and m.strip()}, key=len, reverse=True)
-        self.known = re.compile("(?:" + "|".join(r"[\s ]+".join(map(re.escape, n.split())) for n in names) + r")(?![A-Za-z0-9])", re.I) if names else None
+        self.known = re.compile("(?:" + "|".join(r"[\s\u00a0]+".join(map(re.escape, n.split())) for n in names) + r")(?![A-Za-z0-9])", re.I) if names else None
 
     def own(self, s: str, at: int, before: list[Value]) -> tuple[list[Value], int] | None:
         m = self.known.match(s, at) if self.known else None
@@ -179,12 +179,12 @@ class Makers(Grammar):
 
 
 class Areas(Grammar):
-    delim = re.compile(r"[\s ]*(?:[,;/|&+\n]|\bAND\b)[\s ]*", re.I)
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\bAND\b)[\s\u00a0]*", re.I)
 
 
 class Notes(Grammar):
-    delim = re.compile(r"[\s ]*(?:[,;/|&+\n.:]|\bAND\b)[\s ]*", re.I)
-    word = re.compile(r"(?:(?:SEE|REFER|TO|NOTES?|NO\.?|NOS\.?|#)[\s :]*)+", re.I)
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n.:]|\bAND\b)[\s\u00a0]*", re.I)
+    word = re.compile(r"(?:(?:SEE|REFER|TO|NOTES?|NO\.?|NOS\.?|#)[\s\u00a0:]*)+", re.I)
     number = re.compile(r"#?(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
     through = Marks.through
 
@@ -207,8 +207,8 @@ class Notes(Grammar):
 
 
 class Electrical(Grammar):
-    delim = re.compile(r"[\s ]*[,;/|&+\n\-–—][\s ]*")
-    number = re.compile(r"(\d+(?:\.\d+)?)[\s ]*(?:VOLTS?|VAC|V|PHASES?|PH|Ø|ø|HERTZ|HZ)?(?![A-Za-z])", re.I)
+    delim = re.compile(r"[\s\u00a0]*[,;/|&+\n\-–—][\s\u00a0]*")
+    number = re.compile(r"(\d+(?:\.\d+)?)[\s\u00a0]*(?:VOLTS?|VAC|V|PHASES?|PH|Ø|ø|HERTZ|HZ)?(?![A-Za-z])", re.I)
 
     def own(self, s: str, at: int, before: list[Value]) -> tuple[list[Value], int] | None:
         m = self.number.match(s, at)
@@ -224,7 +224,7 @@ def grammars(makers: list[str]) -> dict[str, Grammar]:
 
 
 def kind_of(name: Column) -> Column:
-    n = F.upper(F.trim(F.regexp_replace(name, r"[\s ]+", " ")))
+    n = F.upper(F.trim(F.regexp_replace(name, r"[\s\u00a0]+", " ")))
     out = F.lit(None).cast("string")
     for kind, names in KINDS.items():
         out = F.when(n.isin(*names), F.lit(kind)).otherwise(out)
@@ -233,7 +233,7 @@ def kind_of(name: Column) -> Column:
 
 def _maybe_several(kind: Column, cell: Column) -> Column:
     """False only for cells that surely hold fewer than two values."""
-    words = r"(?i)[,;/|&+\n\"“]|\b(and|or|thru|through|to)\b|[-–—].*[-–—]|[\s ].*\d|\d.*[\s ]"
+    words = r"(?i)[,;/|&+\n\"“]|\b(and|or|thru|through|to)\b|[-–—].*[-–—]|[\s\u00a0].*\d|\d.*[\s\u00a0]"
     return F.when(kind == "note", cell.rlike(r"\d[^\d]+\d")).when(kind == "electrical", cell.rlike(r"\d[^\d]+\d")).otherwise(cell.rlike(words))
 
 
