@@ -16,6 +16,11 @@ STATUS = r"(?i)^\(\s*[ERN]\s*\)\s*"
 EDGE = ".-,;:|/"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once; expressions are otherwise repeated where used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
@@ -45,10 +50,15 @@ def normalize_tag(raw: Column) -> Column:
     Existing-status prefixes go; of several fragments the first that begins with a letter and the one
     after it are joined; refrigerants, sheet numbers, model numbers, column leaks and junk are none.
     """
-    frags = fragments(strip_status(raw))
-    first = F.array_position(F.transform(frags, lambda f: f.rlike("^[A-Za-z]")), True)
-    joined = F.when(F.size(frags) == 1, F.get(frags, F.lit(0))).when(first > 0, F.array_join(F.slice(frags, F.greatest(first, F.lit(1)).cast("int"), F.lit(2)), "-"))
-    s = trim_chars(joined, EDGE + " ")
+    def joined(frags: Column) -> Column:
+        first = F.array_position(F.transform(frags, lambda f: f.rlike("^[A-Za-z]")), True)
+        return F.when(F.size(frags) == 1, F.get(frags, F.lit(0))).when(first > 0, F.array_join(F.slice(frags, F.greatest(first, F.lit(1)).cast("int"), F.lit(2)), "-"))
+
+    return let(trim_chars(let(fragments(strip_status(raw)), joined), EDGE + " "), _judged)
+
+
+def _judged(s: Column) -> Column:
+    """A cleaned-up text as a tag in upper case, or NULL where it is none."""
     bare = F.regexp_replace(s, "-", "")
     parts = F.split(s, "-")
     shaped = bare.rlike("^[A-Za-z][A-Za-z0-9]{0,15}$") | ((F.size(parts) <= 3) & F.forall(parts, lambda p: p.rlike("^[A-Za-z0-9]+$")))
@@ -72,12 +82,13 @@ def normalize_tag(raw: Column) -> Column:
 
 def split_compound(raw: Column) -> Column:
     """Parts between , ; / and &; ``AC-1,2`` names AC-1 and AC-2."""
-    parts = F.filter(F.transform(F.split(strip(raw), "[,;/&]"), strip), lambda p: p != "")
-    head = strip_status(F.upper(F.get(parts, F.lit(0))))
-    letters = F.regexp_extract(head, r"^([A-Z]+)-\d+$", 1)
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    short = (letters != "") & (F.size(parts) > 1) & F.forall(rest, lambda p: p.rlike(r"^\d+$"))
-    return F.when(short, F.concat(F.slice(parts, 1, 1), F.transform(rest, lambda p: F.concat(letters, F.lit("-"), p)))).otherwise(parts)
+    def named(parts: Column) -> Column:
+        letters = F.regexp_extract(strip_status(F.upper(F.get(parts, F.lit(0)))), r"^([A-Z]+)-\d+$", 1)
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        short = (letters != "") & (F.size(parts) > 1) & F.forall(rest, lambda p: p.rlike(r"^\d+$"))
+        return F.when(short, F.concat(F.slice(parts, 1, 1), F.transform(rest, lambda p: F.concat(letters, F.lit("-"), p)))).otherwise(parts)
+
+    return let(F.filter(F.transform(F.split(strip(raw), "[,;/&]"), strip), lambda p: p != ""), named)
 
 
 _RANGE = r"^([A-Z]{1,4})-?(\d{1,9})\s*(?:THRU|THROUGH|TO|-|\u2013|\u2014)\s*(?:([A-Z]{1,4})-?)?(\d{1,9})$"
@@ -85,18 +96,22 @@ _RANGE = r"^([A-Z]{1,4})-?(\d{1,9})\s*(?:THRU|THROUGH|TO|-|\u2013|\u2014)\s*(?:(
 
 def expand_range(raw: Column) -> Column:
     """CU-1 THRU CU-6 as its marks; NULL where the text is no range (or of more than 101 marks)."""
-    s = collapse(F.upper(raw))
-    a, b = F.regexp_extract(s, _RANGE, 2).try_cast("int"), F.regexp_extract(s, _RANGE, 4).try_cast("int")
-    p, q = F.regexp_extract(s, _RANGE, 1), F.regexp_extract(s, _RANGE, 3)
-    ok = s.rlike(_RANGE) & ((q == "") | (q == p)) & (b >= a) & (b - a <= 100)
-    return F.when(ok, F.transform(F.sequence(F.coalesce(a, F.lit(0)), F.greatest(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))), lambda n: F.concat(p, F.lit("-"), n.cast("string"))))
+    def marks(s: Column) -> Column:
+        a, b = F.regexp_extract(s, _RANGE, 2).try_cast("int"), F.regexp_extract(s, _RANGE, 4).try_cast("int")
+        p, q = F.regexp_extract(s, _RANGE, 1), F.regexp_extract(s, _RANGE, 3)
+        ok = s.rlike(_RANGE) & ((q == "") | (q == p)) & (b >= a) & (b - a <= 100)
+        return F.when(ok, F.transform(F.sequence(F.coalesce(a, F.lit(0)), F.greatest(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))), lambda n: F.concat(p, F.lit("-"), n.cast("string"))))
+
+    return let(collapse(F.upper(raw)), marks)
 
 
 def split_multi_number(raw: Column) -> Column:
     """24 VAV 27 names VAV-24 and VAV-27; NULL where it is nothing like it."""
-    f = fragments(strip(raw))
-    digits, letters = F.filter(f, lambda x: x.rlike(r"^\d{1,3}$")), F.filter(f, lambda x: x.rlike("^[A-Za-z]{1,5}$"))
-    return F.when((F.size(f) >= 3) & (F.size(digits) >= 2) & (F.size(letters) == 1), F.transform(digits, lambda d: F.concat(F.upper(F.get(letters, F.lit(0))), F.lit("-"), d)))
+    def marks(f: Column) -> Column:
+        digits, letters = F.filter(f, lambda x: x.rlike(r"^\d{1,3}$")), F.filter(f, lambda x: x.rlike("^[A-Za-z]{1,5}$"))
+        return F.when((F.size(f) >= 3) & (F.size(digits) >= 2) & (F.size(letters) == 1), F.transform(digits, lambda d: F.concat(F.upper(F.get(letters, F.lit(0))), F.lit("-"), d)))
+
+    return let(fragments(strip(raw)), marks)
 
 
 def _valid(tags: Column) -> Column:
@@ -107,11 +122,17 @@ def expand_tag_cell(raw: Column) -> Column:
     """All tags of a cell: lines, several numbers, range or compound, whichever applies first."""
     s = strip(raw)
     lines = F.filter(F.transform(F.split(s, "\n"), strip), lambda x: x != "")
-    whole = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z]{1,5}-?\d") | x.rlike("^[A-Za-z]{2,5}-[A-Za-z0-9]+$"))
-    by_line = _valid(lines)
-    multi, ranged = split_multi_number(raw), expand_range(raw)
+
+    def choose(lines: Column) -> Column:
+        whole = s.contains("\n") & (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^[A-Za-z]{1,5}-?\d") | x.rlike("^[A-Za-z]{2,5}-[A-Za-z0-9]+$"))
+        by_line = F.when(whole, F.nullif(_valid(lines), F.array().cast("array<string>")))
+        multi = split_multi_number(raw)
+        ranged = expand_range(raw)
+        # the first alternative that applies gives the raw tags; they are normalised once
+        return F.coalesce(by_line, _valid(F.coalesce(multi, ranged, split_compound(raw))))
+
     empty = F.array().cast("array<string>")
-    return F.when(raw.isNull() | (s == ""), empty).when(s.contains("\n") & whole & (F.size(by_line) > 0), by_line).when(multi.isNotNull(), _valid(multi)).when(ranged.isNotNull(), _valid(ranged)).otherwise(_valid(split_compound(raw)))
+    return F.when(raw.isNull() | (s == ""), empty).otherwise(let(lines, choose))
 
 
 def tags_in_text(text: Column, most_letters: int = 4) -> Column:
