@@ -206,7 +206,7 @@ def inline_field(text: Column, labels: list[str], valid=lambda v: ~bad_value(v))
 
 
 def street_address(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?im)\b(\d{2,6}\s+[A-Z0-9 .]{3,40}?\s(?:ST|STREET|AVE|AVENUE|BLVD|ROAD|RD|DRIVE|DR|WAY|LANE|LN|HWY|PKWY)\b\.?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?im)(?<![\w-])(\d{2,6} +[A-Z0-9 .]{2,40}? (?:ST|STREET|AVE|AVENUE|BLVD|ROAD|RD|DRIVE|DR|WAY|LANE|LN|HWY|PKWY)\b\.?)", 1), F.lit(""))
 
 
 def levenshtein_capped(a: Column, b: Column, gap: int = 4) -> Column:

@@ -52,6 +52,7 @@ class Grammar:
     """Cell <- Delim* (Value Delim*)* ; Value <- Quoted / Bracketed / Own / Bare."""
 
     delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s\u00a0]*", re.I)
+    nothing = re.compile(r"(?:N/A|NONE|TBD|SEE PLAN|-{1,3}|[–—*])(?=\s*(?:[,;/|&+\n]|$))", re.I)
     quotes = '"“'
 
     def cell(self, s: str) -> list[Value]:
@@ -66,6 +67,10 @@ class Grammar:
             if d and d.end() > at:
                 at = d.end()
                 continue
+            blank = self.nothing.match(s, at)
+            if blank:  # a place-holder is no value, whatever delimiters it holds
+                at = blank.end()
+                continue
             got = self.quoted(s, at) or self.bracketed(s, at) or self.own(s, at, out) or self.bare(s, at)
             if got is None:  # nothing matches: skip a character, flag what follows
                 at += 1
@@ -115,7 +120,7 @@ class Grammar:
 
 
 class Marks(Grammar):
-    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:AND|OR)\b)[\s\u00a0]*", re.I)
+    delim = re.compile(r"[\s\u00a0]*(?:[,;/|&+\n]|\b(?:AND|OR|THRU|THROUGH|TO)\b)[\s\u00a0]*", re.I)
     status = re.compile(r"\([\s\u00a0]*[A-Za-z]{1,3}[\s\u00a0]*\)[\s\u00a0]*")
     mark = re.compile(r"([A-Za-z]{1,6})[\s\u00a0]?[-–][\s\u00a0]?([A-Za-z]{0,2})(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
     short = re.compile(r"([A-Za-z]{0,2})(\d+)([A-Za-z]?)(?![A-Za-z0-9])")
