@@ -29,9 +29,22 @@ def hook_and_shortcut(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         at_a, at_b = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         roots = cut(edges.join(at_a, "a").join(at_b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
         if roots.isEmpty():
-            return parent.select("node", F.col("parent").alias("component"))
+            return _flatten(parent).select("node", F.col("parent").alias("component"))
         hooks = roots.select(F.greatest("a", "b").alias("parent"), F.least("a", "b").alias("hook")).groupBy("parent").agg(F.min("hook").alias("hook"))
         hooked = parent.join(hooks, "parent", "left").select("node", F.coalesce("hook", "parent").alias("parent"))
-        up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parent = cut(hooked.join(up, "parent").select("node", F.col("grand").alias("parent")))
+        parent = cut(_shortcut(hooked).select("node", F.col("grand").alias("parent")))
         edges = roots
+
+
+def _shortcut(parent: DataFrame) -> DataFrame:
+    """(node, parent, grand)."""
+    return parent.join(parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
+
+
+def _flatten(parent: DataFrame) -> DataFrame:
+    """Shortcutting until every parent is a root; chains halve in each round."""
+    while True:
+        up = cut(_shortcut(parent))
+        parent = up.select("node", F.col("grand").alias("parent"))
+        if up.where("parent <> grand").isEmpty():
+            return parent

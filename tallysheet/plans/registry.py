@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallysheet.plans import box_queries, general, pipeline_queries, score_queries, text_queries
+from tallysheet.plans import box_queries, extra_queries, general, pipeline_queries, score_queries, text_queries
 
-MODULES = (general, text_queries, box_queries, score_queries, pipeline_queries)
+MODULES = (general, text_queries, box_queries, score_queries, pipeline_queries, extra_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,10 +13,10 @@ def tables(spark, *cells, text="SCHEDULE"):
 
 
 def test_vertical_schedule(spark):
-    t = tables(spark, [["FAN SCHEDULE", None, None], ["MARK", "TYPE", "REMARK"], ["EF-1, EF-2", "CEILING EXHAUST", None], ["", "", ""], ["EF-3 thru EF-5", None, "SEE EF-9"]])
+    t = tables(spark, [["FAN SCHEDULE", None, None], ["MARK", "TYPE", "DESCRIPTION"], ["EF-1, EF-2", "CEILING EXHAUST", None], ["", "", ""], ["EF-3 thru EF-5", None, "SEE EF-9"]])
     s = schedules.extract_schedules(t)
     r = s.first()
-    assert (r["schedule_name"], r["header"], r["mark_columns"], len(r["rows"])) == ("FAN SCHEDULE", ["MARK", "TYPE", "REMARK"], [0], 2)
+    assert (r["schedule_name"], r["header"], r["mark_columns"], len(r["rows"])) == ("FAN SCHEDULE", ["MARK", "TYPE", "DESCRIPTION"], [0], 2)
     v = schedules.extract_variables(s).orderBy("ord").collect()
     assert [x["tag"] for x in v] == ["EF-1", "EF-2", "EF-3", "EF-4", "EF-5", "EF-9"]
     assert v[0]["cls"] == "AD-GRD" and v[2]["cls"] == "EXHAUST FAN"
