@@ -77,7 +77,10 @@ def swap_repair(available: dict[str, int], targets: dict[str, float], floors: di
 
 
 def plan_samples(sources: dict[str, DataFrame], sample_targets: DataFrame, seed: int = 42) -> tuple[DataFrame, dict[str, dict]]:
-    """The report per request and class, and per source the bucket counts and counts to take."""
+    """The report per request and class, and per source the counts to take.
+
+    Only one count per class asked for comes to the driver, whatever the corpus.
+    """
     spark = sample_targets.sparkSession
     rows = sample_targets.dropna().distinct().limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
@@ -89,11 +92,7 @@ def plan_samples(sources: dict[str, DataFrame], sample_targets: DataFrame, seed:
         if not own:
             continue
         wanted = sorted({fold(r["class_name"]) for r in own})
-        counts = records.where(F.col("signature").isin(wanted)).groupBy("signature", _bucket(seed).alias("bucket")).count()
-        by: dict[str, dict[int, int]] = {}
-        for r in counts.collect():  # at most classes asked for x BUCKETS rows
-            by.setdefault(r["signature"], {})[r["bucket"]] = r["count"]
-        available = {c: sum(b.values()) for c, b in by.items()}
+        available = {r["signature"]: r["count"] for r in records.where(F.col("signature").isin(wanted)).groupBy("signature").count().collect()}
         takes: dict[tuple[int, str], int] = {}
         for request in sorted({r["request_id"] for r in own}):
             mine = [r for r in own if r["request_id"] == request]
@@ -104,7 +103,7 @@ def plan_samples(sources: dict[str, DataFrame], sample_targets: DataFrame, seed:
                 c = fold(r["class_name"])
                 takes[request, c] = take[c]
                 report.append((request, name, r["class_name"], float(r["target_share"]), need[c], available.get(c, 0), take[c], available.get(c, 0) < need[c]))
-        plans[name] = {"by": by, "takes": takes, "wanted": wanted}
+        plans[name] = {"takes": takes, "wanted": wanted}
     schema = "request_id int, source_table string, class_name string, target_share double, needed bigint, available bigint, taken bigint, short boolean"
     return spark.createDataFrame(report, schema), plans
 
@@ -115,17 +114,18 @@ def draw_samples(sources: dict[str, DataFrame], sample_targets: DataFrame, seed:
     spark = sample_targets.sparkSession
     parts = []
     for name, plan in plans.items():
+        rec = sources[name].where(F.col("signature").isin(plan["wanted"])).withColumn("bucket", _bucket(seed))
+        by: dict[str, dict[int, int]] = {}
+        for r in rec.groupBy("signature", "bucket").count().collect():  # at most classes asked for x BUCKETS rows
+            by.setdefault(r["signature"], {})[r["bucket"]] = r["count"]
         cuts = []  # (request, signature, whole buckets below, rows still wanted from the cut bucket)
         for (request, c), n in plan["takes"].items():
             b, left = 0, n
-            while b < BUCKETS and left >= plan["by"].get(c, {}).get(b, 0) > -1:
-                left -= plan["by"].get(c, {}).get(b, 0)
+            while b < BUCKETS and left > 0 and left >= by.get(c, {}).get(b, 0):
+                left -= by.get(c, {}).get(b, 0)
                 b += 1
-                if left == 0:
-                    break
             cuts.append((request, c, b, left))
         cut = spark.createDataFrame(cuts, "request_id int, signature string, cut int, rest bigint")  # as many rows as targets
-        rec = sources[name].where(F.col("signature").isin(plan["wanted"])).withColumn("bucket", _bucket(seed))
         hit = rec.join(F.broadcast(cut), "signature").where("bucket < cut or (bucket = cut and rest > 0)")
         whole = hit.where("bucket < cut")
         w = Window.partitionBy("request_id", "signature").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id")
