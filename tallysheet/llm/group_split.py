@@ -30,21 +30,25 @@ SHORT_FORMS = {
 }
 REMARKS = r"\([^)]*\)|\[[^\]]*\]|\b\d+\s*%(?:\s*(?:CD|DD|SD))?(?:\s*SETS?)?|\b(?:BID|PERMIT|CD|DD|SD|IFC|PRICING|CHECK|ISSUED?)\s+SETS?\b|\bREV(?:ISION)?S?[ .\-]*\d+\w?\b|\bADD(?:ENDUM|ENDA)?[ .\-]*\d+\b|\bMECH(?:ANICAL)?\s+ONLY\b|\b(?:FOR|FINAL|DRAFT|COPY|REVISED|UPDATED?)\b|\bBULLETIN\s+\d+\b"
 DATES = r"\b\d{1,4}[.\-/]\d{1,2}[.\-/]\d{2,4}\b"
-MIN_WORD = 5  # shorter words, digits and part letters are never corrected
+MIN_WORD = 5  # shorter words, digits and part letters link no names
+MIN_CORRECTED = 4  # shorter words are never corrected
 RATIO = 4  # a word is corrected only towards one at least this many times as frequent
 
 
 def job_words(name: Column) -> Column:
-    """The words of a job name, canonical and sorted; phase and building letter make one word."""
+    """The words of a job name, canonical and sorted.
+
+    Phase and building letter make one word with a digit in it, which keeps it from being corrected.
+    """
     n = F.upper(F.translate(name, "\u00a0  –—‐‑’`´\t\n\r", "   ----'''   "))
     n = F.regexp_replace(n, r"(?<![A-Z])(?<!BLDG_)([ODL])[_'](?=[A-Z]{3,})", "$1")
     n = F.regexp_replace(n, r"([A-Z]{3,})[_']S(?![A-Z])", "$1S")
     n = F.regexp_replace(F.translate(n, "_", " "), DATES, " ")
     n = F.regexp_replace(n, REMARKS, " ")
     n = F.regexp_replace(n, r"^[\s\-#]*\d{1,5}[\s.\-]+(?=[A-Z])", "")
-    n = F.regexp_replace(n, r"\bPH(?:ASE)?[\s.\-]*(\d+|I{1,3}|IV)\b", "PHASE$1")
-    n = F.regexp_replace(n, r"\b(?:BLDG|BLD)[\s.\-]*([A-Z0-9])\b", "BLDG$1")
-    n = F.regexp_replace(n, r"\bBUILDING[\s.\-]+([A-Z0-9])\b", "BLDG$1")
+    n = F.regexp_replace(n, r"\bPH(?:ASE)?[\s.\-]*(\d+|I{1,3}|IV)\b", "PHASE0$1")
+    n = F.regexp_replace(n, r"\b(?:BLDG|BLD)[\s.\-]*([A-Z0-9])\b", "BLDG0$1")
+    n = F.regexp_replace(n, r"\bBUILDING[\s.\-]+([A-Z0-9])\b", "BLDG0$1")
     words = F.filter(F.split(F.regexp_replace(n, "'", ""), r"[^A-Z0-9]+"), lambda w: w != "")
     short = F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv])
     return F.array_sort(F.flatten(F.transform(words, lambda w: F.split(F.coalesce(F.try_element_at(short, w), w), " "))))
@@ -59,12 +63,14 @@ def _slips(w: Column) -> Column:
 def correct_words(names: DataFrame) -> DataFrame:
     """names(name, words) with rare words corrected towards the corpus vocabulary."""
     vocabulary = cut(names.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")))
-    rare = vocabulary.where((F.length("w") >= MIN_WORD) & ~F.col("w").rlike(r"\d"))
-    common = rare.select(F.col("w").alias("v"), F.col("df").alias("vdf"))
+    rare = vocabulary.where((F.length("w") >= MIN_CORRECTED) & ~F.col("w").rlike(r"\d"))
+    common = rare.where(F.length("w") >= MIN_WORD).select(F.col("w").alias("v"), F.col("df").alias("vdf"))
     # one slip: words that share a form; the most frequent of a form stands for it
     form = rare.withColumn("form", F.explode(_slips(F.col("w"))))
     best = form.groupBy("form").agg(F.max_by(F.struct("w", "df"), F.struct("df", "w")).alias("b"))
-    slip = form.join(best, "form").where((F.col("b.df") >= RATIO * F.col("df")) & (F.levenshtein("w", F.col("b.w")) <= 2)).select("w", F.col("b.w").alias("v"), F.col("b.df").alias("vdf"), F.lit(0).alias("how"))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    close = (F.levenshtein("w", F.col("b.w")) <= F.when(F.length("w") > MIN_WORD, 2).otherwise(1)) | (letters(F.col("w")) == letters(F.col("b.w")))
+    slip = form.join(best, "form").where((F.col("b.df") >= RATIO * F.col("df")) & close).select("w", F.col("b.w").alias("v"), F.col("b.df").alias("vdf"), F.lit(0).alias("how"))
     # cut off: a word that is the start of exactly one much more frequent word
     starts = common.select("v", "vdf", F.explode(F.transform(F.sequence(F.lit(MIN_WORD - 1), F.length("v") - 1), lambda i: F.substring("v", F.lit(1), i))).alias("w"))
     start = starts.join(vocabulary, "w").where(F.col("vdf") >= RATIO * F.col("df")).groupBy("w").agg(F.count_distinct("v").alias("n"), F.max("v").alias("v"), F.max("vdf").alias("vdf")).where("n = 1").select("w", "v", "vdf", F.lit(1).alias("how"))

@@ -262,7 +262,8 @@ def leaks_in(buf: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple[int,
         good = window >= WINDOW - CHANGES
         for r in np.flatnonzero(good.any(axis=1)):
             g = np.flatnonzero(good[r])
-            w = part[r, 2] + np.array([g[0], g[-1] + WINDOW - 1])
+            hit = np.flatnonzero(same[r, g[0] : g[-1] + WINDOW]) + g[0]  # the span begins and ends with words of the item
+            w = part[r, 2] + hit[[0, -1]]
             w = np.clip(w, first[part[r, 0]], first[part[r, 0] + 1] - 1)
             out.append((int(part[r, 0]), int(items.ids[part[r, 1]]), int(window[r].max()), int(w_start[w[0]]), int(w_end[w[1]])))
         a = b
