@@ -125,6 +125,15 @@ def extract_variables(schedules: DataFrame) -> DataFrame:
     return r.select("project", "page", "table_ix", "schedule_name", "row_ix", "props", "cls", F.posexplode("tags").alias("tag_ix", "tag")).withColumn("ord", F.struct("page", "table_ix", "row_ix", "tag_ix"))
 
 
+def class_to_tags(variables: DataFrame) -> DataFrame:
+    """(project, cls, tag, props, ord): per class its tags, properties of the last occurrence, order of the first.
+
+    Tags without a class of their own take that of their prefix.
+    """
+    v = variables.withColumn("cls", F.coalesce("cls", S.class_of_tag(F.col("tag")))).where("project is not null and cls is not null and tag is not null")
+    return v.groupBy("project", "cls", "tag").agg(F.max_by("props", "ord").alias("props"), F.min("ord").alias("ord"))
+
+
 def legend(tables: DataFrame, lines: DataFrame) -> DataFrame:
     """(project, abbr, description): two-cell rows and ABBR - text lines; on a page lines win, later pages win.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallysheet.functions import dims
 from tallysheet.operators import cascade, schedules, takeoff
 from tallysheet.operators.resolution import fingerprint_index
 from tallysheet.session import cut, table
@@ -121,3 +122,16 @@ def takeoff_rows(spark: SparkSession, d: str) -> DataFrame:
     tagged = v.select("var_id", "project", (F.col("page") - 1).alias("page"), F.col("inferred_yolo_class").alias("cls"), "tag").distinct()
     first = v.where("tag is not null").groupBy("project", "tag").agg(F.min_by(F.struct(F.array_sort(F.map_entries("properties")).alias("props"), F.col("inferred_yolo_class").alias("cls")), "var_id").alias("f")).select("project", "tag", "f.props", "f.cls")
     return takeoff.assemble(tagged, first)
+
+
+@query(
+    "class_to_tags",
+    f"""
+WITH v AS (SELECT var_id, project, tag, inferred_yolo_class AS cls, page FROM (SELECT DISTINCT var_id, project, tag, inferred_yolo_class, page FROM tag_variables) WHERE project IS NOT NULL AND tag IS NOT NULL AND page IS NOT NULL),
+d AS (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}), c AS (SELECT v.*, coalesce(v.cls, a.v, b.v, e.v, g.v) AS c FROM v LEFT JOIN d a ON a.k = upper(tag)[1:4] LEFT JOIN d b ON b.k = upper(tag)[1:3] LEFT JOIN d e ON e.k = upper(tag)[1:2] LEFT JOIN d g ON g.k = upper(tag)[1:1])
+SELECT project, c AS cls, tag, arg_max(page, var_id) AS page, min(var_id) AS ord FROM c WHERE c IS NOT NULL GROUP BY ALL""",
+)
+def class_to_tags(spark: SparkSession, d: str) -> DataFrame:
+    """D9, CMP-17: classes with their tags; the last occurrence counts, the first gives the order."""
+    v = table(spark, d, "tag_variables").where("page is not null").select("var_id", "project", "tag", F.col("inferred_yolo_class").alias("cls"), F.col("page").alias("props"), F.col("var_id").alias("ord")).distinct()
+    return schedules.class_to_tags(v).select("project", "cls", "tag", F.col("props").alias("page"), "ord")

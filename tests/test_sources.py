@@ -114,3 +114,15 @@ def test_append_only_new(spark, tmp_path):
     done = spark.createDataFrame([(1,)], "k int")
     sinks.append_new(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), done, ["k"], str(tmp_path / "j"))
     assert rows(spark.read.json(str(tmp_path / "j")).select("k")) == [(2,)]
+
+
+def test_windowed_totals_with_watermark(spark, tmp_path):
+    import datetime as dt
+
+    src = tmp_path / "ev"
+    spark.createDataFrame([(dt.datetime(2026, 1, 1, 10, 5), "a", 1.0), (dt.datetime(2026, 1, 1, 10, 55), "a", 2.0), (dt.datetime(2026, 1, 1, 15, 0), "b", 3.0)], "ts timestamp, event_type string, value double").coalesce(1).write.json(str(src))
+    s = ingest.file_stream(spark, str(src), "ts timestamp, event_type string, value double")
+    q = ingest.running_totals(s).writeStream.format("memory").queryName("totals").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = rows(spark.table("totals").select("event_type", "n", "total"))
+    assert ("a", 2, 3.0) in got and all(r[0] != "b" for r in got)
