@@ -31,8 +31,9 @@ SHORT_FORMS = {
 REMARKS = r"\([^)]*\)|\[[^\]]*\]|\b\d+\s*%(?:\s*(?:CD|DD|SD))?(?:\s*SETS?)?|\b(?:BID|PERMIT|CD|DD|SD|IFC|PRICING|CHECK|ISSUED?)\s+SETS?\b|\bREV(?:ISION)?S?[ .\-]*\d+\w?\b|\bADD(?:ENDUM|ENDA)?[ .\-]*\d+\b|\bMECH(?:ANICAL)?\s+ONLY\b|\b(?:FOR|FINAL|DRAFT|COPY|REVISED|UPDATED?)\b|\bBULLETIN\s+\d+\b"
 DATES = r"\b\d{1,4}[.\-/]\d{1,2}[.\-/]\d{2,4}\b"
 MIN_WORD = 5  # shorter words, digits and part letters link no names
-MIN_CORRECTED = 4  # shorter words are never corrected
+MIN_CORRECTED = 2  # shorter words are never corrected
 RATIO = 4  # a word is corrected only towards one at least this many times as frequent
+SHORT_RATIO = 20  # the same for words of fewer than four letters
 
 
 def job_words(name: Column) -> Column:
@@ -70,7 +71,8 @@ def correct_words(names: DataFrame) -> DataFrame:
     best = form.groupBy("form").agg(F.max_by(F.struct("w", "df"), F.struct("df", "w")).alias("b"))
     letters = lambda c: F.array_sort(F.split(c, ""))
     close = (F.levenshtein("w", F.col("b.w")) <= F.when(F.length("w") > MIN_WORD, 2).otherwise(1)) | (letters(F.col("w")) == letters(F.col("b.w")))
-    slip = form.join(best, "form").where((F.col("b.df") >= RATIO * F.col("df")) & close).select("w", F.col("b.w").alias("v"), F.col("b.df").alias("vdf"), F.lit(0).alias("how"))
+    ratio = F.when(F.length("w") < 4, SHORT_RATIO).otherwise(RATIO)
+    slip = form.join(best, "form").where((F.length("b.w") >= 3) & (F.col("b.df") >= ratio * F.col("df")) & close).select("w", F.col("b.w").alias("v"), F.col("b.df").alias("vdf"), F.lit(0).alias("how"))
     # cut off: a word that is the start of exactly one much more frequent word
     starts = common.select("v", "vdf", F.explode(F.transform(F.sequence(F.lit(MIN_WORD - 1), F.length("v") - 1), lambda i: F.substring("v", F.lit(1), i))).alias("w"))
     start = starts.join(vocabulary, "w").where(F.col("vdf") >= RATIO * F.col("df")).groupBy("w").agg(F.count_distinct("v").alias("n"), F.max("v").alias("v"), F.max("vdf").alias("vdf")).where("n = 1").select("w", "v", "vdf", F.lit(1).alias("how"))
