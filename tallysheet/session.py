@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +56,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers where neither their path nor folder has it.
+
+    Once per application; Spark distributes the archive to the executors itself.
+    """
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _SHIPPED or any(p and Path(p).resolve() == root for p in known):
+        return
+    path = Path(tempfile.mkdtemp(prefix="tallysheet-")) / "tallysheet.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "tallysheet").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
