@@ -108,45 +108,176 @@ def price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, eps: float = 0.35) -> list[tuple[dict[int, int], int]]:
-    """[(configuration: length -> count, containers)] that hold every item of the histogram."""
-    if not histogram:
-        return []
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    rounds = rounds or max(12, min(60, 400_000 // capacity))
+def _fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, eps: float) -> dict[tuple[int, ...], float]:
+    """Configurations and (fractional) containers of the covering program, by multiplicative weights.
+
+    Each round prices a best configuration under the present weights and gives it an equal share of the
+    containers; the weights of lengths that are covered ahead of the rest fall.
+    """
     total = float((lengths * need).sum())
-    # weights of the covering constraints; they start at the items' sizes
-    y = lengths / capacity
-    used: dict[tuple[int, ...], float] = {}
+    share = total / capacity / rounds
     covered = np.zeros(len(lengths))
-    share = total / capacity / rounds  # containers a round stands for
+    used: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
+        ahead = np.maximum(0.0, covered / np.maximum(need, 1) - np.dot(covered, lengths) / total)
+        y = np.where(need > 0, lengths / capacity * np.exp(-eps * np.minimum(60, ahead * rounds)), 0.0)
         config = price(lengths, y, need, capacity)
         if not config.any():
             break
         used[tuple(config)] = used.get(tuple(config), 0.0) + share
         covered += config * share
-        y = lengths / capacity * np.exp(-eps * np.minimum(60, np.maximum(0.0, covered / need - (np.dot(covered, lengths) / total))))
-    out: list[tuple[dict[int, int], int]] = []
-    left = need.copy()
-    for config, x in sorted(used.items(), key=lambda kv: -kv[1]):  # round down, never beyond what is left
-        a = np.array(config)
-        hit = a > 0
-        n = int(min(x, (left[hit] // a[hit]).min()))
-        if n > 0:
-            left -= n * a
-            out.append(({int(lengths[i]): int(a[i]) for i in np.flatnonzero(hit)}, n))
-    # the rest: fill one container pattern at a time from what is left, repeated as often as it fits
+    return used
+
+
+def solve(histogram: dict[int, int], capacity: int, reserves: tuple[float, ...] = (2.0, 4.0), loosest: tuple[float, ...] = (0.1, 0.25, 0.5)) -> list[tuple[dict[int, int], int]]:
+    """[(configuration: length -> count, containers)] that hold every item of the histogram.
+
+    Of a few plans of the rounded program the one with fewest containers is kept; then a share of its
+    containers, those with most unused space, is emptied and packed anew best-fit where that saves any.
+    """
+    count = lambda plan: sum(n for _, n in plan)
+    best = min((_solve(histogram, capacity, kept) for kept in reserves), key=count)
+    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    for share in loosest:
+        if count(best) <= bound:
+            break
+        best = min(best, _repack(best, capacity, share), key=count)
+    return best
+
+
+def _repack(plan: list[tuple[dict[int, int], int]], capacity: int, share: float) -> list[tuple[dict[int, int], int]]:
+    """The plan with the loosest containers, a share of all, packed again."""
+    order = sorted(plan, key=lambda p: sum(s * k for s, k in p[0].items()))
+    todo, at = share * sum(n for _, n in plan), 0
+    rest: dict[int, int] = {}
+    while at < len(order) and todo > 0:
+        config, n = order[at]
+        for s, k in config.items():
+            rest[s] = rest.get(s, 0) + k * n
+        todo -= n
+        at += 1
+    lengths = np.array(sorted(rest), dtype=np.int64)
+    return order[at:] + _best_fit(lengths, np.array([rest[int(s)] for s in lengths], dtype=np.int64), capacity)
+
+
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """One container pattern at a time, repeated as often as what is left allows."""
+    out = []
     while left.any():
         config = _fill(lengths, left, capacity)
         hit = config > 0
         n = int((left[hit] // config[hit]).min())
-        left -= n * config
+        left = left - n * config
         out.append(({int(lengths[i]): int(config[i]) for i in np.flatnonzero(hit)}, n))
     return out
 
 
+def _solve(histogram: dict[int, int], capacity: int, kept: float, rounds: int = 64, phases: int = 4, grid: int = 512, eps: float = 0.35, full: float = 0.99) -> list[tuple[dict[int, int], int]]:
+    """One plan.
+
+    The program is solved over length classes of ``capacity / grid`` tokens, rounded up, so that every
+    class has many items and rounding down to whole containers keeps most of the solution; what rounding
+    leaves is solved again a few times. Short items worth ``kept`` times the space that rounding lengths
+    up gives away are held back and put exactly into that space. What remains is packed best-fit.
+    """
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    out: list[tuple[dict[int, int], int]] = []
+    q = -(-capacity // grid)
+    cls = -(-lengths // q)
+    given_away = int(((cls * q - lengths) * left).sum())
+    # fillers: the shortest items, as many tokens as are given away (never more than a quarter of all)
+    upto = np.cumsum(lengths * left)
+    want = min(kept * given_away, upto[-1] / 4) if len(upto) else 0
+    filler = np.where(upto <= want, left, 0)
+    cut = int(np.searchsorted(upto, want))
+    if cut < len(left) and want > 0:
+        filler[cut] = min(int(left[cut]), max(0, int((want - (upto[cut - 1] if cut else 0)) // lengths[cut])))
+    stock = left - filler
+    sizes, at = np.unique(cls, return_inverse=True)
+    need = np.bincount(at, weights=stock, minlength=len(sizes)).astype(np.int64)
+    plans: list[tuple[np.ndarray, int]] = []
+    room = capacity // q
+    for _ in range(phases):
+        before = int((need * sizes).sum())
+        if before < 2 * room:
+            break
+        for config, x in sorted(_fractional(sizes, need, room, rounds, eps).items(), key=lambda kv: -kv[1]):
+            a = np.array(config)
+            hit = a > 0
+            n = int(min(max(x, 1), (need[hit] // a[hit]).min()))  # round down, never beyond what is left
+            if n > 0 and int((a * sizes).sum()) >= full * room:
+                need = need - n * a
+                plans.append((a, n))
+        if before - int((need * sizes).sum()) < 0.05 * before:
+            break
+    # classes to lengths: per slot of a plan a run of items, mostly of one length
+    queues = [[[int(lengths[i]), int(stock[i])] for i in np.flatnonzero(at == k) if stock[i]] for k in range(len(sizes))]
+    for a, n in plans:
+        for pattern, m in _exact(a, n, queues):
+            _top_up(pattern, m, capacity - sum(x * c for x, c in pattern.items()), lengths, filler, out)
+    rest = filler.copy()
+    where = {int(x): i for i, x in enumerate(lengths)}
+    for queue in queues:
+        for length, count in queue:
+            rest[where[length]] += count
+    return out + _best_fit(lengths, rest, capacity)
+
+
+def _exact(plan: np.ndarray, n: int, queues: list[list[list[int]]]) -> list[tuple[dict[int, int], int]]:
+    """A plan of classes for n containers as patterns of exact lengths; takes the items from the queues."""
+    runs = []  # per slot its segments (length, containers)
+    for k in np.flatnonzero(plan):
+        for _ in range(int(plan[k])):
+            queue, todo, run = queues[k], n, []
+            while todo:
+                i = next((i for i, (_, c) in enumerate(queue) if c >= todo), None)
+                if i is None:
+                    i = max(range(len(queue)), key=lambda j: queue[j][1])
+                take = min(todo, queue[i][1])
+                run.append((queue[i][0], take))
+                queue[i][1] -= take
+                if not queue[i][1]:
+                    queue.pop(i)
+                todo -= take
+            runs.append(run)
+    ends = sorted({e for run in runs for e in np.cumsum([c for _, c in run]).tolist()})
+    out, start = [], 0
+    where = [[0, run[0][1]] for run in runs]  # per slot: segment and its end
+    for e in ends:
+        pattern: dict[int, int] = {}
+        for j, run in enumerate(runs):
+            if where[j][1] <= start:
+                where[j][0] += 1
+                where[j][1] += run[where[j][0]][1]
+            length = run[where[j][0]][0]
+            pattern[length] = pattern.get(length, 0) + 1
+        out.append((pattern, e - start))
+        start = e
+    return out
+
+
+def _top_up(pattern: dict[int, int], m: int, slack: int, lengths: np.ndarray, filler: np.ndarray, out: list[tuple[dict[int, int], int]]) -> None:
+    """m containers of one pattern with fillers in their slack: an exact one if there is, else the longest
+    that leaves room for another, else the longest that fits."""
+    todo = [(pattern, m, slack)]
+    while todo:
+        pattern, m, slack = todo.pop()
+        fits = np.flatnonzero(filler[: np.searchsorted(lengths, slack, side="right")])
+        if not len(fits):
+            out.append((pattern, m))
+            continue
+        last = int(fits[-1])
+        two = fits[: np.searchsorted(lengths[fits], slack - lengths[fits[0]], side="right")]
+        i = last if lengths[last] == slack or not len(two) else int(two[-1])
+        n = min(m, int(filler[i]))
+        filler[i] -= n
+        size = int(lengths[i])
+        if n < m:
+            todo.append((pattern, m - n, slack))
+        todo.append((pattern | {size: pattern.get(size, 0) + 1}, n, slack - size))
+
+
 def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     """A full container from what is left: the longest item, then ever the longest that still fits,
     spread over many lengths in proportion to what is left so that the pattern can be repeated."""
@@ -165,8 +296,9 @@ def _fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
             i = int(exact[0])
         else:
             upper = fits[lengths[fits] >= lengths[fits[-1]] / 2]
-            two = [int(j) for j in upper if room - lengths[j] >= lengths[fits[0]]] or [int(fits[-1])]
-            i = max(two, key=lambda j: (left[j] // (config[j] + 1), lengths[j]))
+            two = upper[room - lengths[upper] >= lengths[fits[0]]]
+            two = two if len(two) else fits[-1:]
+            i = int(two[len(two) - 1 - int((left[two] // (config[two] + 1))[::-1].argmax())])  # the longest of equals
         config[i] += 1
         room -= int(lengths[i])
     return config
