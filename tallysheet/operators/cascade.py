@@ -56,8 +56,12 @@ def tag_cascade(detections: DataFrame, class_tags: DataFrame, words: DataFrame,
     direct = base.where("only = other").select("det_id", F.col("cls").alias("new_cls"), F.col("only").alias("tag"), F.lit("direct").alias("tag_method"), F.lit(1.0).alias("tag_confidence"))
     # fingerprints: tokens near the detection shared with a tag's rare tokens
     open_ = base.where("resolved is not null and only <> other")
-    toks = words.select("project", "page", F.col("x").alias("rx"), F.col("y").alias("ry"), F.explode(_tokens(value_fold(F.col("text")))).alias("tok"))
-    near = distance_join(open_.select("project", "page", "det_id", "cls", "resolved", "cx", "cy"), toks, ["project", "page"], word_radius * PT).select("project", "page", "det_id", "resolved", "tok").distinct()
+    index = cut(index.select("project", "tag", "tok"))
+    # only tokens that are a fingerprint at all; the detections, fewer than the words, are the side that is spread over cells
+    rare = index.select("project", "tok").distinct()
+    toks = words.select("project", "page", F.col("x").alias("cx"), F.col("y").alias("cy"), F.explode(_tokens(value_fold(F.col("text")))).alias("tok")).join(rare, ["project", "tok"], "left_semi")
+    spots = open_.select("project", "page", "det_id", "resolved", F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    near = distance_join(toks, spots, ["project", "page"], word_radius * PT).select("project", "page", "det_id", "resolved", "tok").distinct()
     filed = tags.select("project", F.col("cls").alias("resolved"), "tag", "ord")
     score = near.join(index, ["project", "tok"]).join(filed, ["project", "resolved", "tag"]).groupBy("project", "page", "resolved", "det_id", "tag", "ord").agg(F.count("*").alias("score"))
     edges = score.select(F.col("det_id").alias("l"), F.concat_ws("\u0001", "project", F.col("page").cast("string"), "resolved", "tag").alias("r"), "tag", "score", (-F.col("score")).alias("o"), F.col("det_id").alias("o1"), F.col("ord").alias("o2"))

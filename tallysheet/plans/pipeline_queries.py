@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallysheet.functions import dims
 from tallysheet.operators import cascade, schedules, takeoff
 from tallysheet.operators.resolution import fingerprint_index
-from tallysheet.session import cut, table
+from tallysheet.session import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def raw_tables(spark: SparkSession, d: str) -> DataFrame:
     """Schedule tables as raw cells: a title row, the header, the data rows."""
-    t = table(spark, d, "schedule_tables").where("table_id is not null and header is not null").select("table_id", "project", "page", "schedule_name", "header", "rows").dropDuplicates(["table_id"])
+    t = table(spark, d, "schedule_tables").where("table_id is not null and header is not null").select("table_id", "project", "page", "schedule_name", "header", "rows")
+    t = spread(t, "table_id").dropDuplicates(["table_id"])
     line = lambda r: F.transform("header", lambda h: F.try_element_at(r, h))
     cells = F.concat(F.array(F.array("schedule_name")), F.array(F.col("header")), F.transform(F.filter(F.coalesce("rows", F.array()), lambda r: r.isNotNull()), line))
     return t.select("project", (F.col("page") - 1).alias("page"), F.col("table_id").alias("table_ix"), cells.alias("cells"), F.col("schedule_name").alias("page_text"))
@@ -82,7 +83,8 @@ def title_block(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     """Tag variables placed on pages by fixed arithmetic on their id, so that every row takes part."""
-    v = table(spark, d, "tag_variables").where("project is not null and page is not null").select("var_id", "project", (F.col("page") - 1).alias("page"), "tag", F.col("inferred_yolo_class").alias("cls"), "properties").dropDuplicates(["var_id"])
+    v = table(spark, d, "tag_variables").where("project is not null and page is not null").select("var_id", "project", (F.col("page") - 1).alias("page"), "tag", F.col("inferred_yolo_class").alias("cls"), "properties")
+    v = spread(v, "var_id").dropDuplicates(["var_id"])
     return cut(v.withColumns({"x": (F.col("var_id") * 37 % 2000).cast("double"), "y": (F.col("var_id") * 91 % 2000).cast("double")}))
 
 
@@ -119,6 +121,7 @@ def label_values(spark: SparkSession, d: str) -> DataFrame:
 def takeoff_rows(spark: SparkSession, d: str) -> DataFrame:
     """CMP-09, AGG-02, JOIN-23, STR-30: the takeoff with brand, model, sizes, type and remarks."""
     v = table(spark, d, "tag_variables").where("project is not null and page is not null and inferred_yolo_class is not null")
+    v = spread(v, "var_id")
     tagged = v.select("var_id", "project", (F.col("page") - 1).alias("page"), F.col("inferred_yolo_class").alias("cls"), "tag").distinct()
     first = v.where("tag is not null").groupBy("project", "tag").agg(F.min_by(F.struct(F.array_sort(F.map_entries("properties")).alias("props"), F.col("inferred_yolo_class").alias("cls")), "var_id").alias("f")).select("project", "tag", "f.props", "f.cls")
     return takeoff.assemble(tagged, first)

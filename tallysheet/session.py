@@ -48,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by key over as many partitions as the session shuffles into.
+
+    For stages whose work per byte is large: adaptive coalescing looks at bytes only and would put small
+    inputs of costly rows into one task. A later aggregation by the same keys needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back."""
     spark = df.sparkSession
