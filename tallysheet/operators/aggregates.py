@@ -28,8 +28,9 @@ def takeoff_rollup(dets: DataFrame, project: list[str]) -> DataFrame:
     """
     base = dets.withColumn("tag", F.coalesce(F.nullif("tag", F.lit("")), F.lit("(no-tag)")))
     pages = base.groupBy(*project, "cls", "tag", "page").agg(F.count("*").alias("n"))  # pages once: bounded by pages, not by rows
-    out = pages.rollup(*[F.col(p) for p in project], "cls", "tag").agg(F.sum("n").alias("qty"), F.array_join(F.array_sort(F.collect_set(F.col("page") + 1)), ",").alias("pages"), F.grouping_id().alias("level"))
-    return out.where(" and ".join(f"{p} is not null" for p in project))
+    p = [F.col(c) for c in project]
+    sets = [[*p, F.col("cls"), F.col("tag")], [*p, F.col("cls")], p]
+    return pages.groupingSets(sets, *p, "cls", "tag").agg(F.sum("n").alias("qty"), F.array_join(F.array_sort(F.collect_set(F.col("page") + 1)), ",").alias("pages"), F.grouping_id().alias("level"))
 
 
 def summary_by_tag(dets: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallysheet.functions import dims
 from tallysheet.functions import strings as S
+from tallysheet.operators.windows import blocked, running_sum
 
 
 def has_any(text: Column, words: list[str]) -> Column:
@@ -94,7 +95,10 @@ def most_common(df: DataFrame, value: str, first: int) -> DataFrame:
 
 
 def running_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Position of a row in its key, from 0, counted over blocks so that a hot key is split."""
+    cols = [F.col(o) for o in order]
+    d = running_sum(blocked(df, by, cols), by, cols, F.lit(1), name)
+    return d.withColumn(name, F.col(name) - 1).drop("_blk")
 
 
 def labelled_to_raw(labelled: DataFrame, raw: DataFrame) -> DataFrame:

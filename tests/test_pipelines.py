@@ -93,3 +93,27 @@ def test_latest_ngrams_budget(spark):
     assert sorted(r["gram"] for r in W.ngrams(tok, ["k"], "i", "w").collect()) == ["A", "AB", "ABC", "B", "BC", "C"]
     cost = spark.createDataFrame([("a", i, 10.0) for i in range(5)], "k string, i int, c double")
     assert W.budget_cut(cost, ["k"], ["i"], "c", 25.0).count() == 2
+
+
+def test_blocked_procedures_equal_plain_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(7)
+    # one key holds most rows, one is NULL
+    data = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.choice([None, "x", "y", ""]), float(rng.randint(0, 9))) for i in range(400)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, i int, v string, c double")
+    w = Window.partitionBy("k").orderBy("i")
+    full = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {r["i"]: r for r in df.select("i", F.last(F.when(F.col("v") != "", F.col("v")), True).over(full).alias("f"), F.sum("c").over(full).alias("s"), F.lag("c").over(w).alias("p")).collect()}
+    filled = W.fill_down(df, ["k"], "i", F.col("v"), F.lit(False))
+    assert {r["i"]: r["filled"] for r in filled.collect()} == {i: r["f"] for i, r in want.items()}
+    b = W.blocked(df, ["k"], [F.col("i")])
+    assert b.select("_blk").distinct().count() > 1
+    s = W.running_sum(b, ["k"], [F.col("i")], F.col("c"), "s")
+    assert {r["i"]: r["s"] for r in s.collect()} == {i: r["s"] for i, r in want.items()}
+    p = W.previous(b, ["k"], [F.col("i")], {"p": F.col("c")})
+    assert {r["i"]: r["p"] for r in p.collect()} == {i: r["p"] for i, r in want.items()}
+    assert W.fill_down(df.limit(0), ["k"], "i", F.col("v"), F.lit(False)).count() == 0
