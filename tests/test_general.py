@@ -184,3 +184,19 @@ def test_very_long_cell(spark):
     long = ", ".join(f"CU-{i}" for i in range(5000))
     df = spark.createDataFrame([("t", 1, 0, "f", "mark", long)], packed_split.CELLS)
     assert packed_split.split_cells(df, []).count() == 5000
+
+
+@pytest.mark.parametrize("how", ["empty", "dirty"])
+def test_queries_bear_empty_null_and_clashing_tables(spark, tmp_path_factory, how):
+    import os
+
+    from tallysheet.plans import general
+
+    from . import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    d = tables.write(spark, "/root/testdata/sf0.001", str(tmp_path_factory.mktemp(how)), how)
+    for name, q in general.QUERIES.items():
+        n = q(spark, d).count()
+        assert n >= 0 and (how == "dirty" or n == 0 or name == "p2_sources"), name
