@@ -28,6 +28,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return target_sample.plan_samples(_sources(spark, d), table(spark, d, "sample_targets"))[0]
 
 
+def p1_needs(spark: SparkSession, d: str) -> DataFrame:
+    """Needed and available records of every class of every request."""
+    return p1_report(spark, d).select("request_id", "class_name", "needed", "available")
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     """The drawn records of every request."""
     return target_sample.draw_samples(_sources(spark, d), table(spark, d, "sample_targets"))[0]
@@ -87,6 +92,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p1_needs": p1_needs,
     "p1_sample": p1_sample,
     "p6_found": p6_found,
     "p6_splits": p6_splits,
@@ -98,4 +104,11 @@ QUERIES: dict[str, Query] = {
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
-ORACLES: dict[str, str] = {}
+_CLASS = r"upper(trim(regexp_replace({c}, '[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')))"
+_RECORDS = f"""WITH rec AS (SELECT 'ls_boxes' AS source_table, {_CLASS.replace('{c}', 'cls')} AS k, count(DISTINCT box_id) AS n FROM ls_boxes WHERE cls IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'sample_per_project', {_CLASS.replace('{c}', 'class')}, sum(count) FROM (SELECT DISTINCT project, class, count FROM sample_per_project WHERE count > 0 AND class IS NOT NULL) GROUP BY ALL),
+t AS (SELECT DISTINCT s.*, coalesce(n, 0)::BIGINT AS available, greatest(min_count, floor(target_share * sample_size + 0.5))::BIGINT AS needed FROM sample_targets s LEFT JOIN rec ON rec.source_table = s.source_table AND k = {_CLASS.replace('{c}', 'class_name')})"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"{_RECORDS} SELECT DISTINCT request_id, class_name FROM t WHERE available < needed",
+    "p1_needs": f"{_RECORDS} SELECT request_id, class_name, needed, available FROM t",
+}

@@ -252,3 +252,19 @@ def test_garbled_documents(spark):
     assert [r[0] for r in rows(mojibake.garbled_documents(d))] == [1, 6]
     assert {r["doc_id"]: r["text"][-6:].strip() for r in mojibake.restored_documents(d).collect()} == {1: "débit", 6: "débit"}
     assert mojibake.garbled_documents(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("how", ["empty", "dirty"])
+def test_queries_bear_empty_null_and_clashing_tables(spark, tmp_path_factory, how):
+    import os
+
+    from tallysheet.llm import queries
+
+    from .. import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    d = tables.write(spark, "/root/testdata/sf0.001", str(tmp_path_factory.mktemp(how)), how)
+    for name, q in queries.QUERIES.items():
+        n = q(spark, d).count()
+        assert n >= 0 and (how == "dirty" or n == 0), name
