@@ -91,6 +91,7 @@ def split_compound(raw: Column) -> Column:
     return let(F.filter(F.transform(F.split(strip(raw), "[,;/&]"), strip), lambda p: p != ""), named)
 
 
+# Fixed value: the shape of a range of marks.
 _RANGE = r"^([A-Z]{1,4})-?(\d{1,9})\s*(?:THRU|THROUGH|TO|-|\u2013|\u2014)\s*(?:([A-Z]{1,4})-?)?(\d{1,9})$"
 
 

@@ -146,6 +146,7 @@ def legend(tables: DataFrame, lines: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("project", "abbr").agg(F.max_by("description", F.struct("page", "source", "at")).alias("description"))
 
 
+# Labels, shapes and endings of title-block fields.
 TITLE_LABELS = {
     "project": [r"PROJECT(?:\s*NAME)?", r"JOB\s*NAME"],
     "date": [r"DATE", r"ISSUED?\s*DATE"],
@@ -161,6 +162,7 @@ TITLE_VALID = {
     "revision": r"^\d{1,3}$|^[A-Z]$",
     "scale": r"(?i)[0-9/][\"']|NTS|N\.T\.S|AS\s+NOTED|NONE",
 }
+FIRM_LINE = r"(?m)^([A-Z][A-Z&.\-' ,]{2,60}\s+(?:ENGINEERING|ENGINEERS|CONSULTANTS?|ASSOCIATES|DESIGNS?|GROUP|ARCHITECTS?)(?:\s*,?\s*(?:INC|LLC|LLP|PLLC)\.?)?)\s*$"
 
 
 def title_block(pages: DataFrame, key: str = "project", text: str = "text") -> DataFrame:
@@ -171,7 +173,7 @@ def title_block(pages: DataFrame, key: str = "project", text: str = "text") -> D
         inline = S.inline_field(F.col(text), labels, ok(f))
         below = F.coalesce(*[F.when(ok(f)(v), v) for lb in labels for v in [S.clean_value(F.regexp_extract(text, rf"(?im)^\s*{lb}\s*:?\s*$\s*^([^\n:]{{2,79}})$", 1))]])
         out[f"info_{f}"] = F.coalesce(inline, below)
-    firm = F.nullif(F.regexp_extract(text, r"(?m)^([A-Z][A-Z&.\-' ,]{2,60}\s+(?:ENGINEERING|ENGINEERS|CONSULTANTS?|ASSOCIATES|DESIGNS?|GROUP|ARCHITECTS?)(?:\s*,?\s*(?:INC|LLC|LLP|PLLC)\.?)?)\s*$", 1), F.lit(""))
+    firm = F.nullif(F.regexp_extract(text, FIRM_LINE, 1), F.lit(""))
     out["info_firm"] = F.coalesce(out["info_firm"], S.clean_value(firm))
     out["info_address"] = S.street_address(F.col(text))
     return pages.select(key, *[c.alias(n) for n, c in out.items()])

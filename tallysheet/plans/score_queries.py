@@ -394,3 +394,10 @@ def strict_tags(spark: SparkSession, d: str) -> DataFrame:
     return t.select("var_id", S.strict_tag(F.col("tag")).alias("tag"), "schedule_name").where("tag is not null").withColumn("class", S.resolved_class(F.col("tag"), F.col("schedule_name"))).drop("schedule_name")
 
 
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly totals per event type; the streaming form is ``streaming.ingest.running_totals``."""
+    e = table(spark, d, "events").where("ts is not null")
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,7 +30,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where it is unset (tests, local mode) a temporary folder is used.
+    Only where it is unset, and all runs on one machine (tests, bench), a temporary folder is used.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
@@ -37,9 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     java = spark.sparkContext._jsc.sc().getCheckpointDir()
     if java.isDefined():
         return java.get()
+    if not _one_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "tallysheet-checkpoints")
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder (survives lost executors)."""
     spark = df.sparkSession
@@ -69,16 +76,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers where neither their path nor folder has it.
+    """In local mode, make the package importable in Python workers where neither their path nor folder has it.
 
-    Once per application; Spark distributes the archive to the executors itself.
+    A cluster gets the package with the job (``--py-files`` or its image).
     """
     root = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if app in _SHIPPED or any(p and Path(p).resolve() == root for p in known):
+    if app in _SHIPPED or not _one_machine(spark) or any(p and Path(p).resolve() == root for p in known):
         return
-    path = Path(tempfile.mkdtemp(prefix="tallysheet-")) / "tallysheet.zip"  # read by the driver's file server only
+    path = Path(tempfile.mkdtemp(prefix="tallysheet-")) / "tallysheet.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted((root / "tallysheet").rglob("*.py")):
             z.write(f, f.relative_to(root))
