@@ -47,6 +47,12 @@ def sentence_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"[\s /,]+"), lambda t: F.regexp_replace(t, r"^[.()]+|[.()]+$", "")), lambda t: t != "")
 
 
+def token_rows(df, text: str, keep: list[str], name: str = "tok"):
+    """The tokens of sentence_tokens as rows: the generator comes first, so trimming runs in compiled code."""
+    rows = df.select(*keep, F.explode(F.split(F.col(text), r"[\s\u00a0/,]+")).alias("_t"))
+    return rows.select(*keep, F.regexp_replace("_t", r"^[.()]+|[.()]+$", "").alias(name)).where(F.col(name) != "")
+
+
 def upper_median(values: Column) -> Column:
     """The value at place n // 2 of the sorted values (the upper of two middle ones)."""
     kept = F.filter(values, lambda v: v.isNotNull())

@@ -11,6 +11,7 @@ from tallysheet.functions import dims
 from tallysheet.operators import datasets, filters, ocr
 from tallysheet.operators import aggregates as A
 from tallysheet.plans.box_queries import FOUND, TRUTH, _labelled, truth
+from tallysheet.plans.text_queries import normal_tag_sql
 from tallysheet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,7 +135,15 @@ def word_to_tag(spark: SparkSession, d: str) -> DataFrame:
     return ocr.word_to_tag(words, tags, ["project"])
 
 
-@query("tag_harvest")
+_BARE = ["A", "B", "C", "D", "CD", "RG", "SG", "EG", "TG", "LD"]
+_HARVEST = normal_tag_sql(r"SELECT DISTINCT project AS id, tok AS raw FROM (SELECT project, unnest(regexp_split_to_array(text, '[\s,;]+')) AS tok FROM documents WHERE project IS NOT NULL AND text IS NOT NULL)")
+
+
+@query(
+    "tag_harvest",
+    f"""SELECT DISTINCT id AS project, tag, coalesce(a.v, b.v, c.v, e.v) AS cls, -1 AS source_row_index FROM ({_HARVEST}) n LEFT JOIN (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}) a ON a.k = tag[1:4] LEFT JOIN (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}) b ON b.k = tag[1:3] LEFT JOIN (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}) c ON c.k = tag[1:2] LEFT JOIN (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}) e ON e.k = tag[1:1]
+WHERE tag IS NOT NULL AND (list_contains({dims.sql_list(list(dims.TAG_PREFIX))}, regexp_extract(tag, '^([A-Z]+)', 1)) OR list_contains({dims.sql_list(_BARE)}, regexp_extract(tag, '^([A-Z]+)', 1))) AND (regexp_matches(tag, '[0-9]') OR list_contains({dims.sql_list(_BARE)}, tag))""",
+)
 def tag_harvest(spark: SparkSession, d: str) -> DataFrame:
     """CMP-04, STR-08/27: strict tags of whole texts, tag only."""
     t = table(spark, d, "documents").where("project is not null and text is not null").select("project", F.explode(F.split("text", r"[\s,;]+")).alias("text")).distinct()
@@ -158,9 +167,18 @@ def empty_tiles(spark: SparkSession, d: str) -> DataFrame:
     return datasets.kept_empty_tiles(pages, datasets.tile_boxes(truth(spark, d), pages))
 
 
-@query("training_boxes")
+_STARTS = "SELECT DISTINCT greatest(least(t, {side} - 640), 0) AS s FROM (SELECT unnest(generate_series(0, {side} - 1, 480)) AS t)"
+
+
+@query(
+    "training_boxes",
+    f"""WITH {TRUTH}, keep AS (SELECT cls FROM truth GROUP BY cls HAVING count(*) >= 30), sx AS ({_STARTS.format(side=7200)}), sy AS ({_STARTS.format(side=5400)}),
+c AS (SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM truth SEMI JOIN keep USING (cls)), j AS (SELECT c.*, sx.s AS tx, sy.s AS ty FROM c JOIN sx ON mx >= sx.s AND mx < sx.s + 640 JOIN sy ON my >= sy.s AND my < sy.s + 640),
+k AS (SELECT project, page, tx, ty, cls, least(greatest(x1 - tx, 0), 640) AS a, least(greatest(y1 - ty, 0), 640) AS b, least(greatest(x2 - tx, 0), 640) AS d, least(greatest(y2 - ty, 0), 640) AS e FROM j)
+SELECT project, page, tx, ty, coalesce(v, cls) AS cls, round((a + d) / 2 / 640, 6) AS cx, round((b + e) / 2 / 640, 6) AS cy, round((d - a) / 640, 6) AS w, round((e - b) / 640, 6) AS h FROM k LEFT JOIN (SELECT * FROM {dims.sql_values(dims.CLASS_ALIAS)}) al ON al.k = cls""",
+)
 def training_boxes(spark: SparkSession, d: str) -> DataFrame:
     """CMP-15, FIL-21: normalised boxes of frequent classes in every tile that holds their centre."""
     pages = truth(spark, d).select("project", "page").distinct().withColumns({"width": F.lit(7200), "height": F.lit(5400)})
     b = datasets.tile_boxes(datasets.frequent_classes(truth(spark, d)), pages)
-    return b.select("project", "page", "tx", "ty", "cls", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return b.select("project", "page", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"), "cls", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])

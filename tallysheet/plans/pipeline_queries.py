@@ -99,7 +99,17 @@ def tag_cascade(spark: SparkSession, d: str) -> DataFrame:
     return cascade.tag_cascade(dets, tags, words, bubbles, fingerprint_index(table(spark, d, "tag_variables")))
 
 
-@query("bubble_pairs")
+_PLACED = "placed AS (SELECT DISTINCT var_id, project, page - 1 AS page, tag, inferred_yolo_class AS cls, (var_id * 37 % 2000)::DOUBLE AS x, (var_id * 91 % 2000)::DOUBLE AS y FROM tag_variables WHERE project IS NOT NULL AND page IS NOT NULL)"
+
+
+@query(
+    "bubble_pairs",
+    rf"""
+WITH {_PLACED}, h AS (SELECT var_id, project, page, x, y, list_filter(regexp_split_to_array(tag, '[\s-]+'), lambda t: t <> '') AS ts FROM placed WHERE tag IS NOT NULL),
+b AS (SELECT project, page, var_id * 16 + i - 1 AS id, x + (i - 1) * 20 AS x, y, ts[i] AS text FROM h, unnest(generate_series(1, len(ts))) AS g(i) WHERE length(ts[i]) <= 4)
+SELECT a.project, a.page, a.id AS a, b.id AS b, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, unnest([a.text || b.text, b.text || a.text]) AS text
+FROM b a JOIN b ON a.project = b.project AND a.page = b.page AND a.id <> b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 80 AND (a.x <> b.x OR a.y <> b.y) AND (regexp_matches(a.text, '^[A-Za-z]+$') OR regexp_matches(b.text, '^[A-Za-z]+$'))""",
+)
 def bubble_pairs(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-21, SET-04: split bubbles joined; texts are the letters and the numbers of marks."""
     v = _placed(spark, d).where("tag is not null")
@@ -108,7 +118,13 @@ def bubble_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cascade.split_bubble_pairs(b)
 
 
-@query("label_values")
+@query(
+    "label_values",
+    f"""
+WITH {_PLACED}, j AS (SELECT l.project, l.page, l.var_id AS label_id, v.var_id AS value_id, v.tag AS text, v.x + v.var_id % 57 - l.x AS dx, l.y - (v.y - v.var_id % 43) AS dy FROM placed l JOIN placed v ON l.project = v.project AND l.page = v.page WHERE l.cls IS NOT NULL AND v.tag IS NOT NULL AND sqrt((v.x + v.var_id % 57 - l.x) * (v.x + v.var_id % 57 - l.x) + (l.y - (v.y - v.var_id % 43)) * (l.y - (v.y - v.var_id % 43))) <= 200),
+k AS (SELECT *, CASE WHEN dy > 0 AND abs(dx) <= 100 THEN 0 WHEN dx > 0 AND abs(dy) <= 20 THEN 1 END AS branch FROM j)
+SELECT project, page, label_id, arg_min(text, {{'b': branch, 's': CASE WHEN branch = 0 THEN dy + abs(dx) * 0.5 ELSE dx + abs(dy) * 2 END, 'v': value_id}}) AS text FROM k WHERE branch IS NOT NULL GROUP BY ALL""",
+)
 def label_values(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-09/10/26: values above or right of labels."""
     v = _placed(spark, d)

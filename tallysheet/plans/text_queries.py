@@ -272,7 +272,7 @@ SELECT tok, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY tok"""
 )
 def sentence_tokens(spark: SparkSession, d: str) -> DataFrame:
     """MAP-06: tokens of whole texts with counts; partial aggregation before the shuffle."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(maps.sentence_tokens(F.col("text"))).alias("tok"))
+    t = maps.token_rows(table(spark, d, "documents").where("text is not null"), "text", ["doc_id"])
     per = t.groupBy("doc_id", "tok").agg(F.count("*").alias("n"))
     return per.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 

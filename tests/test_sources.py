@@ -126,3 +126,16 @@ def test_windowed_totals_with_watermark(spark, tmp_path):
     q.awaitTermination()
     got = rows(spark.table("totals").select("event_type", "n", "total"))
     assert ("a", 2, 3.0) in got and all(r[0] != "b" for r in got)
+
+
+def test_written_stages_are_cleared(spark):
+    import os
+
+    from tallysheet import session
+
+    session.clear_written(spark)
+    session.written(spark.range(3), "stage")
+    path = session._WRITTEN[0]
+    assert os.path.isdir(path.removeprefix("file://"))
+    session.clear_written(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not session._WRITTEN
