@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.functions.geometry import distance
+from tallysheet.functions.geometry import distance, iou
 from tallysheet.session import cut
 
 
@@ -86,3 +86,46 @@ def greedy_match(edges: DataFrame, *order: str) -> DataFrame:
         taken = won if taken is None else taken.unionByName(won)
         left = cut(left.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti"))
     return edges.limit(0) if taken is None else taken.drop("_o")
+
+
+BOX = ["x1", "y1", "x2", "y2"]
+
+
+def _distinct(boxes: DataFrame, keys: list[str], shape: list[str]) -> DataFrame:
+    """Per key and shape the first box in rank order (``rep``): boxes(id, rank, shape..)."""
+    return boxes.groupBy(*keys, *shape).agg(F.min_by("id", "rank").alias("rep"), F.min("rank").alias("rank"))
+
+
+def suppress_near(boxes: DataFrame, keys: list[str], distance: float) -> DataFrame:
+    """Ids kept when, in rank order, a box goes whose centre is closer than ``distance`` on both axes to a
+    kept one. boxes(keys.., id, rank, cx, cy); rank is unique.
+
+    Of boxes with one centre only the first can stay (what drops it drops them all), so copies are
+    reduced before any pair is made.
+    """
+    d = cut(_distinct(boxes, keys, ["cx", "cy"]))
+    left = d.select(*keys, F.col("rep").alias("a"), "cx", "cy")
+    right = d.select(*keys, F.col("rep").alias("b"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    near = distance_join(left, right, keys, distance * 1.5).where((F.col("a") < F.col("b")) & (F.abs(F.col("cx") - F.col("rx")) < distance) & (F.abs(F.col("cy") - F.col("ry")) < distance))
+    return keep_first(d.select(F.col("rep").alias("id"), "rank"), near).select("id")
+
+
+def suppress_overlaps(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """Ids kept when, in rank order, a box goes that overlaps a kept one by more than ``limit`` (IoU).
+
+    boxes(keys.., id, rank, x1, y1, x2, y2); rank is unique; copies of one box are reduced first.
+    """
+    d = cut(_distinct(boxes, keys, BOX))
+    side = lambda p: d.select(*keys, F.col("rep").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
+    over = overlap_join(side("a_"), side("b_"), keys).where(F.col("a_id") < F.col("b_id"))
+    return keep_first(d.select(F.col("rep").alias("id"), "rank"), over.where(F.round(iou("a_", "b_"), 9) > limit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select("id")
+
+
+def overlap_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (a, b) that connect overlapping boxes(keys.., id, x1, y1, x2, y2): copies of a box as a star
+    to their least id, then overlaps between different boxes."""
+    d = cut(boxes.groupBy(*keys, *BOX).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    copies = boxes.join(d.where("n > 1"), [*keys, *BOX]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    side = lambda p: d.select(*keys, F.col("rep").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
+    over = overlap_join(side("a_"), side("b_"), keys).where(F.col("a_id") < F.col("b_id")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return copies.unionByName(over)

@@ -15,7 +15,7 @@ from tallysheet.functions import geometry as G
 from tallysheet.functions import maps
 from tallysheet.operators import spatial
 from tallysheet.operators.components import hook_and_shortcut
-from tallysheet.session import cut, table
+from tallysheet.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,21 +129,15 @@ SELECT b.id AS box_id FROM k"""
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return cut(found(spark, d))
-
-
-def _suppress(f: DataFrame, conflicts: DataFrame) -> DataFrame:
-    return spatial.keep_first(f.select(F.col("box_id").alias("id"), F.struct((-F.col("conf")).alias("c"), "box_id").alias("rank")), conflicts).select(F.col("id").alias("box_id"))
+    rank = F.struct((-F.col("conf")).alias("c"), "box_id").alias("rank")
+    return found(spark, d).select(*PAGE, F.col("box_id").alias("id"), rank, "x1", "y1", "x2", "y2")
 
 
 @query("nms_center", nms_sql("abs(a.x1 + a.x2 - x[1].x1 - x[1].x2) < 100 AND abs(a.y1 + a.y2 - x[1].y1 - x[1].y2) < 100"))
 def nms_center(spark: SparkSession, d: str) -> DataFrame:
     """GEO-10, ORD-01: by falling confidence, drop what lies within 50 px of a kept box on both axes."""
-    f = _ranked(spark, d)
-    left = f.select(*PAGE, F.col("box_id").alias("a"), (F.col("x1") + F.col("x2")).alias("cx"), (F.col("y1") + F.col("y2")).alias("cy"))
-    right = left.select(*PAGE, F.col("a").alias("b"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    near = spatial.distance_join(left, right, PAGE, 142.0).where("a < b and abs(cx - rx) < 100 and abs(cy - ry) < 100")
-    return _suppress(f, near)
+    f = _ranked(spark, d).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+    return spatial.suppress_near(f, PAGE, 50.0).select(F.col("id").alias("box_id"))
 
 
 NMS_IOU = "a.x1 < x[1].x2 AND x[1].x1 < a.x2 AND a.y1 < x[1].y2 AND x[1].y1 < a.y2 AND round(" + IOU.replace("b.", "x[1].") + ", 9) > 0.5"
@@ -152,9 +146,7 @@ NMS_IOU = "a.x1 < x[1].x2 AND x[1].x1 < a.x2 AND a.y1 < x[1].y2 AND x[1].y1 < a.
 @query("nms_iou", nms_sql(NMS_IOU))
 def nms_iou(spark: SparkSession, d: str) -> DataFrame:
     """GEO-10: by falling confidence, drop what overlaps a kept box by more than half."""
-    f = _ranked(spark, d)
-    j = spatial.overlap_join(_prefixed(f, "a_"), _prefixed(f, "b_"), PAGE).where("a_box_id < b_box_id")
-    return _suppress(f, j.where(F.round(G.iou("a_", "b_"), 9) > 0.5).select(F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")))
+    return spatial.suppress_overlaps(_ranked(spark, d), PAGE, 0.5).select(F.col("id").alias("box_id"))
 
 
 @query("nearest_within", f"WITH {TRUTH}, {FOUND} SELECT l AS det_id, arg_min(r, {{'d': round(dist, 9), 'r': r}}) AS truth_id, round(min(dist), 6) AS dist FROM ({NEAR.replace('{2r}', '700')}) WHERE dist <= 350 GROUP BY l")
@@ -174,9 +166,8 @@ def penalised_nearest(spark: SparkSession, d: str) -> DataFrame:
 @query("components", f"WITH RECURSIVE {TRUTH}, e AS (SELECT a.box_id AS a, b.box_id AS b FROM truth a JOIN truth b ON a.project = b.project AND a.page = b.page AND a.box_id <> b.box_id AND {OVER}), r AS (SELECT box_id AS node, box_id AS root FROM truth UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
 def components(spark: SparkSession, d: str) -> DataFrame:
     """AGG-18, JOIN-22: groups of overlapping boxes by hooking and shortcutting."""
-    t = truth(spark, d)
-    e = spatial.overlap_join(_prefixed(t, "a_"), _prefixed(t, "b_"), PAGE).where("a_box_id < b_box_id").select(F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"))
-    return hook_and_shortcut(t.select(F.col("box_id").alias("node")), e)
+    t = truth(spark, d).withColumnRenamed("box_id", "id")
+    return hook_and_shortcut(t.select(F.col("id").alias("node")), spatial.overlap_edges(t, PAGE))
 
 
 @query(

@@ -95,3 +95,15 @@ def test_maps(spark):
     assert (r["a"], r["b"], r["c"], r["m"], r["i"], r["o"]) == ("24x24", "10", None, 3, 1, None)
     p = spark.range(1).select(maps.row_to_props(F.array(F.lit("A"), F.lit(""), F.lit("A"), F.lit("MARK")), F.array(F.lit("1"), F.lit("x"), F.lit("2"), F.lit("CU-1")), F.array(F.lit(3)))).first()[0]
     assert [(x["key"], x["value"]) for x in p] == [("A", "2"), ("COL_2", "x")]
+
+
+def test_copies_make_no_pairs(spark):
+    same = [(0, i, i, 5.0, 5.0) for i in range(3000)] + [(0, 5000, 5000, 30.0, 5.0), (0, 6000, 6000, 500.0, 5.0), (1, 7000, 7000, 5.0, 5.0)]
+    b = spark.createDataFrame(same, "page int, id int, rank int, cx double, cy double")
+    assert sorted(r["id"] for r in spatial.suppress_near(b, ["page"], 50.0).collect()) == [0, 6000, 7000]
+    box = b.select("page", "id", "rank", F.col("cx").alias("x1"), F.col("cy").alias("y1"), (F.col("cx") + 40).alias("x2"), (F.col("cy") + 40).alias("y2"))
+    assert sorted(r["id"] for r in spatial.suppress_overlaps(box, ["page"], 0.5).collect()) == [0, 5000, 6000, 7000]
+    e = spatial.overlap_edges(box, ["page"])
+    assert e.count() == 2999 + 1
+    c = hook_and_shortcut(box.select(F.col("id").alias("node")), e)
+    assert c.select("component").distinct().count() == 3
