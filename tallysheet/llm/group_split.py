@@ -117,7 +117,9 @@ def subset_counts(sizes: dict[int, int], target: int, order: list[int], quantum:
     logarithmic in each multiplicity. ``quantum`` coarsens sums to bound the bitsets.
     """
     goal = max(1, round(target / quantum))
-    mask = (1 << (goal + goal // 8 + 2)) - 1
+    # the closest sum lies beyond the goal by half a size at most, and never by the goal itself
+    largest = max((round(s / quantum) for s in order if sizes[s] > 0 and round(s / quantum) <= goal * 2), default=0)
+    mask = (1 << (goal + min(goal, largest // 2) + 2)) - 1
     parts: list[tuple[int, int]] = []
     for s in order:
         k, m = 1, sizes[s]
@@ -157,13 +159,22 @@ def choose_splits(sizes: dict[int, int], shares: dict[str, float], seed: int, bi
     out: dict[str, dict[int, int]] = {}
     for name in sorted((n for n in shares if n != rest), key=lambda n: (shares[n], n)):
         goal = shares[name] * rows
-        usable = {s: n for s, n in left.items() if n > 0 and s <= max(goal / 3, min(left))}
+        usable = {s: n for s, n in left.items() if n > 0 and s <= 2 * goal}  # a larger job misses by more than none does
         order = sorted(usable, key=lambda _: rng.random())
+        small = {s: n for s, n in usable.items() if s <= goal / 3}
         # no size class may be used up by one split: each offers at most its share and a little more
-        offer = {s: min(n, max(1, round(n * shares[name] * 1.6) + (rng.random() < shares[name]))) for s, n in usable.items()}
-        if sum(s * n for s, n in offer.items()) < goal:
-            offer = usable
-        out[name] = subset_counts(offer, round(goal), order, max(1, int(goal) // bits)) if goal >= 1 and usable else {}
+        some = {s: min(n, max(1, round(n * shares[name] * 1.6) + (rng.random() < shares[name]))) for s, n in small.items()}
+        quantum = max(1, int(goal) // bits)
+        out[name] = {}
+        missed = goal
+        # small jobs mix classes best; where they do not meet the goal, jobs of every size are offered
+        for offer in (some, small, usable):
+            if goal < 1 or missed < quantum:
+                break
+            took = subset_counts(offer, round(goal), [s for s in order if s in offer], quantum)
+            miss = abs(sum(s * n for s, n in took.items()) - goal)
+            if miss < missed:
+                out[name], missed = took, miss
         for s, n in out[name].items():
             left[s] -= n
     out[rest] = {s: n for s, n in left.items() if n > 0}

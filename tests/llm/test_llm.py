@@ -92,6 +92,24 @@ def test_subset_sum_is_closest(sizes, target):
     assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in sums)
 
 
+@pytest.mark.parametrize(
+    ("sizes", "most"),
+    [({5000: 20, 1: 1}, 1), ({5000: 20, 1: 3}, 1), ({3000: 30, 2: 4, 1: 1}, 10), ({900: 1, 2500: 40, 1: 2}, 110), ({10_000: 10}, 0), ({40_000: 1, 6000: 10}, 4000)],
+)
+def test_few_large_jobs_and_tiny_ones_meet_the_shares(sizes, most):
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    rows = sum(s * n for s, n in sizes.items())
+    for seed in range(4):
+        plan = group_split.choose_splits(sizes, shares, seed)
+        assert {s: sum(p.get(s, 0) for p in plan.values()) for s in sizes} == sizes
+        for name in ("validation", "test"):
+            assert abs(sum(s * n for s, n in plan[name].items()) - shares[name] * rows) <= most
+
+
+def test_subset_sum_beyond_the_goal():
+    assert group_split.subset_counts({40: 1}, 21, [40]) == {40: 1}
+
+
 def test_splits_keep_jobs_whole(spark):
     rng = random.Random(3)
     recs = [(f"job {i}", f"c{rng.randint(0, 3)}") for i in range(80) for _ in range(rng.randint(1, 30))] + [("big", "c1")] * 400
