@@ -5,8 +5,11 @@ is encoded with each true encoding and decoded with each wrong one, once or twic
 automaton finds them in a text; only matched spans are replaced, so correct text beside them stays as
 it is. Sequences of several characters are evidence by themselves. A single character that may also
 be correct (``Ú`` for é, ``û`` for a dash) counts only where it cannot stand and its original can:
-inside lower case, after a digit, alone between blanks, and so on. Replacement characters and control
-characters of the C1 block are damage in any case; what cannot be told back is counted as lost.
+inside lower case, after a digit, alone between blanks, and so on. Of several originals that fit, the
+one whose pair of encodings explains most of the text's single characters is taken. Replacement
+characters and control characters of the C1 block are damage in any case, and so are characters that no
+correct text holds at their place (a letter of another script after a Latin one, a frame or sign between
+two letters); what cannot be told back is counted as lost.
 
 Defined results: NULL and empty texts are no cases; correct accents, decomposed or dropped accents and
 escaped entities are none; very long texts are read whole; repeated rows give repeated rows
@@ -15,6 +18,8 @@ escaped entities are none; very long texts are read whole; repeated rows give re
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +35,10 @@ SINGLE = "àâäçéèêëîïôöùûüœñáíóúãõßÀÂÇÉÈÊËÎÏÔÙ
 LEGIT = set("àâäæçéèêëîïôöùûüÿœñáíóúãõßÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŒÑÁÍÓÚÃÕØ¿¡«»°–—’‘“”„‚…•·×÷³²¹½¼¾±µ§®™€£¢ªº´\u00a0̧̀́̂̃̈")
 WRONG = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859-2", "iso8859-15", "cp866", "koi8-r", "cp1254", "cp1253", "cp1257")
 TWICE = ("cp1252", "latin-1")
+# Fixed values: (true, wrong) pairs of single-byte damage that have the first say; all others of WRONG follow.
+FIRST = tuple((t, w) for t in ("cp1252", "latin-1") for w in ("cp437", "cp850", "mac_roman", "latin-1"))
+TRUE = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman")
+PAIRS = (*FIRST, *((t, w) for t in dict.fromkeys((*TRUE, *WRONG)) for w in WRONG if t != w and (t, w) not in FIRST))
 LOST = "�"
 
 
@@ -38,7 +47,7 @@ def _decode(raw: bytes, encoding: str) -> str | None:
     try:
         return raw.decode(encoding)
     except UnicodeDecodeError:
-        if encoding != "cp1252" and encoding != "cp1250" and encoding != "cp1251" and encoding != "cp1254":
+        if not encoding.startswith("cp125"):
             return None
         return "".join(_byte(b, encoding) for b in raw)
 
@@ -50,40 +59,57 @@ def _byte(b: int, encoding: str) -> str:
         return chr(b)
 
 
+@cache
+def single_originals() -> dict[str, dict[str, frozenset[int]]]:
+    """Wrong character -> its originals, likeliest first -> the pairs of encodings that make it of them."""
+    seen: dict[tuple[str, str], set[int]] = {}
+
+    def add(c: str, at: int) -> None:
+        true, wrong = PAIRS[at]
+        try:
+            g = _decode(c.encode(true), wrong)
+        except UnicodeEncodeError:
+            return
+        if g and g != c and len(g) == 1 and ord(g) > 0x7F:
+            seen.setdefault((g, c), set()).add(at)
+
+    for c in SINGLE:
+        for at in range(len(FIRST)):
+            add(c, at)
+    for at in range(len(FIRST), len(PAIRS)):
+        for c in SINGLE:
+            add(c, at)
+    out: dict[str, dict[str, frozenset[int]]] = {}
+    for (g, c), pairs in seen.items():
+        out.setdefault(g, {})[c] = frozenset(pairs)
+    return out
+
+
 @cache
 def patterns() -> dict[str, tuple[str, bool]]:
-    """Garbled sequence -> (original, needs context)."""
-    out: dict[str, tuple[str, bool]] = {}
-    for c in SINGLE:  # single-byte text read with another single-byte encoding
-        for true in ("cp1252", "latin-1"):
-            try:
-                raw = c.encode(true)
-            except UnicodeEncodeError:
-                continue
-            for wrong in ("cp437", "cp850", "mac_roman", "latin-1"):
-                g = _decode(raw, wrong)
-                if g and g != c and len(g) == 1 and ord(g) > 0x7F:
-                    out.setdefault(g + "\0" + c, (c, True))
-    single: dict[str, list[str]] = {}
-    for key, (c, _) in out.items():
-        single.setdefault(key[0], []).append(c)
-    table: dict[str, tuple[str, bool]] = {g: ("".join(cs), True) for g, cs in single.items()}
+    """Garbled sequence -> (original, needs context); the originals of a single character stand in a row."""
+    table: dict[str, tuple[str, bool]] = {g: ("".join(cs), True) for g, cs in single_originals().items()}
     held = LATIN + PUNCTUATION + COMBINING
     for w in WRONG:  # UTF-8 read with a single-byte encoding; the commoner encoding has the first say
         for c in held:
             g = _decode(c.encode(), w)
             if g and len(g) > 1:
                 table.setdefault(g, (c, False))
-    for w1 in TWICE:  # and once more
-        for w2 in (*TWICE, "cp437", "cp850", "mac_roman"):
-            for c in held:
-                g = _decode(_decode(c.encode(), w1).encode(), w2)
+    for w1 in dict.fromkeys((*TWICE, *WRONG)):  # and once more
+        once = [(c, g.encode()) for c in held if (g := _decode(c.encode(), w1))]
+        for w2 in dict.fromkeys((*TWICE, *WRONG)):
+            for c, raw in once:
+                g = _decode(raw, w2)
                 if g and len(g) > 2:
                     table.setdefault(g, (c, False))
     for lead, c in (("Ã ", "à"), ("Â ", " ")):  # the second byte, a no-break space, became a blank
         table.setdefault(lead, (c, True))
     for b in range(0x80, 0xA0):
-        table.setdefault(chr(b), (_byte(b, "cp1252") if _byte(b, "cp1252") != chr(b) else "", True))
+        c = _byte(b, "cp1252")
+        table[chr(b)] = ("".join(dict.fromkeys(("" if c == chr(b) else c) + table.get(chr(b), ("",))[0])), True)
+    for w in WRONG:  # what any encoding shows of a byte and nothing above explains
+        for b in range(0x80, 0x100):
+            table.setdefault(_byte(b, w), ("", True))
     table[LOST] = ("", True)
     return table
 
@@ -112,15 +138,25 @@ def _kind(ch: str) -> str:
     return "P"
 
 
+def _latin(ch: str) -> bool:
+    return ch.isalpha() and ord(ch) < 0x250
+
+
 _OPEN, _CLOSE = "“‘«„¿¡‚", "”»"
 
 
 def stands(ch: str, before: str, after: str) -> bool:
     """Whether a character can stand between these neighbours in correct text."""
-    if ord(ch) > 0x7F and ch not in LEGIT:
-        return False
     p, n = _kind(before), _kind(after)
+    if ch in "≤≥→−":
+        return p in "SP" and n in "SD"
+    if ch == "Ω" and before in "kM" and n in "SP":
+        return True
+    if ord(ch) > 0x7F and ch not in LEGIT:  # a word of another script stands
+        return ch.isalpha() and not _latin(ch) and not _latin(before) and not _latin(after) and (before.isalpha() or after.isalpha())
     any_p, any_n = p == "?", n == "?"
+    if ch in "“‘" and p in "LUDP" and n in "SP":  # closes „ and ‚
+        return True
     if ch in _OPEN:
         return (p in "SP" or any_p) and (n in "LUDP" or any_n or (ch == "«" and n == "S"))
     if ch in _CLOSE:
@@ -148,7 +184,7 @@ def stands(ch: str, before: str, after: str) -> bool:
     if ch == "…":
         return n in "SP" or any_n
     if ch in "£€¢´§®™":
-        return p in "SDP" and n in "SDP" if ch != "™" and ch != "®" else p in "LUD"
+        return p in "SDP" and n in "SDP" if ch != "™" and ch != "®" else p in "LUD" and n not in "LU"
     if ch.isalpha():
         if p == "D" and n != "D":
             return False
@@ -178,6 +214,20 @@ def _joins(ch: str, before: str, after: str) -> bool:
     return True
 
 
+def _impossible(ch: str, before: str, after: str) -> bool:
+    """Whether a character that has no original here can be no correct text either.
+
+    Letters beyond LEGIT may belong to a name and signs may stand apart, so these are none.
+    """
+    if ch in LEGIT:
+        return False
+    if 0xE000 <= ord(ch) < 0xF900:
+        return True
+    if ch.isalpha():
+        return not _latin(ch) and _latin(before)
+    return _latin(before) and _latin(after) and ch not in PUNCTUATION and not ch.isspace() and ch not in COMBINING and unicodedata.category(ch) not in ("Mn", "Cf")
+
+
 def damage(text: str) -> list[tuple[int, int, str | None]]:
     """[(start, end, original or None when it cannot be told)] of the garbled spans, leftmost longest."""
     if text.isascii():
@@ -187,6 +237,7 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
         return []
     hits.sort()
     out: list[tuple[int, int, str | None]] = []
+    open_: list[tuple[int, str, list[str]]] = []  # place in out, wrong character, originals that fit
     at = 0
     for start, minus, g, c, ctx in hits:
         end = start - minus
@@ -196,15 +247,17 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
         if g == LOST:
             out.append((start, end, None))
         elif len(g) == 1:
-            if 0x80 <= ord(g) < 0xA0:
-                out.append((start, end, c or None))
-            elif stands(g, before, after):
+            control = 0x80 <= ord(g) < 0xA0
+            if not control and stands(g, before, after):
+                continue
+            fits = [x for x in c if _joins(x, before, after)]
+            if not fits and control:
+                fits = [*c[:1]]
+            if fits:
+                open_.append((len(out), g, fits))
+            elif not control and not _impossible(g, before, after):
                 continue
-            else:
-                fits = [x for x in c if _joins(x, before, after)]
-                if not fits:
-                    continue
-                out.append((start, end, fits[0]))
+            out.append((start, end, fits[0] if fits else None))
         elif ctx:  # lead letter before a blank
             if _kind(before) == "U" or not (_kind(before) in "LS" and (_kind(before) == "L" or text[end : end + 1].islower())):
                 continue
@@ -215,6 +268,13 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
                 continue
             out.append((start, end, c))
         at = end
+    if any(len(fits) > 1 for _, _, fits in open_):
+        by = single_originals()
+        none: frozenset[int] = frozenset()
+        votes = Counter(p for _, g, fits in open_ for p in frozenset().union(*(by.get(g, {}).get(x, none) for x in fits)))
+        for i, g, fits in open_:
+            best = max(fits, key=lambda x: max((votes[p] for p in by.get(g, {}).get(x, none)), default=0))
+            out[i] = (*out[i][:2], best)
     return out
 
 

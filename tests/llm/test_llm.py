@@ -261,6 +261,36 @@ def test_single_byte_damage_is_found(wrong):
     assert mojibake.damage(text.encode("cp1252").decode(wrong))
 
 
+@pytest.mark.parametrize(
+    ("true", "wrong"),
+    [("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "latin-1"), ("cp850", "mac_roman"), ("mac_roman", "cp850"), *[("cp1252", w) for w in ("cp1250", "cp1251", "cp1253", "koi8-r", "iso8859-2", "cp866", "cp1257")]],
+)
+def test_single_byte_damage_of_all_pairs(true, wrong):
+    text = "Relevé du débit près de la fenêtre."
+    bad = text.encode(true).decode(wrong, errors="ignore")
+    assert bad != text and mojibake.damage(bad)
+    for word in ("relevé", "débit"):
+        assert mojibake.damage(word.encode(true).decode(wrong)) or word.encode(true).decode(wrong) == word
+
+
+@pytest.mark.parametrize(("true", "wrong"), [("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1253"), ("cp1252", "koi8-r")])
+def test_single_byte_damage_of_all_pairs_is_restored(true, wrong):
+    text = "Relevé du débit, relever près de la fenêtre, côté."
+    assert mojibake.repair(mojibake._decode(text.encode(true), wrong)) == (text, 6, 0)
+
+
+@pytest.mark.parametrize("first", ["cp437", "mac_roman", "cp1251", "koi8-r"])
+@pytest.mark.parametrize("second", ["cp1252", "cp850", "cp1250", "cp1251"])
+def test_double_damage_of_all_pairs(first, second):
+    bad = mojibake._decode("relevé".encode().decode(first).encode(), second)
+    assert mojibake.repair(bad)[0] == "relevé"
+
+
+def test_impossible_characters_without_an_original_are_lost():
+    assert mojibake.repair("pla\u0491ta") == ("pla\u0491ta", 0, 1)
+    assert mojibake.repair("t ≤ 5 K, 10 kΩ, Привет, Tomás") == ("t ≤ 5 K, 10 kΩ, Привет, Tomás", 0, 0)
+
+
 def test_lost_characters_count():
     assert mojibake.repair("dise�o de M598") == ("dise�o de M598", 0, 1)
 
