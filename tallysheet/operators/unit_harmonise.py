@@ -1,13 +1,13 @@
 """Quantities recorded in different units, brought to common units.
 
 Method: every way of stating a unit is a *source*: (quantity, where it is stated, unit text).
-The same kind of equipment (entity: the letters of its mark) is linked across the sources of
-one quantity. Each source's level per entity is estimated robustly (medians), pairwise scale
-(for temperature scale and offset) against the quantity's hub source follows as the median over
-the linked entities, and is snapped to a known conversion. What the unit text itself says is the
-strong prior of the snap, so a spelling that is known keeps its meaning however few rows it has,
-and a spelling nobody listed gets the conversion its numbers point to. Snapped conversions are
-then propagated from the common unit through the graph of sources.
+The same kind of equipment (entity: the letters of its mark) links the sources of one quantity. A
+listed unit text has the conversion of its unit, however few rows it has. An unlisted one is compared,
+kind by kind, with the sources converted so far (median of the log ratios of robust levels; for
+temperature of spreads as well), is snapped to a known conversion, and then serves to convert further
+sources, until none is added. So the vocabulary decides wherever it speaks and the estimate only
+beyond it; an unlisted text with fewer than ``MIN_LINKS`` linked rows, or near no known conversion,
+is left to the next statement.
 
 Everything but the small unit vocabulary runs as built-in column expressions.
 
@@ -187,65 +187,49 @@ def _vocabulary(spark) -> DataFrame:
 def source_conversions(statements: DataFrame) -> DataFrame:
     """(quantity, label) -> conversion, by linked medians, snapping and propagation.
 
-    Sources are the unit texts in use; the hub of a quantity is its source with the most rows.
-    Edges run from every source to the hub and from the hub to the common unit, so the number of
-    edges is linear in the sources; two rounds of propagation reach every source.
+    Sources are the unit texts in use; a listed one, and the one that states nothing, has its
+    conversion from the start. Two sources are linked by the kinds of equipment they share. Each round
+    brings the levels and spreads of all sources converted so far to the common unit, per kind, and
+    snaps every other source that shares kinds with any of them; rounds go on until none is added.
+    The sources of a kind meet in one row of that kind, so there are no pairs of sources.
     """
     spark = statements.sparkSession
-    vocabulary = F.broadcast(_vocabulary(spark))
+    vocabulary = _vocabulary(spark)
     # the label that a row is read by: value, else name, else note, else none
     said = statements.select("quantity", "kind", "num", F.coalesce(F.nullif("value_label", F.lit("")), F.nullif("name_label", F.lit("")), F.nullif("note_label", F.lit("")), F.lit("")).alias("label"))
     levels = cut(said.where("num <> 0").groupBy("quantity", "kind", "label").agg(F.count("*").alias("n"), F.percentile_approx("num", 0.5, 1000).alias("mid"), (F.percentile_approx("num", 0.75, 1000) - F.percentile_approx("num", 0.25, 1000)).alias("spread")))
-    sources = levels.groupBy("quantity", "label").agg(F.sum("n").alias("n"))
-    hub = sources.groupBy("quantity").agg(F.max_by("label", F.struct("n", "label")).alias("hub"))
-    at_hub = levels.join(F.broadcast(hub), "quantity").where("label = hub").select("quantity", "kind", F.col("mid").alias("hub_mid"), F.col("spread").alias("hub_spread"), F.col("n").alias("hub_n"))
-    # pairwise estimates over the linked entities: scale from spreads (offset-free) and from levels
-    pair = (
-        levels.join(at_hub, ["quantity", "kind"])
-        .groupBy("quantity", "label")
-        .agg(
-            F.sum(F.least("n", "hub_n")).alias("links"),
-            F.percentile_approx(F.log(F.try_divide(F.abs("hub_mid"), F.abs("mid"))), 0.5, 1000).alias("log_level"),
-            F.percentile_approx(F.log(F.when(F.try_divide("hub_spread", "spread") > 0, F.try_divide("hub_spread", "spread"))), 0.5, 1000).alias("log_spread"),
-            F.percentile_approx("hub_mid", 0.5, 1000).alias("hub_mid"),
-            F.percentile_approx("mid", 0.5, 1000).alias("mid"),
-        )
-    )
     # known conversions a source may snap to: of each unit once
-    known = vocabulary.select("quantity", "unit", "scale", "offset").distinct()
-    hub_unit = (
-        hub.select("quantity", F.col("hub").alias("label"))
-        .join(vocabulary, ["quantity", "label"], "left")
-        .select("quantity", F.coalesce("scale", F.lit(1.0)).alias("hub_scale"), F.coalesce("offset", F.lit(0.0)).alias("hub_offset"))
-    )
-    texts = vocabulary.select("quantity", "label", F.col("unit").alias("text_unit"))
-    # propagate: source -> hub (estimate), hub -> common (its own conversion); then snap
-    cand = (
-        pair.join(F.broadcast(hub_unit), "quantity")
-        .join(texts, ["quantity", "label"], "left")
-        .join(F.broadcast(known), "quantity")
-        .withColumn("expected", (F.col("hub_mid") * F.col("hub_scale") + F.col("hub_offset")))
-        .withColumn("seen", F.col("mid") * F.col("scale") + F.col("offset"))
-        .withColumn("misfit", F.coalesce(F.abs(F.log(F.try_divide(F.abs("expected"), F.abs("seen")))), F.lit(9.0)))
-        .withColumn("cost", F.when(F.col("text_unit") == F.col("unit"), F.lit(-1.0)).otherwise(F.col("misfit")))
-    )
-    best = cand.groupBy("quantity", "label", "text_unit").agg(
-        F.max("links").alias("links"), F.min("cost").alias("cost"), F.min_by("unit", F.struct("cost", "unit")).alias("unit"), F.min_by("scale", F.struct("cost", "unit")).alias("scale"), F.min_by("offset", F.struct("cost", "unit")).alias("offset"), F.min_by("misfit", F.struct("cost", "unit")).alias("misfit")
-    )
-    snapped = best.where((F.col("label") == "") | F.col("text_unit").isNotNull() | ((F.col("links") >= MIN_LINKS) & (F.col("cost") <= SNAP_TOLERANCE)))
-    conversions = snapped.select(
-        "quantity",
-        "label",
-        "links",
-        "misfit",
-        # a source that states nothing is, by definition of the tables, in the common unit
-        F.when(F.col("label") == "", F.try_element_at(_common_of(), "quantity")).otherwise(F.col("unit")).alias("unit"),
-        F.when(F.col("label") == "", F.lit(1.0)).otherwise(F.col("scale")).alias("scale"),
-        F.when(F.col("label") == "", F.lit(0.0)).otherwise(F.col("offset")).alias("offset"),
-    )
-    # known spellings that no row is read by keep their listed conversion
-    unused = _vocabulary(spark).join(conversions, ["quantity", "label"], "left_anti")
-    return conversions.unionByName(unused.select("quantity", "label", F.lit(0).cast("bigint").alias("links"), F.lit(None).cast("double").alias("misfit"), "unit", "scale", "offset"))
+    units = F.broadcast(vocabulary.select("quantity", "unit", "scale", "offset").distinct())
+    # a source that states nothing is, by definition of the tables, in the common unit
+    nothing = levels.where("label = ''").select("quantity", "label", F.try_element_at(_common_of(), "quantity").alias("unit"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset")).distinct()
+    known = cut(vocabulary.select("quantity", "label", "unit", "scale", "offset").unionByName(nothing))
+
+    def reference(known: DataFrame) -> DataFrame:
+        at = levels.join(known, ["quantity", "label"])
+        weighted = lambda c: F.percentile(c, 0.5, F.col("n"))
+        return at.groupBy("quantity", "kind").agg(weighted(F.col("mid") * F.col("scale") + F.col("offset")).alias("ref_mid"), weighted(F.col("spread") * F.col("scale")).alias("ref_spread"), F.sum("n").alias("ref_n"))
+
+    def estimate(pairs: DataFrame, by: list[str]) -> DataFrame:
+        """links, misfit of levels and misfit of spreads (scale without offset): medians of the log ratios per kind."""
+        ratio = lambda x, y: F.log(F.when(F.try_divide(F.abs(x), F.abs(y)) > 0, F.try_divide(F.abs(x), F.abs(y))))
+        level = ratio(F.col("ref_mid"), F.col("mid") * F.col("scale") + F.col("offset"))
+        spread = ratio(F.col("ref_spread"), F.col("spread") * F.col("scale"))
+        both = F.least("n", "ref_n")
+        return pairs.groupBy(*by).agg(F.sum(both).alias("links"), F.abs(F.percentile(level, 0.5, both)).alias("misfit"), F.abs(F.percentile(spread, 0.5, both)).alias("spread_misfit"))
+
+    first = reference(known)
+    listed = estimate(levels.join(known, ["quantity", "label"]).join(first, ["quantity", "kind"]), ["quantity", "label"]).drop("spread_misfit")
+    done = known.join(listed, ["quantity", "label"], "left").select("quantity", "label", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "misfit", "unit", "scale", "offset")
+    while True:
+        left = levels.join(known, ["quantity", "label"], "left_anti")
+        fits = estimate(left.join(reference(known), ["quantity", "kind"]).join(units, "quantity"), ["quantity", "label", "unit", "scale", "offset"]).where((F.col("links") >= MIN_LINKS) & (F.col("misfit") <= SNAP_TOLERANCE))
+        # levels say which conversions are near; where units differ by an offset the spreads help to choose among them
+        far = F.col("misfit") + F.when(F.col("quantity") == "temperature", F.coalesce("spread_misfit", F.lit(0.0))).otherwise(F.lit(0.0))
+        new = cut(fits.groupBy("quantity", "label").agg(F.min_by(F.struct("links", "misfit", "unit", "scale", "offset"), F.struct(far, "unit")).alias("c")).select("quantity", "label", "c.*"))
+        if new.isEmpty():
+            return done
+        done = done.unionByName(new)
+        known = cut(known.unionByName(new.select(known.columns)))
 
 
 def _common_of() -> Column:

@@ -55,6 +55,18 @@ def test_unlisted_unit_is_read_by_its_numbers(spark, units):
     assert U.harmonise_units(variables(spark, air[:203]), units).where("foreign").count() == 0
 
 
+def test_conversions_are_propagated_between_sources(spark, units):
+    rng = random.Random(2)
+    row = lambda i, kind, v: (i, "p", f"{kind}-{i}", None, 1, {"AIRFLOW": v}, None, 0, None, "clash", "clash")
+    air = [("CU", f"{rng.randint(500, 9000)} CFM") for _ in range(100)]
+    air += [(k, f"{rng.randint(500, 9000) / 2118.88:.3f} kubik/sek") for k in ("CU", "AH") for _ in range(50)]
+    air += [(k, f"{rng.randint(500, 9000) / 2.11888:.1f} ltr pro sek") for k in ("AH", "RT") for _ in range(50)]  # shares no kind with CFM
+    air += [("RT", f"{rng.randint(500, 9000) / 0.58858:.0f} kubik/std") for _ in range(50)]  # nor with what does
+    v = spark.createDataFrame([row(i, k, x) for i, (k, x) in enumerate(air)], TV)
+    got = {r["unit"]: r["n"] for r in U.harmonise_units(v, units).groupBy("unit").agg(F.count("*").alias("n")).collect()}
+    assert got == {"CFM": 100, "M3/S": 100, "L/S": 100, "M3/H": 50}
+
+
 def test_units_from_schedule_name(spark, units):
     v = variables(spark, [{"NECK": "300"}], "AIR DEVICE SCHEDULE (units: necks mm, airflow l/s)")
     assert U.harmonise_units(v, units).first()["unit"] == "MM"
