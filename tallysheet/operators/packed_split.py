@@ -40,7 +40,28 @@ KINDS = {
     "electrical": ("ELECTRICAL", "V/PH/HZ", "POWER SUPPLY"),
 }
 PLACEHOLDERS = {"", "-", "--", "N/A", "NA", "NONE", "TBD", "SEE PLAN", "*", "–", "—"}
-MAX_RANGE = 1000  # a range of more marks than this is read as two marks and flagged
+MAX_RANGE = 1000  # a range of more values than this leaves Python as start and length
+BLOCK = 10_000  # values of such a range that the JVM makes in one piece
+MOST = 2**31 - 1  # value_index is an int: ranges beyond it are read as their ends and flagged
+UNEXPANDED = "range not expanded"
+
+
+class Long(str):
+    """The first value of a long range, with what the rest is made of."""
+
+    def __new__(cls, head: str, low: int, high: int, width: int, tail: str):
+        new = super().__new__(cls, f"{head}{str(low).zfill(width)}{tail}")
+        new.head, new.low, new.high, new.width, new.tail = head, low, high, width, tail
+        return new
+
+    @property
+    def many(self) -> int:
+        return self.high - self.low + 1
+
+    @property
+    def last(self) -> str:
+        return f"{self.head}{str(self.high).zfill(self.width)}{self.tail}"
+
 
 Value = tuple[str, int, str]  # text, offset in the cell, flag ('' or what was odd)
 
@@ -152,6 +173,7 @@ class Marks(Grammar):
                 many = self.expand(first, stop, at)
                 if many:
                     return many, last.end()
+                return [(self.text(*first), at, UNEXPANDED)], end
         return [(self.text(*first), at, "")], end
 
     @staticmethod
@@ -165,9 +187,11 @@ class Marks(Grammar):
         if a[2] == b[2] and len(a[3]) == 1 == len(b[3]) and a[3].upper() <= b[3].upper():
             return [(self.text(a[0], a[1], a[2], chr(c)), at, "") for c in range(ord(a[3].upper()), ord(b[3].upper()) + 1)]
         lo, hi = int(a[2]), int(b[2])
-        if a[3].upper() != b[3].upper() or hi < lo or hi - lo >= MAX_RANGE:
+        if a[3].upper() != b[3].upper() or hi < lo:
             return None
         width = len(a[2]) if a[2].startswith("0") else 0
+        if hi - lo >= MAX_RANGE:
+            return [(Long(self.text(a[0], a[1], "", ""), lo, hi, width, a[3].upper()), at, "")] if hi < 10**18 else None
         return [(self.text(a[0], a[1], str(n).zfill(width), a[3]), at, "") for n in range(lo, hi + 1)]
 
 
@@ -205,7 +229,9 @@ class Notes(Grammar):
         last = self.number.match(s, t.end()) if t and t.end() > m.end() else None
         if last and int(m[1]) < int(last[1]) < int(m[1]) + MAX_RANGE:
             return [(str(n), at, "") for n in range(int(m[1]), int(last[1]) + 1)], last.end()
-        return [(m[0], at, "")], m.end()
+        if last and int(m[1]) < int(last[1]) < 10**18:
+            return [(Long("", int(m[1]), int(last[1]), 0, ""), at, "")], last.end()
+        return [(m[0], at, UNEXPANDED if last else "")], m.end()
 
     def bare(self, s: str, at: int) -> tuple[list[Value], int] | None:
         return [], at + 1
@@ -244,7 +270,16 @@ def _maybe_several(kind: Column, cell: Column) -> Column:
 
 CELLS = "source_table string, record_id bigint, row_index int, field_name string, kind string, cell string"
 VALUES = "source_table string, record_id bigint, row_index int, field_name string, value_index int, value string, start int, flag string, n_values int"
-_ARROW = pa.schema([("source_table", pa.string()), ("record_id", pa.int64()), ("row_index", pa.int32()), ("field_name", pa.string()), ("value_index", pa.int32()), ("value", pa.string()), ("start", pa.int32()), ("flag", pa.string()), ("n_values", pa.int32())])
+_ARROW = pa.schema([("source_table", pa.string()), ("record_id", pa.int64()), ("row_index", pa.int32()), ("field_name", pa.string()), ("value_index", pa.int32()), ("value", pa.string()), ("start", pa.int32()), ("flag", pa.string()), ("n_values", pa.int32()), ("head", pa.string()), ("low", pa.int64()), ("many", pa.int64()), ("width", pa.int32()), ("tail", pa.string())])
+
+
+def _counted(values: list[Value]) -> tuple[list[Value], int]:
+    """The values and how many they stand for; ranges beyond an int are their two ends."""
+    total = sum(v.many if isinstance(v, Long) else 1 for v, _, _ in values)
+    if total <= MOST:
+        return values, total
+    ends = [x for v, o, f in values for x in ([(str(v), o, UNEXPANDED), (v.last, o, UNEXPANDED)] if isinstance(v, Long) else [(v, o, f)])]
+    return ends, len(ends)
 
 
 def schedule_cells(schedule_tables: DataFrame) -> DataFrame:
@@ -266,17 +301,27 @@ def split_cells(cells: DataFrame, makers: list[str], least: int = 2) -> DataFram
         for b in batches:
             cols: list[list] = [[] for _ in _ARROW]
             for table, rid, row, field, kind, cell in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                values = rules[kind].cell(cell)
-                if len(values) < least:
+                values, total = _counted(rules[kind].cell(cell))
+                if total < least:
                     continue
-                for i, (v, start, flag) in enumerate(values):
-                    for c, x in zip(cols, (table, rid, row, field, i, v, start, flag, len(values)), strict=True):
+                i = 0
+                for v, start, flag in values:
+                    rest = (v.head, v.low, v.many, v.width, v.tail) if isinstance(v, Long) else (None, None, 1, None, None)
+                    for c, x in zip(cols, (table, rid, row, field, i, str(v), start, flag, total, *rest), strict=True):
                         c.append(x)
+                    i += rest[2]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
     if least >= 2:
         cells = cells.where(_maybe_several(F.col("kind"), F.col("cell")))
-    return cells.mapInArrow(run, VALUES)
+    rows = cells.mapInArrow(run, VALUES + ", head string, low bigint, many bigint, width int, tail string")
+    # one pass: a single value is a range of one
+    k = F.explode(F.expr(f"sequence(block * {BLOCK}, least(many - 1, block * {BLOCK} + {BLOCK - 1}))"))
+    each = rows.withColumn("block", F.explode(F.expr(f"sequence(0L, (many - 1) div {BLOCK})"))).withColumn("k", k)
+    number = (F.col("low") + F.col("k")).cast("string")
+    padded = F.when(F.length(number) >= F.col("width"), number).otherwise(F.lpad(number, F.col("width"), F.lit("0")))
+    value = F.when(F.col("many") == 1, F.col("value")).otherwise(F.concat("head", padded, "tail"))
+    return each.withColumns({"value": value, "value_index": (F.col("value_index") + F.col("k")).cast("int")}).select(*_ARROW.names[:9])
 
 
 def maker_names(makers: DataFrame) -> list[str]:

@@ -212,3 +212,16 @@ def test_queries_bear_empty_null_and_clashing_tables(spark, tmp_path_factory, ho
     for name, q in general.QUERIES.items():
         n = q(spark, d).count()
         assert n >= 0 and (how == "dirty" or n == 0 or name == "p2_sources"), name
+
+
+def test_long_ranges_come_out_whole(spark):
+    cells = [("mark", "VAV-1 THRU VAV-1200, AC-7"), ("note", "1-1500"), ("mark", "EF-0001A THRU EF-25000A"), ("mark", "AC-1 THRU AC-9999999999"), ("mark", "AC-1 THRU EF-2")]
+    df = spark.createDataFrame([("t", i, 0, "f", k, c) for i, (k, c) in enumerate(cells)], packed_split.CELLS)
+    got: dict = {}
+    for r in packed_split.split_cells(df, []).orderBy("record_id", "value_index").collect():
+        got.setdefault(r["record_id"], []).append((r["value_index"], r["value"], r["n_values"], r["flag"]))
+    assert got[0] == [(i, f"VAV-{i + 1}", 1201, "") for i in range(1200)] + [(1200, "AC-7", 1201, "")]
+    assert got[1] == [(i, str(i + 1), 1500, "") for i in range(1500)]
+    assert got[2] == [(i, f"EF-{i + 1:04d}A", 25000, "") for i in range(25000)]
+    assert got[3] == [(0, "AC-1", 2, packed_split.UNEXPANDED), (1, "AC-9999999999", 2, packed_split.UNEXPANDED)]
+    assert [v[1:] for v in got[4]] == [("AC-1", 2, packed_split.UNEXPANDED), ("EF-2", 2, "")]
