@@ -79,6 +79,11 @@ def tile_starts(length: Column, tile: int, overlap: int) -> Column:
     return F.array_distinct(F.transform(raw, lambda s: F.greatest(F.least(s, length.cast("int") - tile), F.lit(0))))
 
 
+def share6(v: Column) -> Column:
+    """A share to six places, halves upward (decimal rounding differs between engines at ties)."""
+    return F.floor(v * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
 def clip_normalise(x1: Column, y1: Column, x2: Column, y2: Column, tx: Column, ty: Column, tile: int) -> Column:
     """Centre and size of a box in a tile, clipped to it and in shares of its side."""
     c = lambda v, t: F.least(F.greatest(v - t, F.lit(0.0)), F.lit(float(tile)))

@@ -192,22 +192,32 @@ def clean_value(c: Column) -> Column:
     return collapse(F.regexp_replace(strip(c), r"^[\s:\-=]+|[\s:\-=]+$", ""))
 
 
+# Words that never begin a title-block value.
+BAD_STARTS = ["ISSUE", "ISSUED", "NOT", r"TO\s+BE", "FOR", "APPROVED", "REVIEWED", "SEE", "DESCRIPTION", r"NO\.", "NOTE", "NOTES", "BY"]
+BAD_START = rf"(?i)^(?:{'|'.join(BAD_STARTS)})\b"
+
+
 def bad_value(c: Column) -> Column:
     """Texts that follow a label and are no value."""
-    return (F.length(c) < 2) | c.rlike(r"(?i)^(ISSUE|NOT|FOR|DATE|SHEET|SCALE|DRAWN|CHECKED|PROJECT|REV)\b")
+    return (F.length(c) < 2) | c.rlike(BAD_START)
 
 
-def inline_field(text: Column, labels: list[str], valid=lambda v: ~bad_value(v)) -> Column:
-    """LABEL: value by an ordered list of labels; the first with a valid value wins."""
+def inline_field(text: Column, patterns: list[str], valid=lambda v: ~bad_value(v)) -> Column:
+    """LABEL: value by an ordered list of patterns (group 1 is the value, case does not matter); of each
+    pattern the first place counts, and the first pattern with a valid value wins."""
     out = []
-    for label in labels:
-        v = clean_value(F.regexp_extract(text, rf"(?im)\b{label}\s*[:#]\s*([^\n]+)", 1))
+    for rx in patterns:
+        v = clean_value(F.regexp_extract(text, f"(?i){rx}", 1))
         out.append(F.when((v != "") & valid(v), v))
     return F.coalesce(*out)
 
 
+# Fixed value: the shape of a street address.
+ADDRESS = r"\b([0-9]{2,5}\s+[A-Z][A-Za-z0-9.'\-]+(?:\s+[A-Z][A-Za-z0-9.'\-]+){1,5}\s+(?:ST|STREET|AVE|AVENUE|RD|ROAD|BLVD|DR|DRIVE|WAY|LN|LANE|CT|COURT|PL|PLACE|CIR|CIRCLE|CTR|CENTER|CENTRE)\.?)\b"
+
+
 def street_address(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?im)(?<![\w-])(\d{2,6} +[A-Z0-9 .]{2,40}? (?:ST|STREET|AVE|AVENUE|BLVD|ROAD|RD|DRIVE|DR|WAY|LANE|LN|HWY|PKWY)\b\.?)", 1), F.lit(""))
+    return F.nullif(clean_value(F.regexp_extract(text, ADDRESS, 1)), F.lit(""))
 
 
 def levenshtein_capped(a: Column, b: Column, gap: int = 4) -> Column:
@@ -225,8 +235,8 @@ def header_snap(c: Column, vocabulary: list[str]) -> Column:
 
 
 def near_equal(a: Column, b: Column) -> Column:
-    """At most one edit, where signs that OCR confuses count as equal (same length only)."""
-    fold = lambda s: F.translate(s, "OQDILSBZG", "000115826")
+    """At most one edit, where a letter and the digit OCR takes it for count as equal (same length only)."""
+    fold = lambda s: F.translate(s, "ILOQDSZBGT", "1100052867")  # noqa: E731  (fixed values: letters and their digits)
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == y) | ((fold(x) == fold(y)) & (x.rlike("[0-9]") | y.rlike("[0-9]"))), 0).otherwise(1))
     diff = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
     return F.when(F.length(a) == F.length(b), diff <= 1).otherwise((F.abs(F.length(a) - F.length(b)) == 1) & (F.levenshtein(a, b) <= 1))
@@ -265,11 +275,30 @@ def class_of_service(service: Column, mounting: Column) -> Column:
     )
 
 
-def resolved_class(tag: Column, description: Column) -> Column:
-    """Class of an OCR row: the description wins for tags of up to two signs, else the tag does."""
-    by_text = class_of_service(description, F.lit(""))
-    by_tag = class_of_tag(tag)
-    return F.when(F.length(tag) <= 2, F.coalesce(by_text, by_tag)).otherwise(F.coalesce(by_tag, by_text))
+# Stems and short forms by which a description speaks of an air device.
+AIR_STEMS = ["DIFFUS", "GRIL", "REGIS", "GRD", "SUPPLY", "RETURN", "EXHAUST"]
+AIR_SHORT = ["SA", "RA", "EA"]
+
+
+def air_device_class(description: Column) -> Column:
+    """Class of an air device by its description, NULL where it speaks of none.
+
+    The way the air goes decides (return before exhaust before supply), then whether it is surface mounted.
+    """
+    t = F.upper(F.coalesce(description, F.lit("")))
+    has = lambda w: F.contains(t, F.lit(w))
+    device = F.greatest(*[has(w) for w in AIR_STEMS], strip(t).isin(*AIR_SHORT))
+    mounted = lambda way: F.concat(F.when(has("SURF"), F.lit("AD-SURF ")).otherwise(F.lit("AD-T-BAR ")), F.lit(way))
+    way = F.when(has("RETURN") | t.startswith("RA"), mounted("RETURN")).when(has("EXH") | t.startswith("EA"), F.lit("AD-GRD")).when(has("SUPPLY") | has("DIFFUS") | t.startswith("SA"), mounted("SUPPLY")).otherwise(F.lit("AD-GRD"))
+    return F.when(device, way)
+
+
+def resolved_class(tag: Column, description: Column, mounting: Column | None = None) -> Column:
+    """Class of an OCR row: an air device's description wins for tags of up to two signs, else the tag's
+    prefix, then the service rules, then the air device's description."""
+    mounting = F.lit("") if mounting is None else mounting
+    air = air_device_class(description)
+    return F.coalesce(F.when(F.length(tag) <= 2, air), class_of_tag(tag), class_of_service(description, F.coalesce(mounting, F.lit(""))), air)
 
 
 def safe_name(c: Column) -> Column:

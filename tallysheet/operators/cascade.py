@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallysheet.functions.geometry import distance_confidence, match_confidence
 from tallysheet.functions.strings import alnum_fold, value_fold
 from tallysheet.operators.resolution import _edges, _tokens
-from tallysheet.operators.spatial import distance_join, greedy_match
+from tallysheet.operators.spatial import distance_join, greedy_match, window_join
 from tallysheet.session import cut
 
 PT = 200 / 72
@@ -103,14 +103,23 @@ def split_bubble_pairs(bubbles: DataFrame, dx: float = 60.0, dy: float = 80.0, m
     return near.where(ok).select("project", "page", "a", "b", ((F.col("cx") + F.col("rx")) / 2).alias("x"), ((F.col("cy") + F.col("ry")) / 2).alias("y"), F.explode(F.array(F.concat("ta", "tb"), F.concat("tb", "ta"))).alias("text"))
 
 
-def label_values(labels: DataFrame, values: DataFrame, reach: float = 200.0) -> DataFrame:
-    """For every label the value above it (preferred) or to its right, the nearest by branch and score.
+def label_values(labels: DataFrame, values: DataFrame, by: list[str], cell: float = 128.0) -> DataFrame:
+    """(by.., label_id, value_id, text, h): for every label the value above it (preferred) or to its right.
 
-    labels(project, page, label_id, cx, cy); values(project, page, value_id, rx, ry, text). Display space:
-    y grows downwards, so above means a smaller y.
+    labels(by.., label_id, cx, cy, w, h); values(by.., value_id, cx, cy, h, text). Display space: y grows
+    downwards, so above means a smaller y. The windows grow with the label's size; above, the nearest and
+    tallest text wins, to the right the nearest; ties go to the least value_id.
     """
-    n = distance_join(labels, values, ["project", "page"], reach)
-    dx, dy = F.col("rx") - F.col("cx"), F.col("cy") - F.col("ry")
-    branch = F.when((dy > 0) & (F.abs(dx) <= reach / 2), 0).when((dx > 0) & (F.abs(dy) <= reach / 10), 1)
-    score = F.when(branch == 0, dy + F.abs(dx) * 0.5).otherwise(dx + F.abs(dy) * 2)
-    return n.withColumns({"branch": branch, "score": score}).where("branch is not null").groupBy("project", "page", "label_id").agg(F.min_by("text", F.struct("branch", "score", "value_id")).alias("text"))
+    lh, lw = F.greatest("h", F.lit(6.0)), F.greatest("w", F.lit(30.0))
+    lhs = labels.select(*by, "label_id", F.col("cx").alias("lx"), F.col("cy").alias("ly"), lh.alias("lh"), lw.alias("lw"))
+    # one window holds both: above over the full width, to the right on the same line
+    lhs = lhs.withColumns({"wx1": F.col("lx") - F.greatest(F.col("lw") * 3, F.lit(120.0)), "wx2": F.col("lx") + F.greatest(F.col("lw") * 4, F.lit(120.0)), "wy1": F.col("ly") - F.col("lh") * 6, "wy2": F.col("ly") + F.col("lh") * 0.6})
+    j = window_join(lhs, values.select(*by, "value_id", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("h").alias("vh"), "text"), by, cell)
+    dx, dy = F.col("px") - F.col("lx"), F.col("py") - F.col("ly")
+    wide = F.greatest(F.col("lw") * 3, F.lit(120.0))
+    above = (F.abs(dx) <= wide) & (dy > -F.col("lh") * 6) & (dy < -F.col("lh") * 0.2)
+    right = (F.abs(dy) <= F.col("lh") * 0.6) & (dx > 0) & (dx < F.col("lw") * 4)
+    j = j.withColumn("branch", F.when(above, 0).when(right, 1)).where("branch is not null")
+    score = F.when(F.col("branch") == 0, F.abs(dy) - F.col("vh") * 2).otherwise(dx)
+    best = j.groupBy(*by, "label_id").agg(F.min_by(F.struct("value_id", "text", F.col("vh").alias("h")), F.struct("branch", score.alias("score"), "value_id")).alias("b"))
+    return best.select(*by, "label_id", "b.value_id", "b.text", "b.h")

@@ -146,34 +146,103 @@ def legend(tables: DataFrame, lines: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("project", "abbr").agg(F.max_by("description", F.struct("page", "source", "at")).alias("description"))
 
 
-# Labels, shapes and endings of title-block fields.
-TITLE_LABELS = {
-    "project": [r"PROJECT(?:\s*NAME)?", r"JOB\s*NAME"],
-    "date": [r"DATE", r"ISSUED?\s*DATE"],
-    "sheet": [r"SHEET\s*(?:NO\.?|NUMBER)", r"DRAWING\s*(?:NO\.?|NUMBER)"],
-    "engineer": [r"ENGINEER(?:\s*OF\s*RECORD)?", r"DESIGNED\s*BY", r"DRAWN\s*BY"],
-    "firm": [r"(?:MECHANICAL|MEP)\s+ENGINEER", r"CONSULTANT"],
-    "revision": [r"REV(?:ISION)?(?:\s*NO\.?)?"],
-    "scale": [r"SCALE"],
+# Patterns of LABEL: value on one line, by field.
+TITLE_INLINE = {
+    "scale": [r"\bSCALE\s*[:=]\s*([0-9/\"'\-=\s.]{1,30}(?:'|\"|FT)[0-9'\-\"=\s.]{0,20})", r"\bSCALE\s*[:=]\s*(AS\s+NOTED|NTS|N\.T\.S\.|NONE)"],
+    "date": [r"\bDATE\s*[:=]\s*([0-9]{1,2}[\-/.][0-9]{1,2}[\-/.][0-9]{2,4})", r"\b(?:ISSUE[D]?|PLOT)\s*DATE\s*[:=]\s*([0-9]{1,2}[\-/.][0-9]{1,2}[\-/.][0-9]{2,4})"],
+    "sheet": [r"\bSHEET\s*(?:NO\.?|NUMBER)\s*[:=]\s*([A-Z]{1,3}[\-.]?[0-9]{1,4}(?:\.[0-9]+)?)", r"\bDRAWING\s*(?:NO\.?|NUMBER)\s*[:=]\s*([A-Z]{1,3}[\-.]?[0-9]{1,4})"],
+    "project": [r"\bPROJECT\s*(?:NAME)?\s*[:=]\s*([^\n\r]{3,80})", r"\bJOB\s*(?:NAME|NO\.?)\s*[:=]\s*([^\n\r]{3,80})"],
+    "engineer": [r"\bENGINEER\s*(?:OF\s*RECORD)?\s*[:=]\s*([^\n\r]{3,60})", r"\bDESIGNED\s*BY\s*[:=]\s*([^\n\r]{2,40})", r"\bDRAWN\s*BY\s*[:=]\s*([^\n\r]{2,40})"],
+    "firm": [r"\b(?:MECHANICAL\s+ENGINEER|MEP\s+ENGINEER|CONSULTANT)\s*[:=]\s*([^\n\r]{3,80})"],
+    "revision": [r"\bREV(?:ISION)?\s*(?:NO\.?)?\s*[:=]\s*([0-9A-Z]{1,4})\b"],
 }
-TITLE_VALID = {
-    "date": r"\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|[A-Z][a-z]+\s+\d{1,2}[,\s]+\d{4}",
-    "sheet": r"^[A-Z]{1,3}[-.]?\d{1,4}(?:\.\d+)?$",
-    "revision": r"^\d{1,3}$|^[A-Z]$",
+# Labels that stand on a line of their own, with the value below.
+TITLE_STACKED = {
+    "project": r"(?i)^(?:PROJECT\s*(?:NAME|TITLE)?|JOB\s*(?:NAME|TITLE)?)\s*:?$",
+    "date": r"(?i)^(?:DATE|ISSUE(?:D)?\s*DATE)\s*:?$",
+    "scale": r"(?i)^SCALE\s*:?$",
+    "sheet": r"(?i)^(?:SHEET|DRAWING)\s*(?:NO\.?|NUMBER)?\s*:?$",
+    "engineer": r"(?i)^(?:DRAWN|DESIGNED|CHECKED)\s*BY\s*:?$",
+}
+# Lines that are labels themselves, and lines in capitals that are headings.
+LABEL_LINE = r"(?i)^(?:Project|Job|Sheet|Drawing|Date|Scale|Revision|Description|Drawn|Designed|Checked|By|No\.?|Number|Name|Title|Tel|Phone|Fax|Email)\s*(?:Name|Number|Title|By|No\.?|:)?\s*:?$"
+HEADING_LINE = r"^[A-Z][A-Z\s]{2,30}:?$"
+# What a field's value must look like, and what it must not.
+TITLE_SHAPE = {
     "scale": r"(?i)[0-9/][\"']|NTS|N\.T\.S|AS\s+NOTED|NONE",
+    "date": r"[0-9]{1,2}[\-/.][0-9]{1,2}[\-/.][0-9]{2,4}|[A-Z][a-z]+\s+\d{1,2}[,\s]+\d{4}",
+    "sheet": r"^[A-Z]{1,3}[\-.]?[0-9]{1,4}(?:\.[0-9]+)?$",
+    "revision": r"^[0-9]{1,3}$|^[A-Z]$",
+    "project": r"^.{5,}$",
+    "engineer": r"^.{2,40}$",
+    "firm": r"^.{4,}$",
+}
+TITLE_NEVER = {"project": r"(?i)^(?:Project|Job|Sheet|Drawing|Date|Scale|Revision)\s*(?:Name|Number|Title|No\.?)?$", "engineer": r"\d{3,}"}
+FIRM_LINE = r"(?m)^([A-Z][A-Z&.\-' ,]{2,60}\s+(?:ENGINEERING|ENGINEERS|CONSULTANTS?|ASSOCIATES|DESIGN(?:S)?|GROUP|ARCHITECTS?)(?:\s*,?\s*(?:INC|LLC|LLP|P\.?C\.?|PLLC)\.?)?)\s*$"
+BELOW = 3  # lines below a label that may hold its value
+# Texts of labels on a sheet, by field.
+SPATIAL_LABELS = {
+    "project": ["Project Name", "Job Name", "Job Title", "Project"],
+    "project_no": ["Project Number", "Project No.", "Project No", "Job Number", "Job No.", "Job No"],
+    "description": ["Description", "Sheet Title", "Drawing Title"],
+    "sheet": ["Sheet Number", "Sheet No.", "Sheet No", "Drawing Number", "Drawing No."],
+    "scale": ["Scale"],
+    "date": ["Date", "Issue Date", "Plot Date"],
+    "engineer": ["Drawn By", "Designed By", "Checked By", "Engineer"],
+    "firm": ["Architect", "Mechanical Engineer", "MEP Engineer", "Consultant"],
 }
-FIRM_LINE = r"(?m)^([A-Z][A-Z&.\-' ,]{2,60}\s+(?:ENGINEERING|ENGINEERS|CONSULTANTS?|ASSOCIATES|DESIGNS?|GROUP|ARCHITECTS?)(?:\s*,?\s*(?:INC|LLC|LLP|PLLC)\.?)?)\s*$"
+
+
+def valid_field(field: str, v: Column) -> Column:
+    """Whether a cleaned text can be the value of a title-block field."""
+    ok = ~S.bad_value(v)
+    if field in TITLE_SHAPE:
+        ok = ok & v.rlike(TITLE_SHAPE[field])
+    return ok & ~v.rlike(TITLE_NEVER[field]) if field in TITLE_NEVER else ok
+
+
+def stacked_value(lines: Column, field: str) -> Column:
+    """The value below a label line: per label the first of the next lines that passes, the first label with one."""
+    fits = lambda c: (c != "") & (F.length(c) < 80) & ~S.bad_value(c) & ~c.rlike(LABEL_LINE) & ~c.rlike(HEADING_LINE) & valid_field(field, S.clean_value(c))
+    below = lambda i: F.get(F.filter(F.slice(lines, i + 2, F.lit(BELOW)), fits), F.lit(0))
+    found = F.transform(lines, lambda ln, i: F.when(ln.rlike(TITLE_STACKED[field]), below(i)))
+    return S.clean_value(F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0)))
 
 
 def title_block(pages: DataFrame, key: str = "project", text: str = "text") -> DataFrame:
-    """Title-block fields of a document's text: inline labels, then the line below a label, firm and address."""
-    ok = lambda f: lambda v: ~S.bad_value(v) & (v.rlike(TITLE_VALID[f]) if f in TITLE_VALID else F.length(v).between(3, 80))
+    """Title-block fields of a document's text: inline labels, then lines below a label, firm and address.
+
+    NULL and empty texts have no fields. A label without a valid value gives way to the next.
+    """
+    p = _bind(pages.select(key, text), _lines=F.transform(F.split(text, "\n"), S.strip))
     out = {}
-    for f, labels in TITLE_LABELS.items():
-        inline = S.inline_field(F.col(text), labels, ok(f))
-        below = F.coalesce(*[F.when(ok(f)(v), v) for lb in labels for v in [S.clean_value(F.regexp_extract(text, rf"(?im)^\s*{lb}\s*:?\s*$\s*^([^\n:]{{2,79}})$", 1))]])
-        out[f"info_{f}"] = F.coalesce(inline, below)
-    firm = F.nullif(F.regexp_extract(text, FIRM_LINE, 1), F.lit(""))
-    out["info_firm"] = F.coalesce(out["info_firm"], S.clean_value(firm))
+    for f, patterns in TITLE_INLINE.items():
+        inline = S.inline_field(F.col(text), patterns, lambda v, f=f: valid_field(f, v))
+        out[f"info_{f}"] = F.coalesce(inline, stacked_value(F.col("_lines"), f)) if f in TITLE_STACKED else inline
+    firms = F.transform(F.regexp_extract_all(text, F.lit(FIRM_LINE), 1), S.clean_value)
+    out["info_firm"] = F.coalesce(out["info_firm"], F.get(F.filter(firms, lambda v: ~S.bad_value(v)), F.lit(0)))
     out["info_address"] = S.street_address(F.col(text))
-    return pages.select(key, *[c.alias(n) for n, c in out.items()])
+    return p.select(key, *[c.alias(n) for n, c in out.items()])
+
+
+def spatial_fields(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., field, value): labels of the first page paired with the value above or to the right of them.
+
+    spans(by.., page, span_id, x0, y0, x1, y1, text) in display space. Of several values of a field that of
+    the tallest text wins, then the label that comes first.
+    """
+    from tallysheet.operators.cascade import label_values
+
+    known = F.create_map(*[F.lit(x) for f, names in SPATIAL_LABELS.items() for n in names for x in (n.lower(), f)])
+    s = spans.where("page = 0").withColumn("_norm", F.lower(F.regexp_replace(S.strip(F.col("text")), ":+$", "")))
+    s = s.withColumn("_field", F.try_element_at(known, F.col("_norm")))
+    box = [((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h")]
+    labels = s.where("_field is not null").select(*by, F.col("span_id").alias("label_id"), "_field", *box)
+    values = s.where("_field is null").where(~F.col("text").rlike(r"^[\W_]*$")).select(*by, F.col("span_id").alias("value_id"), *box[:2], box[3], "text")
+    pairs = label_values(labels, values, by).join(labels.select(*by, "label_id", "_field"), [*by, "label_id"])
+    cleaned = pairs.withColumn("v", S.clean_value(F.col("text")))
+    valid = F.lit(False)
+    for f in SPATIAL_LABELS:
+        valid = F.when(F.col("_field") == f, valid_field(f, F.col("v"))).otherwise(valid)
+    ok = cleaned.where(valid)
+    return ok.groupBy(*by, F.col("_field").alias("field")).agg(F.max_by("v", F.struct("h", -F.col("label_id"))).alias("value"))

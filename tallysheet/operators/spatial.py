@@ -44,6 +44,20 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     return j.where(over & (F.floor(x / r) == F.col("_gx")) & (F.floor(y / r) == F.col("_gy"))).drop("_gx", "_gy")
 
 
+def window_join(windows: DataFrame, points: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Points inside windows of one key: windows(keys.., wx1, wy1, wx2, wy2), points(keys.., px, py).
+
+    A window goes to every grid cell it touches and a point to its one cell, so each pair comes up once,
+    whatever the sizes of the windows. NULL coordinates match nothing.
+    """
+    r = F.lit(float(cell))
+    at = lambda c: F.floor(F.col(c) / r).cast("bigint")
+    ok = windows.where("wx1 <= wx2 and wy1 <= wy2")
+    lhs = ok.withColumn("_gx", F.explode(F.sequence(at("wx1"), at("wx2")))).withColumn("_gy", F.explode(F.sequence(at("wy1"), at("wy2"))))
+    rhs = points.withColumns({"_gx": at("px"), "_gy": at("py")})
+    return lhs.join(rhs, [*keys, "_gx", "_gy"]).where("px between wx1 and wx2 and py between wy1 and wy2").drop("_gx", "_gy")
+
+
 def nearest(pairs: DataFrame, by: list[str], value: Column, *order: Column) -> DataFrame:
     """Per group the value with the least (dist, order...)."""
     return pairs.groupBy(*by).agg(F.min_by(value, F.struct("dist", *order)).alias("nearest"), F.min("dist").alias("dist"))

@@ -40,20 +40,32 @@ def detail_columns(props: Column) -> dict[str, Column]:
     }
 
 
+def product_of(cls: Column, tag_cls: Column) -> Column:
+    """A generic class gives way to the specific class its tag is filed under."""
+    return F.when(cls.isin(*GENERIC) & tag_cls.isNotNull() & ~tag_cls.isin(*GENERIC), tag_cls).otherwise(cls)
+
+
 def assemble(tagged: DataFrame, details: DataFrame) -> DataFrame:
-    """Rows per project, class and tag with count, pages and the tag's details.
+    """Rows per project, product and tag with count, pages and the tag's details, to be sorted by product and tag.
 
     tagged(project, page, cls, tag); details(project, tag, props, cls): the first occurrence of each tag.
-    A generic class gives way to the specific class its tag is filed under.
+    Classes become products before rows are counted, so a generic and a specific class of one tag are one
+    row. A NULL or empty tag has no details; tags without details keep empty columns; an empty table gives nothing.
     """
-    d = details.select("project", "tag", "props", F.col("cls").alias("tag_cls"))
+    d = details.where("tag <> ''").select("project", "tag", "props", F.col("cls").alias("tag_cls"))
     j = tagged.select("project", "page", "cls", F.coalesce("tag", F.lit("")).alias("tag"))
     pages = j.groupBy("project", "cls", "tag", "page").agg(F.count("*").alias("n"))
-    g = pages.groupBy("project", "cls", "tag").agg(F.sum("n").alias("qty"), F.array_join(F.array_sort(F.collect_set(F.col("page") + 1)), ", ").alias("pages"))
-    out = g.join(d, ["project", "tag"], "left")
-    product = F.when(F.col("cls").isin(*GENERIC) & F.col("tag_cls").isNotNull() & ~F.col("tag_cls").isin(*GENERIC), F.col("tag_cls")).otherwise(F.col("cls"))
-    cols = detail_columns(F.col("props"))
+    named = pages.join(d, ["project", "tag"], "left").withColumn("product", product_of(F.col("cls"), F.col("tag_cls")))
+    g = named.groupBy("project", "product", "tag").agg(F.sum("n").alias("qty"), F.array_join(F.array_sort(F.collect_set(F.col("page") + 1)), ", ").alias("pages"), F.any_value("props").alias("props"))
     note = F.concat(F.lit("Pages: "), F.col("pages"))
-    shown = {k: F.coalesce(v, F.lit("")) for k, v in cols.items()}
+    shown = {k: F.coalesce(v, F.lit("")) for k, v in detail_columns(F.col("props")).items()}
     shown["remark"] = F.when(shown["remark"] != "", F.concat(shown["remark"], F.lit(" | "), note)).otherwise(note)
-    return out.select("project", product.alias("product"), "tag", "qty", *[v.alias(k) for k, v in shown.items()])
+    return g.select("project", "product", "tag", "qty", *[v.alias(k) for k, v in shown.items()])
+
+
+def detail_rows(tagged: DataFrame, details: DataFrame) -> DataFrame:
+    """The flat second sheet: one row per detection (det_id kept) with its product, quantity 1 and details."""
+    d = details.where("tag <> ''").select("project", "tag", "props", F.col("cls").alias("tag_cls"))
+    j = tagged.select("project", "page", "det_id", "cls", F.coalesce("tag", F.lit("")).alias("tag")).join(d, ["project", "tag"], "left")
+    shown = {k: F.coalesce(v, F.lit("")) for k, v in detail_columns(F.col("props")).items()}
+    return j.select("project", "page", "det_id", product_of(F.col("cls"), F.col("tag_cls")).alias("product"), "tag", F.lit(1).alias("qty"), *[v.alias(k) for k, v in shown.items()])

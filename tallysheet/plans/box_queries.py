@@ -165,7 +165,7 @@ def penalised_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("components", f"WITH RECURSIVE {TRUTH}, e AS (SELECT a.box_id AS a, b.box_id AS b FROM truth a JOIN truth b ON a.project = b.project AND a.page = b.page AND a.box_id <> b.box_id AND {OVER}), r AS (SELECT box_id AS node, box_id AS root FROM truth UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-18, JOIN-22: groups of overlapping boxes by hooking and shortcutting."""
+    """AGG-18: groups of overlapping boxes by hooking and shortcutting."""
     t = truth(spark, d).withColumnRenamed("box_id", "id")
     return hook_and_shortcut(t.select(F.col("id").alias("node")), spatial.overlap_edges(t, PAGE))
 
@@ -187,7 +187,7 @@ TILE, OVERLAP, SIDE = 640, 100, 7200
     "tile_assign",
     f"""WITH {TRUTH}, s AS (SELECT DISTINCT least(t, {SIDE - TILE}) AS s FROM (SELECT unnest(generate_series(0, {SIDE - 1}, {TILE - OVERLAP})) AS t)),
 c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM truth)
-SELECT box_id, a.s AS tx, b.s AS ty, round((least(greatest(x1 - a.s, 0), {TILE}) + least(greatest(x2 - a.s, 0), {TILE})) / 2 / {TILE}, 6) AS cx, round((least(greatest(y1 - b.s, 0), {TILE}) + least(greatest(y2 - b.s, 0), {TILE})) / 2 / {TILE}, 6) AS cy
+SELECT box_id, a.s AS tx, b.s AS ty, floor((least(greatest(x1 - a.s, 0), {TILE}) + least(greatest(x2 - a.s, 0), {TILE})) / 2 / {TILE} * 1e6 + 0.5) / 1e6 AS cx, floor((least(greatest(y1 - b.s, 0), {TILE}) + least(greatest(y2 - b.s, 0), {TILE})) / 2 / {TILE} * 1e6 + 0.5) / 1e6 AS cy
 FROM c JOIN s a ON cx >= a.s AND cx < a.s + {TILE} JOIN s b ON cy >= b.s AND cy < b.s + {TILE}""",
 )
 def tile_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +197,7 @@ def tile_assign(spark: SparkSession, d: str) -> DataFrame:
     hold = lambda v: F.filter(starts, lambda s: (F.col(v) >= s) & (F.col(v) < s + TILE))
     t = c.withColumn("tx", F.explode(hold("mx"))).withColumn("ty", F.explode(hold("my")))
     n = G.clip_normalise(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("tx"), F.col("ty"), TILE)
-    return t.withColumn("n", n).select("box_id", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"), F.round("n.cx", 6).alias("cx"), F.round("n.cy", 6).alias("cy"))
+    return t.withColumn("n", n).select("box_id", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"), G.share6(F.col("n.cx")).alias("cx"), G.share6(F.col("n.cy")).alias("cy"))
 
 
 @query(

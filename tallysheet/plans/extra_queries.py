@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.functions import dims
+from tallysheet.functions import geometry as G
 from tallysheet.operators import datasets, filters, ocr
 from tallysheet.operators import aggregates as A
 from tallysheet.plans.box_queries import FOUND, TRUTH, _labelled, truth
@@ -175,10 +176,10 @@ _STARTS = "SELECT DISTINCT greatest(least(t, {side} - 640), 0) AS s FROM (SELECT
     f"""WITH {TRUTH}, keep AS (SELECT cls FROM truth GROUP BY cls HAVING count(*) >= 30), sx AS ({_STARTS.format(side=7200)}), sy AS ({_STARTS.format(side=5400)}),
 c AS (SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my FROM truth SEMI JOIN keep USING (cls)), j AS (SELECT c.*, sx.s AS tx, sy.s AS ty FROM c JOIN sx ON mx >= sx.s AND mx < sx.s + 640 JOIN sy ON my >= sy.s AND my < sy.s + 640),
 k AS (SELECT project, page, tx, ty, cls, least(greatest(x1 - tx, 0), 640) AS a, least(greatest(y1 - ty, 0), 640) AS b, least(greatest(x2 - tx, 0), 640) AS d, least(greatest(y2 - ty, 0), 640) AS e FROM j)
-SELECT project, page, tx, ty, coalesce(v, cls) AS cls, round((a + d) / 2 / 640, 6) AS cx, round((b + e) / 2 / 640, 6) AS cy, round((d - a) / 640, 6) AS w, round((e - b) / 640, 6) AS h FROM k LEFT JOIN (SELECT * FROM {dims.sql_values(dims.CLASS_ALIAS)}) al ON al.k = cls""",
+SELECT project, page, tx, ty, coalesce(v, cls) AS cls, floor((a + d) / 2 / 640 * 1e6 + 0.5) / 1e6 AS cx, floor((b + e) / 2 / 640 * 1e6 + 0.5) / 1e6 AS cy, floor((d - a) / 640 * 1e6 + 0.5) / 1e6 AS w, floor((e - b) / 640 * 1e6 + 0.5) / 1e6 AS h FROM k LEFT JOIN (SELECT * FROM {dims.sql_values(dims.CLASS_ALIAS)}) al ON al.k = cls""",
 )
 def training_boxes(spark: SparkSession, d: str) -> DataFrame:
     """CMP-15, FIL-21: normalised boxes of frequent classes in every tile that holds their centre."""
     pages = truth(spark, d).select("project", "page").distinct().withColumns({"width": F.lit(7200), "height": F.lit(5400)})
     b = datasets.tile_boxes(datasets.frequent_classes(truth(spark, d)), pages)
-    return b.select("project", "page", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"), "cls", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return b.select("project", "page", F.col("tx").cast("bigint").alias("tx"), F.col("ty").cast("bigint").alias("ty"), "cls", *[G.share6(F.col(c)).alias(c) for c in ("cx", "cy", "w", "h")])

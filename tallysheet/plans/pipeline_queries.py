@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.functions import dims
+from tallysheet.functions import strings as S
 from tallysheet.operators import cascade, schedules, takeoff
 from tallysheet.operators.resolution import fingerprint_index
+from tallysheet.plans.text_queries import COLLAPSE, STRIP
 from tallysheet.session import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +77,34 @@ def legend(spark: SparkSession, d: str) -> DataFrame:
     return schedules.legend(none, lines)
 
 
-@query("title_block")
+_CLEAN = lambda c: COLLAPSE(rf"regexp_replace({STRIP(c)}, '^[\s:\-=]+|[\s:\-=]+$', '', 'g')")
+_Q = lambda rx: "'" + rx.replace("'", "''") + "'"
+
+
+def _valid_sql(field: str, v: str) -> str:
+    never = f" AND NOT regexp_matches({v}, {_Q(schedules.TITLE_NEVER[field])})" if field in schedules.TITLE_NEVER else ""
+    return f"({v} <> '' AND length({v}) >= 2 AND NOT regexp_matches({v}, {_Q(S.BAD_START)}) AND regexp_matches({v}, {_Q(schedules.TITLE_SHAPE[field])}){never})"
+
+
+def _title_sql() -> str:
+    inner, outer = [], []
+    for f, patterns in schedules.TITLE_INLINE.items():
+        for i, rx in enumerate(patterns):
+            inner.append(f"{_CLEAN(f'regexp_extract(text, {_Q("(?i)" + rx)}, 1)')} AS {f}_{i}")
+        if f in schedules.TITLE_STACKED:
+            below = f"list_filter(ls[i + 1:i + {schedules.BELOW}], lambda c: c <> '' AND length(c) < 80 AND length(c) >= 2 AND NOT regexp_matches(c, {_Q(S.BAD_START)}) AND NOT regexp_matches(c, {_Q(schedules.LABEL_LINE)}) AND NOT regexp_matches(c, {_Q(schedules.HEADING_LINE)}) AND {_valid_sql(f, _CLEAN('c'))})[1]"
+            inner.append(f"{_CLEAN(f'list_filter(list_transform(ls, lambda ln, i: CASE WHEN regexp_matches(ln, {_Q(schedules.TITLE_STACKED[f])}) THEN {below} END), lambda v: v IS NOT NULL)[1]')} AS {f}_s")
+        picks = [f"CASE WHEN {_valid_sql(f, f'{f}_{i}')} THEN {f}_{i} END" for i in range(len(patterns))] + ([f"{f}_s"] if f in schedules.TITLE_STACKED else []) + (["firm_l"] if f == "firm" else [])
+        outer.append(f"coalesce({', '.join(picks)}) AS info_{f}")
+    inner.append(f"list_filter(list_transform(regexp_extract_all(text, {_Q(schedules.FIRM_LINE)}, 1), lambda c: {_CLEAN('c')}), lambda v: length(v) >= 2 AND NOT regexp_matches(v, {_Q(S.BAD_START)}))[1] AS firm_l")
+    outer.append(f"nullif({_CLEAN(f'regexp_extract(text, {_Q(S.ADDRESS)}, 1)')}, '') AS info_address")
+    lines = f"list_transform(string_split(text, chr(10)), lambda l: {STRIP('l')})"
+    return f"WITH l AS (SELECT doc_id, text, {lines} AS ls FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, text, {', '.join(inner)} FROM l) SELECT doc_id, {', '.join(outer)} FROM p"
+
+
+@query("title_block", _title_sql())
 def title_block(spark: SparkSession, d: str) -> DataFrame:
-    """CMP-06, STR-16..21: title-block fields of whole texts."""
+    """CMP-06, STR-16..21, JOIN-10: title-block fields of whole texts, inline or up to three lines below a label."""
     return schedules.title_block(table(spark, d, "documents").where("text is not null"), "doc_id")
 
 
@@ -118,29 +145,69 @@ def bubble_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cascade.split_bubble_pairs(b)
 
 
+_LABELS = "labels AS (SELECT project, page, var_id AS label_id, x, y, greatest(6 + var_id % 7, 6)::DOUBLE AS lh, greatest(20 + var_id % 41, 30)::DOUBLE AS lw FROM placed WHERE cls IS NOT NULL), vals AS (SELECT project, page, var_id AS value_id, x + var_id % 57 AS px, y - var_id % 43 AS py, (5 + var_id % 11)::DOUBLE AS vh, tag AS text FROM placed WHERE tag IS NOT NULL)"
+
+
 @query(
     "label_values",
     f"""
-WITH {_PLACED}, j AS (SELECT l.project, l.page, l.var_id AS label_id, v.var_id AS value_id, v.tag AS text, v.x + v.var_id % 57 - l.x AS dx, l.y - (v.y - v.var_id % 43) AS dy FROM placed l JOIN placed v ON l.project = v.project AND l.page = v.page WHERE l.cls IS NOT NULL AND v.tag IS NOT NULL AND sqrt((v.x + v.var_id % 57 - l.x) * (v.x + v.var_id % 57 - l.x) + (l.y - (v.y - v.var_id % 43)) * (l.y - (v.y - v.var_id % 43))) <= 200),
-k AS (SELECT *, CASE WHEN dy > 0 AND abs(dx) <= 100 THEN 0 WHEN dx > 0 AND abs(dy) <= 20 THEN 1 END AS branch FROM j)
-SELECT project, page, label_id, arg_min(text, {{'b': branch, 's': CASE WHEN branch = 0 THEN dy + abs(dx) * 0.5 ELSE dx + abs(dy) * 2 END, 'v': value_id}}) AS text FROM k WHERE branch IS NOT NULL GROUP BY ALL""",
+WITH {_PLACED}, {_LABELS}, j AS (SELECT l.*, v.value_id, v.text, v.vh, px - x AS dx, py - y AS dy FROM labels l JOIN vals v ON l.project = v.project AND l.page = v.page),
+k AS (SELECT *, CASE WHEN abs(dx) <= greatest(lw * 3, 120) AND dy > -lh * 6 AND dy < -lh * 0.2 THEN 0 WHEN abs(dy) <= lh * 0.6 AND dx > 0 AND dx < lw * 4 THEN 1 END AS branch FROM j)
+SELECT project, page, label_id, arg_min(text, {{'b': branch, 's': CASE WHEN branch = 0 THEN abs(dy) - vh * 2 ELSE dx END, 'v': value_id}}) AS text FROM k WHERE branch IS NOT NULL GROUP BY ALL""",
 )
 def label_values(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-09/10/26: values above or right of labels."""
+    """JOIN-09: values above or right of labels, by windows that grow with the label."""
     v = _placed(spark, d)
-    labels = v.where("cls is not null").select("project", "page", F.col("var_id").alias("label_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    values = v.where("tag is not null").select("project", "page", F.col("var_id").alias("value_id"), (F.col("x") + F.col("var_id") % 57).alias("rx"), (F.col("y") - F.col("var_id") % 43).alias("ry"), F.col("tag").alias("text"))
-    return cascade.label_values(labels, values)
+    labels = v.where("cls is not null").select("project", "page", F.col("var_id").alias("label_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), (20 + F.col("var_id") % 41).cast("double").alias("w"), (6 + F.col("var_id") % 7).cast("double").alias("h"))
+    values = v.where("tag is not null").select("project", "page", F.col("var_id").alias("value_id"), (F.col("x") + F.col("var_id") % 57).alias("cx"), (F.col("y") - F.col("var_id") % 43).alias("cy"), (5 + F.col("var_id") % 11).cast("double").alias("h"), F.col("tag").alias("text"))
+    return cascade.label_values(labels, values, ["project", "page"]).select("project", "page", "label_id", "text")
 
 
-@query("takeoff_rows")
-def takeoff_rows(spark: SparkSession, d: str) -> DataFrame:
-    """CMP-09, AGG-02, JOIN-23, STR-30: the takeoff with brand, model, sizes, type and remarks."""
+def _prop_sql(*words: str) -> str:
+    """SQL of the first property, in key order, whose name contains a word."""
+    hit = " OR ".join(f"contains(upper({COLLAPSE('x.key')}), '{w}')" for w in words)
+    return f"coalesce(list_filter(es, lambda x: {hit})[1].value, '')"
+
+
+_KIND = "CASE WHEN contains(upper(device), 'DIFF') THEN 'DIFFUSER' WHEN contains(upper(device), 'GRILLE') OR contains(upper(device), 'REGISTER') THEN 'GRILLE' ELSE device END"
+_BOTH = rf"""b2 AS (SELECT *, {COLLAPSE("maker_model")} AS s FROM b1),
+b3 AS (SELECT *, string_split(s, ' ') AS ws, list_position(list_transform(string_split(s, ' '), lambda w, i: i > 1 AND regexp_matches(w, '[0-9]')), true) AS pos, strpos(s, ' / ') AS sl FROM b2)"""
+_DETAILS = rf"""own AS (SELECT DISTINCT var_id, project, page - 1 AS page, inferred_yolo_class AS cls, tag, properties FROM tag_variables WHERE project IS NOT NULL AND page IS NOT NULL AND inferred_yolo_class IS NOT NULL),
+firsts AS (SELECT project, tag, arg_min(list_sort(map_entries(properties)), var_id) AS es, arg_min(cls, var_id) AS tag_cls FROM own WHERE tag <> '' GROUP BY ALL),
+named AS (SELECT o.var_id, o.project, o.page, coalesce(o.tag, '') AS tag, f.es, CASE WHEN o.cls = 'AD-GRD' AND f.tag_cls IS NOT NULL AND f.tag_cls <> 'AD-GRD' THEN f.tag_cls ELSE o.cls END AS product FROM (SELECT DISTINCT var_id, project, page, cls, tag FROM own) o LEFT JOIN firsts f ON f.project = o.project AND f.tag = o.tag)"""
+_COLUMNS = rf"""b1 AS (SELECT *, {_prop_sql('MANUFACTURER & MODEL', 'MAKE / MODEL', 'MAKE/MODEL')} AS maker_model, {_prop_sql('MANUFACTURER', 'BRAND', 'MAKE')} AS own_brand, {_prop_sql('MODEL')} AS own_model, {_prop_sql('NECK', 'INLET')} AS neck, {_prop_sql('SIZE')} AS any_size, {_prop_sql('MODULE', 'PANEL', 'FACE SIZE', 'OVERALL', 'NOMINAL')} AS module_size, {_prop_sql('DUCT', 'CONNECTION', 'COLLAR')} AS duct_size, {_prop_sql('TYPE', 'DESCRIPTION', 'STYLE')} AS device, {_prop_sql('SERVICE', 'DUTY', 'APPLICATION')} AS service, {_prop_sql('MOUNT', 'CEILING TYPE')} AS mounting, {_prop_sql('DAMPER', 'OBD')} AS damper, {_prop_sql('MATERIAL')} AS material FROM rows_),
+{_BOTH},
+shown AS (SELECT *, CASE WHEN maker_model = '' THEN own_brand WHEN sl > 0 THEN trim(s[1:sl - 1]) WHEN pos > 0 THEN array_to_string(ws[1:pos - 1], ' ') ELSE s END AS brand, CASE WHEN maker_model = '' THEN own_model WHEN sl > 0 THEN trim(s[sl + 3:]) WHEN pos > 0 THEN array_to_string(ws[pos:], ' ') ELSE '' END AS model,
+CASE WHEN neck <> '' THEN neck ELSE any_size END AS neck_size, CASE WHEN contains(upper(service), 'SA') OR contains(upper(service), 'SUPPLY') THEN trim('SUPPLY ' || {_KIND}) WHEN starts_with(upper(service), 'RA') OR contains(upper(service), 'RETURN') THEN trim('RETURN ' || {_KIND}) WHEN contains(upper(service), 'EXH') OR contains(upper(service), 'EA') THEN trim('EXHAUST ' || {_KIND}) WHEN device <> '' THEN device ELSE service END AS type,
+concat_ws(', ', CASE WHEN material <> '' THEN 'MATERIAL ' || material END, CASE WHEN damper <> '' AND upper(damper) NOT IN ('NO', 'N', 'NONE', '-') THEN 'DAMPER ' || damper END) AS bits FROM b3)"""
+
+
+def _takeoff_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "tag_variables").where("project is not null and page is not null and inferred_yolo_class is not null")
     v = spread(v, "var_id")
-    tagged = v.select("var_id", "project", (F.col("page") - 1).alias("page"), F.col("inferred_yolo_class").alias("cls"), "tag").distinct()
+    tagged = v.select(F.col("var_id").alias("det_id"), "project", (F.col("page") - 1).alias("page"), F.col("inferred_yolo_class").alias("cls"), "tag").distinct()
     first = v.where("tag is not null").groupBy("project", "tag").agg(F.min_by(F.struct(F.array_sort(F.map_entries("properties")).alias("props"), F.col("inferred_yolo_class").alias("cls")), "var_id").alias("f")).select("project", "tag", "f.props", "f.cls")
-    return takeoff.assemble(tagged, first)
+    return tagged, first
+
+
+@query(
+    "takeoff_rows",
+    f"""WITH {_DETAILS}, rows_ AS (SELECT project, product, tag, count(*) AS qty, array_to_string(list_sort(list(DISTINCT page + 1)), ', ') AS pages, any_value(es) AS es FROM named GROUP BY ALL), {_COLUMNS}
+SELECT project, product, tag, qty, brand, model, neck_size, module_size, duct_size, type, mounting, CASE WHEN bits <> '' THEN bits || ' | ' ELSE '' END || 'Pages: ' || pages AS remark FROM shown""",
+)
+def takeoff_rows(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-09, AGG-02, JOIN-23, STR-30: the takeoff with brand, model, sizes, type and remarks."""
+    return takeoff.assemble(*_takeoff_inputs(spark, d))
+
+
+@query(
+    "takeoff_detail",
+    f"""WITH {_DETAILS}, rows_ AS (SELECT * FROM named), {_COLUMNS}
+SELECT project, page, var_id AS det_id, product, tag, 1 AS qty, brand, model, neck_size, module_size, duct_size, type, mounting, bits AS remark FROM shown""",
+)
+def takeoff_detail(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-01, second sheet: one row per detection."""
+    return takeoff.detail_rows(*_takeoff_inputs(spark, d))
 
 
 @query(

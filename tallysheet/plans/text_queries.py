@@ -188,13 +188,13 @@ def tag_scan_in_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "inline_field",
     r"""
-WITH f AS (SELECT doc_id, regexp_replace(regexp_extract(text, '(?im)\bNOTE\s+\d+\s*[:#]\s*([^\n]+)', 1), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS v FROM documents WHERE text IS NOT NULL),
+WITH f AS (SELECT doc_id, regexp_replace(regexp_extract(text, '(?i)\bTAKEOFF ROW\s+\d+\s*[:#]\s*([^\n]+)', 1), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS v FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(v, '^[\s:\-=]+|[\s:\-=]+$', '', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS value FROM f)
-SELECT doc_id, value FROM c WHERE length(value) >= 2 AND NOT regexp_matches(value, '(?i)^(ISSUE|NOT|FOR|DATE|SHEET|SCALE|DRAWN|CHECKED|PROJECT|REV)\b')""",
+SELECT doc_id, value FROM c WHERE length(value) >= 2 AND NOT regexp_matches(value, '%s')""" % S.BAD_START,
 )
 def inline_field(spark: SparkSession, d: str) -> DataFrame:
     """STR-16/17/19: LABEL: value in running text, whole texts."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", S.inline_field(F.col("text"), [r"NOTE\s+\d+"]).alias("value")).where("value is not null")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", S.inline_field(F.col("text"), [r"\bTAKEOFF ROW\s+\d+\s*[:#]\s*([^\n]+)"]).alias("value")).where("value is not null")
 
 
 @query(
@@ -232,10 +232,23 @@ SELECT cls, CASE
   WHEN regexp_matches(t, 'DIFFUSER|GRILLE|REGISTER|SUPPLY|RETURN|EXHAUST|PERFORATED|PLAQUE|FACE|LOUVERED|DROP|MOUNTED') THEN 'AD-GRD' END AS class FROM c""",
 )
 def class_of_service(spark: SparkSession, d: str) -> DataFrame:
-    """STR-26/28: air-device class from text by ordered rules."""
+    """STR-26: air-device class from service text by ordered rules."""
     return table(spark, d, "ls_boxes").where("cls is not null").select("cls").distinct().withColumn("class", S.class_of_service(F.col("cls"), F.lit("")))
 
 
+@query(
+    "air_device_class",
+    """
+WITH c AS (SELECT DISTINCT t FROM (SELECT upper(trim(cls)) AS t FROM ls_boxes WHERE cls IS NOT NULL UNION ALL SELECT upper(schedule_name) FROM schedule_tables WHERE schedule_name IS NOT NULL)),
+w AS (SELECT t, CASE WHEN contains(t, 'SURF') THEN 'AD-SURF ' ELSE 'AD-T-BAR ' END AS m, regexp_matches(t, 'DIFFUS|GRIL|REGIS|GRD|SUPPLY|RETURN|EXHAUST') OR trim(t) IN ('SA', 'RA', 'EA') AS device FROM c)
+SELECT t AS description, CASE WHEN NOT device THEN NULL WHEN contains(t, 'RETURN') OR starts_with(t, 'RA') THEN m || 'RETURN' WHEN contains(t, 'EXH') OR starts_with(t, 'EA') THEN 'AD-GRD' WHEN contains(t, 'SUPPLY') OR contains(t, 'DIFFUS') OR starts_with(t, 'SA') THEN m || 'SUPPLY' ELSE 'AD-GRD' END AS class FROM w""",
+)
+def air_device_class(spark: SparkSession, d: str) -> DataFrame:
+    """STR-28: class of an air device by its description."""
+    texts = table(spark, d, "ls_boxes").where("cls is not null").select(F.upper(F.trim("cls")).alias("t")).unionByName(table(spark, d, "schedule_tables").where("schedule_name is not null").select(F.upper("schedule_name").alias("t")))
+    return texts.distinct().select(F.col("t").alias("description"), S.air_device_class(F.col("t")).alias("class"))
+
+
 @query(
     "page_filter_with_fallback",
     """
