@@ -1,18 +1,25 @@
 """Schemas that drift between files: one consistent table and a report of each change.
 
 Method: similarity flooding. The base schema and a file's own schema are turned into labelled
-graphs of levels, fields, JSON types, value kinds and nested members. Pairs of nodes start with a
-similarity of their names (token overlap with a small list of synonyms), which is then propagated
-along equally labelled edges until it converges. From the converged scores consistent
-correspondences are selected per level (greedy by score, one base field per name; two names may
-share a base field only when no object holds both). Values are then cast and unioned.
+graphs of levels, fields, JSON types, value kinds, nested members, the order of fields and the order of
+numbers (x1 < x2). Pairs of nodes start with a similarity of their names (words, synonyms, spelling),
+which is then propagated along equally labelled edges until it converges. From the converged scores
+consistent correspondences are selected per level (greedy by score, one base field per name; two names
+may share a base field only when no object holds both).
+
+A name need not resemble the base field's: any name whose values fit a vacant base field is a
+candidate. Whether such a name is a rename or a field of its own is told by the corpus: a name that
+stands beside the base field in objects of other files is a field of its own. So files are surveyed in
+one pass that gives the changes of every file without such doubts, the counts of names beside base fields,
+and the schemas in doubt; only the latter are joined with the counts and flooded again.
 
 Bodies are parsed once, in Arrow batches; files with the same schema signature share one flooding
 run (memo per worker), so the cost of the fixpoint follows the number of distinct schemas.
 
 Defined results: NULL, empty, cut-off or otherwise invalid bodies give no rows; NULL entries hold
-their position; repeated rows are read once (by ``file_id``); an empty table gives empty results;
-extra columns are ignored.
+their position; repeated rows are read once (by ``file_id``); of two arrays of detections in one entry
+both are read, each with its own positions; an empty table gives empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +28,16 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysheet.session import written
+
 # The base shape, level -> field -> JSON type.
 BASE = {
     "top": {"pdf": "string", "dpi": "number", "funnel": "object", "tag_diagnostics": "object", "pages": "object"},
@@ -67,6 +78,10 @@ SYNONYMS = {
     "x2": ("x2", "xmax", "right", "maxx"),
     "y2": ("y2", "ymax", "bottom", "maxy"),
 }
+NESTED = {k for kinds in BASE_KINDS.values() for k in kinds if k[0] == "{"}
+ASCENDING = (("x1", "x2"), ("y1", "y2"))  # base fields whose values stand in this order
+LISTED = 0.5  # similarity from which a name alone speaks for a base field
+BESIDE = 0.01  # share of its objects in which a name beside a base field is a field of its own
 CONTAINER_NAMES = {"page", "detections", "candidates"}  # named by the task: never a base field
 
 _MARK = re.compile(r"^[A-Za-z]{1,5}-?[A-Za-z]?\d+[A-Za-z]?$")
@@ -136,7 +151,7 @@ def pages_member(j: dict) -> str | None:
 def walk(j: object) -> Iterator[tuple[str, int, int, object, dict | None]]:
     """(kind, page_index, position, value, entry) of pages, their entries and items of detection arrays.
 
-    kind is ``page``, ``entry`` (an object that wraps a page's detections) or ``item``. Page numbers as
+    A page comes with its entry in the last place, if it has one. kind is ``page``, ``entry`` (an object that wraps a page's detections) or ``item``. Page numbers as
     keys count from 0, a member ``page`` from 1, positions in an array of pages from 0.
     """
     pages = j if isinstance(j, list) else j.get(pages_member(j)) if isinstance(j, dict) else None
@@ -159,42 +174,80 @@ def walk(j: object) -> Iterator[tuple[str, int, int, object, dict | None]]:
                 yield "item", at, at, v, None
 
 
+_LIKE: dict[tuple, bool] = {}
+
+
+def _detection_like(v: dict) -> bool:
+    """Whether an object has the shape of a detection: names of three base fields, or four numbers."""
+    key = tuple(v)
+    if key not in _LIKE:
+        if len(_LIKE) > 20_000:
+            _LIKE.clear()
+        explained = {f for k in key for f in BASE["det"] if name_similarity(f, k) >= LISTED}
+        _LIKE[key] = len(explained) >= 3
+    return _LIKE[key] or sum(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v.values()) >= 4
+
+
+def _objects(x: object) -> bool:
+    """An array that holds nothing but objects and NULLs."""
+    return isinstance(x, list) and all(i is None or isinstance(i, dict) for i in x)
+
+
+def _detection_arrays(v: dict) -> list[list]:
+    """The arrays of an entry that hold detections, by name or by the shape of what they hold."""
+    arrays = {k: x for k, x in v.items() if k != "candidates" and _objects(x)}
+    named = [v["detections"]] if isinstance(v.get("detections"), list) else []
+    shaped = [x for k, x in arrays.items() if k != "detections" and any(i and _detection_like(i) for i in x)]
+    return named + shaped or list(arrays.values())
+
+
 def _wraps(v: dict) -> bool:
     """An entry of pages that holds its detections in an array, and is no detection itself."""
-    return isinstance(v.get("detections"), list) or (len(v) <= 3 and any(isinstance(x, list) for k, x in v.items() if k not in ("candidates", "tile")))
+    return isinstance(v.get("detections"), list) or (any(k != "candidates" and _objects(x) for k, x in v.items()) and not _detection_like(v))
 
 
 def _entry(page: int, v: object) -> Iterator[tuple[str, int, int, object, dict | None]]:
-    yield "page", page, -1, None, None
+    yield "page", page, -1, None, v if isinstance(v, dict) else None
     if isinstance(v, list):
         for at, x in enumerate(v):
             yield "item", page, at, x, None
     elif isinstance(v, dict):
         yield "entry", page, -1, v, None
-        arrays = [v["detections"]] if isinstance(v.get("detections"), list) else [x for x in v.values() if isinstance(x, list)]
-        for arr in arrays[:1]:
+        for arr in _detection_arrays(v):
             for at, x in enumerate(arr):
                 yield "item", page, at, x, v
 
 
 def describe(j: object) -> dict:
-    """The schema of one file: level -> name -> (types, kinds, nested members), and co-occurrence."""
+    """The schema of one file: level -> name -> (types, kinds and nested members), and what stands together."""
     levels: dict[str, dict[str, tuple[set, set]]] = {"top": {}, "entry": {}, "det": {}}
-    together: set[tuple[str, str]] = set()
+    together: dict[str, set[tuple[str, str]]] = {"top": set(), "det": set()}
+    follows: dict[str, set[tuple[str, str]]] = {"top": set(), "det": set()}
+    less: dict[tuple[str, str], bool] = {}
 
     def note(level: str, o: dict) -> None:
         for k, v in o.items():
             types, kinds = levels[level].setdefault(k, (set(), set()))
             types.add(json_type(v))
             if isinstance(v, dict):
-                kinds.add("pagemap") if level == "top" and _pages_like(v) else kinds.update("{" + x for x in list(v)[:12])
+                kinds.add("pagemap") if level == "top" and _pages_like(v) else kinds.update(NESTED & {"{" + x for x in v} or {"{"})
             elif level == "top" and _pages_like(v):
                 kinds.add("pagemap")
             else:
                 kinds.add(_kind(v))
-        if level == "det":
-            names = sorted(o)
-            together.update((a, b) for i, a in enumerate(names) for b in names[i + 1 :])
+        if level == "entry":
+            return
+        own = [k for k in o if k not in BASE[level]]
+        together[level].update((min(a, b), max(a, b)) for a in own for b in o if a != b)
+        strange = {k for k in own if k not in CONTAINER_NAMES and not _listed(level, k)}
+        if strange:
+            names = list(o)
+            follows[level].update(p for p in zip(names, names[1:], strict=False))
+            numbers = {k: v for k, v in o.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+            for a in numbers:
+                for b in numbers:
+                    if a != b and (a in strange or b in strange):
+                        less[a, b] = less.get((a, b), True) and numbers[a] < numbers[b]
 
     if isinstance(j, dict):
         note("top", j)
@@ -208,24 +261,47 @@ def describe(j: object) -> dict:
     p = pages_member(j) if isinstance(j, dict) else None
     container = j.get(p) if p else None
     plain = isinstance(container, dict) and all(isinstance(x, list) for x in container.values())
-    return {"levels": levels, "together": together, "array": isinstance(j, list), "dets": dets > 0, "plain": plain, "pages": p, "pages_null": p is not None and container is None}
+    return {
+        "levels": {lv: {k: [sorted(t), sorted(s)] for k, (t, s) in sorted(fs.items())} for lv, fs in levels.items()},
+        "together": {lv: sorted(map(list, ps)) for lv, ps in together.items()},
+        "follows": {lv: sorted(map(list, ps)) for lv, ps in follows.items()},
+        "less": sorted([a, b] for (a, b), ok in less.items() if ok),
+        "array": isinstance(j, list),
+        "dets": dets > 0,
+        "plain": plain,
+        "pages": p,
+        "pages_null": p is not None and container is None,
+    }
 
 
 def signature(d: dict) -> str:
-    return json.dumps([d["array"], d["dets"], d["plain"], d["pages"], d["pages_null"], [[lv, k, sorted(t), sorted(s)] for lv in d["levels"] for k, (t, s) in sorted(d["levels"][lv].items())], sorted(d["together"] & _suspects(d))])
-
-
-def _suspects(d: dict) -> set[tuple[str, str]]:
-    """Of the pairs of names that stand in one object, those with a name outside the base shape."""
-    return {(a, b) for a, b in d["together"] if not (a in BASE["det"] and b in BASE["det"])}
+    return json.dumps(d, separators=(",", ":"))
 
 
 def _tokens(name: str) -> list[str]:
     return [t for t in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()) if t]
 
 
+@cache
+def _spelling(base: str, whole: str) -> float:
+    return max(SequenceMatcher(None, w, whole).ratio() for w in SYNONYMS[base])
+
+
+_NAMES: dict[tuple[str, str], float] = {}
+
+
 def name_similarity(base: str, name: str) -> float:
-    """1 for equal names; else the share of the name's words that the base field's words explain."""
+    """1 for equal names; from LISTED on the share of the name's words that the base field's words explain;
+    below it how alike the spellings are."""
+    got = _NAMES.get((base, name))
+    if got is None:
+        if len(_NAMES) > 200_000:
+            _NAMES.clear()
+        got = _NAMES[base, name] = _name_similarity(base, name)
+    return got
+
+
+def _name_similarity(base: str, name: str) -> float:
     if base == name:
         return 1.0
     own, words = _tokens(name), SYNONYMS[base]
@@ -233,13 +309,29 @@ def name_similarity(base: str, name: str) -> float:
     if whole in words:
         return 0.9
     hits = sum(t in words for t in own)
-    return 0.85 * hits / max(1, len(own)) if own else 0.0
+    share = 0.85 * hits / max(1, len(own)) if own else 0.0
+    return share if share >= LISTED else max(share, 0.45 * _spelling(base, whole[:40]) if whole else 0.0)
+
+
+def _listed(level: str, name: str) -> bool:
+    """Whether the name alone speaks for some base field of its level."""
+    return any(name_similarity(f, name) >= LISTED for f in BASE[level])
+
 
+def _names_another(level: str, base: str, name: str) -> bool:
+    """A name of several words one of which is another base field's own name speaks of that field."""
+    own = _tokens(name)
+    return len(own) > 1 and any(t in BASE[level] and t != base for t in own)
 
-def flood(d: dict, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, str]]:
-    """Level -> name -> base field, by similarity flooding between the base schema and a file's."""
 
-    def edges(levels: dict) -> list[tuple[str, str, str]]:
+def flood(d: dict, beside: dict[tuple[str, str], set[str]] | None = None, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, str]]:
+    """Level -> name -> base field, by similarity flooding between the base schema and a file's.
+
+    ``beside``: (level, name) -> base fields that the corpus shows beside the name; such a name is none of them.
+    """
+    beside = beside or {}
+
+    def edges(levels: dict, follows: dict, less: list) -> list[tuple[str, str, str]]:
         out = []
         for lv, fields in levels.items():
             for name, (types, kinds) in fields.items():
@@ -247,11 +339,15 @@ def flood(d: dict, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, s
                 out.append((f"@{lv}", "field", node))
                 out += [(node, "type", f"#{t}") for t in types if t != "null"]
                 out += [(node, "kind", f"%{k}") for k in kinds if k != "null"]
-        return out
+            out += [(f"{lv}.{x}", "next", f"{lv}.{y}") for x, y in follows.get(lv, ()) if x in fields and y in fields]
+        return out + [(f"det.{x}", "less", f"det.{y}") for x, y in less if x in levels["det"] and y in levels["det"]]
 
     base_levels = {lv: {f: ({t}, set(BASE_KINDS[f])) for f, t in fs.items()} for lv, fs in BASE.items()}
     file_levels = {lv: {k: v for k, v in fs.items() if k not in CONTAINER_NAMES or k in BASE.get(lv, {})} for lv, fs in d["levels"].items()}
-    ea, eb = edges(base_levels), edges(file_levels)
+    in_order = {lv: list(zip(list(fs), list(fs)[1:], strict=False)) for lv, fs in BASE.items()}
+    strange = any(d["follows"].values())
+    ea = edges(base_levels, in_order if strange else {}, list(ASCENDING) if strange else [])
+    eb = edges(file_levels, d["follows"], d["less"])
     by = defaultdict(list)
     for s, lb, t in eb:
         by[lb].append((s, t))
@@ -266,10 +362,12 @@ def flood(d: dict, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, s
         for s2, t2 in by[lb]:
             if lb == "field" and s != s2:
                 continue
-            if lb != "field" and t != t2:
+            if lb in ("type", "kind") and t != t2:
+                continue
+            if lb == "next" and s.split(".")[0] != s2.split(".")[0]:
                 continue
             links.append((pair(s, s2), pair(t, t2)))
-            labelled.append(("field", "type", "kind").index(lb))
+            labelled.append(("field", "type", "kind", "next", "less").index(lb))
     if not links:
         return {lv: {} for lv in d["levels"]}
     start = np.zeros(len(index))
@@ -282,8 +380,8 @@ def flood(d: dict, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, s
     both = np.concatenate([u, v]), np.concatenate([v, u])
     # propagation coefficients: a pair spreads its similarity evenly over its links of one label and direction
     labels = np.array(labelled)
-    key = np.concatenate([u * 6 + labels, v * 6 + 3 + labels])
-    counts = np.bincount(key, minlength=len(index) * 6)
+    key = np.concatenate([u * 10 + labels, v * 10 + 5 + labels])
+    counts = np.bincount(key, minlength=len(index) * 10)
     weight = 1.0 / counts[key]
     sim = start.copy()
     for _ in range(rounds):
@@ -294,31 +392,44 @@ def flood(d: dict, rounds: int = 40, eps: float = 1e-4) -> dict[str, dict[str, s
             break
         sim = nxt
     chosen: dict[str, dict[str, str]] = {lv: {} for lv in d["levels"]}
+    together = {lv: {tuple(p) for p in ps} for lv, ps in d["together"].items()}
     per_level = defaultdict(list)
     for (a, b), i in index.items():
         if a[0] not in "@#%":
             lv, name = b.split(".", 1)
-            base = a.split(".", 1)[1]
-            per_level[lv].append((bool(start[i] == 1.0), start[i] + sim[i], base, name, start[i], a, b))
+            if a.split(".", 1)[0] == lv:
+                named = start[i]
+                per_level[lv].append((named == 1.0, named >= LISTED, start[i] + sim[i], a.split(".", 1)[1], name))
     for lv, cands in per_level.items():
-        for exact, score, base, name, named, _, _ in sorted(cands, key=lambda c: (-c[0], -c[1], c[2], c[3])):
-            if name in chosen[lv] or (not exact and (named < 0.5 or name in BASE[lv])):
+        for exact, listed, _, base, name in sorted(cands, key=lambda c: (not c[0], not c[1], -c[2], c[3], c[4])):
+            if name in chosen[lv] or (not exact and name in BASE[lv]):
                 continue
             rivals = [n for n, f in chosen[lv].items() if f == base]
-            if rivals and (lv != "det" or any((min(n, name), max(n, name)) in d["together"] for n in rivals)):
+            if rivals and (lv != "det" or any((min(n, name), max(n, name)) in together[lv] for n in rivals)):
                 continue
             if not exact and not _fits(base, d["levels"][lv][name]):
                 continue
+            if not exact and not listed:
+                kinds = set(d["levels"][lv][name][1]) - {"null"}
+                if not kinds or rivals or base in beside.get((lv, name), ()) or _names_another(lv, base, name):
+                    continue
             chosen[lv][name] = base
     return chosen
 
 
-def _fits(base: str, shape: tuple[set, set]) -> bool:
+def _fits(base: str, shape: list) -> bool:
     """A renamed field must hold a kind of value that the base field is known to hold."""
-    kinds = shape[1] - {"null"}
+    kinds = set(shape[1]) - {"null"}
     return not kinds or bool(kinds & set(BASE_KINDS[base])) or (base in ("x1", "y1", "x2", "y2") and "count" in kinds)
 
 
+def doubts(d: dict, match: dict[str, dict[str, str]]) -> list[tuple[str, str]]:
+    """(level, name) of all names that may be renames by more than their name, if any is taken for one."""
+    if all(name_similarity(f, n) >= LISTED for m in match.values() for n, f in m.items()):
+        return []
+    return [(lv, n) for lv in BASE for n in d["levels"][lv] if n not in BASE[lv] and n not in CONTAINER_NAMES and not _listed(lv, n)]
+
+
 def changes(d: dict, match: dict[str, dict[str, str]]) -> list[tuple[str, str]]:
     """The (field_name, change_kind) rows of a file with this schema."""
     out = set()
@@ -340,24 +451,24 @@ def changes(d: dict, match: dict[str, dict[str, str]]) -> list[tuple[str, str]]:
             if lv == "top" and base == "pages":
                 if not d["plain"] and not d["pages_null"]:
                     out.add(("pages", "retyped"))
-            elif types - {"null", fields[base]}:
+            elif set(types) - {"null", fields[base]}:
                 out.add((base, "retyped"))
     for name in d["levels"]["entry"]:
         out.add((name, "added"))
     return sorted(out)
 
 
-_MEMO: dict[str, tuple[dict[str, dict[str, str]], list[tuple[str, str]]]] = {}
+_MEMO: dict[str, tuple[dict, list, list]] = {}
 
 
-def resolve(d: dict) -> tuple[dict[str, dict[str, str]], list[tuple[str, str]]]:
-    """Correspondences and changes of a schema; one flooding run per distinct schema and worker."""
-    key = signature(d)
+def resolve(d: dict, key: str | None = None) -> tuple[dict[str, dict[str, str]], list[tuple[str, str]], list[tuple[str, str]]]:
+    """Correspondences, changes and doubts of a schema; one flooding run per distinct schema and worker."""
+    key = key or signature(d)
     if key not in _MEMO:
         if len(_MEMO) > 20_000:
             _MEMO.clear()
         match = flood(d)
-        _MEMO[key] = (match, changes(d, match))
+        _MEMO[key] = (match, changes(d, match), doubts(d, match))
     return _MEMO[key]
 
 
@@ -366,23 +477,119 @@ def _files(detections: DataFrame) -> DataFrame:
     return detections.where("file_id is not null and body is not null and trim(body) <> ''").select("file_id", "body")
 
 
-def drift_report(detections: DataFrame) -> DataFrame:
-    """(file_id, field_name, change_kind): every change of a file against the base shape."""
+SURVEY = "what string, file_id bigint, name string, other string, n bigint, names array<string>"
+_SURVEY = pa.schema([("what", pa.string()), ("file_id", pa.int64()), ("name", pa.string()), ("other", pa.string()), ("n", pa.int64()), ("names", pa.list_(pa.string()))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def survey(detections: DataFrame) -> DataFrame:
+    """One pass over all files: ``change`` rows (file_id, field, kind) of files without doubt, ``doubt`` rows
+    (file_id, schema, level.name of the doubtful names) and ``beside`` counts (level.name, base field, objects;
+    an empty base field counts all objects)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside: dict[tuple[str, str], int] = defaultdict(int)
         for b in batches:
-            ids, names, kinds = [], [], []
+            rows: list[tuple] = []
             for fid, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 j = parse(body)
                 if j is None:
                     continue
-                for name, kind in resolve(describe(j))[1]:
-                    ids.append(fid)
-                    names.append(name)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(kinds, pa.string())], names=["file_id", "field_name", "change_kind"])
+                d = describe(j)
+                key = signature(d)
+                _, found, doubtful = resolve(d, key)
+                if doubtful:
+                    rows.append(("doubt", fid, key, None, None, [f"{lv}.{n}" for lv, n in doubtful]))
+                else:
+                    rows += [("change", fid, f, k, None, None) for f, k in found]
+                for lv, pairs in d["together"].items():
+                    strange = {n for n in d["levels"][lv] if n not in BASE[lv] and n not in CONTAINER_NAMES and not _listed(lv, n)}
+                    for n in strange:
+                        beside[f"{lv}.{n}", ""] += 1
+                    for x, y in pairs:
+                        for n, f in ((x, y), (y, x)):
+                            if n in strange and f in BASE[lv]:
+                                beside[f"{lv}.{n}", f] += 1
+            if len(beside) > 50_000:
+                rows += [("beside", None, n, f, c, None) for (n, f), c in beside.items()]
+                beside.clear()
+            yield _batch(rows, _SURVEY)
+        yield _batch([("beside", None, n, f, c, None) for (n, f), c in beside.items()], _SURVEY)
+
+    return written(_files(detections).mapInArrow(run, SURVEY), "drift-survey")
+
+
+def settled(seen: DataFrame) -> DataFrame:
+    """(file_id, schema, beside): the files in doubt with what the corpus says of their doubtful names,
+    as texts ``level.name base``."""
+    counts = seen.where("what = 'beside'").groupBy("name", "other").agg(F.sum("n").alias("n"))
+    total = counts.where("other = ''").select("name", F.col("n").alias("total"))
+    own = counts.where("other <> ''").join(total, "name").where(F.col("n") >= BESIDE * F.col("total")).groupBy("name").agg(F.collect_set("other").alias("bases"))  # base fields only
+    doubt = seen.where("what = 'doubt'").select("file_id", F.col("name").alias("schema"), "names")
+    facts = doubt.select("file_id", F.explode("names").alias("name")).distinct().join(own, "name").select("file_id", F.explode(F.transform("bases", lambda f: F.concat_ws(" ", F.col("name"), f))).alias("fact"))
+    return doubt.drop("names").dropDuplicates(["file_id"]).join(facts.groupBy("file_id").agg(F.collect_set("fact").alias("beside")), "file_id", "left")
+
+
+def _beside(facts: list[str] | None) -> dict[tuple[str, str], set[str]]:
+    out: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for f in facts or []:
+        where, base = f.rsplit(" ", 1)
+        lv, name = where.split(".", 1)
+        out[lv, name].add(base)
+    return out
+
 
-    return _files(detections).mapInArrow(run, "file_id bigint, field_name string, change_kind string").distinct()
+_AGAIN: dict[tuple, dict] = {}
+
+
+def _resettle(schema: str, facts: list[str] | None) -> tuple[dict, dict]:
+    """(schema, correspondences) of a schema in doubt with the corpus' word on it."""
+    key = (schema, tuple(sorted(facts or [])))
+    if key not in _AGAIN:
+        if len(_AGAIN) > 20_000:
+            _AGAIN.clear()
+        _AGAIN[key] = flood(json.loads(schema), _beside(facts))
+    return json.loads(schema), _AGAIN[key]
+
+
+_CHANGE = pa.schema([("file_id", pa.int64()), ("field_name", pa.string()), ("change_kind", pa.string())])
+
+
+def drift_report(detections: DataFrame) -> DataFrame:
+    """(file_id, field_name, change_kind): every change of a file against the base shape."""
+    seen = survey(detections)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(fid, f, k) for fid, schema, facts in zip(*(c.to_pylist() for c in b.columns), strict=True) for f, k in changes(*_resettle(schema, facts))], _CHANGE)
+
+    sure = seen.where("what = 'change'").select("file_id", F.col("name").alias("field_name"), F.col("other").alias("change_kind"))
+    return sure.unionByName(settled(seen).mapInArrow(run, "file_id bigint, field_name string, change_kind string")).distinct()
+
+
+def renames(detections: DataFrame) -> DataFrame:
+    """(file_id, match): the correspondences of detection fields of the files in doubt, as JSON."""
+    schema = pa.schema([("file_id", pa.int64()), ("match", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(fid, json.dumps(_resettle(s, facts)[1]["det"])) for fid, s, facts in zip(*(c.to_pylist() for c in b.columns), strict=True)], schema)
+
+    return settled(survey(detections)).mapInArrow(run, "file_id bigint, match string")
+
+
+def matched_files(detections: DataFrame) -> DataFrame:
+    """(file_id, body, match) once per file; match is NULL where the file's own schema settles it."""
+    return _files(detections).dropDuplicates(["file_id"]).join(renames(detections), "file_id", "left")
+
+
+def matches_of(j: object, match: str | None) -> dict[str, str]:
+    """Name -> base field of a file's detections."""
+    return resolve(describe(j))[0]["det"] if match is None else json.loads(match)
 
 
 def _number(v: object) -> float | None:
@@ -415,11 +622,11 @@ def unified_detections(detections: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in schema]
-            for fid, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for fid, body, told in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 j = parse(body)
                 if j is None:
                     continue
-                match = resolve(describe(j))[0]["det"]
+                match = matches_of(j, told)
                 for kind, page, at, v, _ in walk(j):
                     if kind != "item" or not isinstance(v, dict):
                         continue
@@ -431,7 +638,7 @@ def unified_detections(detections: DataFrame) -> DataFrame:
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return _files(detections).dropDuplicates(["file_id"]).mapInArrow(run, DETECTION_SCHEMA)
+    return matched_files(detections).mapInArrow(run, DETECTION_SCHEMA)
 
 
 def change_totals(detections: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     """All nodes with interval labels and the labels of their parents."""
-    return nested_flatten.link_by_containment(nested_flatten.node_table(table(spark, d, "detections")))
+    return nested_flatten.node_table(table(spark, d, "detections"))
 
 
 def _p4(kind: str) -> Query:
@@ -78,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "p4_pages": _p4("pages"),
     "p4_detections": _p4("detections"),
     "p4_candidates": _p4("candidates"),
+    "p4_members": _p4("members"),
     "p5_found": p5_found,
     "p5_values": p5_values,
 }

@@ -131,12 +131,79 @@ def test_nested_positions_and_parents(spark):
     f = files(spark, b, [[{**BASE_DET}], [{**BASE_DET, "candidates": None}]])
     assert rows(nested_flatten.detection_positions(f)) == sorted([(0, 2, 1, -1), (0, 2, 1, 0), (0, 2, 1, 1), (0, 2, 2, -1), (1, 0, 0, -1), (1, 1, 0, -1)], key=repr)
     t = nested_flatten.flat_tables(f)
-    assert {k: v.count() for k, v in t.items()} == {"files": 2, "pages": 4, "detections": 4, "candidates": 2}
+    assert {k: v.count() for k, v in t.items() if k != "members"} == {"files": 2, "pages": 4, "detections": 4, "candidates": 2}
     for child, parent in (("pages", "files"), ("detections", "pages"), ("candidates", "detections")):
         j = t[child].alias("c").join(t[parent].alias("p"), (F.col("c.file_id") == F.col("p.file_id")) & (F.col("c.parent_pre") == F.col("p.pre")))
         assert j.where("c.pre > p.pre and c.post < p.post").count() == t[child].count()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_every_node_is_labelled_and_held_by_its_parent(seed):
+    rng = random.Random(seed)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind == 4:
+            return {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else [None, rng.randrange(9), "x", True][kind]
+
+    det = lambda: {**BASE_DET, "more": value(3), **({"candidates": [None, {"tag": "A-1", "odd": value(2)}, "B"]} if rng.random() < 0.5 else {})}
+    pages = {str(i): [None if rng.random() < 0.2 else det() for _ in range(rng.randrange(4))] for i in range(rng.randrange(4))}
+    j = {**BASE, "funnel": value(3), "pages": pages if rng.random() < 0.5 else [{"page": int(k) + 1, "note": value(2), "detections": v} for k, v in pages.items()]}
+    nodes = nested_flatten.label_nodes(j, {})
+    assert sorted([n[1] for n in nodes] + [n[2] for n in nodes]) == list(range(2 * len(nodes)))  # every tick is one end of one node
+    by_pre = sorted(nodes, key=lambda n: n[1])
+    for n in by_pre:
+        around = [m for m in by_pre if m[1] < n[1] and n[2] < m[2]]
+        assert n[3] == (around[-1][1] if around else None) and n[4] == len(around)
+    kinds = {"page": "file", "detection": "page", "candidate": "detection"}
+    at = {n[1]: n for n in nodes}
+    assert all(at[n[3]][0] == kinds[n[0]] for n in nodes if n[0] in kinds)
+    few = nested_flatten.label_nodes(j, {}, ("detection",))
+    assert few == [n for n in nodes if n[0] == "detection"]
+
+
+def test_members_make_the_record_whole(spark):
+    f = files(spark, {**BASE, "pages": {"0": [{**BASE_DET, "tile": [1, {"a": None}], "candidates": [{"tag": "A-1", "why": "near"}]}]}})
+    m = {(r["page_index"], r["det_index"], r["member"], r["json_type"], r["value"]) for r in nested_flatten.flat_tables(f)["members"].collect()}
+    assert {(None, None, "schedule_tags", "number", "1"), (None, None, "tag_diagnostics", "null", None), (0, 0, "tile", "array", None), (0, 0, "a", "null", None), (0, 0, "why", "string", "near"), (0, 0, "conf", "number", "0.9")} <= m
+
+
+def test_arrays_and_entries_are_told_by_shape(spark):
+    two = {"page": 1, "detections": [BASE_DET], "more": [{**BASE_DET, "cls": "FAN"}]}
+    four = {"page": 1, "sheet": "M1", "scale": "NTS", "found": [BASE_DET, {**BASE_DET, "cls": "FAN"}]}
+    for pages in ([two], [four]):
+        assert schema_drift.unified_detections(files(spark, {**BASE, "pages": pages})).count() == 2
+    f = files(spark, {**BASE, "pages": [two, four]})
+    assert schema_drift.unified_detections(f).count() == 4
+
+
+def test_nested_members_beyond_the_twelfth_are_seen(spark):
+    b = {k: v for k, v in BASE.items() if k != "funnel"} | {"trichter": {**{f"m{i}": i for i in range(20)}, "schedule_tags": 1}}
+    assert drift(spark, b) == {("funnel", "renamed")}
+
+
+NEW_NAMES = {"cls": "klasse", "tag": "bez", "tag_method": "herkunft", "untagged_reason": "grund", "conf": "certainty", "x1": "lft", "y1": "tp", "x2": "rgt", "y2": "btm"}
+
+
+def test_renames_outside_any_list_are_found(spark):
+    d = {**BASE_DET, "untagged_reason": "no_match"}
+    for n in NEW_NAMES:
+        assert drift(spark, {**BASE, "pages": {"0": [{NEW_NAMES.get(k, k) if k == n else k: v for k, v in d.items()}]}}) == {(n, "renamed")}, n
+    boxes = {k: v for k, v in NEW_NAMES.items() if k in ("x1", "y1", "x2", "y2")}
+    assert drift(spark, {**BASE, "pages": {"0": [{boxes.get(k, k): v for k, v in d.items()}]}}) == {(k, "renamed") for k in boxes}
+
+
+def test_names_beside_a_base_field_elsewhere_are_fields_of_their_own(spark):
+    lone = {k: v for k, v in BASE_DET.items() if k != "conf"} | {"sharpness": 0.4}
+    beside = {**BASE, "pages": {"0": [{**BASE_DET, "sharpness": 0.4}]}}
+    alone = {(r["file_id"], r["field_name"], r["change_kind"]) for r in schema_drift.drift_report(files(spark, {**BASE, "pages": {"0": [lone]}})).collect()}
+    assert alone == {(0, "conf", "renamed")}
+    told = {(r["file_id"], r["field_name"], r["change_kind"]) for r in schema_drift.drift_report(files(spark, {**BASE, "pages": {"0": [lone]}}, beside)).collect()}
+    assert told == {(0, "conf", "removed"), (0, "sharpness", "added"), (1, "sharpness", "added")}
+
+
 def test_repeated_files_count_once(spark):
     f = files(spark, BASE)
     assert nested_flatten.node_table(f.unionByName(f)).count() == nested_flatten.node_table(f).count()
