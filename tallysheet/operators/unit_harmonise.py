@@ -1,13 +1,21 @@
 """Quantities recorded in different units, brought to common units.
 
-Method: every way of stating a unit is a *source*: (quantity, where it is stated, unit text).
-The same kind of equipment (entity: the letters of its mark) links the sources of one quantity. A
-listed unit text has the conversion of its unit, however few rows it has. An unlisted one is compared,
-kind by kind, with the sources converted so far (median of the log ratios of robust levels; for
-temperature of spreads as well), is snapped to a known conversion, and then serves to convert further
-sources, until none is added. So the vocabulary decides wherever it speaks and the estimate only
-beyond it; an unlisted text with fewer than ``MIN_LINKS`` linked rows, or near no known conversion,
-is left to the next statement.
+Method: every way of stating a unit is a *source*: (quantity, unit text). The same kind of equipment
+(entity: the letters of its mark) links the sources of one quantity. The hub of a quantity are the
+sources that state its common unit or nothing. Every other source is compared, kind by kind, with the
+sources converted so far: the weighted median over the kinds of the log ratios of robust levels gives the
+scale, for quantities with offsets the ratio of spreads and the distance of medians give scale and offset.
+The estimate is snapped to a known conversion, and the source then serves to convert further ones, until
+none is added, so conversions spread over the source graph.
+
+A listed unit text is a prior: it is confirmed where the estimate allows it (``SNAP_TOLERANCE`` beyond the
+estimate's own noise) and overruled where many linked rows contradict it and another conversion fits. A
+listed text with fewer than ``MIN_LINKS`` linked rows keeps its meaning; an unlisted one with so few, or near
+no known conversion, is left to the next statement.
+
+``common_units`` names the quantities, their common units and their property names. A quantity without
+known units has its common unit and thousands of it as known conversions; a common unit that is no known
+unit of a known quantity is refused.
 
 Everything but the small unit vocabulary runs as built-in column expressions.
 
@@ -18,6 +26,9 @@ give repeated rows here (``p2_found`` is distinct); extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,11 +101,59 @@ NOTE_WORDS = {
     "water flow": r"WATER\s?FLOWS?|HW\sFLOWS?|FLOW\sRATES?",
     "neck size": r"NECKS?(?:\sSIZES?)?|INLETS?(?:\sSIZES?)?",
 }
-# Base names that are themselves the common unit's name.
-NAME_IS_UNIT = ("CFM", "HP", "BHP", "MBH", "GPM")
-
-MIN_LINKS = 8  # linked rows below which an unlisted spelling is left to the next statement
+MIN_LINKS = 8  # linked rows below which nothing is estimated
+OVERRULE_LINKS = 64  # linked rows from which an estimate may overrule a listed text
 SNAP_TOLERANCE = 0.30  # |log ratio| within which an estimate snaps to a known conversion
+MAX_NAMES = 1000  # property names in common_units, a small configuration table
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Known conversions to the common units, and the spellings that are listed for them.
+
+    units: quantity -> unit -> (scale, offset); common: quantity -> unit; labels: quantity -> spelling -> unit;
+    names: property name -> quantity.
+    """
+
+    units: dict[str, dict[str, tuple[float, float]]]
+    common: dict[str, str]
+    labels: dict[str, dict[str, str]]
+    names: dict[str, str]
+
+    def listed(self) -> list[str]:
+        return [f"{q}\u0001{label}" for q, ls in self.labels.items() for label in ls]
+
+    def note_words(self, quantity: str) -> str:
+        own = [quantity, *(n for n, q in self.names.items() if q == quantity)]
+        return NOTE_WORDS.get(quantity) or "|".join(re.escape(w.upper()).replace(r"\ ", r"\s") for w in own)
+
+
+def plain_unit(text: str) -> str:
+    """canonical_unit of a plain text."""
+    t = text.translate(str.maketrans("³²₂ºμ–—−×”“’‘″′", "322°µ---X\"\"''\"'")).upper()
+    return re.sub(r"[\s\u00a0._,;:\[\]()\-]+", "", t)
+
+
+def vocabulary(common_units: DataFrame, listed: bool = True) -> Vocabulary:
+    """The vocabulary of a configuration table; without ``listed`` only the common unit's own name is listed."""
+    rows = common_units.where("quantity is not null and common_unit is not null").select("quantity", "common_unit", "prop_names").limit(MAX_NAMES + 1).collect()
+    names = {n.upper(): r["quantity"] for r in rows for n in r["prop_names"] or [] if n}
+    if len(rows) > MAX_NAMES or len(names) > MAX_NAMES:
+        raise ValueError(f"common_units must stay a small configuration table (at most {MAX_NAMES} names)")
+    units: dict[str, dict[str, tuple[float, float]]] = {}
+    common: dict[str, str] = {}
+    labels: dict[str, dict[str, str]] = {}
+    for r in rows:
+        q, told = r["quantity"], plain_unit(r["common_unit"])
+        known = UNITS.get(q) or {r["common_unit"]: (1.0, 0.0, (told,)), f"{r['common_unit']} X 1000": (1000.0, 0.0, (f"{told}X1000", f"X1000{told}"))}
+        hub = next((u for u, (_, _, spelt) in known.items() if told in spelt or told == plain_unit(u)), None)
+        if hub is None:
+            raise ValueError(f"common unit {r['common_unit']!r} of {q!r} is no known unit")
+        scale0, offset0, _ = known[hub]
+        units[q] = {u: (scale / scale0, (offset - offset0) / scale0) for u, (scale, offset, _) in known.items()}
+        common[q] = hub
+        labels[q] = {sp: u for u, (_, _, spelt) in known.items() for sp in spelt} if listed else {told: hub}
+    return Vocabulary(units, common, labels, names)
 
 
 def canonical_unit(text: Column) -> Column:
@@ -121,50 +180,53 @@ _NUM = r"[-+]?(?:\d+[\s\u00a0-]+\d+/\d+|\d+/\d+|\d{1,3}(?:[ \u00a0,]\d{3})+(?:\.
 _VALUE = rf"^[\s\u00a0Øø~≈<>=±]*({_NUM})[\s\u00a0]*([^()]*?)[\s\u00a0]*(?:\((.*)\))?[\s\u00a0]*$"
 
 
-def unit_statements(tag_variables: DataFrame, common_units: DataFrame) -> DataFrame:
+STATEMENTS = "var_id bigint, prop_name string, quantity string, kind string, num double, value_label string, alt_label string, name_label string, note_label string"
+
+
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def unit_statements(tag_variables: DataFrame, v: Vocabulary) -> DataFrame:
     """One row per property of a known quantity that holds a number, with what is said of its unit.
 
-    ``common_units`` is a small configuration table; more than 1,000 names are refused.
+    Notes are searched only where neither the value nor the property's name has a listed unit text.
     """
-    config = common_units.select("quantity", F.explode("prop_names").alias("n")).where("n is not null and quantity is not null").limit(1001).collect()
-    if len(config) > 1000:
-        raise ValueError("common_units must stay a small configuration table (at most 1,000 names)")
-    names = {r["n"].upper(): r["quantity"] for r in config if r["quantity"] in UNITS}
-    out_schema = "var_id bigint, prop_name string, quantity string, kind string, num double, value_label string, alt_label string, name_label string, note_label string"
-    if not names:
-        return tag_variables.sparkSession.createDataFrame([], out_schema)
-    lit_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    quantity_of = lit_map(names)
-    most = max(len(n.split()) for n in names)
-
-    def base_of(key: Column) -> Column:
-        """The longest run of first words that is a known name, else NULL."""
-        words = F.filter(F.split(F.upper(key), "[^A-Z]+"), lambda w: w != "")
-        runs = lambda ws: F.filter(F.array(*[F.array_join(F.slice(ws, 1, n), " ") for n in range(most, 0, -1)]), lambda b: F.try_element_at(quantity_of, b).isNotNull())
-        return F.get(F.transform(F.array(words), lambda ws: F.get(runs(ws), F.lit(0))), F.lit(0))
-
+    if not v.names:
+        return tag_variables.sparkSession.createDataFrame([], STATEMENTS)
+    quantity_of = _lit_map(v.names)
+    # the longest known name that the key begins with, whatever stands between its words
+    by_length = sorted(v.names, key=len, reverse=True)
+    begins = r"(?i)^[^A-Za-z]*(" + "|".join("[^A-Za-z]+".join(map(re.escape, n.split())) for n in by_length) + r")(?![A-Za-z])"
+    base_of = lambda k: F.regexp_replace(F.upper(F.regexp_extract(k, begins, 1)), "[^A-Z]+", " ")
+    spelt_names = {n.upper(): re.sub("[^A-Z]+", " ", n.upper()).strip() for n in v.names}
+    quantity_of = _lit_map({spelt_names[n]: q for n, q in v.names.items()})
     # one-row generators keep the optimizer from repeating the expressions below wherever they are used
     entries = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), base_of(e["key"]).alias("base")))
     kept = tag_variables.where("properties is not null").select("var_id", "tag", "schedule_name", F.inline(F.array(F.struct(entries.alias("entries")))))
-    notes = F.concat_ws(" ; ", F.col("schedule_name"), F.array_join(F.transform(F.filter("entries", lambda e: e["base"].isNull() & e["value"].isNotNull()), lambda e: e["value"]), " ; "))
-    rows = kept.select("var_id", "tag", F.upper(notes).alias("notes"), F.explode(F.filter("entries", lambda e: e["base"].isNotNull() & e["value"].rlike(r"\d"))).alias("e"))
+    notes = F.concat_ws(" ; ", F.col("schedule_name"), F.array_join(F.transform(F.filter("entries", lambda e: (e["base"] == "") & e["value"].isNotNull()), lambda e: e["value"]), " ; "))
+    rows = kept.select("var_id", "tag", F.upper(notes).alias("notes"), F.explode(F.filter("entries", lambda e: (e["base"] != "") & e["value"].rlike(r"\d"))).alias("e"))
     # number, unit text and bracketed text of a value by one expression; no match, no parts
     parts = F.split(F.regexp_replace("e.value", _VALUE, "$1\u0001$2\u0001$3"), "\u0001")
-    tail = F.substr(F.regexp_replace("e.key", r"^\s+", ""), F.length("e.base") + 1)
+    tail = F.regexp_replace("e.key", begins, "")
     rows = rows.select("var_id", "tag", "notes", "e.key", "e.base", F.try_element_at(quantity_of, F.col("e.base")).alias("quantity"), F.inline(F.array(F.struct(parts.alias("p"), tail.alias("tail")))))
     rows = rows.where("size(p) = 3")
-    note_unit = F.lit("")
-    for q, words in NOTE_WORDS.items():
-        said = F.regexp_extract("notes", rf"\b(?:{words})\b\s*(?:ARE|IN|AS|GIVEN\s+AS|GIVEN\s+IN|ARE\s+IN|ARE\s+GIVEN\s+AS|:|=|-)?\s+([A-Z°\"'#][^;,()]*?)\s*(?:\bAND\b|[;,()]|$)", 1)
-        note_unit = F.when(F.col("quantity") == q, said).otherwise(note_unit)
-    own = F.col("base").isin(*NAME_IS_UNIT) & (F.trim("tail") == "")
+    listed = v.listed()
+    is_listed = lambda label: F.concat("quantity", F.lit("\u0001"), label).isin(*listed)
+    own = is_listed(F.col("base")) & (F.trim("tail") == "")  # the name is itself a unit (CFM, HP)
     value_label = canonical_unit(F.get("p", F.lit(1)))
     name_label = F.when(own, F.col("base")).otherwise(canonical_unit(F.col("tail")))
     once = lambda **cols: F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
     rows = rows.select("*", once(num=_number(F.trim(F.get("p", F.lit(0)))))).where("num is not null")
     alt = F.when(F.get("p", F.lit(2)) == "", F.lit("")).otherwise(canonical_unit(F.regexp_replace(F.get("p", F.lit(2)), rf"^[\sØ]*{_NUM}", "")))
-    rows = rows.select("*", once(value_label=value_label, alt_label=alt, name_label=name_label)).select("*", once(said=note_unit))
-    out = rows.select(
+    rows = rows.select("*", once(value_label=value_label, alt_label=alt, name_label=name_label))
+    note_unit = F.lit("")
+    for q in v.common:
+        said = F.regexp_extract("notes", rf"\b(?:{v.note_words(q)})\b\s*(?:ARE|IN|AS|GIVEN\s+AS|GIVEN\s+IN|ARE\s+IN|ARE\s+GIVEN\s+AS|:|=|-)?\s+([A-Z°\"'#][^;,()]*?)\s*(?:\bAND\b|[;,()]|$)", 1)
+        note_unit = F.when(F.col("quantity") == q, said).otherwise(note_unit)
+    silent = ~is_listed(F.col("value_label")) & ~is_listed(F.col("name_label"))
+    rows = rows.select("*", once(said=F.when(silent, note_unit).otherwise(F.lit(""))))
+    return rows.select(
         "var_id",
         F.col("key").alias("prop_name"),
         "quantity",
@@ -175,86 +237,102 @@ def unit_statements(tag_variables: DataFrame, common_units: DataFrame) -> DataFr
         "name_label",
         F.when(F.col("said") == "", F.lit("")).otherwise(canonical_unit(F.col("said"))).alias("note_label"),
     )
-    return out
 
 
-def _vocabulary(spark) -> DataFrame:
-    """The fixed unit vocabulary as rows (about 200, a proven bound)."""
-    rows = [(q, s, u, scale, off, u == next(iter(units))) for q, units in UNITS.items() for u, (scale, off, sp) in units.items() for s in sp]
-    return spark.createDataFrame(rows, "quantity string, label string, unit string, scale double, offset double, is_common boolean")
+SOURCES = "quantity string, label string, links bigint, est_scale double, est_offset double, misfit double, unit string, scale double, offset double, decided string"
 
 
-def source_conversions(statements: DataFrame) -> DataFrame:
-    """(quantity, label) -> conversion, by linked medians, snapping and propagation.
+def source_conversions(statements: DataFrame, v: Vocabulary) -> DataFrame:
+    """(quantity, label) -> linked rows, estimated scale and offset, the conversion snapped to, and how it was
+    decided: ``hub``, ``confirmed`` (the listed text and the estimate agree), ``overruled`` (the estimate
+    contradicts the listed text), ``estimated`` (no listed text) or ``text`` (listed, too few links to judge).
 
-    Sources are the unit texts in use; a listed one, and the one that states nothing, has its
-    conversion from the start. Two sources are linked by the kinds of equipment they share. Each round
-    brings the levels and spreads of all sources converted so far to the common unit, per kind, and
-    snaps every other source that shares kinds with any of them; rounds go on until none is added.
-    The sources of a kind meet in one row of that kind, so there are no pairs of sources.
+    Levels are gathered per quantity, unit text and kind, so the sources of a kind meet in one reference of
+    that kind and there are no pairs of sources. Rounds go on until no source is added.
     """
     spark = statements.sparkSession
-    vocabulary = _vocabulary(spark)
     # the label that a row is read by: value, else name, else note, else none
     said = statements.select("quantity", "kind", "num", F.coalesce(F.nullif("value_label", F.lit("")), F.nullif("name_label", F.lit("")), F.nullif("note_label", F.lit("")), F.lit("")).alias("label"))
-    levels = cut(said.where("num <> 0").groupBy("quantity", "kind", "label").agg(F.count("*").alias("n"), F.percentile_approx("num", 0.5, 1000).alias("mid"), (F.percentile_approx("num", 0.75, 1000) - F.percentile_approx("num", 0.25, 1000)).alias("spread")))
-    # known conversions a source may snap to: of each unit once
-    units = F.broadcast(vocabulary.select("quantity", "unit", "scale", "offset").distinct())
-    # a source that states nothing is, by definition of the tables, in the common unit
-    nothing = levels.where("label = ''").select("quantity", "label", F.try_element_at(_common_of(), "quantity").alias("unit"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset")).distinct()
-    known = cut(vocabulary.select("quantity", "label", "unit", "scale", "offset").unionByName(nothing))
-
-    def reference(known: DataFrame) -> DataFrame:
-        at = levels.join(known, ["quantity", "label"])
-        weighted = lambda c: F.percentile(c, 0.5, F.col("n"))
-        return at.groupBy("quantity", "kind").agg(weighted(F.col("mid") * F.col("scale") + F.col("offset")).alias("ref_mid"), weighted(F.col("spread") * F.col("scale")).alias("ref_spread"), F.sum("n").alias("ref_n"))
-
-    def estimate(pairs: DataFrame, by: list[str]) -> DataFrame:
-        """links, misfit of levels and misfit of spreads (scale without offset): medians of the log ratios per kind."""
-        ratio = lambda x, y: F.log(F.when(F.try_divide(F.abs(x), F.abs(y)) > 0, F.try_divide(F.abs(x), F.abs(y))))
-        level = ratio(F.col("ref_mid"), F.col("mid") * F.col("scale") + F.col("offset"))
-        spread = ratio(F.col("ref_spread"), F.col("spread") * F.col("scale"))
+    quarters = F.percentile_approx("num", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000))
+    levels = cut(said.where("num <> 0").groupBy("quantity", "kind", "label").agg(F.count("*").alias("n"), quarters.alias("q")))
+    shifted = [q for q, us in v.units.items() if any(off for _, off in us.values())]  # quantities with offsets
+    units = F.broadcast(spark.createDataFrame([(q, u, s, o) for q, us in v.units.items() for u, (s, o) in us.items()], "quantity string, unit string, scale double, offset double"))  # the fixed vocabulary
+    texts = F.broadcast(spark.createDataFrame([(q, la, u, *v.units[q][u], u == v.common[q]) for q, ls in v.labels.items() for la, u in ls.items()], "quantity string, label string, text_unit string, text_scale double, text_offset double, is_hub boolean"))
+    common = F.try_element_at(_lit_map(v.common), "quantity")
+    hub = levels.select("quantity", "label").distinct().join(texts, ["quantity", "label"], "left").where("label = '' or is_hub")
+    known = cut(hub.select("quantity", "label", F.lit(None).cast("bigint").alias("links"), F.lit(1.0).alias("est_scale"), F.lit(0.0).alias("est_offset"), F.lit(0.0).alias("misfit"), common.alias("unit"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit("hub").alias("decided")))
+    log = lambda x: F.log(F.when(F.abs(x) > 0, F.abs(x)))
+
+    def estimates(left: DataFrame, known: DataFrame) -> DataFrame:
+        """Per source: links, log scale by levels, log scale by spreads, its own and the reference's median, noise."""
+        at = levels.join(known.select("quantity", "label", "scale", "offset"), ["quantity", "label"])
+        turned = F.transform("q", lambda x: x * F.col("scale") + F.col("offset"))
+        ref = at.select("quantity", "kind", "n", F.posexplode(turned).alias("i", "x")).groupBy("quantity", "kind", "i").agg(F.percentile("x", 0.5, F.col("n")).alias("x"), F.sum("n").alias("ref_n"))
+        ref = ref.groupBy("quantity", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("r"), F.max("ref_n").alias("ref_n"))  # three quartiles
+        j = left.join(ref, ["quantity", "kind"])
+        spread = lambda c: F.get(c, F.lit(2)) - F.get(c, F.lit(0))
+        level = sum((log(F.get("r", F.lit(i))) - log(F.get("q", F.lit(i))) for i in range(3)), F.lit(0.0)) / 3
         both = F.least("n", "ref_n")
-        return pairs.groupBy(*by).agg(F.sum(both).alias("links"), F.abs(F.percentile(level, 0.5, both)).alias("misfit"), F.abs(F.percentile(spread, 0.5, both)).alias("spread_misfit"))
+        wide = (log(F.get("r", F.lit(2))) - log(F.get("r", F.lit(0)))) / 1.35
+        return j.groupBy("quantity", "label").agg(
+            F.sum(both).alias("links"),
+            F.percentile(level, 0.5, both).alias("by_level"),
+            F.percentile(log(spread("r")) - log(spread("q")), 0.5, both).alias("by_spread"),
+            F.percentile(F.get("q", F.lit(1)), 0.5, both).alias("mid"),
+            F.percentile(F.get("r", F.lit(1)), 0.5, both).alias("ref_mid"),
+            (F.percentile(wide, 0.5, both) / F.sqrt(F.sum(both))).alias("noise"),
+        )
 
-    first = reference(known)
-    listed = estimate(levels.join(known, ["quantity", "label"]).join(first, ["quantity", "kind"]), ["quantity", "label"]).drop("spread_misfit")
-    done = known.join(listed, ["quantity", "label"], "left").select("quantity", "label", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "misfit", "unit", "scale", "offset")
     while True:
-        left = levels.join(known, ["quantity", "label"], "left_anti")
-        fits = estimate(left.join(reference(known), ["quantity", "kind"]).join(units, "quantity"), ["quantity", "label", "unit", "scale", "offset"]).where((F.col("links") >= MIN_LINKS) & (F.col("misfit") <= SNAP_TOLERANCE))
-        # levels say which conversions are near; where units differ by an offset the spreads help to choose among them
-        far = F.col("misfit") + F.when(F.col("quantity") == "temperature", F.coalesce("spread_misfit", F.lit(0.0))).otherwise(F.lit(0.0))
-        new = cut(fits.groupBy("quantity", "label").agg(F.min_by(F.struct("links", "misfit", "unit", "scale", "offset"), F.struct(far, "unit")).alias("c")).select("quantity", "label", "c.*"))
+        left = levels.join(known.select("quantity", "label"), ["quantity", "label"], "left_anti")
+        est = estimates(left, known).where(F.col("links") >= MIN_LINKS)
+        moved = F.col("quantity").isin(*shifted) if shifted else F.lit(False)
+        est = est.withColumn("est_scale", F.exp(F.when(moved, F.col("by_spread")).otherwise(F.col("by_level")))).withColumn("est_offset", F.when(moved, F.col("ref_mid") - F.col("est_scale") * F.col("mid")).otherwise(F.lit(0.0)))
+        # how far a known conversion is from the estimate
+        far = F.when(moved, F.abs(log(F.col("ref_mid")) - log(F.col("mid") * F.col("scale") + F.col("offset"))) + F.abs(F.col("by_spread") - F.log("scale"))).otherwise(F.abs(F.col("by_level") - F.log("scale")))
+        near = F.coalesce(far, F.lit(99.0))
+        fits = est.join(units, "quantity").withColumn("far", near)
+        best = fits.groupBy("quantity", "label", "links", "est_scale", "est_offset", "noise").agg(F.min_by(F.struct("unit", "scale", "offset"), F.struct("far", "unit")).alias("b"), F.min("far").alias("far"), F.map_from_entries(F.collect_list(F.struct("unit", "far"))).alias("all"))  # units of one quantity
+        j = best.join(texts, ["quantity", "label"], "left").withColumn("text_far", F.try_element_at("all", F.col("text_unit")))
+        # the tolerance grows with the estimate's own noise: few rows say little
+        limit = F.lit(SNAP_TOLERANCE) + 2 * F.coalesce("noise", F.lit(0.0))
+        contradicted = F.col("text_unit").isNotNull() & (F.col("text_far") > limit) & (F.col("far") <= SNAP_TOLERANCE) & (F.col("links") >= OVERRULE_LINKS)
+        by_text = F.col("text_unit").isNotNull() & ~contradicted
+        new = j.where(by_text | (F.col("far") <= limit)).select(
+            "quantity", "label", "links", "est_scale", "est_offset",
+            F.when(by_text, F.col("text_far")).otherwise(F.col("far")).alias("misfit"),
+            *[F.when(by_text, F.col(f"text_{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("unit", "scale", "offset")],
+            F.when(by_text, "confirmed").when(contradicted, "overruled").otherwise("estimated").alias("decided"),
+        )
+        new = cut(new)
         if new.isEmpty():
-            return done
-        done = done.unionByName(new)
-        known = cut(known.unionByName(new.select(known.columns)))
-
-
-def _common_of() -> Column:
-    """Map from a quantity to its common unit."""
-    return F.create_map(*[F.lit(x) for q, units in UNITS.items() for x in (q, next(iter(units)))])
+            break
+        known = cut(known.unionByName(new))
+    # listed texts that are too rare to judge, or stand only beside another statement, keep their meaning
+    rest = texts.join(known.select("quantity", "label"), ["quantity", "label"], "left_anti")
+    none = lambda t: F.lit(None).cast(t)
+    return known.unionByName(rest.select("quantity", "label", none("bigint").alias("links"), none("double").alias("est_scale"), none("double").alias("est_offset"), none("double").alias("misfit"), F.col("text_unit").alias("unit"), F.col("text_scale").alias("scale"), F.col("text_offset").alias("offset"), F.lit("text").alias("decided")))
 
 
-def harmonise_units(tag_variables: DataFrame, common_units: DataFrame) -> DataFrame:
+def harmonise_units(tag_variables: DataFrame, common_units: DataFrame, listed: bool = True) -> DataFrame:
     """Every quantity property as a number in its common unit.
 
     Columns: var_id, prop_name, quantity, number, unit (as recorded), stated_in, common_value,
     also_common (the value also states the common unit), foreign (recorded in another unit).
     The order of belief is value, property name, note or schedule name, common unit.
     """
+    v = vocabulary(common_units, listed)
     # read by the estimate and by the result: parsed once, and both plans stay small
-    st = written(unit_statements(tag_variables, common_units), "unit-statements")
-    conv = cut(source_conversions(st))
+    st = written(unit_statements(tag_variables, v), "unit-statements")
+    conv = cut(source_conversions(st, v))
     # the table of sources is tiny beside the rows; AQE broadcasts it after seeing its size
     side = lambda p: conv.where("label <> ''").select("quantity", F.col("label").alias(f"{p}_label"), F.col("unit").alias(f"{p}_unit"), F.col("scale").alias(f"{p}_scale"), F.col("offset").alias(f"{p}_offset"))
-    alt = conv.join(F.broadcast(_vocabulary(st.sparkSession).where("is_common").select("quantity", "label")), ["quantity", "label"]).select("quantity", F.col("label").alias("alt_label"), F.lit(True).alias("alt_common"))
+    common = F.try_element_at(_lit_map(v.common), "quantity") if v.common else F.lit(None).cast("string")
+    alt = conv.where((F.col("label") != "") & (F.col("unit") == common)).select("quantity", F.col("label").alias("alt_label"), F.lit(True).alias("alt_common"))
     j = st.join(side("value"), ["quantity", "value_label"], "left").join(side("name"), ["quantity", "name_label"], "left").join(side("note"), ["quantity", "note_label"], "left").join(alt, ["quantity", "alt_label"], "left")
-    common = _common_of()
     by_value = F.col("value_unit").isNotNull()
     pick = lambda what, default: F.when(by_value, F.col(f"value_{what}")).otherwise(F.coalesce(f"name_{what}", f"note_{what}", default))
-    unit, scale, offset = pick("unit", F.try_element_at(common, "quantity")), pick("scale", F.lit(1.0)), pick("offset", F.lit(0.0))
+    unit, scale, offset = pick("unit", common), pick("scale", F.lit(1.0)), pick("offset", F.lit(0.0))
     stated = F.when(by_value, "value").when(F.col("name_unit").isNotNull(), "name").when(F.col("note_unit").isNotNull(), "note").otherwise("nowhere")
     also = F.coalesce("alt_common", F.lit(False))
     return j.select(
@@ -266,5 +344,5 @@ def harmonise_units(tag_variables: DataFrame, common_units: DataFrame) -> DataFr
         stated.alias("stated_in"),
         (F.col("num") * scale + offset).alias("common_value"),
         also.alias("also_common"),
-        ((unit != F.try_element_at(common, "quantity")) & ~also).alias("foreign"),
+        ((unit != common) & ~also).alias("foreign"),
     )

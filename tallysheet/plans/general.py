@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallysheet.operators import nested_flatten, packed_split, schema_drift
-from tallysheet.operators.unit_harmonise import harmonise_units, source_conversions, unit_statements
-from tallysheet.session import table
+from tallysheet.operators.unit_harmonise import harmonise_units, source_conversions, unit_statements, vocabulary
+from tallysheet.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,8 @@ def p2_common_values(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     """The sources (unit texts), their linked rows and the conversions they were snapped to."""
-    return source_conversions(unit_statements(table(spark, d, "tag_variables"), table(spark, d, "common_units")))
+    v = vocabulary(table(spark, d, "common_units"))
+    return source_conversions(written(unit_statements(table(spark, d, "tag_variables"), v), "unit-statements"), v)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

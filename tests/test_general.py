@@ -67,6 +67,50 @@ def test_conversions_are_propagated_between_sources(spark, units):
     assert got == {"CFM": 100, "M3/S": 100, "L/S": 100, "M3/H": 50}
 
 
+def test_a_contradicted_text_is_overruled(spark, units):
+    rng = random.Random(3)
+    air = [{"AIRFLOW": f"{rng.randint(500, 9000)} CFM"} for _ in range(300)] + [{"AIRFLOW": f"{rng.randint(500, 9000) / 2118.88:.3f} L/S"} for _ in range(100)] + [{"AIRFLOW": f"{rng.randint(500, 9000) / 2.11888:.1f} LPS"} for _ in range(100)]
+    t = variables(spark, air)
+    v = U.vocabulary(units)
+    got = {r["label"]: (r["unit"], r["decided"]) for r in U.source_conversions(U.unit_statements(t, v), v).where("quantity = 'airflow' and decided <> 'text'").collect()}
+    assert got["L/S"] == ("M3/S", "overruled") and got["LPS"] == ("L/S", "confirmed")
+    # with few rows the text stands
+    few = U.harmonise_units(variables(spark, air[:320]), units).where("unit = 'L/S'").count()
+    assert few == 20
+
+
+def test_offsets_are_estimated(spark, units):
+    rng = random.Random(4)
+    f = [rng.uniform(40, 170) for _ in range(900)]
+    t = variables(spark, [{"EAT": f"{x:.1f} F"} for x in f[:500]] + [{"EAT": f"{(x - 32) / 1.8:.2f} grad"} for x in f[500:]])
+    v = U.vocabulary(units)
+    r = U.source_conversions(U.unit_statements(t, v), v).where("label = 'GRAD'").first()
+    assert (r["unit"], r["decided"]) == ("DEG C", "estimated")
+    assert r["est_scale"] == pytest.approx(1.8, rel=0.15) and r["est_offset"] == pytest.approx(32, abs=12)
+
+
+def test_other_common_units_and_unknown_quantities(spark):
+    c = spark.createDataFrame([("airflow", "L/S", ["AIRFLOW"]), ("sound", "DB", ["NOISE"]), (None, "X", ["Y"])], "quantity string, common_unit string, prop_names array<string>")
+    t = variables(spark, [{"AIRFLOW": "1000 CFM"}, {"AIRFLOW": "500 l/s"}, {"NOISE": "41 dB"}, {"NOISE": "40"}, {"NOISE": "0.04 dB x 1000"}])
+    got = {(r["quantity"], r["unit"], round(r["common_value"], 1), r["foreign"]) for r in U.harmonise_units(t, c).collect()}
+    assert got == {("airflow", "CFM", 471.9, True), ("airflow", "L/S", 500.0, False), ("sound", "DB", 41.0, False), ("sound", "DB", 40.0, False), ("sound", "DB X 1000", 40.0, True)}
+    with pytest.raises(ValueError, match="no known unit"):
+        U.vocabulary(spark.createDataFrame([("airflow", "FURLONG", ["AIRFLOW"])], c.schema))
+
+
+def test_estimates_alone_find_the_foreign_units(spark):
+    """With no text listed but the common unit's own name, the linked rows must tell all conversions."""
+    import os
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    t, c = spark.read.parquet(f"{d}/tag_variables.parquet"), spark.read.parquet(f"{d}/common_units.parquet")
+    rows_ = lambda listed: {tuple(r) for r in U.harmonise_units(t, c, listed).where("foreign").select("var_id", "prop_name").collect()}
+    by_text, by_rows = rows_(True), rows_(False)
+    assert len(by_text & by_rows) >= 0.95 * len(by_text) and len(by_text & by_rows) >= 0.95 * len(by_rows)
+
+
 def test_units_from_schedule_name(spark, units):
     v = variables(spark, [{"NECK": "300"}], "AIR DEVICE SCHEDULE (units: necks mm, airflow l/s)")
     assert U.harmonise_units(v, units).first()["unit"] == "MM"
