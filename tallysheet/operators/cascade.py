@@ -64,8 +64,8 @@ def tag_cascade(detections: DataFrame, class_tags: DataFrame, words: DataFrame,
     near = distance_join(toks, spots, ["project", "page"], word_radius * PT).select("project", "page", "det_id", "resolved", "tok").distinct()
     filed = tags.select("project", F.col("cls").alias("resolved"), "tag", "ord")
     score = near.join(index, ["project", "tok"]).join(filed, ["project", "resolved", "tag"]).groupBy("project", "page", "resolved", "det_id", "tag", "ord").agg(F.count("*").alias("score"))
-    edges = score.select(F.col("det_id").alias("l"), F.concat_ws("\u0001", "project", F.col("page").cast("string"), "resolved", "tag").alias("r"), "tag", "score", (-F.col("score")).alias("o"), F.col("det_id").alias("o1"), F.col("ord").alias("o2"))
-    won = greedy_match(edges, "o", "o1", "o2")
+    edges = score.select("project", "page", "resolved", F.col("det_id").alias("l"), F.concat_ws("\u0001", "project", F.col("page").cast("string"), "resolved", "tag").alias("r"), "tag", "score", (-F.col("score")).alias("o"), F.col("det_id").alias("o1"), F.col("ord").alias("o2"))
+    won = greedy_match(edges, "o", "o1", "o2", by=("project", "page", "resolved"))
     cls_of = base.select("det_id", "cls")
     finger = won.select(F.col("l").alias("det_id"), "tag", match_confidence(F.col("score")).alias("tag_confidence")).join(cls_of, "det_id").select("det_id", F.col("cls").alias("new_cls"), "tag", F.lit("fingerprint").alias("tag_method"), "tag_confidence")
     done = cut(direct.unionByName(finger))

@@ -1,23 +1,36 @@
 """Spatial joins, suppression and one-to-one matching, without pairs of a whole page.
 
 Distance joins hash both sides onto a grid whose cell is the search radius and compare the 3 x 3
-neighbourhood only. Ordered greedy procedures (non-max suppression, one-to-one matching) are computed
-in rounds that give exactly the sequential result: whatever is first in order among all it conflicts
-with is decided, its conflicts fall, and so on until nothing is undecided. No page is folded in one
-task, so a page may hold any share of all rows.
+neighbourhood only; the work of a dense cell is split over tasks.
+
+Ordered greedy procedures (non-max suppression, one-to-one matching) give exactly the sequential result in
+two ways. Groups of bounded size (``MAX_GROUP`` rows: pages, or connected components of what is left) are
+visited in order in one task each. Larger ones are worked off in rounds: whatever is first in order among all
+it conflicts with is decided, its conflicts fall; after ``ROUNDS`` of them the rest is parted into groups
+again. So a page may hold any share of all rows, and a long chain of conflicts costs no round per link.
 
 Defined results: rows with a NULL key or coordinate match nothing (and survive suppression); ties are
-broken by the given order columns, which must be unique.
+broken by the given order columns, which must be unique; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import defaultdict
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysheet.functions.geometry import distance, iou
+from tallysheet.operators.components import hook_and_shortcut
 from tallysheet.session import cut
 
+MAX_GROUP = 1_000_000  # rows (boxes or edges) of a group that one task visits in order
+ROUNDS = 4  # rounds over larger groups before the rest is parted again
+DENSE = 1_000_000  # pairs to compare in a cell from which its work is split
+
 
 def distance_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float, lx: str = "cx", ly: str = "cy", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """Pairs of one key at most ``radius`` apart, with their ``dist``; a grid equi-join."""
@@ -26,7 +39,22 @@ def distance_join(left: DataFrame, right: DataFrame, keys: list[str], radius: fl
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     lhs = left.withColumns({"_gx": cell(lx, 0), "_gy": cell(ly, 0)})
     rhs = right.withColumn("_n", F.explode(near)).withColumns({"_gx": cell(rx, F.col("_n.a")), "_gy": cell(ry, F.col("_n.b"))}).drop("_n")
-    return lhs.join(rhs, [*keys, "_gx", "_gy"]).drop("_gx", "_gy").withColumn("dist", distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry))).where(F.col("dist") <= r)
+    lhs, rhs, on = _salted(lhs, rhs, [*keys, "_gx", "_gy"])
+    return lhs.join(rhs, on).drop("_gx", "_gy", "_salt").withColumn("dist", distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry))).where(F.col("dist") <= r)
+
+
+def _salted(lhs: DataFrame, rhs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt for cells of more than ``DENSE`` comparisons: the left rows of such a cell are
+    dealt out, the right ones repeated. Counting the cells is a small aggregation; without a dense cell
+    nothing else is done."""
+    a, b = lhs.groupBy(*on).agg(F.count("*").alias("_a")), rhs.groupBy(*on).agg(F.count("*").alias("_b"))
+    dense = cut(a.where("_a > 1").join(b.where("_b > 1"), on).where(F.col("_a") * F.col("_b") > DENSE).select(*on, F.least(F.ceil(F.col("_a") * F.col("_b") / DENSE), F.col("_a")).cast("int").alias("_salts")))
+    if dense.isEmpty():
+        return lhs, rhs, on
+    salts = F.coalesce("_salts", F.lit(1))
+    lhs = lhs.join(dense, on, "left").withColumn("_salt", F.floor(F.rand(17) * salts).cast("int")).drop("_salts")
+    rhs = rhs.join(dense, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return lhs, rhs, [*on, "_salt"]
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float = 256.0) -> DataFrame:
@@ -63,6 +91,19 @@ def nearest(pairs: DataFrame, by: list[str], value: Column, *order: Column) -> D
     return pairs.groupBy(*by).agg(F.min_by(value, F.struct("dist", *order)).alias("nearest"), F.min("dist").alias("dist"))
 
 
+def _parted(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most MAX_GROUP rows, rows of larger groups or None); ``df`` is a cut frame."""
+    large = cut(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > MAX_GROUP).select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]))
+    if large.isEmpty():
+        return df, None
+    same = reduce(lambda x, y: x & y, [df[b].eqNullSafe(large[f"_k{i}"]) for i, b in enumerate(by)])
+    return df.join(large, same, "left_anti"), cut(df.join(large, same, "left_semi"))
+
+
+def _together(frames: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, frames) if frames else None
+
+
 def keep_first(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Greedy suppression in rank order: nodes(id, rank), conflicts(a, b) -> ids kept.
 
@@ -71,35 +112,95 @@ def keep_first(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """
     rank = nodes.select("id", "rank")
     both = conflicts.select("a", "b").where("a <> b").join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b")
+    before = F.col("ra") < F.col("rb")
     # an edge points from the earlier to the later node
-    edges = cut(both.select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("first"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct())
-    dropped = None
-    while not edges.isEmpty():
-        # kept for sure: nodes that come first in some edge and later in none
-        sure = edges.select(F.col("first").alias("id")).distinct().join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-        gone = cut(edges.join(sure, edges["first"] == sure["id"], "left_semi").select(F.col("later").alias("id")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        rest = edges.join(gone, edges["first"] == gone["id"], "left_anti")
-        edges = cut(rest.join(gone, rest["later"] == gone["id"], "left_anti").join(sure, rest["first"] == sure["id"], "left_anti"))
-    return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
-
+    edges = cut(both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("later"), F.least("ra", "rb").alias("r")).distinct())
+    dropped: list[DataFrame] = []
+    typed = edges.schema["later"].dataType.simpleString()
+
+    def visit(t: pa.Table) -> pa.Table:
+        gone: set = set()
+        order = np.argsort(t["_o"].to_numpy(), kind="stable")
+        first, later = t["first"].to_pylist(), t["later"].to_pylist()
+        for i in order:
+            if first[i] not in gone:
+                gone.add(later[i])
+        return pa.table({"id": pa.array(list(gone), t["later"].type)})
 
-def greedy_match(edges: DataFrame, *order: str) -> DataFrame:
+    while not edges.isEmpty():
+        if edges.count() <= MAX_GROUP:  # all that is left fits one group
+            small, edges = edges.withColumn("component", F.lit(0)), None
+        else:
+            ends = edges.select(F.col("first").alias("node")).unionByName(edges.select(F.col("later").alias("node")))
+            held = cut(edges.join(hook_and_shortcut(ends, edges.select(F.col("first").alias("a"), F.col("later").alias("b"))), edges["first"] == F.col("node")).drop("node"))
+            small, edges = _parted(held, ["component"])
+        placed = small.withColumn("_o", F.dense_rank().over(Window.partitionBy("component").orderBy("r")))
+        dropped.append(cut(placed.select("component", "first", "later", "_o").groupBy("component").applyInArrow(visit, f"id {typed}")))
+        if edges is None:
+            break
+        edges = edges.drop("component")
+        for _ in range(ROUNDS):
+            # kept for sure: nodes that come first in some edge and later in none
+            sure = edges.select(F.col("first").alias("id")).distinct().join(edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
+            gone = cut(edges.join(sure, edges["first"] == sure["id"], "left_semi").select(F.col("later").alias("id")).distinct())
+            dropped.append(gone)
+            rest = edges.join(gone, edges["first"] == gone["id"], "left_anti")
+            edges = cut(rest.join(gone, rest["later"] == gone["id"], "left_anti").join(sure, rest["first"] == sure["id"], "left_anti"))
+        dropped = [cut(_together(dropped))]
+    out = _together(dropped)
+    return nodes if out is None else nodes.join(out, "id", "left_anti")
+
+
+def greedy_match(edges: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One-to-one matching of edges(l, r, ...) visited in order: an edge is taken when both ends are free.
 
-    The order columns decide, then l, then r. Rounds take every edge that comes first at both of its
-    ends, which is the sequential result.
+    The order columns decide, then l, then r. ``by`` names columns that all edges of an end share (its page),
+    so that groups need not be searched for.
     """
+    columns = edges.columns
     # least edge at each end: structs of the order columns compare left to right
-    left = cut(edges.withColumn("_o", F.struct(*order, "l", "r")))
-    taken = None
-    while not left.isEmpty():
-        best_l = left.groupBy("l").agg(F.min("_o").alias("_ol"))
-        best_r = left.groupBy("r").agg(F.min("_o").alias("_or"))
-        won = cut(left.join(best_l, "l").join(best_r, "r").where("_o = _ol and _o = _or").drop("_ol", "_or").select(*left.columns))
-        taken = won if taken is None else taken.unionByName(won)
-        left = cut(left.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti"))
-    return edges.limit(0) if taken is None else taken.drop("_o")
+    left: DataFrame | None = cut(edges.withColumn("_e", F.struct(*order, "l", "r")))
+    taken: list[DataFrame] = []
+
+    def visit(t: pa.Table) -> pa.Table:
+        ls, rs, out = set(), set(), []
+        l, r = t["l"].to_pylist(), t["r"].to_pylist()
+        for i in np.argsort(t["_o"].to_numpy(), kind="stable"):
+            if l[i] not in ls and r[i] not in rs:
+                ls.add(l[i])
+                rs.add(r[i])
+                out.append(i)
+        return t.take(pa.array(out, pa.int64())).select(columns)
+
+    def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
+        placed = df.withColumn("_o", F.row_number().over(Window.partitionBy(*keys).orderBy("_e"))).drop("_e")
+        return placed.groupBy(*keys).applyInArrow(visit, edges.schema)
+
+    if by:
+        small, left = _parted(left, list(by))
+        taken.append(ordered(small, list(by)))
+    while left is not None and not left.isEmpty():
+        if left.count() <= MAX_GROUP:
+            taken.append(ordered(left.withColumn("_c", F.lit(0)), ["_c"]))
+            break
+        end = lambda side: F.concat(F.lit(f"{side}\u0001"), F.col(side).cast("string"))
+        pairs = left.select(end("l").alias("a"), end("r").alias("b"))
+        comp = hook_and_shortcut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), pairs)
+        held = cut(left.withColumn("_a", end("l")).join(comp.select(F.col("node").alias("_a"), F.col("component").alias("_c")), "_a").drop("_a"))
+        small, left = _parted(held, ["_c"])
+        taken.append(cut(ordered(small, ["_c"])))
+        if left is None:
+            break
+        left = left.drop("_c")
+        for _ in range(ROUNDS):
+            best_l = left.groupBy("l").agg(F.min("_e").alias("_el"))
+            best_r = left.groupBy("r").agg(F.min("_e").alias("_er"))
+            won = cut(left.join(best_l, "l").join(best_r, "r").where("_e = _el and _e = _er").select(*left.columns))
+            taken.append(won.select(columns))
+            left = cut(left.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti"))
+        taken = [cut(_together(taken))]
+    out = _together(taken)
+    return edges.limit(0) if out is None else out.select(columns)
 
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -110,29 +211,124 @@ def _distinct(boxes: DataFrame, keys: list[str], shape: list[str]) -> DataFrame:
     return boxes.groupBy(*keys, *shape).agg(F.min_by("id", "rank").alias("rep"), F.min("rank").alias("rank"))
 
 
+def _visited(d: DataFrame, keys: list[str], visit, shape: list[str]) -> DataFrame:
+    """Ids that ``visit`` keeps of each group, its rows in rank order: visit(list of shapes) -> kept positions."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t["_o"].to_numpy(), kind="stable")))
+        kept = visit(np.stack([t[c].to_numpy() for c in shape], axis=1).astype(float) if t.num_rows else np.zeros((0, len(shape))))
+        return pa.table({"id": t["rep"].take(pa.array(kept, pa.int64()))})
+
+    placed = d.select(*keys, "rep", *shape, F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).alias("_o"))
+    return placed.groupBy(*keys).applyInArrow(run, f"id {d.schema['rep'].dataType.simpleString()}")
+
+
+def _whole(d: DataFrame, keys: list[str], shape: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that can conflict, the others): a NULL key or coordinate conflicts with nothing."""
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*keys, *shape]])
+    return d.where(whole), d.where(~whole)
+
+
 def suppress_near(boxes: DataFrame, keys: list[str], distance: float) -> DataFrame:
     """Ids kept when, in rank order, a box goes whose centre is closer than ``distance`` on both axes to a
     kept one. boxes(keys.., id, rank, cx, cy); rank is unique.
 
-    Of boxes with one centre only the first can stay (what drops it drops them all), so copies are
-    reduced before any pair is made.
+    Boxes of one grid cell of that side conflict, so a cell keeps one box at most: no pairs are made. Of
+    boxes with one centre only the first can stay (what drops it drops them all), so copies are reduced first.
     """
-    d = cut(_distinct(boxes, keys, ["cx", "cy"]))
-    left = d.select(*keys, F.col("rep").alias("a"), "cx", "cy")
-    right = d.select(*keys, F.col("rep").alias("b"), F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    near = distance_join(left, right, keys, distance * 1.5).where((F.col("a") < F.col("b")) & (F.abs(F.col("cx") - F.col("rx")) < distance) & (F.abs(F.col("cy") - F.col("ry")) < distance))
-    return keep_first(d.select(F.col("rep").alias("id"), "rank"), near).select("id")
 
+    def visit(at: np.ndarray) -> list[int]:
+        kept: dict[tuple[int, int], tuple[float, float]] = {}
+        out = []
+        for i, (x, y) in enumerate(at.tolist()):
+            gx, gy = int(x // distance), int(y // distance)
+            near = (kept.get((gx + a, gy + b)) for a in (-1, 0, 1) for b in (-1, 0, 1))
+            if not any(k and abs(k[0] - x) < distance and abs(k[1] - y) < distance for k in near):
+                kept[gx, gy] = (x, y)
+                out.append(i)
+        return out
+
+    d, odd = _whole(_distinct(boxes, keys, ["cx", "cy"]), keys, ["cx", "cy"])
+    left: DataFrame | None = cut(d)
+    kept: list[DataFrame] = [odd.select(F.col("rep").alias("id"))]
+    cell = lambda c, k: (F.floor(F.col(c) / F.lit(float(distance))) + k).cast("bigint")
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    close = (F.abs(F.col("cx") - F.col("sx")) < distance) & (F.abs(F.col("cy") - F.col("sy")) < distance)
+    while left is not None:
+        small, left = _parted(left, keys)
+        kept.append(_visited(small, keys, visit, ["cx", "cy"]))
+        if left is None:
+            break
+        at = [*keys, "_gx", "_gy"]
+        for _ in range(ROUNDS):
+            placed = left.withColumns({"_gx": cell("cx", 0), "_gy": cell("cy", 0)})
+            # only the first of a cell can be first among all its conflicts
+            heads = placed.groupBy(*at).agg(F.min_by(F.struct("rep", "rank", "cx", "cy"), "rank").alias("h")).select(*keys, F.col("h.rep").alias("sid"), F.col("h.rank").alias("srank"), F.col("h.cx").alias("sx"), F.col("h.cy").alias("sy"))
+            reach = cut(heads.withColumn("_n", F.explode(around)).withColumns({"_gx": cell("sx", F.col("_n.a")), "_gy": cell("sy", F.col("_n.b"))}).drop("_n"))
+            hits = placed.join(reach, at).where(close)
+            blocked = hits.where("rank < srank").select("sid").distinct()
+            sure = cut(heads.join(blocked, "sid", "left_anti"))
+            kept.append(sure.select(F.col("sid").alias("id")))
+            gone = hits.join(sure.select("sid"), "sid", "left_semi").select("rep").distinct()
+            left = cut(left.join(gone, "rep", "left_anti"))
+        kept = [cut(_together(kept))]
+    return _together(kept)
 
-def suppress_overlaps(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """Ids kept when, in rank order, a box goes that overlaps a kept one by more than ``limit`` (IoU).
 
-    boxes(keys.., id, rank, x1, y1, x2, y2); rank is unique; copies of one box are reduced first.
+def suppress_overlaps(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """Ids kept when, in rank order, a box goes that overlaps a kept one by more than ``limit`` (IoU, to nine
+    places). boxes(keys.., id, rank, x1, y1, x2, y2); rank is unique; copies of one box are reduced first.
     """
-    d = cut(_distinct(boxes, keys, BOX))
-    side = lambda p: d.select(*keys, F.col("rep").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
-    over = overlap_join(side("a_"), side("b_"), keys).where(F.col("a_id") < F.col("b_id"))
-    return keep_first(d.select(F.col("rep").alias("id"), "rank"), over.where(F.round(iou("a_", "b_"), 9) > limit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select("id")
+    least = limit + 5e-10  # the share that rounds to more than the limit
+
+    def visit(at: np.ndarray) -> list[int]:
+        side = max(1.0, float(np.median(np.maximum(at[:, 2] - at[:, 0], at[:, 3] - at[:, 1])))) if len(at) else 1.0
+        held: dict[tuple[int, int], list[int]] = defaultdict(list)
+        out = []
+        size = np.maximum(at[:, 2] - at[:, 0], 0) * np.maximum(at[:, 3] - at[:, 1], 0)
+        for i, (x1, y1, x2, y2) in enumerate(at.tolist()):
+            # a box can only be dropped by one that holds its centre's cell or any other it touches
+            cells = [(a, b) for a in range(int(x1 // side), int(x2 // side) + 1) for b in range(int(y1 // side), int(y2 // side) + 1)] if x2 > x1 and y2 > y1 else []
+            near = list({k for c in cells for k in held.get(c, ())})
+            if near:
+                o = at[near]
+                w, h = np.minimum(o[:, 2], x2) - np.maximum(o[:, 0], x1), np.minimum(o[:, 3], y2) - np.maximum(o[:, 1], y1)
+                both = np.maximum(w, 0) * np.maximum(h, 0)
+                if (both >= least * (size[near] + size[i] - both)).any() and ((both > 0) & (both >= least * (size[near] + size[i] - both))).any():
+                    continue
+            for c in cells:
+                held[c].append(i)
+            out.append(i)
+        return out
+
+    d, odd = _whole(_distinct(boxes, keys, BOX), keys, BOX)
+    small, large = _parted(cut(d), keys)
+    kept = [odd.select(F.col("rep").alias("id")), _visited(small, keys, visit, BOX)]
+    if large is not None:
+        side = lambda p: large.select(*keys, F.col("rep").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
+        over = overlap_join(side("a_"), side("b_"), keys).where(F.col("a_id") < F.col("b_id"))
+        kept.append(keep_first(large.select(F.col("rep").alias("id"), "rank"), over.where(F.round(iou("a_", "b_"), 9) > limit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).select("id"))
+    return _together(kept)
+
+
+def adjacent_cells(cells: DataFrame, keys: list[str], gap: float, share: float = 0.3) -> DataFrame:
+    """Edges (a, b) between ruled cells(keys.., id, x1, y1, x2, y2) of one table: edges that touch within ``gap``
+    on one axis, and an overlap above ``share`` of the lesser side on the other."""
+    grown = cells.select(*keys, "id", *BOX, (F.col("x1") - gap).alias("g1"), (F.col("y1") - gap).alias("g2"), (F.col("x2") + gap).alias("g3"), (F.col("y2") + gap).alias("g4"))
+
+    def side(p: str) -> DataFrame:
+        own = [F.col(c).alias(f"{p}o{c}") for c in BOX]
+        return grown.select(*keys, F.col("id").alias(f"{p}id"), *own, *[F.col(g).alias(f"{p}{c}") for g, c in zip(("g1", "g2", "g3", "g4"), BOX, strict=True)])
+
+    j = overlap_join(side("a_"), side("b_"), keys).where(F.col("a_id") < F.col("b_id"))
+
+    def axis(lo: str, hi: str) -> tuple[Column, Column]:
+        a1, a2, b1, b2 = F.col(f"a_o{lo}"), F.col(f"a_o{hi}"), F.col(f"b_o{lo}"), F.col(f"b_o{hi}")
+        touch = (F.abs(b1 - a2) < gap) | (F.abs(b2 - a1) < gap)
+        return touch, F.least(a2, b2) - F.greatest(a1, b1) > share * F.least(a2 - a1, b2 - b1)
+
+    (touch_x, along_x), (touch_y, along_y) = axis("x1", "x2"), axis("y1", "y2")
+    return j.where((touch_x & along_y) | (touch_y & along_x)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def overlap_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:

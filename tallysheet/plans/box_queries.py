@@ -77,9 +77,9 @@ PAIRS = f"SELECT a.project, a.page, a.box_id AS l, b.box_id AS r, {IOU} AS iou F
 @query("iou_greedy_match", f"WITH {TRUTH}, {FOUND}, m AS ({fold_sql(f'SELECT * FROM ({PAIRS}) WHERE iou >= 0.4', 'l, -round(iou, 9), r')}) SELECT m.l AS det_id, m.r AS truth_id FROM m")
 def iou_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-14: detections in order take their best unused truth at IoU 0.4 or more."""
-    e = _pairs(spark, d).where("iou >= 0.4").select(F.col("a_box_id").alias("l"), F.col("b_box_id").alias("r"), (-F.round("iou", 9)).alias("o"))
+    e = _pairs(spark, d).where("iou >= 0.4").select(*PAGE, F.col("a_box_id").alias("l"), F.col("b_box_id").alias("r"), (-F.round("iou", 9)).alias("o"))
     e = e.withColumn("first", F.col("l"))
-    return spatial.greedy_match(e, "first", "o").select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
+    return spatial.greedy_match(e, "first", "o", by=("project", "page")).select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
 
 
 NEAR = "SELECT a.project, a.page, a.box_id AS l, b.box_id AS r, sqrt((a.x1 + a.x2 - b.x1 - b.x2) * (a.x1 + a.x2 - b.x1 - b.x2) + (a.y1 + a.y2 - b.y1 - b.y2) * (a.y1 + a.y2 - b.y1 - b.y2)) / 2 AS dist FROM found a JOIN truth b ON a.project = b.project AND a.page = b.page AND abs(a.x1 + a.x2 - b.x1 - b.x2) <= {2r} AND abs(a.y1 + a.y2 - b.y1 - b.y2) <= {2r}"
@@ -95,15 +95,15 @@ def _near(spark: SparkSession, d: str, radius: float) -> DataFrame:
 @query("first_fit_match", f"WITH {TRUTH}, {FOUND}, m AS ({fold_sql(f'SELECT * FROM ({NEAR.replace("{2r}", "160")}) WHERE round(dist, 9) < 80', 'l, r')}) SELECT m.l AS det_id, m.r AS truth_id FROM m")
 def first_fit_match(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-15: detections in order take the first unused truth nearer than 80 px."""
-    e = _near(spark, d, 80.0).where("round(dist, 9) < 80").select("l", "r").withColumns({"first": F.col("l"), "second": F.col("r")})
-    return spatial.greedy_match(e, "first", "second").select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
+    e = _near(spark, d, 80.0).where("round(dist, 9) < 80").select(*PAGE, "l", "r").withColumns({"first": F.col("l"), "second": F.col("r")})
+    return spatial.greedy_match(e, "first", "second", by=("project", "page")).select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
 
 
 @query("top_score_match", f"WITH {TRUTH}, {FOUND}, m AS ({fold_sql(f'SELECT * FROM ({PAIRS}) WHERE iou > 0', '-round(iou, 9), l, r')}) SELECT m.l AS det_id, m.r AS truth_id FROM m")
 def top_score_match(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-16: pairs by falling score, each side once."""
-    e = _pairs(spark, d).where("iou > 0").select(F.col("a_box_id").alias("l"), F.col("b_box_id").alias("r"), (-F.round("iou", 9)).alias("o"))
-    return spatial.greedy_match(e, "o").select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
+    e = _pairs(spark, d).where("iou > 0").select(*PAGE, F.col("a_box_id").alias("l"), F.col("b_box_id").alias("r"), (-F.round("iou", 9)).alias("o"))
+    return spatial.greedy_match(e, "o", by=("project", "page")).select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
 
 
 @query(
@@ -180,6 +180,25 @@ def component_boxes(spark: SparkSession, d: str) -> DataFrame:
     return truth(spark, d).join(c, F.col("box_id") == F.col("node")).groupBy("component").agg(F.count("*").alias("boxes"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).where("boxes >= 2")
 
 
+_ADJACENT = "ABS(b.{lo} - a.{hi}) < 24 OR ABS(b.{hi} - a.{lo}) < 24"
+_ALONG = "least(a.{hi}, b.{hi}) - greatest(a.{lo}, b.{lo}) > 0.3 * least(a.{hi} - a.{lo}, b.{hi} - b.{lo})"
+
+
+def _axis(t: str, axis: str) -> str:
+    return "(" + t.format(lo=f"{axis}1", hi=f"{axis}2") + ")"
+
+
+@query(
+    "adjacent_components",
+    f"""WITH RECURSIVE {TRUTH}, e AS (SELECT a.box_id AS a, b.box_id AS b FROM truth a JOIN truth b ON a.project = b.project AND a.page = b.page AND a.box_id <> b.box_id AND (({_axis(_ADJACENT, 'x')} AND {_axis(_ALONG, 'y')}) OR ({_axis(_ADJACENT, 'y')} AND {_axis(_ALONG, 'x')}))),
+r AS (SELECT box_id AS node, box_id AS root FROM truth UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""",
+)
+def adjacent_components(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN-22, AGG-18: groups of cells that share a ruled edge."""
+    t = truth(spark, d).withColumnRenamed("box_id", "id")
+    return hook_and_shortcut(t.select(F.col("id").alias("node")), spatial.adjacent_cells(t, PAGE, 24.0))
+
+
 TILE, OVERLAP, SIDE = 640, 100, 7200
 
 

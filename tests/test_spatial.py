@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,16 @@ from tallysheet.operators.components import hook_and_shortcut
 from .conftest import rows
 
 
+@contextmanager
+def small_groups(n):
+    """Groups above n rows go through the rounds."""
+    old, spatial.MAX_GROUP = spatial.MAX_GROUP, n
+    try:
+        yield
+    finally:
+        spatial.MAX_GROUP = old
+
+
 def points(spark, pts, names):
     return spark.createDataFrame(pts, f"page int, {names[0]} int, {names[1]} double, {names[2]} double")
 
@@ -42,8 +53,12 @@ def sequential_match(edges):
 def test_greedy_match_is_the_sequential_one(spark, seed):
     rng = random.Random(seed)
     edges = list({(rng.randint(0, 3), rng.randint(0, 9), rng.randint(0, 9)) for _ in range(40)})
-    got = rows(spatial.greedy_match(spark.createDataFrame(edges, "o int, l int, r int"), "o").select("l", "r"))
-    assert got == sequential_match(edges)
+    df = spark.createDataFrame(edges, "o int, l int, r int")
+    assert rows(spatial.greedy_match(df, "o").select("l", "r")) == sequential_match(edges)
+    assert rows(spatial.greedy_match(df.withColumn("k", F.lit(1)), "o", by=("k",)).select("l", "r")) == sequential_match(edges)
+    if seed % 3 == 0:
+        with small_groups(3):
+            assert rows(spatial.greedy_match(df, "o").select("l", "r")) == sequential_match(edges)
 
 
 def test_greedy_match_of_nothing(spark):
@@ -63,8 +78,80 @@ def test_keep_first_is_the_sequential_one(spark, seed):
         if not any((min(i, k), max(i, k)) in conf for k in kept if k != i):
             kept.add(i)
     nodes = spark.createDataFrame([(i, rank[i]) for i in ids], "id int, rank int")
-    got = {r["id"] for r in spatial.keep_first(nodes, spark.createDataFrame(conf, "a int, b int")).collect()}
-    assert got == kept
+    edges = spark.createDataFrame(conf, "a int, b int")
+    assert {r["id"] for r in spatial.keep_first(nodes, edges).collect()} == kept
+    if seed % 3 == 0:
+        with small_groups(3):
+            assert {r["id"] for r in spatial.keep_first(nodes, edges).collect()} == kept
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.integers(0, 1000))
+def test_suppression_is_the_sequential_one(spark, seed):
+    rng = random.Random(seed)
+    pts = [(0, i, i, float(rng.randint(0, 60)), float(rng.randint(0, 60))) for i in range(60)]
+    kept: list = []
+    for _, i, _, x, y in pts:
+        if not any(abs(x - a) < 12 and abs(y - b) < 12 for _, a, b in kept):
+            kept.append((i, x, y))
+    b = spark.createDataFrame([*pts, (None, 900, 900, 1.0, 1.0), (0, 901, 901, None, 1.0)], "page int, id int, rank int, cx double, cy double")
+    want = sorted([i for i, _, _ in kept] + [900, 901])
+    assert sorted(r["id"] for r in spatial.suppress_near(b, ["page"], 12.0).collect()) == want
+    with small_groups(20):
+        assert sorted(r["id"] for r in spatial.suppress_near(b, ["page"], 12.0).collect()) == want
+    box = b.select("page", "id", "rank", F.col("cx").alias("x1"), F.col("cy").alias("y1"), (F.col("cx") + 20).alias("x2"), (F.col("cy") + 20).alias("y2"))
+    over = [[]]
+    for _, i, _, x, y in pts:
+        inter = [(max(0, 20 - abs(x - a)) * max(0, 20 - abs(y - b))) for _, a, b in over[0]]
+        if not any(k / (800 - k) > 0.3 for k in inter):
+            over[0].append((i, x, y))
+    want = sorted([i for i, _, _ in over[0]] + [900, 901])
+    assert sorted(r["id"] for r in spatial.suppress_overlaps(box, ["page"], 0.3).collect()) == want
+    if seed % 3 == 0:
+        with small_groups(20):
+            assert sorted(r["id"] for r in spatial.suppress_overlaps(box, ["page"], 0.3).collect()) == want
+
+
+def test_long_chains_and_dense_cells_end_soon(spark):
+    """100,000 boxes that each overlap the next by falling score, and 100,000 boxes in one cell."""
+    import time
+
+    n = 100_000
+    began = time.time()
+    chain = spark.range(n).select(F.lit(0).alias("page"), "id", F.col("id").alias("rank"), (F.col("id") * 40.0).alias("cx"), F.lit(1.0).alias("cy"))
+    assert spatial.suppress_near(chain, ["page"], 50.0).count() == n // 2
+    box = chain.select("page", "id", "rank", F.col("cx").alias("x1"), F.lit(0.0).alias("y1"), (F.col("cx") + 70).alias("x2"), F.lit(10.0).alias("y2"))
+    assert spatial.suppress_overlaps(box, ["page"], 0.25).count() == n // 2
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert spatial.keep_first(spark.range(n + 1).select("id", F.col("id").alias("rank")), edges).count() == n // 2 + 1
+    links = spark.range(n).select(F.col("id").alias("o"), F.expr("(id + 1) div 2").alias("l"), F.expr("id div 2").alias("r"))
+    assert spatial.greedy_match(links, "o").count() == n // 2
+    dense = spark.range(n).select(F.lit(0).alias("page"), "id", F.col("id").alias("rank"), (F.rand(1) * 49).alias("cx"), (F.rand(2) * 49).alias("cy"))
+    assert spatial.suppress_near(dense, ["page"], 50.0).count() == 1
+    with small_groups(1000):
+        assert spatial.suppress_near(dense, ["page"], 50.0).count() == 1
+    assert time.time() - began < 240
+
+
+def test_dense_cells_are_split(spark):
+    rng = random.Random(5)
+    a = [(0, i, rng.uniform(0, 5), rng.uniform(0, 5)) for i in range(300)]
+    b = [(0, i, rng.uniform(0, 5), rng.uniform(0, 5)) for i in range(300)]
+    left, right = points(spark, a, ("l", "cx", "cy")), points(spark, b, ("r", "rx", "ry"))
+    want = rows(spatial.distance_join(left, right, ["page"], 2.0).select("l", "r"))
+    old, spatial.DENSE = spatial.DENSE, 50
+    try:
+        assert rows(spatial.distance_join(left, right, ["page"], 2.0).select("l", "r")) == want
+    finally:
+        spatial.DENSE = old
+
+
+def test_windows_of_any_size(spark):
+    rng = random.Random(6)
+    w = [(0, i, x, y, x + rng.uniform(0, 300), y + rng.uniform(0, 9)) for i in range(40) for x, y in [(rng.uniform(-50, 50), rng.uniform(-50, 50))]]
+    p = [(0, i, rng.uniform(-60, 350), rng.uniform(-60, 60)) for i in range(60)] + [(0, 99, None, 1.0)]
+    got = rows(spatial.window_join(spark.createDataFrame(w, "page int, a int, wx1 double, wy1 double, wx2 double, wy2 double"), spark.createDataFrame(p, "page int, b int, px double, py double"), ["page"], 16.0).select("a", "b"))
+    assert got == sorted(((a[1], b[1]) for a in w for b in p if b[2] is not None and a[2] <= b[2] <= a[4] and a[3] <= b[3] <= a[5]), key=repr)
 
 
 def test_components(spark):
