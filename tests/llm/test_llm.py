@@ -212,6 +212,75 @@ def test_spans_cover_the_passage(spark):
     assert text[r["span_start"] : r["span_end"]] == " ".join(it[10:45])
 
 
+def words(text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    s, e, h = leak.words_of(buf)
+    return [buf[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)], h.tolist()
+
+
+def test_words_are_hashed_whole_and_of_any_script():
+    _, h = words("electrostaticallyA electrostaticallyB electrostaticallya " + "x" * 3000 + "1 " + "x" * 3000 + "2")
+    assert h[0] == h[2] and len(set(h)) == 4
+    assert words("éclairage général; l’œuvre (Größe) 5°C")[0] == ["éclairage", "général", "l", "œuvre", "Größe", "5", "C"]
+    assert words("Привет, мир! ёлка")[0] == ["Привет", "мир", "ёлка"]
+    assert len(words("日本語")[0]) == 3
+    assert words("")[0] == [] and words("—…!")[0] == []
+    one = [words(t)[1] for t in ("relevé Général", "releve\u0301 general", "RELEVE GENERAL", "relev&eacute; g&#233;n&#xE9;ral")]
+    assert all(h == one[0] for h in one)
+    assert words("a &amp; b &nbsp; &zz; c")[0] == ["a", "b", "zz", "c"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abC9 é\u0301ñ—.,\nП日", max_size=60))
+def test_words_against_plain_reading(text):
+    plain, cur = [], ""
+    import unicodedata
+
+    for c in text:
+        kind = leak.character(ord(c))[0] if ord(c) > 127 else leak._LETTER if c.isalnum() else leak._APART
+        if kind == leak._MARK:
+            continue
+        if kind == leak._SIGN:
+            plain += [cur, c]
+            cur = ""
+        elif kind == leak._LETTER:
+            cur += unicodedata.normalize("NFKD", c.lower())[0]
+        else:
+            plain.append(cur)
+            cur = ""
+    plain = [w for w in [*plain, cur] if w]
+    got, h = words(text)
+    fold = lambda w: "".join(unicodedata.normalize("NFKD", x.lower())[0] for x in w if not unicodedata.combining(x))
+    assert [fold(w) for w in got] == plain
+    assert [h[i] == h[j] for i in range(len(h)) for j in range(len(h))] == [a == b for a in plain for b in plain]
+
+
+FRENCH = "Le relevé général de l’éclairage prévoit que chaque bouche à débit réglé sera équilibrée après la réception des réseaux et que l’écart mesuré ne dépasse jamais la tolérance fixée à l’étage".split()
+
+
+def test_accents_do_not_matter(spark):
+    text = " ".join(FRENCH)
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    docs = ["Avant : " + text.upper(), "x " + unicodedata.normalize("NFD", text), plain, text.replace("é", "&eacute;"), " ".join(FRENCH[:12])]
+    assert {r["doc_id"] for r in leaks(spark, docs, [text]).collect()} == {0, 1, 2, 3}
+
+
+def test_items_in_several_passes_and_one_very_long(spark):
+    rng = random.Random(9)
+    long = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(100_000)]
+    items = [" ".join(long), " ".join(item(1)), " ".join(item(2))]
+    docs = [" ".join(long[70_000:70_040]), " ".join(item(1)[:30]), " ".join(item(2)[30:70])]
+    want = {(0, 0), (1, 1), (2, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(spark, docs, items).collect()} == want
+    old, leak.PASS_BYTES = leak.PASS_BYTES, 1000
+    try:
+        assert {(r["doc_id"], r["item_id"]) for r in leaks(spark, docs[1:], items[1:]).collect()} == {(0, 0), (1, 1)}
+    finally:
+        leak.PASS_BYTES = old
+
+
 def test_no_items_or_documents(spark):
     assert leaks(spark, ["x"], ["y"]).limit(0).count() == 0
     d = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
