@@ -18,10 +18,11 @@ escaped entities are none; very long texts are read whole; repeated rows give re
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,10 @@ from pyspark.sql import DataFrame
 LATIN = "".join(chr(c) for c in range(0xA0, 0x100) if c != 0xAD)
 PUNCTUATION = "–—‘’‚“”„•…‰‹›€™œŒŠšŽžŸ−≤≥≈→Ω"
 COMBINING = "̧̀́̂̃̈"
+# Letters of other alphabets: Latin beyond Latin-1, Greek and Cyrillic.
+OTHER = "".join(c for a, b in ((0x100, 0x180), (0x386, 0x3CF), (0x400, 0x460), (0x490, 0x492)) for c in map(chr, range(a, b)) if c.isalpha())
+HELD = set(LATIN + PUNCTUATION + COMBINING) | {chr(c) for c in range(0x80)}  # what the sequences below cover whole
+LONG_RUN = 4  # characters beyond ASCII in a row that are not replaced one by one
 # Letters and signs that single-byte damage is looked for in.
 SINGLE = "àâäçéèêëîïôöùûüœñáíóúãõßÀÂÇÉÈÊËÎÏÔÙÛÜŒÑÁÍÓÚÃÕÄÖ¿¡«»°–—’‘“”•…×³²½¼¾±Øµ·§®™"
 LEGIT = set("àâäæçéèêëîïôöùûüÿœñáíóúãõßÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŒÑÁÍÓÚÃÕØ¿¡«»°–—’‘“”„‚…•·×÷³²¹½¼¾±µ§®™€£¢ªº´\u00a0̧̀́̂̃̈")
@@ -102,6 +107,15 @@ def patterns() -> dict[str, tuple[str, bool]]:
                 g = _decode(raw, w2)
                 if g and len(g) > 2:
                     table.setdefault(g, (c, False))
+    for w in WRONG:
+        for c in OTHER:  # letters of one other alphabet may be a word of its own
+            g = _decode(c.encode(), w)
+            if g and len(g) > 1 and not (g.isalpha() and not any(map(_latin, g))):
+                table.setdefault(g, (c, False))
+                for w2 in TWICE if w in TWICE else ():
+                    twice = _decode(g.encode(), w2)
+                    if twice and len(twice) > 2:
+                        table.setdefault(twice, (c, False))
     for lead, c in (("Ã ", "à"), ("Â ", " ")):  # the second byte, a no-break space, became a blank
         table.setdefault(lead, (c, True))
     for b in range(0x80, 0xA0):
@@ -228,6 +242,86 @@ def _impossible(ch: str, before: str, after: str) -> bool:
     return _latin(before) and _latin(after) and ch not in PUNCTUATION and not ch.isspace() and ch not in COMBINING and unicodedata.category(ch) not in ("Mn", "Cf")
 
 
+_RUN = re.compile(r"[^\x00-\x7f]{3,}")
+
+
+def _encode(text: str, encoding: str) -> bytes | None:
+    """The bytes that this encoding shows as the text; C1 characters are bytes it does not define."""
+    try:
+        return text.encode(encoding)
+    except UnicodeEncodeError:
+        if not encoding.startswith("cp125"):
+            return None
+    out = bytearray()
+    for c in text:
+        try:
+            out += c.encode(encoding)
+        except UnicodeEncodeError:
+            if not 0x80 <= ord(c) < 0xA0:
+                return None
+            out.append(ord(c))
+    return bytes(out)
+
+
+@lru_cache(maxsize=20_000)
+def _run_original(run: str) -> str | None:
+    """What a whole run of another script was, where its bytes in some encoding are UTF-8 again."""
+    for w in WRONG:
+        raw = _encode(run, w)
+        try:
+            told = raw.decode() if raw else None
+        except UnicodeDecodeError:
+            continue
+        if told and any(c.isalpha() for c in told) and all(unicodedata.category(c)[0] != "C" for c in told):
+            told = (_run_original(told) if len(told) > 2 else None) or told
+            if not HELD.issuperset(told):
+                return told
+    return None
+
+
+def _foreign_word(text: str, at: int) -> bool:
+    """Whether a word holds a letter of another Latin alphabet that no damage explains: then it is a word of
+    another language, and its other such letters stand as well."""
+    a = b = at
+    while a > 0 and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and text[b].isalpha():
+        b += 1
+    table = patterns()
+    for i in range(a, b):
+        if 0x100 <= ord(text[i]) < 0x250 and text[i] not in LEGIT:
+            if not any(_joins(x, text[i - 1 : i], text[i + 1 : i + 2]) for x in table.get(text[i], ("",))[0]):
+                return True
+    return False
+
+
+def _by_runs(text: str, spans: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str | None]]:
+    """Spans with whole runs told back where sequences do not cover them, and long runs that cannot be left alone."""
+    out: list[tuple[int, int, str | None]] = []
+    i = 0
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        while i < len(spans) and spans[i][1] <= s:
+            out.append(spans[i])
+            i += 1
+        first = i
+        while i < len(spans) and spans[i][0] < e:
+            i += 1
+        own = spans[first:i]
+        covered = sum(y - x for x, y, c in own if y - x > 1 and c is not None)
+        if not own or (covered == e - s and all(HELD.issuperset(c) for _, _, c in own if c)):
+            out += own
+            continue
+        told = _run_original(m[0]) if e - s < 200 else _run_original.__wrapped__(m[0])
+        if told:
+            out.append((s, e, told))
+        elif e - s >= LONG_RUN and covered < e - s:
+            out += [(x, y, c if y - x > 1 and c is not None and HELD.issuperset(c) else None) for x, y, c in own]
+        else:
+            out += own
+    return out + spans[i:]
+
+
 def damage(text: str) -> list[tuple[int, int, str | None]]:
     """[(start, end, original or None when it cannot be told)] of the garbled spans, leftmost longest."""
     if text.isascii():
@@ -251,6 +345,8 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
             if not control and stands(g, before, after):
                 continue
             fits = [x for x in c if _joins(x, before, after)]
+            if 0x100 <= ord(g) < 0x250 and g not in LEGIT and _foreign_word(text, start):
+                continue
             if not fits and control:
                 fits = [*c[:1]]
             if fits:
@@ -275,7 +371,7 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
         for i, g, fits in open_:
             best = max(fits, key=lambda x: max((votes[p] for p in by.get(g, {}).get(x, none)), default=0))
             out[i] = (*out[i][:2], best)
-    return out
+    return _by_runs(text, out) if out else out
 
 
 def repair(text: str) -> tuple[str, int, int]:

@@ -360,6 +360,27 @@ def test_impossible_characters_without_an_original_are_lost():
     assert mojibake.repair("t ≤ 5 K, 10 kΩ, Привет, Tomás") == ("t ≤ 5 K, 10 kΩ, Привет, Tomás", 0, 0)
 
 
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250"])
+@pytest.mark.parametrize("text", ["Привет, мир: воздуховод", "Łódź, Kraków, żółć", "Αθήνα και Πάτρα", "日本語の図面", "空調"])
+def test_other_scripts_are_told_back_or_left_alone(text, wrong):
+    bad = mojibake._decode(text.encode(), wrong)
+    if bad is None:
+        pytest.skip("bytes that this encoding does not define")
+    assert mojibake.damage(bad)
+    got, _, lost = mojibake.repair(bad)
+    assert got == text or lost
+    for a, b in zip(got.split(), text.split(), strict=False):
+        assert a == b or lost  # nothing else is made up
+    if "Ł" not in text:  # Polish letters are also what other damage makes of French ones
+        assert mojibake.repair(text)[0] == text
+
+
+def test_long_runs_that_are_no_text_are_left_alone():
+    bad = "plan \u00cf\u00f0\u00e8\u00e2\u00e5\u00f2\u0081\u008d ok"
+    got, n, lost = mojibake.repair(bad)
+    assert got == bad and n == 0
+
+
 def test_lost_characters_count():
     assert mojibake.repair("dise�o de M598") == ("dise�o de M598", 0, 1)
 
