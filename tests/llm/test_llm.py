@@ -48,9 +48,65 @@ def test_sample_is_exact_and_reported(spark):
     assert [(r["request_id"], r["class_name"]) for r in report.where("short").collect()] == [(1, "LOUVER")]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6))
+def test_records_of_several_categories(seed):
+    rng = random.Random(seed)
+    cats = ["a", "b", "c", "d"]
+    have = {tuple(sorted(rng.sample(cats, rng.randint(1, 3)))): rng.randint(0, 200) for _ in range(6)}
+    share = {c: rng.random() for c in cats}
+    floor = {c: rng.randint(0, 5) for c in cats}
+    size = rng.randint(5, 150)
+    take = target_sample.swap_repair(have, share, floor, size, seed)
+    assert all(0 <= take[s] <= have[s] for s in have)
+    count = {c: sum(n for s, n in take.items() if c in s) for c in cats}
+    low = {c: min(floor[c], sum(n for s, n in have.items() if c in s)) for c in cats}
+    assert all(count[c] >= low[c] for c in cats)
+    assert sum(take.values()) >= min(size, sum(have.values()))
+    off = lambda k: sum((k[c] - share[c] * size) ** 2 for c in cats)
+    for s in have:
+        for t in have:
+            if take[s] and take[t] < have[t] and s != t:
+                after = {c: count[c] - (c in s) + (c in t) for c in cats}
+                if all(after[c] >= low[c] for c in cats):
+                    assert off(after) >= off(count) - 1e-6
+
+
+def test_the_start_is_random_and_the_end_close():
+    have, share = {"a": 500, "b": 500, "c": 500}, {"a": 0.5, "b": 0.3, "c": 0.2}
+    draws = {tuple(target_sample._draw(np.random.default_rng(s), np.array([500, 500, 500]), 100)) for s in range(8)}
+    assert len(draws) > 4
+    for s in range(8):
+        assert target_sample.swap_repair(have, share, {}, 100, s) == {"a": 50, "b": 30, "c": 20}
+
+
+def test_floors_above_the_size_are_reported(spark):
+    b = target_sample.box_records(spark.createDataFrame([(i, "AB"[i % 2]) for i in range(100)], "box_id bigint, cls string"))
+    t = spark.createDataFrame([(1, "ls_boxes", 10, "A", 0.5, 20), (1, "ls_boxes", 10, "B", 0.5, 20), (2, "ls_boxes", 10, " a\u200b", 0.3, 1), (2, "ls_boxes", 10, "A\ufeff", 0.3, 2), (2, "ls_boxes", 10, "b", 0.4, 1)], TARGETS)
+    r = target_sample.plan_samples({"ls_boxes": b}, t)[0].collect()
+    assert all(x["floors_exceed"] == (x["request_id"] == 1) for x in r)
+    assert {(x["request_id"], target_sample.fold(x["class_name"])): x["taken"] for x in r} == {(1, "A"): 20, (1, "B"): 20, (2, "A"): 6, (2, "B"): 4}
+
+
+def test_counts_are_never_laid_out(spark):
+    s = spark.createDataFrame([("p", "FAN", 2_000_000_000), ("q", "FAN", 5), ("q", "VAV", 3)], "project string, class string, count int")
+    t = spark.createDataFrame([(1, "sample_per_project", 1000, "FAN", 0.5, 1), (1, "sample_per_project", 1000, "VAV", 0.5, 1)], TARGETS)
+    r = {x["class_name"]: (x["available"], x["taken"], x["short"]) for x in target_sample.plan_samples({"sample_per_project": target_sample.counted_records(s)}, t)[0].collect()}
+    assert r == {"FAN": (2_000_000_005, 997, False), "VAV": (3, 3, True)}
+
+
+def test_counted_symbols_are_drawn_once(spark):
+    s = spark.createDataFrame([(f"p{i}", "FAN", 1 + i * 7) for i in range(40)], "project string, class string, count int")
+    t = spark.createDataFrame([(1, "sample_per_project", 500, "FAN", 1.0, 1)], TARGETS)
+    got = target_sample.draw_samples({"sample_per_project": target_sample.counted_records(s)}, t)[0]
+    assert got.count() == 500 == got.select("id", "symbol").distinct().count()
+    most = {r["id"]: r["m"] for r in got.groupBy("id").agg(F.max("symbol").alias("m")).collect()}
+    assert len(most) > 10 and all(m < int(k.split("\u0001")[-1]) for k, m in most.items())
+
+
 def test_counted_records_and_empty(spark):
     s = spark.createDataFrame([("p", "Fan", 3), ("p", "Fan", 3), ("q", "FAN", None), ("q", "FAN", 0), (None, "fan", 2)], "project string, class string, count int")
-    assert target_sample.counted_records(s).count() == 5
+    assert target_sample.counted_records(s).agg(F.sum("weight")).first()[0] == 5
     t = spark.createDataFrame([(1, "sample_per_project", 4, "FAN", 1.0, 9)], TARGETS)
     _, report = target_sample.draw_samples({"sample_per_project": target_sample.counted_records(s.limit(0))}, t)
     assert report.first()["short"] and report.first()["taken"] == 0
