@@ -15,6 +15,9 @@ into two splits.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +113,46 @@ def same_job_pairs(jobs: DataFrame) -> DataFrame:
     return jobs.select("job", F.col("name").alias("project_a")).join(jobs.select("job", F.col("name").alias("project_b")), "job").where("project_a < project_b").select("project_a", "project_b")
 
 
-def subset_counts(sizes: dict[int, int], target: int, order: list[int], quantum: int = 1) -> dict[int, int]:
+def closest_counts(sizes: dict[int, int], target: int, order: list[int], bits: int = 1 << 18) -> dict[int, int]:
+    """subset_counts for targets of any size: what ``bits`` sums cannot tell apart is settled level by level.
+
+    Beyond ``bits`` the sums are first taken in quanta, with sizes rounded up so that they stay below the
+    target; what is left of it is sought again among the items left, in finer quanta, and in the end exactly.
+    The miss is the exact sum's; the last level leaves none where small items can fill it.
+    """
+    taken: dict[int, int] = {}
+    left = dict(sizes)
+    goal = target
+    while goal > bits:
+        q = -(-goal // bits)
+        large = {s: n for s, n in left.items() if n > 0 and q <= s <= goal}
+        took = subset_counts(large, goal, [s for s in order if s in large], q, math.ceil) if large else {}
+        got = sum(s * n for s, n in took.items())
+        if not got or got > goal:
+            break
+        for s, n in took.items():
+            taken[s] = taken.get(s, 0) + n
+            left[s] -= n
+        goal -= got
+    if goal > bits:  # only small items are left, or none: whole runs of them, then the rest
+        for s in sorted((s for s, n in left.items() if n > 0), reverse=True):
+            n = min(left[s], max(0, goal - bits // 2) // s)
+            if n:
+                taken[s] = taken.get(s, 0) + n
+                left[s] -= n
+                goal -= s * n
+    if 0 < goal <= bits:
+        rest = {s: n for s, n in left.items() if n > 0 and s <= 2 * goal}
+        for s, n in subset_counts(rest, goal, [s for s in order if s in rest]).items():
+            taken[s] = taken.get(s, 0) + n
+    miss = target - sum(s * n for s, n in taken.items())
+    one = min((s for s, n in sizes.items() if n > taken.get(s, 0)), key=lambda s: abs(miss - s), default=0)
+    if one and abs(miss - one) < abs(miss):  # one more item that goes beyond the target by less
+        taken[one] = taken.get(one, 0) + 1
+    return taken
+
+
+def subset_counts(sizes: dict[int, int], target: int, order: list[int], quantum: int = 1, rounded: Callable[[float], int] = round) -> dict[int, int]:
     """How many items of each size to take so that their sum is closest to ``target``.
 
     Bitsets hold the reachable sums; multiplicities enter in binary parts, so the number of shifts is
@@ -130,7 +172,7 @@ def subset_counts(sizes: dict[int, int], target: int, order: list[int], quantum:
             k *= 2
     reach, trail = 1, []
     for s, k in parts:
-        step = round(s * k / quantum)
+        step = rounded(s * k / quantum)
         nxt = reach | (reach << step) & mask if 0 < step <= goal * 2 else reach
         trail.append(reach)
         reach = nxt
@@ -144,7 +186,7 @@ def subset_counts(sizes: dict[int, int], target: int, order: list[int], quantum:
         if before >> total & 1:
             continue
         taken[s] = taken.get(s, 0) + k
-        total -= round(s * k / quantum)
+        total -= rounded(s * k / quantum)
     return taken
 
 
@@ -164,14 +206,13 @@ def choose_splits(sizes: dict[int, int], shares: dict[str, float], seed: int, bi
         small = {s: n for s, n in usable.items() if s <= goal / 3}
         # no size class may be used up by one split: each offers at most its share and a little more
         some = {s: min(n, max(1, round(n * shares[name] * 1.6) + (rng.random() < shares[name]))) for s, n in small.items()}
-        quantum = max(1, int(goal) // bits)
         out[name] = {}
         missed = goal
         # small jobs mix classes best; where they do not meet the goal, jobs of every size are offered
         for offer in (some, small, usable):
-            if goal < 1 or missed < quantum:
+            if goal < 1 or missed < 1:
                 break
-            took = subset_counts(offer, round(goal), [s for s in order if s in offer], quantum)
+            took = closest_counts(offer, round(goal), [s for s in order if s in offer], bits)
             miss = abs(sum(s * n for s, n in took.items()) - goal)
             if miss < missed:
                 out[name], missed = took, miss
@@ -227,6 +268,16 @@ def assign_splits(jobs: DataFrame, records: DataFrame, split_targets: DataFrame,
     return placed.where(F.col("seed") == best).select("job", "split_name", "rows")
 
 
+def split_report(assigned: DataFrame, split_targets: DataFrame) -> DataFrame:
+    """(split_name, share, jobs, rows, goal, miss): how nearly the row shares are met."""
+    got = assigned.groupBy("split_name").agg(F.count("*").alias("jobs"), F.sum("rows").alias("rows"))
+    total = assigned.agg(F.sum("rows").alias("all"))  # one row
+    t = split_targets.dropna().select("split_name", "share").distinct()
+    j = t.join(got, "split_name", "left").join(F.broadcast(total))
+    rows = F.coalesce("rows", F.lit(0))
+    return j.select("split_name", "share", F.coalesce("jobs", F.lit(0)).alias("jobs"), rows.alias("rows"), (F.col("share") * F.col("all")).alias("goal"), F.abs(rows - F.col("share") * F.col("all")).alias("miss"))
+
+
 def split_records(batch_results: DataFrame, ls_boxes: DataFrame) -> DataFrame:
     """(name, cls): distinct runs and boxes of named jobs."""
     boxes = ls_boxes.where("project is not null and box_id is not null").select("box_id", F.col("project").alias("name"), class_key(F.col("cls")).alias("cls")).distinct().select("name", "cls")

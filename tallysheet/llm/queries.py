@@ -43,6 +43,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return group_split.same_job_pairs(group_split.job_of_names(table(spark, d, "batch_results"), table(spark, d, "ls_boxes")))
 
 
+def p6_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Every job name with the job it belongs to (its representative)."""
+    return group_split.job_of_names(table(spark, d, "batch_results"), table(spark, d, "ls_boxes"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How nearly the splits meet their row shares."""
+    runs, boxes = table(spark, d, "batch_results"), table(spark, d, "ls_boxes")
+    targets = table(spark, d, "split_targets")
+    return group_split.split_report(group_split.assign_splits(group_split.job_of_names(runs, boxes), group_split.split_records(runs, boxes), targets), targets)
+
+
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every job name with its job and split."""
     runs, boxes = table(spark, d, "batch_results"), table(spark, d, "ls_boxes")
@@ -95,7 +107,9 @@ QUERIES: dict[str, Query] = {
     "p1_needs": p1_needs,
     "p1_sample": p1_sample,
     "p6_found": p6_found,
+    "p6_jobs": p6_jobs,
     "p6_splits": p6_splits,
+    "p6_shares": p6_shares,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,

@@ -162,6 +162,29 @@ def test_few_large_jobs_and_tiny_ones_meet_the_shares(sizes, most):
             assert abs(sum(s * n for s, n in plan[name].items()) - shares[name] * rows) <= most
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 3000), st.integers(1, 60), min_size=1, max_size=12), st.integers(1, 20_000), st.sampled_from([64, 256, 1024]))
+def test_sums_beyond_the_bitset(sizes, target, bits):
+    sizes = {**sizes, 1: 70}  # small items can fill what is left
+    got = group_split.closest_counts(sizes, target, sorted(sizes), bits)
+    assert all(0 <= n <= sizes[s] for s, n in got.items())
+    exact = group_split.subset_counts(sizes, target, sorted(sizes))
+    miss = lambda took: abs(sum(s * n for s, n in took.items()) - target)
+    assert miss(got) <= miss(exact) + max(0, max(s for s in sizes if s <= 2 * target or s == 1) // 2)
+
+
+def test_very_large_splits_are_met_exactly():
+    sizes = {1_000_003: 500, 77_777: 900, 1_313: 4000, 13: 400, 1: 40}
+    rows = sum(s * n for s, n in sizes.items())
+    plan = group_split.choose_splits(sizes, {"train": 0.8, "validation": 0.1, "test": 0.1}, 0)
+    for name in ("validation", "test"):
+        assert abs(sum(s * n for s, n in plan[name].items()) - 0.1 * rows) <= 1
+    huge = {s * 10**5 + 7: n for s, n in sizes.items()} | {3: 1000, 1: 1000, 5000: 300, 10**6: 300}
+    rows = sum(s * n for s, n in huge.items())
+    got = group_split.closest_counts(huge, rows // 10, sorted(huge))
+    assert abs(sum(s * n for s, n in got.items()) - rows // 10) < 2 * 10**5 * 1_000
+
+
 def test_subset_sum_beyond_the_goal():
     assert group_split.subset_counts({40: 1}, 21, [40]) == {40: 1}
 
@@ -177,6 +200,8 @@ def test_splits_keep_jobs_whole(spark):
     share = {x["split_name"]: x["n"] / len(recs) for x in got.groupBy("split_name").agg(F.sum("rows").alias("n")).collect()}
     assert abs(share["test"] - 0.1) < 0.01 and abs(share["validation"] - 0.1) < 0.01
     assert group_split.assign_splits(j.limit(0), r.limit(0), s).count() == 0
+    report = {x["split_name"]: (x["rows"], x["miss"]) for x in group_split.split_report(got, s).collect()}
+    assert sum(n for n, _ in report.values()) == len(recs) and all(m <= 0.01 * len(recs) for _, m in report.values())
 
 
 # ---- packing ----------------------------------------------------------------------------------------
