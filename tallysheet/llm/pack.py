@@ -1,11 +1,13 @@
 """Filling fixed-capacity containers with items of varying length.
 
 The configuration linear program over the length histogram is solved by multiplicative weights: each
-round the items' weights price a best configuration by a knapsack dynamic program, and the weights of
-the items it covers fall. The average of the priced configurations is the fractional solution; it is
-rounded down to whole containers and the rest is packed best-fit over the histogram. Only the
-histogram (at most ``capacity`` rows) and the configurations are on the driver. Documents find their
-container by their rank among those of their length, counted over hash buckets, so no length is
+round the items' weights price a best configuration by a knapsack dynamic program, a share of the containers
+in whole numbers is filled so, and the weights of the lengths covered ahead of the rest fall. Rounding is part
+of each round, so the weights answer for the rounded solution, and the last tenth of the tokens, with the
+mixture of the whole, is packed best-fit. The trivial dual solution (every token weighs 1 / capacity) bounds
+the program from below; ``quality`` reports the gap to it and the share of containers that come from the
+program. Only the histogram (at most ``capacity`` rows) and the configurations are on the driver. Documents
+find their container by their rank among those of their length, counted over hash buckets, so no length is
 sorted as a whole however hot it is.
 
 A text longer than the capacity is cut into full containers and one rest, which is packed like any
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,8 @@ TOKENIZER = os.environ.get("TALLYSHEET_TOKENIZER", "/opt/tokenizers/byte_bpe_50k
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MAX_CAPACITY = 1 << 16
-PART_CHARS = 200_000  # a very long text is handed to the tokenizer in parts cut at blanks
+PART_CHARS = 200_000  # a very long text is handed to the tokenizer in parts of about this length
+_BORDER = re.compile(r"(?<=\S) (?=[^\s])")  # before such a blank every tokenisation begins a new piece
 
 _ENCODERS: dict[str, object] = {}
 
@@ -49,13 +54,15 @@ def encoder(path: str):
 
 
 def parts(text: str) -> Iterator[str]:
-    """The whole text in parts of bounded length, cut before a blank."""
+    """The whole text in parts whose tokens are those of the whole: cut only where the split pattern begins a
+    new piece in any case, however far that is."""
     at = 0
     while len(text) - at > PART_CHARS:
-        end = text.rfind(" ", at + 1, at + PART_CHARS)
-        end = end if end > at else at + PART_CHARS
-        yield text[at:end]
-        at = end
+        m = _BORDER.search(text, at + PART_CHARS)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -73,85 +80,110 @@ def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
 
 
 def price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of a best configuration: knapsack by dynamic programming over the capacity."""
-    keep = weights > 0
-    ls, ws = lengths[keep], weights[keep]
-    order = np.argsort(ls)
-    ls, ws = ls[order], ws[order]
+    """Counts per length of a best configuration: bounded knapsack by dynamic programming over the capacity.
+
+    A length enters in binary parts of its multiplicity, each one vector operation over all capacities.
+    """
+    parts = []
+    for i in np.flatnonzero((weights > 0) & (most > 0) & (lengths <= capacity)).tolist():
+        m, k = int(min(most[i], capacity // lengths[i])), 1
+        while m > 0:
+            k = min(k, m)
+            parts.append((i, k, int(lengths[i]) * k, float(weights[i]) * k))
+            m -= k
+            k *= 2
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    upto = np.searchsorted(ls, np.arange(capacity + 1), side="right")
-    for c in range(int(ls[0]) if len(ls) else capacity + 1, capacity + 1):
-        k = upto[c]
-        v = best[c - ls[:k]] + ws[:k]
-        i = int(v.argmax())
-        if v[i] > best[c - 1]:
-            best[c], pick[c] = v[i], i
-        else:
-            best[c] = best[c - 1]
-    counts = np.zeros(len(ls), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        counts[pick[c]] += 1
-        c -= int(ls[pick[c]])
+    took = np.zeros((len(parts), capacity + 1), dtype=bool)
+    for row, (_, _, size, value) in zip(took, parts, strict=True):
+        with_it = best[: capacity + 1 - size] + value
+        np.greater(with_it, best[size:] + 1e-12, out=row[size:])
+        np.maximum(best[size:], with_it, out=best[size:])
     out = np.zeros(len(lengths), dtype=np.int64)
-    out[np.flatnonzero(keep)[order]] = counts
-    out = np.minimum(out, most)
-    # a length asked for more often than it exists is used up: price the room it leaves without it
-    room = capacity - int((out * lengths).sum())
-    rest = np.where(out < most, weights, 0.0) * (lengths <= room)
-    if room > 0 and (rest > 0).any() and not (out == 0).all():
-        out = out + price(lengths, rest, most - out, room)
+    room = capacity
+    for j in range(len(parts) - 1, -1, -1):
+        i, k, size, _ = parts[j]
+        if took[j, room]:
+            out[i] += k
+            room -= size
     return out
 
 
-def _fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, eps: float) -> dict[tuple[int, ...], float]:
-    """Configurations and (fractional) containers of the covering program, by multiplicative weights.
+def _program(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int, eps: float, leave: float) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """(configurations with their containers, items left) of the covering program, by multiplicative weights.
 
-    Each round prices a best configuration under the present weights and gives it an equal share of the
-    containers; the weights of lengths that are covered ahead of the rest fall.
+    Each round prices a best configuration under the present weights and gives it a ``rounds``-th of all
+    containers, rounded to whole ones that what is left can fill. The weights of lengths that are covered ahead
+    of the rest fall and those behind rise, so what is left keeps the mixture of the whole; the last share
+    ``leave`` of the tokens is left to the caller.
     """
+    left = need.copy()
     total = float((lengths * need).sum())
-    share = total / capacity / rounds
-    covered = np.zeros(len(lengths))
-    used: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        ahead = np.maximum(0.0, covered / np.maximum(need, 1) - np.dot(covered, lengths) / total)
-        y = np.where(need > 0, lengths / capacity * np.exp(-eps * np.minimum(60, ahead * rounds)), 0.0)
-        config = price(lengths, y, need, capacity)
-        if not config.any():
+    share = max(1, round(total / capacity / rounds))
+    out: list[tuple[np.ndarray, int]] = []
+    stale = 0
+    while stale < 8:
+        rest = float((lengths * left).sum())
+        if rest < max(2 * capacity, leave * total):
             break
-        used[tuple(config)] = used.get(tuple(config), 0.0) + share
-        covered += config * share
-    return used
+        ahead = (need - left) / np.maximum(need, 1) - (1 - rest / total)
+        # lengths with few items left are for the end: a configuration of them could not be repeated
+        often = left >= max(1.0, (left.sum() / max(1, (left > 0).sum())) / 3 / (1 + stale))
+        y = np.where(often, lengths / capacity * np.exp(-eps * np.clip(ahead * rounds, -60, 60) * (1 + stale) / 8), 0.0)
+        config = price(lengths, y, np.minimum(left, 1) if often.sum() > 64 else left, capacity)
+        hit = config > 0
+        if not hit.any():
+            break
+        n = int(min(share, (left[hit] // config[hit]).min()))
+        if int((config * lengths).sum()) < capacity and stale < 7:
+            stale += 1  # not full under these weights: ask again with other ones
+            continue
+        stale = 0
+        left = left - n * config
+        out.append((config, n))
+    return out, left
 
 
-def solve(histogram: dict[int, int], capacity: int, reserves: tuple[float, ...] = (2.0, 4.0), loosest: tuple[float, ...] = (0.1, 0.25, 0.5)) -> list[tuple[dict[int, int], int]]:
-    """[(configuration: length -> count, containers)] that hold every item of the histogram.
+Plan = list[tuple[dict[int, int], int, bool]]  # configuration, containers, whether the program made it
 
-    Of a few plans of the rounded program the one with fewest containers is kept; then a share of its
-    containers, those with most unused space, is emptied and packed anew best-fit where that saves any.
-    """
-    count = lambda plan: sum(n for _, n in plan)
-    best = min((_solve(histogram, capacity, kept) for kept in reserves), key=count)
-    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
+
+def _count(plan: Plan) -> int:
+    return sum(n for _, n, _ in plan)
+
+
+def _bound(histogram: dict[int, int], capacity: int) -> int:
+    return -(-sum(s * n for s, n in histogram.items()) // capacity)
+
+
+def _plan(histogram: dict[int, int], capacity: int, loosest: tuple[float, ...] = (0.02, 0.05, 0.1, 0.25)) -> Plan:
+    """The rounded program; then a share of its containers, those with most unused space, is emptied and packed
+    anew best-fit where that saves any."""
+    best = _solve(histogram, capacity)
     for share in loosest:
-        if count(best) <= bound:
+        if _count(best) <= _bound(histogram, capacity):
             break
-        best = min(best, _repack(best, capacity, share), key=count)
+        best = min(best, _repack(best, capacity, share), key=_count)
     return best
 
 
-def _repack(plan: list[tuple[dict[int, int], int]], capacity: int, share: float) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """[(configuration: length -> count, containers)] that hold every item of the histogram."""
+    return [(config, n) for config, n, _ in _plan(histogram, capacity)]
+
+
+def quality(histogram: dict[int, int], capacity: int) -> dict[str, float]:
+    """Containers, the program's lower bound, the gap between them, and the share the program made."""
+    plan = _plan(histogram, capacity)
+    n, low = _count(plan), _bound(histogram, capacity)
+    return {"containers": n, "bound": low, "gap": (n - low) / max(1, low), "program_share": sum(m for _, m, own in plan if own) / max(1, n)}
+
+
+def _repack(plan: Plan, capacity: int, share: float) -> Plan:
     """The plan with the loosest containers, a share of all, packed again."""
     order = sorted(plan, key=lambda p: sum(s * k for s, k in p[0].items()))
-    todo, at = share * sum(n for _, n in plan), 0
+    todo, at = share * _count(plan), 0
     rest: dict[int, int] = {}
     while at < len(order) and todo > 0:
-        config, n = order[at]
+        config, n, _ = order[at]
         for s, k in config.items():
             rest[s] = rest.get(s, 0) + k * n
         todo -= n
@@ -160,7 +192,7 @@ def _repack(plan: list[tuple[dict[int, int], int]], capacity: int, share: float)
     return order[at:] + _best_fit(lengths, np.array([rest[int(s)] for s in lengths], dtype=np.int64), capacity)
 
 
-def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
     """One container pattern at a time, repeated as often as what is left allows."""
     out = []
     while left.any():
@@ -168,21 +200,21 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tupl
         hit = config > 0
         n = int((left[hit] // config[hit]).min())
         left = left - n * config
-        out.append(({int(lengths[i]): int(config[i]) for i in np.flatnonzero(hit)}, n))
+        out.append(({int(lengths[i]): int(config[i]) for i in np.flatnonzero(hit)}, n, False))
     return out
 
 
-def _solve(histogram: dict[int, int], capacity: int, kept: float, rounds: int = 64, phases: int = 4, grid: int = 512, eps: float = 0.35, full: float = 0.99) -> list[tuple[dict[int, int], int]]:
+def _solve(histogram: dict[int, int], capacity: int, kept: float = 4.0, rounds: int = 48, eps: float = 0.35, leave: float = 0.1) -> Plan:
     """One plan.
 
-    The program is solved over length classes of ``capacity / grid`` tokens, rounded up, so that every
-    class has many items and rounding down to whole containers keeps most of the solution; what rounding
-    leaves is solved again a few times. Short items worth ``kept`` times the space that rounding lengths
-    up gives away are held back and put exactly into that space. What remains is packed best-fit.
+    Up to 2,048 tokens the program is solved over the lengths themselves; beyond, over classes of
+    ``capacity / 512`` tokens, rounded up. Then short items worth ``kept`` times the space that rounding
+    lengths up gives away are held back and put exactly into that space. What remains is packed best-fit.
     """
+    grid = capacity if capacity <= 2048 else 512
     lengths = np.array(sorted(histogram), dtype=np.int64)
     left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    out: list[tuple[dict[int, int], int]] = []
+    out: Plan = []
     q = -(-capacity // grid)
     cls = -(-lengths // q)
     given_away = int(((cls * q - lengths) * left).sum())
@@ -196,21 +228,7 @@ def _solve(histogram: dict[int, int], capacity: int, kept: float, rounds: int =
     stock = left - filler
     sizes, at = np.unique(cls, return_inverse=True)
     need = np.bincount(at, weights=stock, minlength=len(sizes)).astype(np.int64)
-    plans: list[tuple[np.ndarray, int]] = []
-    room = capacity // q
-    for _ in range(phases):
-        before = int((need * sizes).sum())
-        if before < 2 * room:
-            break
-        for config, x in sorted(_fractional(sizes, need, room, rounds, eps).items(), key=lambda kv: -kv[1]):
-            a = np.array(config)
-            hit = a > 0
-            n = int(min(max(x, 1), (need[hit] // a[hit]).min()))  # round down, never beyond what is left
-            if n > 0 and int((a * sizes).sum()) >= full * room:
-                need = need - n * a
-                plans.append((a, n))
-        if before - int((need * sizes).sum()) < 0.05 * before:
-            break
+    plans, _ = _program(sizes, need, capacity // q, rounds, eps, leave)
     # classes to lengths: per slot of a plan a run of items, mostly of one length
     queues = [[[int(lengths[i]), int(stock[i])] for i in np.flatnonzero(at == k) if stock[i]] for k in range(len(sizes))]
     for a, n in plans:
@@ -257,7 +275,7 @@ def _exact(plan: np.ndarray, n: int, queues: list[list[list[int]]]) -> list[tupl
     return out
 
 
-def _top_up(pattern: dict[int, int], m: int, slack: int, lengths: np.ndarray, filler: np.ndarray, out: list[tuple[dict[int, int], int]]) -> None:
+def _top_up(pattern: dict[int, int], m: int, slack: int, lengths: np.ndarray, filler: np.ndarray, out: Plan) -> None:
     """m containers of one pattern with fillers in their slack: an exact one if there is, else the longest
     that leaves room for another, else the longest that fits."""
     todo = [(pattern, m, slack)]
@@ -265,7 +283,7 @@ def _top_up(pattern: dict[int, int], m: int, slack: int, lengths: np.ndarray, fi
         pattern, m, slack = todo.pop()
         fits = np.flatnonzero(filler[: np.searchsorted(lengths, slack, side="right")])
         if not len(fits):
-            out.append((pattern, m))
+            out.append((pattern, m, True))
             continue
         last = int(fits[-1])
         two = fits[: np.searchsorted(lengths[fits], slack - lengths[fits[0]], side="right")]
@@ -332,14 +350,20 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str =
             base += n
         if not rows:
             continue
-        slots = spark.createDataFrame(rows, "size int, low bigint, high bigint, each int, base bigint")
-        # rank within a length: counts of hash buckets give offsets, only buckets are ordered
-        bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.greatest(F.lit(1), F.ceil(F.try_element_at(F.create_map(*[F.lit(int(x)) for s, n in histogram.items() if n > bucket_rows for x in (s, n // bucket_rows + 1)]), F.col("size"))) if any(n > bucket_rows for n in histogram.values()) else F.lit(1))).cast("int")
-        placed = items.withColumn("bucket", F.coalesce(bucket, F.lit(0)))
+        # rank within a length: counts of hash buckets give offsets, only buckets are ordered. The tables of
+        # buckets and slots are bounded by lengths and configurations; AQE sees their size before it broadcasts
+        dealt = spark.createDataFrame([(s, n // bucket_rows + 1) for s, n in histogram.items()], "size int, buckets bigint")
+        placed = items.join(dealt, "size").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
         offsets = placed.groupBy("size", "bucket").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).drop("n")
-        ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "piece")) - 1).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("r") + F.col("offset"))
-        # the slots are bounded by configurations x capacity, whatever the corpus: their size is proven
-        packed = ranked.join(F.broadcast(slots), (ranked["size"] == slots["size"]) & (ranked["rank"] >= slots["low"]) & (ranked["rank"] < slots["high"])).select(F.lit(capacity).alias("capacity_tokens"), "doc_id", "piece", "pieces", ranked["size"], (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("bigint").alias("container"))
+        ranked = placed.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "piece")) - 1).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("r") + F.col("offset")).drop("r", "offset", "bucket")
+        # a rank finds its slot by an equal block of ranks: a length's ranks are cut into as many blocks as it has slots
+        slots_of = Counter(r[0] for r in rows)
+        width = {s: -(-histogram[s] // slots_of[s]) for s in at}
+        blocks = [(s, b, low, high, each, base) for s, low, high, each, base in rows for b in range(low // width[s], (high - 1) // width[s] + 1)]
+        slots = spark.createDataFrame(blocks, "size int, block bigint, low bigint, high bigint, each int, base bigint")
+        wide = spark.createDataFrame(list(width.items()), "size int, width bigint")
+        found = ranked.join(wide, "size").withColumn("block", F.expr("rank div width")).drop("width").join(slots, ["size", "block"]).where("rank >= low and rank < high")
+        packed = found.select(F.lit(capacity).alias("capacity_tokens"), "doc_id", "piece", "pieces", "size", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("bigint").alias("container"))
         out.append(packed)
     if not out:
         return spark.createDataFrame([], schema)
@@ -355,6 +379,6 @@ def cut_documents(packed: DataFrame) -> DataFrame:
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Containers, tokens and unused share per capacity."""
+    """Containers, tokens, unused share, the lower bound of containers and the gap to it, per capacity."""
     per = packed.groupBy("capacity_tokens", "container").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))
-    return per.groupBy("capacity_tokens").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (1 - F.sum("tokens") / (F.count("*") * F.col("capacity_tokens"))).alias("unused_share"))
+    return per.groupBy("capacity_tokens").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (1 - F.sum("tokens") / (F.count("*") * F.col("capacity_tokens"))).alias("unused_share")).withColumn("bound", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("gap", F.col("containers") / F.col("bound") - 1)

@@ -241,10 +241,40 @@ def test_pack_documents(spark):
     assert pack.pack_documents(docs.limit(0), spark.createDataFrame([(1, 64)], "pack_id int, capacity_tokens int")).count() == 0
 
 
-def test_long_text_is_tokenised_whole():
-    text = "word " * 100_000
-    assert "".join(pack.parts(text)) == text
-    assert sum(len(pack.encoder(pack.TOKENIZER).encode_ordinary(p)) for p in pack.parts(text)) == pytest.approx(100_000, rel=0.01)
+@pytest.mark.parametrize(("kind", "capacity"), [("lognormal", 2048), ("uniform", 2048), ("lognormal", 8192), ("short", 512)])
+def test_the_program_makes_most_containers_close_to_its_bound(kind, capacity):
+    rng = np.random.default_rng(1)
+    x = {"lognormal": rng.lognormal(5.2, 0.9, 8000), "uniform": rng.uniform(20, 900, 5000), "short": rng.integers(1, 12, 20_000)}[kind]
+    hist: dict[int, int] = {}
+    for v in np.clip(x.astype(int), 1, capacity).tolist():
+        hist[v] = hist.get(v, 0) + 1
+    q = pack.quality(hist, capacity)
+    assert q["gap"] <= 0.004 and q["program_share"] >= 0.6
+
+
+@pytest.mark.parametrize("unit", ["word ", "a  b\n", "é, x—y ", "longwithoutblank" * 3 + " \n ", "12 34", " \t "])
+def test_parts_have_the_tokens_of_the_whole(unit):
+    old, pack.PART_CHARS = pack.PART_CHARS, 50
+    encode = pack.encoder(pack.TOKENIZER).encode_ordinary
+    try:
+        for n in (1, 40, 333):
+            text = unit * n + "end"
+            got = list(pack.parts(text))
+            assert "".join(got) == text
+            assert sum((encode(p) for p in got), []) == encode(text)
+    finally:
+        pack.PART_CHARS = old
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab1é .,\n\t-'’\u00a0日", max_size=300))
+def test_parts_of_any_text(text):
+    old, pack.PART_CHARS = pack.PART_CHARS, 7
+    encode = pack.encoder(pack.TOKENIZER).encode_ordinary
+    try:
+        assert sum((encode(p) for p in pack.parts(text)), []) == encode(text)
+    finally:
+        pack.PART_CHARS = old
 
 
 # ---- leaks ------------------------------------------------------------------------------------------
