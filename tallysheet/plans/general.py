@@ -83,8 +83,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_values": p5_values,
 }
-ORACLES: dict[str, str] = {
-    "p4_found": r"""WITH f AS (SELECT DISTINCT file_id, body::JSON AS j FROM (SELECT file_id, CASE WHEN json_valid(body) THEN body END AS body FROM detections WHERE file_id IS NOT NULL AND body IS NOT NULL AND trim(body) <> '') WHERE body IS NOT NULL),
+# The detections of all bodies by position, as plain SQL: pages under either name, as object or array, with or
+# without entries around their detections.
+_OBJECTS = r"""f AS (SELECT DISTINCT file_id, body::JSON AS j FROM (SELECT file_id, CASE WHEN json_valid(body) THEN body END AS body FROM detections WHERE file_id IS NOT NULL AND body IS NOT NULL AND trim(body) <> '') WHERE body IS NOT NULL),
 c AS (SELECT file_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j) = 'OBJECT' THEN coalesce(j->'pages', j->'sheets') END AS p FROM f),
 m AS (SELECT file_id, json_type(p) AS kind, e.key AS k, e.value AS v FROM c, json_each(p) AS e WHERE json_type(p) IN ('OBJECT', 'ARRAY')),
 n AS (SELECT file_id, k, v, kind, json_type(v) AS t, CASE WHEN kind = 'OBJECT' THEN try_cast(k AS INT) ELSE coalesce(try_cast(v->>'page' AS INT) - 1, try_cast(k AS INT)) END AS page FROM m),
@@ -92,7 +93,30 @@ d AS (
 SELECT file_id, page, try_cast(e.key AS INT) AS pos, e.value AS x FROM n, json_each(v) AS e WHERE t = 'ARRAY'
 UNION ALL SELECT file_id, page, try_cast(e.key AS INT), e.value FROM n, json_each(v->'detections') AS e WHERE t = 'OBJECT' AND json_type(v->'detections') = 'ARRAY'
 UNION ALL SELECT file_id, page, try_cast(k AS INT), v FROM n WHERE t = 'OBJECT' AND kind = 'ARRAY' AND coalesce(json_type(v->'detections'), '') <> 'ARRAY'),
-o AS (SELECT * FROM d WHERE json_type(x) = 'OBJECT')
+o AS (SELECT * FROM d WHERE json_type(x) = 'OBJECT')"""
+# Names under which the test tables carry the base fields.
+_CARRIED = {
+    "cls": ("cls", "class", "label", "cls_name"),
+    "tag": ("tag", "equip_tag", "mark"),
+    "tag_method": ("tag_method", "method", "tag_source"),
+    "untagged_reason": ("untagged_reason", "reason", "why_untagged"),
+    "conf": ("conf", "confidence", "score"),
+    "x1": ("x1", "xmin", "left"),
+    "y1": ("y1", "ymin", "top"),
+    "x2": ("x2", "xmax", "right"),
+    "y2": ("y2", "ymax", "bottom"),
+}
+
+
+def _text_sql(name: str) -> str:
+    v = f"x->'{name}'"
+    return f"CASE json_type({v}) WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN {v}->>'name' WHEN 'ARRAY' THEN {v}->>0 ELSE x->>'{name}' END"
+
+
+_FIELDS = ", ".join(f"coalesce({', '.join(_text_sql(n) if f in schema_drift.BASE['det'] and schema_drift.BASE['det'][f] == 'string' else f'try_cast(x->>{n!r} AS DOUBLE)' for n in names)}) AS {f}" for f, names in _CARRIED.items())
+ORACLES: dict[str, str] = {
+    "p3_detections": f"WITH {_OBJECTS} SELECT file_id, page AS page_index, pos AS det_index, {_FIELDS} FROM o",
+    "p4_found": f"""WITH {_OBJECTS}
 SELECT DISTINCT file_id, page AS page_index, pos AS det_index, -1 AS cand_index FROM o
 UNION SELECT file_id, page, pos, try_cast(e.key AS INT) FROM o, json_each(x->'candidates') AS e WHERE json_type(x->'candidates') = 'ARRAY' AND json_type(e.value) <> 'NULL'""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysheet.functions import dims
 from tallysheet.functions import strings as S
-from tallysheet.operators import cascade, schedules, takeoff
+from tallysheet.operators import cascade, schedules, schema_drift, takeoff
 from tallysheet.operators.resolution import fingerprint_index
 from tallysheet.plans.text_queries import COLLAPSE, STRIP
 from tallysheet.session import cut, spread, table
@@ -221,3 +221,21 @@ def class_to_tags(spark: SparkSession, d: str) -> DataFrame:
     """D9, CMP-17: classes with their tags; the last occurrence counts, the first gives the order."""
     v = table(spark, d, "tag_variables").where("page is not null").select("var_id", "project", "tag", F.col("inferred_yolo_class").alias("cls"), F.col("page").alias("props"), F.col("var_id").alias("ord")).distinct()
     return schedules.class_to_tags(v).select("project", "cls", "tag", F.col("props").alias("page"), "ord")
+
+
+@query("pipeline_takeoff")
+def pipeline_takeoff(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-01/02/07/09/17, AGG-12: the whole chain on one another's output. Schedules give variables, variables
+    the tags of classes, details and fingerprints; the sidecars' detections are tagged by the cascade from them,
+    and the tagged detections become the takeoff."""
+    variables = cut(schedules.extract_variables(schedules.extract_schedules(raw_tables(spark, d))).where("project is not null"))
+    tags = schedules.class_to_tags(variables).groupBy("project", "cls", "tag").agg(F.min("ord").alias("ord"))
+    ranked = tags.select("project", "cls", "tag", F.col("ord.table_ix").alias("ord"))
+    index = fingerprint_index(variables.select("project", "tag", F.map_from_entries("props").alias("properties")))
+    jobs = table(spark, d, "detections").where("file_id is not null and project is not null").select("file_id", "project").distinct()
+    found = schema_drift.unified_detections(table(spark, d, "detections")).join(jobs, "file_id")
+    dets = cut(found.select("project", F.col("page_index").alias("page"), F.xxhash64("file_id", "page_index", "det_index").alias("det_id"), "cls", "tag", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy")).where("cls is not null"))
+    seen = dets.where("tag is not null").select("project", "page", F.col("det_id").alias("bubble_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("tag").alias("text"))
+    tagged = cascade.tag_cascade(dets.drop("tag"), ranked, seen.select("project", "page", "x", "y", "text"), seen, index)
+    details = variables.groupBy("project", "tag").agg(F.min_by(F.struct("props", "cls"), F.col("ord")).alias("f")).select("project", "tag", "f.props", "f.cls")
+    return takeoff.assemble(tagged.join(dets.select("det_id", "project", "page"), "det_id"), details)

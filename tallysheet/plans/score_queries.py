@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallysheet.functions import dims
 from tallysheet.functions import strings as S
 from tallysheet.operators import aggregates as A
+from tallysheet.operators import datasets
 from tallysheet.operators import windows as W
 from tallysheet.operators.resolution import class_expansion, class_resolution, fingerprint_index, fingerprint_scores, only_tag_per_class
 from tallysheet.session import table
@@ -284,12 +285,10 @@ def most_properties(spark: SparkSession, d: str) -> DataFrame:
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     """ORD-10/11: whole projects to validation by a seeded hash order, at least one.
 
-    Names are few beside rows; the cut is found by a global top-k of hashes, not by one sorted window.
+    The cut is found by counts of hash buckets, not by one sorted window.
     """
-    p = table(spark, d, "ls_boxes").where("project is not null").select("project").distinct().withColumn("h", F.md5(F.concat("project", F.lit(":42"))))
-    n = max(1, int(p.count() * 0.1))
-    val = p.orderBy("h", "project").limit(n).select("project", F.lit("val").alias("split"))
-    return p.join(val, "project", "left").select("project", F.coalesce("split", F.lit("train")).alias("split"))
+    p = table(spark, d, "ls_boxes").where("project is not null").select("project")
+    return datasets.holdout(p)
 
 
 # ---- class resolution and fingerprints ------------------------------------------------------------

@@ -85,7 +85,27 @@ def split_compound(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tag_variables").where("tag is not null").select("var_id", "tag").distinct().select("var_id", F.explode(S.split_compound(F.col("tag"))).alias("part"))
 
 
-@query("expand_tag_cell")
+def _cell_sql() -> str:
+    """Every raw tag of a cell by lines (w = 0) and by the first of several numbers, range and compound (w = 1),
+    normalised; lines count where they hold any tag."""
+    cell, both = STRIP("tag"), COLLAPSE("upper(tag)")
+    numbers = r"list_filter(fr, lambda x: regexp_matches(x, '^\d{1,3}$'))"
+    letters = "list_filter(fr, lambda x: regexp_matches(x, '^[A-Za-z]{1,5}$'))"
+    part = lambda i: f"regexp_extract(up, '{_RANGE}', {i})"
+    lo, hi = (f"try_cast({part(i)} AS INT)" for i in (2, 4))
+    source = rf"""SELECT {{'v': var_id, 'c': tag, 'w': w, 'i': i}} AS id, raws[i] AS raw FROM (
+SELECT var_id, tag, 0 AS w, ls AS raws FROM p WHERE contains(st, chr(10)) AND len(ls) > 1 AND len(list_filter(ls, lambda x: NOT regexp_matches(x, '^[A-Za-z]{{1,5}}-?\d|^[A-Za-z]{{2,5}}-[A-Za-z0-9]+$'))) = 0
+UNION ALL SELECT var_id, tag, 1, CASE WHEN len(fr) >= 3 AND len({numbers}) >= 2 AND len({letters}) = 1 THEN list_transform({numbers}, lambda n: upper({letters}[1]) || '-' || n)
+WHEN regexp_matches(up, '{_RANGE}') AND {part(3)} IN ('', {part(1)}) AND {hi} >= {lo} AND {hi} - {lo} <= 100 THEN list_transform(generate_series({lo}, {hi}), lambda n: {part(1)} || '-' || n)
+WHEN pre <> '' AND len(parts) > 1 AND len(list_filter(parts[2:], lambda x: NOT regexp_matches(x, '^\d+$'))) = 0 THEN list_concat(parts[1:1], list_transform(parts[2:], lambda x: pre || '-' || x)) ELSE parts END FROM p), unnest(generate_series(1, len(raws))) AS g(i)"""
+    return rf"""WITH c AS (SELECT DISTINCT var_id, tag, {cell} AS st, {both} AS up, {FRAGS(cell)} AS fr, list_filter(list_transform(string_split({cell}, chr(10)), lambda p: {STRIP('p')}), lambda p: p <> '') AS ls, list_filter(list_transform(regexp_split_to_array({cell}, '[,;/&]'), lambda p: {STRIP('p')}), lambda p: p <> '') AS parts FROM tag_variables WHERE tag IS NOT NULL),
+p AS (SELECT *, regexp_extract({STATUS('upper(parts[1])')}, '^([A-Z]+)-\d+$', 1) AS pre FROM c WHERE st <> ''),
+n AS ({normal_tag_sql(source)}),
+ok AS (SELECT id.v AS var_id, id.c AS cell, id.w AS w, id.i AS i, tag FROM n WHERE tag IS NOT NULL), best AS (SELECT var_id, cell, min(w) AS w FROM ok GROUP BY ALL)
+SELECT var_id, (row_number() OVER (PARTITION BY var_id, cell ORDER BY i) - 1)::INT AS at, tag AS mark FROM ok JOIN best USING (var_id, cell, w)"""
+
+
+@query("expand_tag_cell", _cell_sql())
 def expand_tag_cell(spark: SparkSession, d: str) -> DataFrame:
     """STR-05: all tags of every cell (lines, several numbers, range, compound)."""
     return table(spark, d, "tag_variables").where("tag is not null").select("var_id", "tag").distinct().select("var_id", F.posexplode(S.expand_tag_cell(F.col("tag"))).alias("at", "mark"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -65,10 +66,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 _WRITTEN: list[str] = []
+_CLEARS: list[bool] = []
+
+
+def _clear_at_end(spark: SparkSession) -> None:
+    """Stages do not outlive the application that wrote them; one that was killed leaves its folder to the cluster."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear_written(spark)
+    except Exception:  # the gateway is gone: nothing can be reached any more
+        _WRITTEN.clear()
 
 
 def clear_written(spark: SparkSession) -> None:
-    """Delete the stages that this process has written; call it when nothing reads them any more."""
+    """Delete the stages that this process has written; call it when nothing reads them any more, for instance
+    between queries. The end of the application does so in any case."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
         p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
@@ -80,6 +92,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN and not _CLEARS:
+        atexit.register(_clear_at_end, spark)
+        _CLEARS.append(True)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

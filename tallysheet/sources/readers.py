@@ -36,11 +36,17 @@ def keyed_csv(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines; a line that does not parse gives a row of NULLs, which is dropped."""
+    """JSON lines; a line that does not parse is left out here and kept by ``bad_json_lines``."""
     r = spark.read.option("mode", "PERMISSIVE")
     return (r.schema(schema) if schema else r).json(path).dropna("all")
 
 
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the lines that are no JSON objects, blank ones aside."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return t.where((F.trim("line") != "") & F.try_parse_json("line").isNull())
+
+
 def reviewed_truth(spark: SparkSession, path: str) -> DataFrame:
     """(project, page, box or NULL): a page reviewed and found empty keeps one row without a box."""
     files = spark.read.text(path, wholetext=True).select(F.from_json("value", TRUTH_SCHEMA).alias("m"), _folder(F.col("_metadata.file_path")).alias("project"))
@@ -86,6 +92,7 @@ def completed(spark: SparkSession, markers: DataFrame, logs: DataFrame, banner:
 # ---- workbooks -----------------------------------------------------------------------------------
 
 CELLS = "file string, sheet string, r int, c int, value string"
+UNREADABLE = "<unreadable>"  # sheet name of the row that stands for a workbook that cannot be read
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -99,7 +106,8 @@ def _column(ref: str) -> int:
 
 
 def workbook_cells(content: bytes) -> list[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of the filled cells of a workbook, 0-based; [] when it cannot be read."""
+    """(sheet, row, column, text) of the filled cells of a workbook, 0-based; one that cannot be read is one row
+    (UNREADABLE, -1, -1, reason)."""
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
         names = set(z.namelist())
@@ -120,12 +128,12 @@ def workbook_cells(content: bytes) -> list[tuple[str, int, int, str]]:
                     ref = cell.get("r", "A1")
                     out.append((sh.get("name"), int(re.sub(r"\D", "", ref)) - 1, _column(ref), text))
         return out
-    except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError):
-        return []
+    except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError) as e:
+        return [(UNREADABLE, -1, -1, f"{type(e).__name__}: {e}")]
 
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all workbooks below a path."""
+    """Cells of all workbooks below a path; ``where("sheet = '<unreadable>'")`` lists those that cannot be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -142,6 +150,7 @@ def takeoff_from_cells(cells: DataFrame, prefer: tuple[str, ...] = ("TAKEOFF",))
     Total rows neither give nor reset the product; rows without a number above zero are dropped, a bad
     quantity still advances the product.
     """
+    cells = cells.where(F.col("sheet") != UNREADABLE)
     up = F.upper(S.strip(F.col("value")))
     heads = cells.where("r < 10").groupBy("file", "sheet", "r").agg(F.max(F.when(up == "PRODUCT", F.col("c"))).alias("pc"), F.max(F.when(up.isin("QTY", "COUNT"), F.col("c"))).alias("qc"), F.max(F.when(up == "TAG", F.col("c"))).alias("tc")).where("pc is not null and qc is not null")
     liked = F.greatest(*[F.contains(F.upper("sheet"), F.lit(p)) for p in prefer], F.lit(False))
@@ -153,6 +162,18 @@ def takeoff_from_cells(cells: DataFrame, prefer: tuple[str, ...] = ("TAKEOFF",))
     return filled.select("file", "product", F.coalesce("tag", F.lit("")).alias("tag"), F.col("q").try_cast("double").cast("bigint").alias("qty")).where("product is not null and qty > 0")
 
 
+def tag_column(cells: DataFrame) -> DataFrame:
+    """(file, tag): the distinct upper-case tags of the first sheet whose first row has a TAG column.
+
+    Totals and single dots are no tags; a workbook without such a sheet gives nothing. The order of sheets is
+    that of their names.
+    """
+    up = F.upper(S.strip(F.col("value")))
+    heads = cells.where("r = 0").where(up == "TAG").groupBy("file", "sheet").agg(F.min("c").alias("tc")).groupBy("file").agg(F.min_by(F.struct("sheet", "tc"), "sheet").alias("h"))
+    rows = cells.join(heads, "file").where("sheet = h.sheet and c = h.tc and r > 0").select("file", S.strip(F.col("value")).alias("v"))
+    return rows.where("v <> '' and v <> '.'").where(~F.contains("v", F.lit("Total"))).select("file", F.upper("v").alias("tag")).distinct()
+
+
 # ---- annotation objects ---------------------------------------------------------------------------
 
 
@@ -170,7 +191,7 @@ def count_annotations(objects: DataFrame, noise: tuple[str, ...] = ()) -> DataFr
 
 def column_data(annotations: DataFrame, slots: DataFrame) -> DataFrame:
     """Packed column data as a property map; slots(pos, name, deleted) names the positions."""
-    e = annotations.select("page", "subject", "tag", F.posexplode("columns").alias("pos", "value")).where("value <> ''").join(F.broadcast(slots.where("not deleted").limit(1000)), "pos")
+    e = annotations.select("page", "subject", "tag", F.posexplode("columns").alias("pos", "value")).where("value <> ''").join(slots.where("not deleted"), "pos")
     return e.groupBy("page", "subject", "tag").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
 
 

@@ -33,14 +33,28 @@ def running_totals(events: DataFrame, every: str = "1 hour", late: str = "2 hour
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def rewrite_report(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], state: str, report: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch to ``state`` and rewrite the report over all of it."""
+def rewrite_report(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame], state: str, report: str, checkpoint: str) -> StreamingQuery:
+    """Keep a report over all batches: ``partial`` summarises a batch, ``combine`` the summaries.
+
+    Only the summaries are kept and read again, never the rows of earlier batches. Each batch writes its report
+    as a new version (``report/version=N``); readers take ``latest_report``, so none reads a folder that is
+    being written. Versions before the last but one are left to the reader's clean-up.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        summarise(spark.read.parquet(state).drop("batch")).write.mode("overwrite").parquet(report)
+        partial(batch).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        combine(spark.read.parquet(state).drop("batch")).write.mode("overwrite").parquet(f"{report}/version={batch_id}")
 
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def latest_report(spark: SparkSession, report: str) -> DataFrame:
+    """The last whole version of a report (a version counts once its success marker is there)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(report)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{report}/version={max(done)}")

@@ -26,7 +26,7 @@ def norm(v):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, float) or type(v).__name__ == "Decimal":
-        return round(float(v), 5)
+        return round(float(v), 9)
     if isinstance(v, int):
         return float(v)
     return str(v)[:19] if hasattr(v, "isoformat") else v

@@ -65,3 +65,28 @@ def test_paged_source(spark, tmp_path):
     df = spark.read.format("paged_json").option("url", f"file://{tmp_path}/{{page}}.json").option("pages", "3").option("items", "tasks").load()
     assert rows(df.select("page", "position", F.get_json_object("item", "$.id").cast("int"))) == [(1, 0, 1), (1, 1, 2), (2, 0, 3)]
     assert rest.class_map("names:\n- FAN\n- VAV\n") == {0: "FAN", 1: "VAV"}
+
+
+def test_first_share_is_the_hash_order(spark):
+    import hashlib
+
+    from tallysheet.operators import datasets
+
+    names = [f"p{i}" for i in range(300)]
+    df = spark.createDataFrame([(n,) for n in [*names, *names, None]], "project string")
+    order = sorted(names, key=lambda n: (hashlib.md5(f"{n}:42".encode()).hexdigest(), n))
+    for share, least in ((0.1, 1), (0.0, 1), (0.5, 1), (1.0, 1), (0.0, 7)):
+        want = set(order[: max(least, int(300 * share))])
+        assert {r[0] for r in datasets.first_share(df, "project", 42, share, least, buckets=16).collect()} == want
+    assert datasets.first_share(df.limit(0), "project", 42, 0.1).count() == 0
+
+
+def test_crops_with_and_without_bubbles(spark):
+    from tallysheet.operators import datasets
+
+    box = "x1 double, y1 double, x2 double, y2 double"
+    crops = spark.createDataFrame([("a", "p", 0.0, 0.0, 32.0, 64.0), ("b", "q", -10.0, 0.0, 10.0, 10.0), ("c", "q", 5.0, 5.0, 5.0, 9.0), (None, "q", 1.0, 1.0, 2.0, 2.0)], f"img string, project string, {box}")
+    bubbles = spark.createDataFrame([("a", 320.0, 320.0, 400.0, 400.0), ("b", 0.0, 0.0, 320.0, 320.0), ("z", 0.0, 0.0, 1.0, 1.0)], f"img string, {box}")
+    split = spark.createDataFrame([("p", "train"), ("q", "val")], "project string, split string")
+    got = sorted((r["img"], r["split"], r["label_id"], r["cx"], r["w"]) for r in datasets.crop_labels(crops, bubbles, split, 320.0).collect())
+    assert got == [("a", "train", 0, 0.05, 0.1), ("b", "val", 0, 0.015625, 0.03125), ("b", "val", 1, 0.5, 1.0)]

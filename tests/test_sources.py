@@ -1,10 +1,13 @@
 import json
+import threading
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tallysheet.sources import ports, readers, sinks
+from tallysheet.sources import ports, readers, rest, sinks
 from tallysheet.streaming import ingest
 
 from .conftest import rows
@@ -25,6 +28,93 @@ def test_workbook_takeoff(spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")
     cells = readers.workbooks(spark, str(tmp_path))
     assert [r[1:] for r in rows(readers.takeoff_from_cells(cells))] == [("FAN", "", 1), ("FAN", "EF-1", 2), ("FAN", "EF-2", 3)]
+    bad = cells.where(F.col("sheet") == readers.UNREADABLE).collect()
+    assert len(bad) == 1 and bad[0]["file"].endswith("broken.xlsx") and "BadZipFile" in bad[0]["value"]
+
+
+def test_tag_column(spark):
+    c = [("a", "S1", 0, 1, "Tag"), ("a", "S1", 1, 1, "ef-1 "), ("a", "S1", 2, 1, "EF-1"), ("a", "S1", 3, 1, "FAN Total"), ("a", "S1", 4, 1, "."), ("a", "S1", 5, 0, "X-1"), ("a", "S2", 0, 0, "TAG"), ("a", "S2", 1, 0, "AC-9"), ("b", "S1", 2, 0, "TAG"), ("b", "S1", 3, 0, "AC-1")]
+    assert rows(readers.tag_column(spark.createDataFrame(c, readers.CELLS))) == [("a", "EF-1")]
+
+
+def test_takeoff_workbook_round_trip(spark, tmp_path):
+    from tallysheet.operators import takeoff
+
+    tagged = spark.createDataFrame([("p", 0, 1, "AD-GRD", "CD-1"), ("p", 2, 2, "AD-T-BAR SUPPLY", "CD-1"), ("p", 0, 3, "FAN", "EF & <1>"), ("p", 1, 4, "FAN", None)], "project string, page int, det_id bigint, cls string, tag string")
+    details = spark.createDataFrame([("p", "CD-1", [("MODEL", "X1"), ("NECK SIZE", "10")], "AD-T-BAR SUPPLY")], "project string, tag string, props array<struct<key:string,value:string>>, cls string")
+    books = sinks.takeoff_workbooks(takeoff.assemble(tagged, details), takeoff.detail_rows(tagged, details)).collect()
+    assert len(books) == 1
+    cells = readers.workbook_cells(bytes(books[0]["content"]))
+    grid = lambda sheet: {(r, c): v for s, r, c, v in cells if s == sheet}
+    g = grid("Takeoff")
+    assert g[0, 0] == "HVAC Takeoff: p" and [g[2, c] for c in range(11)] == sinks.HEADERS
+    assert (g[3, 0], g[3, 2], g[3, 3], g[3, 4], g[3, 5]) == ("AD-T-BAR SUPPLY", "X1", "2", "CD-1", "10")
+    assert (g[4, 0], g[4, 3], (5, 0) in g, g[5, 4]) == ("FAN", "1", False, "EF & <1>")
+    assert (g[6, 0], g[6, 3], g[7, 0], g[7, 3], g[9, 0], g[9, 3]) == ("AD-T-BAR SUPPLY Total", "2", "FAN Total", "2", "GRAND TOTAL", "4")
+    raw = grid("RawData")
+    assert [raw[r, 0] for r in range(1, 5)] == ["AD-T-BAR SUPPLY", "FAN", "FAN", "AD-T-BAR SUPPLY"]
+    # the reader takes what the writer gives
+    df = spark.createDataFrame([("f", *c) for c in cells], readers.CELLS)
+    assert ("f", "FAN", "EF & <1>", 1) in rows(readers.takeoff_from_cells(df))
+
+
+class Service(BaseHTTPRequestHandler):
+    tries: dict = {}
+    posted: list = []
+
+    def log_message(self, *a):
+        pass
+
+    def answer(self, code, body):
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def do_GET(self):
+        path, _, query = self.path.partition("?")
+        page = int(dict(x.split("=") for x in query.split("&")).get("page", 1))
+        n = Service.tries[self.path] = Service.tries.get(self.path, 0) + 1
+        if path == "/tasks":
+            if self.headers.get("Authorization") != "Bearer yes":
+                return self.answer(401, {})
+            if n == 1 and page % 2:
+                return self.answer([500, 429][page % 4 // 2], {})
+            return self.answer(200, {"tasks": [{"id": (page - 1) * 10 + i} for i in range(10 if page < 5 else 3 if page == 5 else 0)]})
+        if path == "/down":
+            return self.answer(500, {})
+        if path == "/api/projects/":
+            return self.answer(200, {"results": [{"id": 7, "title": "x" * 50}] if page == 1 else []})
+        return self.answer(404, {})
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.posted.append(body)
+        self.answer(200, {"access": "yes"} if self.path == "/token" else {"id": 8})
+
+
+@pytest.fixture(scope="module")
+def service():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_rest_source_is_read_to_its_end_or_raises(spark, service):
+    spark.dataSource.register(rest.PagedSource)
+    read = lambda **o: spark.read.format("paged_json").options(pause="0.01", size="10", pages="3", **o).load()
+    got = read(url=service + "/tasks?page={page}", items="tasks", refresh="r", refresh_url=service + "/token")
+    assert sorted(json.loads(r["item"])["id"] for r in got.collect()) == list(range(43))
+    assert read(url=service + "/none?page={page}", items="tasks").count() == 0
+    for url in ("/down?page={page}", "/tasks?page={page}"):  # a failing service, and no token
+        with pytest.raises(Exception, match="HTTP Error"):
+            read(url=service + url, items="tasks", retries="1").count()
+
+
+def test_projects_are_found_before_they_are_made(service):
+    assert rest.find_or_create(service, "x" * 80, {}) == (7, False)
+    assert rest.find_or_create(service, "new", {"label_config": "<View/>"}) == (8, True)
+    assert Service.posted[-1] == {"title": "new", "label_config": "<View/>"}
 
 
 def test_keyed_csv_and_jsonl(spark, tmp_path):
@@ -33,6 +123,7 @@ def test_keyed_csv_and_jsonl(spark, tmp_path):
     assert rows(got) == [("a", "ok", 3, None), ("b", None, None, None)]
     (tmp_path / "c.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
     assert rows(readers.json_lines(spark, str(tmp_path / "c.jsonl"), "a int")) == [(1,), (2,)]
+    assert [r["line"] for r in readers.bad_json_lines(spark, str(tmp_path / "c.jsonl")).collect()] == ["not json"]
 
 
 def test_reviewed_truth_keeps_empty_pages(spark, tmp_path):
@@ -94,6 +185,11 @@ def test_sinks(spark, tmp_path):
     idx = spark.createDataFrame([("FAN", 0)], "cls string, idx int")
     tiles = spark.createDataFrame([("t", "FAN", 0.5, 0.5, 0.1, 0.1)], "tile string, cls string, cx double, cy double, w double, h double")
     assert sinks.tile_labels(tiles, idx).first()["label"] == "0 0.500000 0.500000 0.100000 0.100000"
+    many = spark.range(12_000).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("cls"), F.col("id").cast("int").alias("idx"))
+    boxes = many.select(F.lit("t").alias("tile"), "cls", *[F.lit(0.5).alias(c) for c in ("cx", "cy", "w", "h")])
+    assert sinks.tile_labels(boxes, many).first()["label"].count("\n") == 11_999
+    v = spark.createDataFrame([(1, "FANS", "EF-2", [("CFM", "9")]), (1, "FANS", "EF-1", [("CFM", "5"), ("HP", "1")])], "page int, schedule_name string, tag string, props array<struct<key:string,value:string>>")
+    assert sinks.grouped_dump(v).first()["text"] == "Page 1 - FANS\n  EF-1: CFM=5; HP=1\n  EF-2: CFM=9"
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -106,8 +202,13 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     ingest.drain(s(), str(out), str(cp))
     ingest.drain(s(), str(out), str(cp))
     assert rows(spark.read.parquet(str(out)).select("k", "n")) == [("a", 1), ("b", 2)]
-    ingest.rewrite_report(s(), lambda d: d.agg(F.sum("n").alias("n")), str(tmp_path / "st"), str(tmp_path / "rep"), str(tmp_path / "cp2"))
-    assert rows(spark.read.parquet(str(tmp_path / "rep"))) == [(3,)]
+    total = lambda d: d.agg(F.sum("n").alias("n"))
+    report = lambda: ingest.rewrite_report(s(), total, total, str(tmp_path / "st"), str(tmp_path / "rep"), str(tmp_path / "cp2"))
+    report()
+    assert rows(ingest.latest_report(spark, str(tmp_path / "rep"))) == [(3,)]
+    (src / "c.json").write_text('{"k": "c", "n": 4}\n')
+    report()
+    assert rows(ingest.latest_report(spark, str(tmp_path / "rep"))) == [(7,)]
 
 
 def test_append_only_new(spark, tmp_path):
