@@ -11,6 +11,8 @@ from tallysheet.functions import dims
 from tallysheet.functions import strings as S
 from tallysheet.operators import cascade, schedules, schema_drift, takeoff
 from tallysheet.operators.resolution import fingerprint_index
+from tallysheet.plans import score_queries
+from tallysheet.plans.box_queries import fold_sql
 from tallysheet.plans.text_queries import COLLAPSE, STRIP
 from tallysheet.session import cut, spread, table
 
@@ -115,7 +117,50 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return cut(v.withColumns({"x": (F.col("var_id") * 37 % 2000).cast("double"), "y": (F.col("var_id") * 91 % 2000).cast("double")}))
 
 
-@query("tag_cascade")
+_PLACED = "placed AS (SELECT DISTINCT var_id, project, page - 1 AS page, tag, inferred_yolo_class AS cls, (var_id * 37 % 2000)::DOUBLE AS x, (var_id * 91 % 2000)::DOUBLE AS y FROM tag_variables WHERE project IS NOT NULL AND page IS NOT NULL)"
+ORACLE_INDEX = score_queries.ORACLES["fingerprint_index"]
+
+
+def _cascade_sql() -> str:
+    classes = {*dims.DETECTOR_ALIAS, *(c for f in dims.CLASS_FAMILIES for c in f)}
+    rows = [(c, c, 0, True) for c in sorted(classes)] + [(c, a, 1, len(v) == 1) for c, v in dims.DETECTOR_ALIAS.items() for a in v] + [(c, x, 2, True) for f in dims.CLASS_FAMILIES for c in f for x in f]
+    edges = ", ".join(f"('{c}', '{x}', {p}, {'true' if ok else 'false'})" for c, x, p, ok in rows)
+    fold = lambda c: f"regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
+    dist = "sqrt((d.cx - w.x) * (d.cx - w.x) + (d.cy - w.y) * (d.cy - w.y))"
+    near = lambda left, right: f"{left} d JOIN {right} w ON d.project = w.project AND d.page = w.page"
+    tokens = f"list_filter(regexp_split_to_array({COLLAPSE(chr(39).join(['regexp_replace(upper(text), ', '[' + chr(34) + chr(39) * 2 + ']', ', ', '', ', ', 'g', ')']))}, '[\\s/,]+'), lambda t: length(t) >= 2 AND regexp_matches(t, '[0-9]'))"
+    first = fold_sql("SELECT project, page, det_id AS l, resolved || chr(1) || tag AS r, score, ord FROM score", "-score, l, ord")
+    return rf"""WITH {_PLACED}, props AS (SELECT var_id, any_value(properties) AS ps FROM tag_variables GROUP BY var_id),
+dets AS (SELECT project, page, var_id AS det_id, cls, x + var_id % 29 AS cx, y + var_id % 31 AS cy FROM placed WHERE cls IS NOT NULL),
+tags AS (SELECT project, cls, tag, min(var_id) AS ord FROM placed WHERE cls IS NOT NULL AND tag IS NOT NULL GROUP BY ALL),
+words AS (SELECT project, page, x, y, text FROM (SELECT project, page, x, y, unnest(map_values(ps)) AS text FROM placed JOIN props USING (var_id)) WHERE text IS NOT NULL),
+bubbles AS (SELECT project, page, var_id AS bubble_id, x, y, {fold('tag')} AS fold FROM placed WHERE tag IS NOT NULL),
+edges(cls, cand, prio, sure) AS (VALUES {edges}), index_ AS ({ORACLE_INDEX}),
+seen AS (SELECT DISTINCT project, cls FROM dets), have AS (SELECT DISTINCT project, cls AS cand FROM tags),
+cands AS (SELECT project, cls, cand, min(prio) AS prio FROM (SELECT project, cls, cls AS cand, 0 AS prio FROM seen UNION ALL SELECT project, cls, cand, prio FROM seen JOIN edges USING (cls) WHERE prio > 0) JOIN have USING (project, cand) GROUP BY ALL),
+picks AS (SELECT project, cls, max(cand) FILTER (prio = 0) AS a, max(cand) FILTER (prio = 1 AND coalesce(sure, true)) AS b, max(cand) FILTER (prio = 2) AS c, count(DISTINCT cand) FILTER (prio = 2) AS n FROM cands LEFT JOIN (SELECT DISTINCT cls, cand, sure FROM edges) USING (cls, cand) GROUP BY ALL),
+res AS (SELECT project, cls, coalesce(a, CASE WHEN cls <> 'AD-GRD' THEN coalesce(b, CASE WHEN n = 1 THEN c END) END) AS resolved FROM picks),
+per AS (SELECT project, cls AS resolved, min(tag) AS only_, max(tag) AS other FROM tags GROUP BY ALL),
+base AS (SELECT d.*, r.resolved, only_, other FROM dets d LEFT JOIN res r USING (project, cls) LEFT JOIN per p ON p.project = d.project AND p.resolved = r.resolved),
+direct AS (SELECT det_id, cls AS new_cls, only_ AS tag, 'direct' AS how, 1.0::DOUBLE AS conf FROM base WHERE only_ = other),
+toks AS (SELECT DISTINCT project, page, x, y, unnest({tokens}) AS tok FROM words),
+close AS (SELECT DISTINCT d.project, d.page, d.det_id, d.resolved, w.tok FROM {near('(SELECT * FROM base WHERE only_ <> other)', 'toks')} AND {dist} <= {100 * 200 / 72!r}),
+score AS (SELECT c.project, c.page, c.resolved, det_id, i.tag, t.ord, count(*) AS score FROM close c JOIN index_ i ON i.project = c.project AND i.tok = c.tok JOIN tags t ON t.project = c.project AND t.cls = c.resolved AND t.tag = i.tag GROUP BY ALL),
+won AS (SELECT m.l AS det_id, string_split(m.r, chr(1))[2] AS tag FROM ({first})),
+finger AS (SELECT det_id, b.cls AS new_cls, w.tag, 'fingerprint' AS how, least(0.5::DOUBLE + 0.15::DOUBLE * score, 0.95::DOUBLE) AS conf FROM won w JOIN base b USING (det_id) JOIN score s USING (det_id, tag)),
+done1 AS (SELECT * FROM direct UNION ALL SELECT * FROM finger),
+pool AS (SELECT c.project, c.cls, {fold('tag')} AS fold, min({{'p': prio, 'c': cand, 'o': ord, 't': tag}}) AS b FROM cands c JOIN tags t ON t.project = c.project AND t.cls = c.cand GROUP BY ALL),
+hits AS (SELECT d.det_id, w.bubble_id, {dist} AS dist, p.b, w.fold FROM {near('(SELECT * FROM base ANTI JOIN done1 USING (det_id))', 'bubbles')} AND {dist} <= 350 JOIN pool p ON p.project = d.project AND p.cls = d.cls AND p.fold = w.fold WHERE w.fold <> ''),
+bubble AS (SELECT det_id, arg_min({{'c': b.c, 't': b.t, 'd': dist}}, {{'s': dist - 80 * length(fold), 'i': bubble_id}}) AS v FROM hits GROUP BY det_id),
+done2 AS (SELECT * FROM done1 UNION ALL SELECT det_id, v.c, v.t, 'bubble_detect', 1 - least(v.d / 350, 1) FROM bubble),
+folded AS (SELECT project, cls AS resolved, {fold('tag')} AS fold, arg_max(tag, ord) AS tag FROM tags GROUP BY ALL),
+look AS (SELECT d.det_id, d.cls, f.tag, {dist} AS dist FROM {near('(SELECT * FROM base ANTI JOIN done2 USING (det_id) WHERE only_ <> other)', "(SELECT project, page, x, y, " + fold('text') + " AS fold FROM words)")} AND {dist} <= 140 JOIN folded f ON f.project = d.project AND f.resolved = d.resolved AND f.fold = w.fold WHERE w.fold <> ''),
+done3 AS (SELECT * FROM done2 UNION ALL SELECT det_id, cls, arg_min(tag, {{'d': dist, 't': tag}}), 'bubble_ocr', 1 - least(min(dist) / 140, 1) FROM look GROUP BY det_id, cls)
+SELECT d.det_id, coalesce(new_cls, d.cls) AS cls, d.cls AS original_cls, tag, coalesce(how, 'none') AS tag_method, round(coalesce(conf, 0), 6) AS tag_confidence, CASE WHEN tag IS NULL THEN CASE WHEN h.cls IS NOT NULL THEN 'has_candidates_unmatched' ELSE 'no_candidate_tags' END END AS untagged_reason
+FROM dets d LEFT JOIN done3 USING (det_id) LEFT JOIN (SELECT DISTINCT project, cls FROM cands) h ON h.project = d.project AND h.cls = d.cls"""
+
+
+@query("tag_cascade", _cascade_sql())
 def tag_cascade(spark: SparkSession, d: str) -> DataFrame:
     """CMP-07/08, JOIN-01..08, AGG-12, 2.18: the whole cascade over placed variables."""
     v = _placed(spark, d)
@@ -126,9 +171,6 @@ def tag_cascade(spark: SparkSession, d: str) -> DataFrame:
     return cascade.tag_cascade(dets, tags, words, bubbles, fingerprint_index(table(spark, d, "tag_variables")))
 
 
-_PLACED = "placed AS (SELECT DISTINCT var_id, project, page - 1 AS page, tag, inferred_yolo_class AS cls, (var_id * 37 % 2000)::DOUBLE AS x, (var_id * 91 % 2000)::DOUBLE AS y FROM tag_variables WHERE project IS NOT NULL AND page IS NOT NULL)"
-
-
 @query(
     "bubble_pairs",
     rf"""
