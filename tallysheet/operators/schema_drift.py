@@ -29,7 +29,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,7 @@ SYNONYMS = {
 }
 NESTED = {k for kinds in BASE_KINDS.values() for k in kinds if k[0] == "{"}
 ASCENDING = (("x1", "x2"), ("y1", "y2"))  # base fields whose values stand in this order
+_ORDERED = {f for p in ASCENDING for f in p}
 LISTED = 0.5  # similarity from which a name alone speaks for a base field
 BESIDE = 0.01  # share of its objects in which a name beside a base field is a field of its own
 CONTAINER_NAMES = {"page", "detections", "candidates"}  # named by the task: never a base field
@@ -118,6 +119,11 @@ def _kind(v: object) -> str:
     return "list" if isinstance(v, list) else "null"
 
 
+@lru_cache(maxsize=50_000)
+def _string_kind(v: str) -> str:
+    return _kind(v)
+
+
 def parse(body: str | None) -> object | None:
     """The JSON value of a body (object or array); None when it is not valid JSON."""
     if not body or not body.strip():
@@ -225,29 +231,46 @@ def describe(j: object) -> dict:
     follows: dict[str, set[tuple[str, str]]] = {"top": set(), "det": set()}
     less: dict[tuple[str, str], bool] = {}
 
+    seen: set[tuple] = set()
+
     def note(level: str, o: dict) -> None:
+        fields = levels[level]
         for k, v in o.items():
-            types, kinds = levels[level].setdefault(k, (set(), set()))
-            types.add(json_type(v))
-            if isinstance(v, dict):
-                kinds.add("pagemap") if level == "top" and _pages_like(v) else kinds.update(NESTED & {"{" + x for x in v} or {"{"})
-            elif level == "top" and _pages_like(v):
-                kinds.add("pagemap")
+            got = fields.get(k)
+            if got is None:
+                got = fields[k] = (set(), set())
+            t = type(v)
+            if t is float:
+                got[0].add("number")
+                got[1].add("unit" if 0 <= v <= 1 else "big")
+            elif t is str:
+                got[0].add("string")
+                got[1].add(_string_kind(v) if len(v) < 64 else _kind(v))
             else:
-                kinds.add(_kind(v))
+                got[0].add(json_type(v))
+                if t is dict:
+                    got[1].add("pagemap") if level == "top" and _pages_like(v) else got[1].update(NESTED & {"{" + x for x in v} or {"{"})
+                elif level == "top" and _pages_like(v):
+                    got[1].add("pagemap")
+                else:
+                    got[1].add(_kind(v))
         if level == "entry":
             return
-        own = [k for k in o if k not in BASE[level]]
-        together[level].update((min(a, b), max(a, b)) for a in own for b in o if a != b)
-        strange = {k for k in own if k not in CONTAINER_NAMES and not _listed(level, k)}
+        names = tuple(o)
+        strange = [k for k in names if k not in BASE[level] and k not in CONTAINER_NAMES and not _listed(level, k)]
+        if names not in seen:
+            seen.add(names)
+            own = [k for k in names if k not in BASE[level]]
+            together[level].update((min(a, b), max(a, b)) for a in own for b in names if a != b and _rivals(level, a, b))
         if strange:
-            names = list(o)
-            follows[level].update(p for p in zip(names, names[1:], strict=False))
             numbers = {k: v for k, v in o.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
             for a in numbers:
                 for b in numbers:
-                    if a != b and (a in strange or b in strange):
+                    if a != b and (a in strange or b in strange) and all(x in strange or x in _ORDERED for x in (a, b)):
                         less[a, b] = less.get((a, b), True) and numbers[a] < numbers[b]
+            # several nameless numbers at once (a box): their place in the object tells them apart
+            if level == "det" and sum(k in numbers for k in strange) >= 3:
+                follows[level].update(p for p in zip(names, names[1:], strict=False) if p[0] in strange or p[1] in strange)
 
     if isinstance(j, dict):
         note("top", j)
@@ -262,7 +285,8 @@ def describe(j: object) -> dict:
     container = j.get(p) if p else None
     plain = isinstance(container, dict) and all(isinstance(x, list) for x in container.values())
     return {
-        "levels": {lv: {k: [sorted(t), sorted(s)] for k, (t, s) in sorted(fs.items())} for lv, fs in levels.items()},
+        # a base field's own name settles it: only the kinds of other names are evidence
+        "levels": {lv: {k: [sorted(t - {"null"}), [] if k in BASE[lv] else sorted(s - {"null"})] for k, (t, s) in sorted(fs.items())} for lv, fs in levels.items()},
         "together": {lv: sorted(map(list, ps)) for lv, ps in together.items()},
         "follows": {lv: sorted(map(list, ps)) for lv, ps in follows.items()},
         "less": sorted([a, b] for (a, b), ok in less.items() if ok),
@@ -313,9 +337,21 @@ def _name_similarity(base: str, name: str) -> float:
     return share if share >= LISTED else max(share, 0.45 * _spelling(base, whole[:40]) if whole else 0.0)
 
 
+@lru_cache(maxsize=50_000)
+def _speaks_for(level: str, name: str) -> frozenset[str]:
+    """The base fields of a level that the name alone speaks for."""
+    return frozenset(f for f in BASE[level] if name_similarity(f, name) >= LISTED)
+
+
 def _listed(level: str, name: str) -> bool:
-    """Whether the name alone speaks for some base field of its level."""
-    return any(name_similarity(f, name) >= LISTED for f in BASE[level])
+    return bool(_speaks_for(level, name))
+
+
+@lru_cache(maxsize=200_000)
+def _rivals(level: str, a: str, b: str) -> bool:
+    """Whether two names may claim one base field; a name that speaks for none may claim any."""
+    x, y = _speaks_for(level, a), _speaks_for(level, b)
+    return not x or not y or bool(x & y)
 
 
 def _names_another(level: str, base: str, name: str) -> bool:
