@@ -134,6 +134,7 @@ def automaton():
 
     a = ahocorasick.Automaton()
     for g, (c, ctx) in patterns().items():
+        assert _BEYOND.fullmatch(g), g
         a.add_word(g, (len(g), g, c, ctx))
     a.make_automaton()
     return a
@@ -159,6 +160,7 @@ def _latin(ch: str) -> bool:
 _OPEN, _CLOSE = "“‘«„¿¡‚", "”»"
 
 
+@lru_cache(maxsize=200_000)
 def stands(ch: str, before: str, after: str) -> bool:
     """Whether a character can stand between these neighbours in correct text."""
     p, n = _kind(before), _kind(after)
@@ -216,6 +218,7 @@ def stands(ch: str, before: str, after: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=200_000)
 def _joins(ch: str, before: str, after: str) -> bool:
     """Stricter than stands(): the original must fit on both sides."""
     if not stands(ch, before, after):
@@ -242,6 +245,7 @@ def _impossible(ch: str, before: str, after: str) -> bool:
     return _latin(before) and _latin(after) and ch not in PUNCTUATION and not ch.isspace() and ch not in COMBINING and unicodedata.category(ch) not in ("Mn", "Cf")
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+ ?")
 _RUN = re.compile(r"[^\x00-\x7f]{3,}")
 
 
@@ -326,7 +330,9 @@ def damage(text: str) -> list[tuple[int, int, str | None]]:
     """[(start, end, original or None when it cannot be told)] of the garbled spans, leftmost longest."""
     if text.isascii():
         return []
-    hits = [(end - size + 1, -size, g, c, ctx) for end, (size, g, c, ctx) in automaton().iter(text)]
+    # every sequence is of characters beyond ASCII, and a blank at most: the automaton reads their runs only
+    search = automaton().iter
+    hits = [(m.start() + end - size + 1, -size, g, c, ctx) for m in _BEYOND.finditer(text) for end, (size, g, c, ctx) in search(m[0])]
     if not hits:
         return []
     hits.sort()
