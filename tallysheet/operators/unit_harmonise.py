@@ -197,20 +197,20 @@ def unit_statements(tag_variables: DataFrame, v: Vocabulary) -> DataFrame:
     quantity_of = _lit_map(v.names)
     # the longest known name that the key begins with, whatever stands between its words
     by_length = sorted(v.names, key=len, reverse=True)
-    begins = r"(?i)^[^A-Za-z]*(" + "|".join("[^A-Za-z]+".join(map(re.escape, n.split())) for n in by_length) + r")(?![A-Za-z])"
-    base_of = lambda k: F.regexp_replace(F.upper(F.regexp_extract(k, begins, 1)), "[^A-Z]+", " ")
+    begins = r"^[^A-Z]*+(?:" + "|".join("[^A-Z]+".join(map(re.escape, n.split())) for n in by_length) + r")(?![A-Z])"
     spelt_names = {n.upper(): re.sub("[^A-Z]+", " ", n.upper()).strip() for n in v.names}
     quantity_of = _lit_map({spelt_names[n]: q for n, q in v.names.items()})
     # one-row generators keep the optimizer from repeating the expressions below wherever they are used
-    entries = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), base_of(e["key"]).alias("base")))
+    entries = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.regexp_extract(F.upper(e["key"]), begins, 0).alias("lead")))
     kept = tag_variables.where("properties is not null").select("var_id", "tag", "schedule_name", F.inline(F.array(F.struct(entries.alias("entries")))))
-    notes = F.concat_ws(" ; ", F.col("schedule_name"), F.array_join(F.transform(F.filter("entries", lambda e: (e["base"] == "") & e["value"].isNotNull()), lambda e: e["value"]), " ; "))
-    rows = kept.select("var_id", "tag", F.upper(notes).alias("notes"), F.explode(F.filter("entries", lambda e: (e["base"] != "") & e["value"].rlike(r"\d"))).alias("e"))
+    notes = F.concat_ws(" ; ", F.col("schedule_name"), F.array_join(F.transform(F.filter("entries", lambda e: (e["lead"] == "") & e["value"].isNotNull()), lambda e: e["value"]), " ; "))
+    rows = kept.select("var_id", "tag", F.upper(notes).alias("notes"), F.explode(F.filter("entries", lambda e: (e["lead"] != "") & e["value"].rlike(r"\d"))).alias("e"))
     # number, unit text and bracketed text of a value by one expression; no match, no parts
     parts = F.split(F.regexp_replace("e.value", _VALUE, "$1\u0001$2\u0001$3"), "\u0001")
-    tail = F.regexp_replace("e.key", begins, "")
-    rows = rows.select("var_id", "tag", "notes", "e.key", "e.base", F.try_element_at(quantity_of, F.col("e.base")).alias("quantity"), F.inline(F.array(F.struct(parts.alias("p"), tail.alias("tail")))))
-    rows = rows.where("size(p) = 3")
+    base = F.trim(F.regexp_replace("e.lead", "[^A-Z]+", " "))
+    tail = F.substr(F.upper("e.key"), F.length("e.lead") + 1)
+    rows = rows.select("var_id", "tag", "notes", "e.key", F.inline(F.array(F.struct(parts.alias("p"), base.alias("base"), tail.alias("tail")))))
+    rows = rows.where("size(p) = 3").withColumn("quantity", F.try_element_at(quantity_of, F.col("base")))
     listed = v.listed()
     is_listed = lambda label: F.concat("quantity", F.lit("\u0001"), label).isin(*listed)
     own = is_listed(F.col("base")) & (F.trim("tail") == "")  # the name is itself a unit (CFM, HP)
