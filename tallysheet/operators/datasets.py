@@ -40,8 +40,8 @@ def frequent_classes(boxes: DataFrame, least: int = 30) -> DataFrame:
     return boxes.join(keep, "cls", "left_semi")
 
 
-def first_share(names: DataFrame, name: str, seed: int, share: float, least: int = 1, buckets: int = 1024) -> DataFrame:
-    """The first ``share`` of distinct names in a seeded hash order, at least ``least``.
+def first_share(names: DataFrame, name: str, seed: int, share: float, least: int = 1, buckets: int = 1024, beside: int = 0) -> DataFrame:
+    """The first ``share`` of distinct names (and ``beside`` others) in a seeded hash order, at least ``least``.
 
     Hash buckets in hash order are counted, whole buckets below the cut are taken and only the bucket of the
     cut is ranked, so no task sees more than a bucket.
@@ -49,7 +49,7 @@ def first_share(names: DataFrame, name: str, seed: int, share: float, least: int
     p = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_h", F.md5(F.concat(F.col(name).cast("string"), F.lit(f":{seed}"))))
     p = cut(p.withColumn("_b", F.expr(f"cast(conv(substr(_h, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")))
     counts = {r["_b"]: r["n"] for r in p.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # at most ``buckets`` rows
-    left = max(least, int(sum(counts.values()) * share)) if counts else 0
+    left = max(least, int((sum(counts.values()) + beside) * share)) if counts else 0
     edge = 0
     while edge < buckets and left >= counts.get(edge, 0):
         left -= counts.get(edge, 0)
@@ -61,8 +61,8 @@ def first_share(names: DataFrame, name: str, seed: int, share: float, least: int
 def holdout(projects: DataFrame, share: float = 0.1, seed: int = 42, always: tuple[str, ...] = ()) -> DataFrame:
     """(project, split): whole projects to validation by seeded hash, at least one; some always."""
     p = projects.select("project").distinct()
-    free = p.where(~F.col("project").isin(*always)) if always else p
-    val = first_share(free, "project", seed, share).withColumn("v", F.lit(True))
+    fixed = F.col("project").isin(*always) if always else F.lit(False)
+    val = first_share(p.where(~fixed), "project", seed, share, beside=p.where(fixed).count() if always else 0).withColumn("v", F.lit(True))
     return p.join(val, "project", "left").select("project", F.when(F.col("v") | F.col("project").isin(*(always or ("",))), "val").otherwise("train").alias("split"))
 
 

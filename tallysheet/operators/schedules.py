@@ -134,6 +134,22 @@ def class_to_tags(variables: DataFrame) -> DataFrame:
     return v.groupBy("project", "cls", "tag").agg(F.max_by("props", "ord").alias("props"), F.min("ord").alias("ord"))
 
 
+def with_fallback(projects: DataFrame, variables: DataFrame, ocr_tables: DataFrame, ocr_tags: DataFrame, least: int = 3) -> DataFrame:
+    """(project, tag, source): the tags of every project, from text tables, or for want of them from OCR.
+
+    A project with fewer than ``least`` tags of its own takes those of reconstructed tables besides, and if that
+    is not enough the tags read anywhere. All inputs hold (project, tag); repeated and NULL tags count once and
+    never; a tag keeps its first source.
+    """
+    once = lambda df, source, rank: df.where("project is not null and tag is not null").select("project", "tag", F.lit(source).alias("source"), F.lit(rank).alias("rank")).distinct()
+    every = once(variables, "text", 0).unionByName(once(ocr_tables, "ocr_table", 1)).unionByName(once(ocr_tags, "ocr_tag", 2))
+    first = every.groupBy("project", "tag").agg(F.min(F.struct("rank", "source")).alias("f")).select("project", "tag", "f.rank", "f.source")
+    # tags per project up to each source: three counts, no window over a project's rows
+    count = first.groupBy("project").agg(F.count_if(F.col("rank") == 0).alias("text"), F.count_if(F.col("rank") <= 1).alias("tables"))
+    j = projects.select("project").where("project is not null").distinct().join(first, "project").join(count, "project")
+    return j.where((F.col("rank") == 0) | ((F.col("rank") == 1) & (F.col("text") < least)) | ((F.col("rank") == 2) & (F.col("text") < least) & (F.col("tables") < least))).select("project", "tag", "source")
+
+
 def legend(tables: DataFrame, lines: DataFrame) -> DataFrame:
     """(project, abbr, description): two-cell rows and ABBR - text lines; on a page lines win, later pages win.
 

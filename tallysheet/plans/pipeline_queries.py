@@ -281,3 +281,16 @@ def pipeline_takeoff(spark: SparkSession, d: str) -> DataFrame:
     tagged = cascade.tag_cascade(dets.drop("tag"), ranked, seen.select("project", "page", "x", "y", "text"), seen, index)
     details = variables.groupBy("project", "tag").agg(F.min_by(F.struct("props", "cls"), F.col("ord")).alias("f")).select("project", "tag", "f.props", "f.cls")
     return takeoff.assemble(tagged.join(dets.select("det_id", "project", "page"), "det_id"), details)
+
+
+@query(
+    "schedule_entry",
+    """WITH v AS (SELECT DISTINCT project, tag, CASE WHEN source_row_index = -1 THEN 2 WHEN page % 4 = 0 THEN 0 ELSE 1 END AS rank FROM tag_variables WHERE project IS NOT NULL AND tag IS NOT NULL AND page IS NOT NULL),
+f AS (SELECT project, tag, min(rank) AS rank FROM v GROUP BY ALL), n AS (SELECT project, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank <= 1) AS b FROM f GROUP BY project)
+SELECT project, tag, ['text', 'ocr_table', 'ocr_tag'][rank + 1] AS source FROM f JOIN n USING (project) WHERE rank = 0 OR (rank = 1 AND a < 3) OR (rank = 2 AND a < 3 AND b < 3)""",
+)
+def schedule_entry(spark: SparkSession, d: str) -> DataFrame:
+    """CMP-02: tags from text tables, else from reconstructed tables, else read anywhere; the sources are parts of the variables."""
+    v = table(spark, d, "tag_variables").where("project is not null and tag is not null and page is not null").select("project", "tag", "page", "source_row_index").distinct()
+    row = F.coalesce(F.col("source_row_index") != -1, F.lit(True))
+    return schedules.with_fallback(v, v.where(row & (F.col("page") % 4 == 0)), v.where(row & (F.col("page") % 4 != 0)), v.where(~row))

@@ -36,6 +36,25 @@ def test_rejects(spark):
     assert schedules.extract_schedules(tables(spark, [["a", "b"], ["c", "d"]], text=None)).count() == 0
 
 
+def test_fallback_only_where_tags_are_few(spark):
+    t = lambda *r: spark.createDataFrame(list(r), "project string, tag string")
+    p = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d", None]], "project string")
+    text = t(("a", "1"), ("a", "2"), ("a", "3"), ("b", "1"), ("b", "1"), ("b", None), ("c", "1"))
+    tables_ = t(("a", "9"), ("b", "1"), ("b", "2"), ("b", "3"), ("c", "2"))
+    anywhere = t(("a", "8"), ("b", "8"), ("c", "8"), ("d", "8"))
+    got = rows(schedules.with_fallback(p, text, tables_, anywhere))
+    assert got == sorted([("a", "1", "text"), ("a", "2", "text"), ("a", "3", "text"), ("b", "1", "text"), ("b", "2", "ocr_table"), ("b", "3", "ocr_table"), ("c", "1", "text"), ("c", "2", "ocr_table"), ("c", "8", "ocr_tag"), ("d", "8", "ocr_tag")], key=repr)
+    assert schedules.with_fallback(p.limit(0), text, tables_, anywhere).count() == 0
+
+
+def test_stacked_and_spatial_title_fields(spark):
+    text = "Project Name\n\nDESCRIPTION\nNorth Wing Clinic\nSCALE\nISSUED FOR BID\n1/8\" = 1'-0\"\nSHEET NO.\nx\ny\nz\nM-101"
+    r = schedules.title_block(spark.createDataFrame([("p", text)], "project string, text string")).first()
+    assert (r["info_project"], r["info_scale"], r["info_sheet"]) == ("North Wing Clinic", "1/8\" = 1'-0\"", None)
+    s = spark.createDataFrame([("p", 0, 1, 100.0, 100.0, 160.0, 108.0, "Project Name:"), ("p", 0, 2, 90.0, 75.0, 300.0, 95.0, "North Wing Clinic"), ("p", 0, 3, 170.0, 100.0, 260.0, 108.0, "to the right"), ("p", 0, 4, 500.0, 100.0, 530.0, 108.0, "Scale"), ("p", 0, 5, 540.0, 100.0, 560.0, 108.0, "NTS"), ("p", 1, 6, 0.0, 0.0, 30.0, 8.0, "Date"), ("p", 1, 7, 40.0, 0.0, 80.0, 8.0, "1/2/2026"), ("p", 0, 8, 0.0, 0.0, 1.0, 1.0, "--")], "project string, page int, span_id int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert rows(schedules.spatial_fields(s, ["project"])) == [("p", "project", "North Wing Clinic"), ("p", "scale", "NTS")]
+
+
 def test_legend(spark):
     t = spark.createDataFrame([("p", 0, [["CU", "CONDENSING UNIT"], ["A", "B", "C"]])], "project string, page int, cells array<array<string>>")
     lines = spark.createDataFrame([("p", 0, 1, "CU - COPPER UNIT"), ("p", 1, 0, "EF: EXHAUST FAN"), ("p", 0, 2, "no legend")], "project string, page int, line_no int, line string")
@@ -70,7 +89,7 @@ def test_bubble_pairs_in_both_orders(spark):
 
 
 def test_takeoff_details(spark):
-    tagged = spark.createDataFrame([("p", 0, "AD-GRD", "CD-1"), ("p", 2, "AD-GRD", "CD-1"), ("p", 0, "FAN", None)], "project string, page int, cls string, tag string")
+    tagged = spark.createDataFrame([("p", 0, "AD-GRD", "CD-1"), ("p", 2, "AD-T-BAR SUPPLY", "CD-1"), ("p", 0, "FAN", None)], "project string, page int, cls string, tag string")
     d = spark.createDataFrame([("p", "CD-1", [("MANUFACTURER & MODEL", "ACME X1"), ("NECK SIZE", "10"), ("SERVICE", "SUPPLY"), ("TYPE", "DIFFUSER")], "AD-T-BAR SUPPLY")], "project string, tag string, props array<struct<key:string,value:string>>, cls string")
     r = {x["product"]: x for x in takeoff.assemble(tagged, d).collect()}
     x = r["AD-T-BAR SUPPLY"]
