@@ -516,4 +516,4 @@ def test_queries_bear_empty_null_and_clashing_tables(spark, tmp_path_factory, ho
     d = tables.write(spark, "/root/testdata/sf0.001", str(tmp_path_factory.mktemp(how)), how)
     for name, q in queries.QUERIES.items():
         n = q(spark, d).count()
-        assert n >= 0 and (how == "dirty" or n == 0), name
+        assert n >= 0 and (how == "dirty" or n == 0 or name == "p6_shares"), name  # shares: one row per split in any case
