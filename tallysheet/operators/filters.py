@@ -10,6 +10,22 @@ from tallysheet.functions import strings as S
 from tallysheet.operators.windows import blocked, running_sum
 
 
+def chosen_projects(df: DataFrame, having: tuple[str, ...] = (), starting: str = "", limit: int | None = None, project: str = "project") -> DataFrame:
+    """Rows of projects whose name contains any of the texts and begins with a prefix; with ``limit`` the first
+    projects by name only (an explicit choice of the caller, none by default)."""
+    if having:
+        df = df.where(has_any(F.col(project), list(having)))
+    if starting:
+        df = df.where(F.col(project).startswith(starting))
+    return df if limit is None else df.join(df.select(project).where(F.col(project).isNotNull()).distinct().orderBy(project).limit(limit), project, "left_semi")
+
+
+def page_cap(df: DataFrame, by: list[str], page: str, first: int) -> DataFrame:
+    """The first pages of each document by number (an explicit choice of the caller), from the page numbers of each."""
+    kept = df.groupBy(*by).agg(F.array_max(F.slice(F.array_sort(F.collect_set(page)), 1, first)).alias("_last"))  # page numbers of one document
+    return df.join(kept, by).where(F.col(page) <= F.col("_last")).drop("_last")
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     """Any of the words in the upper-case text; NULL texts have none."""
     up = F.upper(F.coalesce(text, F.lit("")))

@@ -80,6 +80,17 @@ def table_variables(cells: DataFrame, by: list[str]) -> DataFrame:
     return out.groupBy(*by, "tag").agg(F.max_by(F.struct("properties", "cls"), F.struct(F.size("properties"), -F.col("table_id"), -F.col("r"))).alias("v")).select(*by, "tag", "v.properties", "v.cls")
 
 
+def columns_to_reread(cells: DataFrame, by: list[str], share: float = 0.5) -> DataFrame:
+    """(by.., table_id, c): mark columns of which fewer than ``share`` of the rows below the header are filled,
+    which are read again crop by crop. cells(by.., table_id, r, c, value)."""
+    key = [*by, "table_id"]
+    c = cells.join(header_choice(cells, key), key)
+    marks = c.where("r = header_r").where(S.header_snap(F.col("value"), HEADER_WORDS).isin("MARK", "TAG", "SYMBOL")).select(*key, "c")
+    rows = c.where("r > header_r").groupBy(*key).agg(F.count_distinct("r").alias("_rows"))
+    full = c.where("r > header_r and trim(value) <> ''").groupBy(*key, "c").agg(F.count_distinct("r").alias("_full"))
+    return marks.join(rows, key).join(full, [*key, "c"], "left").where(F.coalesce("_full", F.lit(0)) < F.col("_rows") * share).select(*key, "c")
+
+
 def harvest_tags(tokens: DataFrame, by: list[str]) -> DataFrame:
     """Distinct strict tags of OCR tokens with their class; row index -1 says: tag only."""
     t = tokens.select(*by, S.strict_tag(F.col("text")).alias("tag")).where("tag is not null").distinct()

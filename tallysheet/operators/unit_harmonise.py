@@ -169,7 +169,8 @@ def _number(text: Column) -> Column:
     frac = lambda s, a, b: F.try_divide(F.regexp_extract(s, r"(\d+)/(\d+)$", a).try_cast("double"), F.regexp_extract(s, r"(\d+)/(\d+)$", b).try_cast("double"))
     thousands = plain.rlike(r"^[-+]?[1-9]\d{0,2}(,\d{3})+(\.\d+)?$")
     return (
-        F.when(mixed, F.regexp_extract(text, r"^(\d+)", 1).try_cast("double") + frac(text, 1, 2))
+        F.when(text.rlike(r"^\d+(?:\.\d+)?$"), text.try_cast("double"))  # most are plain
+        .when(mixed, F.regexp_extract(text, r"^(\d+)", 1).try_cast("double") + frac(text, 1, 2))
         .when(plain.rlike(r"^\d+/\d+$"), frac(plain, 1, 2))
         .when(thousands, F.regexp_replace(plain, ",", "").try_cast("double"))
         .otherwise(F.regexp_replace(plain, ",", ".").try_cast("double"))

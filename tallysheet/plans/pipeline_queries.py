@@ -13,7 +13,7 @@ from tallysheet.operators import cascade, schedules, schema_drift, takeoff
 from tallysheet.operators.resolution import fingerprint_index
 from tallysheet.plans import score_queries
 from tallysheet.plans.box_queries import fold_sql
-from tallysheet.plans.text_queries import COLLAPSE, STRIP
+from tallysheet.plans.text_queries import COLLAPSE, STRIP, expand_sql, normal_tag_sql, service_sql
 from tallysheet.session import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,23 +40,72 @@ def raw_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("project", (F.col("page") - 1).alias("page"), F.col("table_id").alias("table_ix"), cells.alias("cells"), F.col("schedule_name").alias("page_text"))
 
 
-@query("schedule_tables_found")
+def _found_sql() -> str:
+    """Accepted schedules by plain SQL; the raw tables of these queries begin with a one-cell title row, so none lies on its side."""
+    some = lambda words, c: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    filled = "lambda r: len(list_filter(r, lambda c: c <> '')) > 0"
+    word = f"(list_contains({dims.sql_list(dims.TAG_COLUMN_WORDS)}, c) OR ((contains(c, 'MARK') OR contains(c, 'TAG')) AND length(c) < 20))"
+    place = lambda test: f"nullif(list_position(list_transform(up, lambda r: {test}), true), 0)"
+    ctes = rf"""t AS (SELECT DISTINCT ON (table_id) table_id, project, page, schedule_name, header, rows FROM schedule_tables WHERE table_id IS NOT NULL AND header IS NOT NULL),
+c AS (SELECT table_id, project, page - 1 AS page, upper(coalesce(schedule_name, '')) AS page_text, list_transform(list_concat([[schedule_name], header], list_transform(list_filter(coalesce(rows, []), lambda r: r IS NOT NULL), lambda r: list_transform(header, lambda h: r[h]))), lambda r: list_transform(r, lambda c: {STRIP("coalesce(c, '')")})) AS cells FROM t),
+u AS (SELECT *, list_transform(cells, lambda r: list_transform(r, lambda c: upper(c))) AS up FROM c WHERE len(list_filter(cells, {filled})) > 0),
+h AS (SELECT *, {place(f"len(list_filter(r, lambda c: {word})) > 0")} AS e, {place(f"len(list_filter(r, lambda c: {some(schedules.HEADER_PROPERTIES, 'c')} AND length(c) < 30)) >= 3")} AS p, {some(dims.SCHEDULE_PAGE_WORDS, 'page_text')} AS told FROM u),
+k AS (SELECT *, coalesce(e, p) AS h, told OR (e IS NULL AND p IS NOT NULL) AS on_page FROM h),
+l AS (SELECT *, coalesce(h, list_position(list_transform(cells, {filled}), true)) AS head_at, list_filter(list_transform(list_reverse(cells[1:coalesce(h, 1) - 1]), lambda r: array_to_string(list_filter(r, lambda c: c <> '')[1:3], ' ')), lambda x: x <> '') AS titles FROM k WHERE h IS NOT NULL OR on_page),
+m AS (SELECT table_id, project, page, on_page, cells[head_at] AS head, list_filter(cells[head_at + 1:], {filled}) AS body, coalesce(list_filter(titles, lambda x: contains(upper(x), 'SCHEDULE') AND length(x) < 100)[1], list_filter(titles, lambda x: length(x) <= 80 AND length(x) - length(replace(x, ' ', '')) <= 10)[1], '') AS name FROM l),
+a AS (SELECT *, list_filter(generate_series(0, len(head) - 1), lambda i: {some(dims.TAG_COLUMN_WORDS, 'upper(head[i + 1])')} AND length(head[i + 1]) < 25) AS marks, list_filter(list_transform(body, lambda r: r[1]), lambda v: v <> '')[1] AS first_ FROM m WHERE len(head) > 0 AND len(body) > 0 AND (on_page OR contains(upper(array_to_string(head, ' ')), 'SCHEDULE')) AND (NOT {some(dims.OTHER_TRADE_WORDS, 'upper(name)')} OR {some(schedules.TRADE_WORDS, 'upper(name)')})),
+n AS ({normal_tag_sql("SELECT DISTINCT first_ AS id, first_ AS raw FROM a WHERE length(first_) <= 2")}),
+found AS (SELECT project, page, table_id AS table_ix, name AS schedule_name, head, body, CASE WHEN len(marks) > 0 THEN marks WHEN regexp_matches(first_, '^[A-Za-z]{{1,4}}-?\d{{1,3}}[A-Za-z]?$') OR n.tag IS NOT NULL THEN [0] ELSE [] END AS marks FROM a LEFT JOIN n ON n.id = first_)"""
+    return ctes
+
+
+_VARIABLES = "SELECT f.project, f.page, table_ix, f.schedule_name, row_ix::INT AS row_ix, tag_ix, tag, cls, n_props FROM tg JOIN cs USING (table_ix, row_ix) JOIN found f USING (table_ix)"
+_FIRST = "SELECT project, tag, v.c AS cls, v.p AS props FROM (SELECT f.project, tag, arg_min({'c': cls, 'p': coalesce(props, '')}, o) AS v FROM (SELECT f.project, tag, cls, props, {'p': f.page, 't': table_ix, 'r': row_ix, 'i': tag_ix} AS o FROM tg JOIN cs USING (table_ix, row_ix) JOIN found f USING (table_ix) WHERE f.project IS NOT NULL) f GROUP BY ALL)"
+
+
+def _variables_sql(select: str) -> str:
+    """A selection from the tags (tg), rows (cs) and tables (found) of the accepted schedules."""
+    some = lambda words, c: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    desc = f"list_filter(generate_series(0, len(head) - 1), lambda i: {some(schedules.DESCRIPTION_COLUMNS, 'upper(head[i + 1])')} AND NOT {some(schedules.PART_COLUMNS, 'upper(head[i + 1])')} AND NOT list_contains(marks, i))"
+    look = lambda *w: f"arg_min(value, i) FILTER ({some(w, 'upper(key)')})"
+    known = dims.sql_list([*dims.TAG_PREFIX, "A", "B", "C", "D"])
+    prefix = " ".join(f"LEFT JOIN (SELECT * FROM {dims.sql_values(dims.TAG_PREFIX)}) d{n} ON d{n}.k = upper(t0)[1:{n}]" for n in (4, 3, 2, 1))
+    return rf"""WITH {_found_sql()},
+rw AS (SELECT table_ix, i - 1 AS row_ix, head, marks, body[i] AS r FROM found, unnest(generate_series(1, len(body))) AS g(i)),
+mk AS (SELECT var_id.t AS table_ix, var_id.r AS row_ix, 0 AS src, var_id.o AS o, x."at" AS a, mark FROM ({expand_sql("SELECT {'t': table_ix, 'r': row_ix, 'o': o} AS var_id, r[marks[o] + 1] AS tag FROM rw, unnest(generate_series(1, len(marks))) AS q(o)")}) x),
+tx AS (SELECT table_ix, row_ix, upper(array_to_string(list_filter(list_transform({desc}, lambda i: r[i + 1]), lambda v: v <> ''), ' ')) AS text FROM rw),
+tt AS (SELECT table_ix, row_ix, i, ts[i] AS raw FROM (SELECT table_ix, row_ix, list_filter(regexp_extract_all(text, '([A-Z]{{1,4}}-?\d+[A-Z]?(?:-[A-Z]+)?)', 1), lambda x: list_contains({known}, regexp_extract(x, '^([A-Z]+)', 1))) AS ts FROM tx), unnest(generate_series(1, len(ts))) AS g(i)),
+tn AS ({normal_tag_sql("SELECT {'t': table_ix, 'r': row_ix, 'i': i} AS id, raw FROM tt")}),
+al AS (SELECT * FROM mk UNION ALL SELECT id.t, id.r, 1, id.i, 0, tag FROM tn WHERE tag IS NOT NULL),
+one AS (SELECT table_ix, row_ix, mark, min({{'s': src, 'o': o, 'a': a}}) AS f FROM al GROUP BY ALL),
+tg AS (SELECT table_ix, row_ix, mark AS tag, (row_number() OVER (PARTITION BY table_ix, row_ix ORDER BY f) - 1)::INT AS tag_ix FROM one),
+pr AS (SELECT table_ix, row_ix, i, CASE WHEN {COLLAPSE("coalesce(head[i], '')")} = '' THEN 'COL_' || i ELSE {COLLAPSE('head[i]')} END AS key, {COLLAPSE('r[i]')} AS value FROM rw, unnest(generate_series(1, greatest(len(head), len(r)))) AS g(i) WHERE NOT list_contains(marks, i - 1)),
+pk AS (SELECT table_ix, row_ix, key, arg_max(value, i) AS value, min(i) AS i FROM pr WHERE value <> '' GROUP BY ALL),
+ps AS (SELECT table_ix, row_ix, count(*)::INT AS n_props, string_agg(key || '=' || value, '; ' ORDER BY i) AS props, {look('SERVICE', 'TYPE', 'DESCRIPTION')} AS service, coalesce({look('MOUNTING', 'MOUNT')}, '') AS mounting FROM pk GROUP BY ALL),
+cl AS (SELECT table_ix, row_ix, tag AS t0, n_props, props, service, {COLLAPSE("upper(concat_ws(' ', service, mounting))")} AS s FROM tg LEFT JOIN ps USING (table_ix, row_ix) WHERE tag_ix = 0),
+cs AS (SELECT table_ix, row_ix, props, coalesce(n_props, 0) AS n_props, coalesce(CASE WHEN {STRIP("coalesce(service, '')")} <> '' THEN {service_sql('s')} END, d4.v, d3.v, d2.v, d1.v) AS cls FROM cl {prefix})
+{select}"""
+
+
+@query("schedule_tables_found", f"WITH {_found_sql()} SELECT project, page, table_ix, schedule_name, array_to_string(head, '|') AS header, len(body)::INT AS n_rows, array_to_string(marks, ',') AS mark_columns FROM found")
 def schedule_tables_found(spark: SparkSession, d: str) -> DataFrame:
     """CMP-01, FIL-01/03..08, MAP-03/04, ORD-12: accepted tables with name, header and mark columns."""
-    return schedules.extract_schedules(raw_tables(spark, d)).select("project", "page", "table_ix", "schedule_name", "header", F.size("rows").alias("n_rows"), "mark_columns")
+    t = schedules.extract_schedules(raw_tables(spark, d))
+    return t.select("project", "page", "table_ix", "schedule_name", F.array_join("header", "|").alias("header"), F.size("rows").alias("n_rows"), F.array_join(F.col("mark_columns").cast("array<string>"), ",").alias("mark_columns"))
 
 
-@query("schedule_variables")
+@query("schedule_variables", _variables_sql(_VARIABLES))
 def schedule_variables(spark: SparkSession, d: str) -> DataFrame:
     """CMP-01/02, STR-05/06/25/26, MAP-02: one row per tag and data row."""
     v = schedules.extract_variables(schedules.extract_schedules(raw_tables(spark, d)))
     return v.select("project", "page", "table_ix", "schedule_name", "row_ix", "tag_ix", "tag", "cls", F.size("props").alias("n_props"))
 
 
-@query("mark_details")
+@query("mark_details", _variables_sql(_FIRST))
 def mark_details(spark: SparkSession, d: str) -> DataFrame:
     """D8, WIN-06: properties of the first occurrence of every tag of a project."""
-    return _details(spark, d).select("project", "tag", "cls", F.to_json("props").alias("props"))
+    shown = F.array_join(F.transform("props", lambda p: F.concat(p["key"], F.lit("="), p["value"])), "; ")
+    return _details(spark, d).select("project", "tag", "cls", shown.alias("props"))
 
 
 def _details(spark: SparkSession, d: str) -> DataFrame:

@@ -85,8 +85,10 @@ def split_compound(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tag_variables").where("tag is not null").select("var_id", "tag").distinct().select("var_id", F.explode(S.split_compound(F.col("tag"))).alias("part"))
 
 
-def _cell_sql() -> str:
-    """Every raw tag of a cell by lines (w = 0) and by the first of several numbers, range and compound (w = 1),
+def expand_sql(cells: str) -> str:
+    """SQL text for cells (var_id, tag) of a subquery -> (var_id, at, mark).
+
+    Every raw tag of a cell by lines (w = 0) and by the first of several numbers, range and compound (w = 1),
     normalised; lines count where they hold any tag."""
     cell, both = STRIP("tag"), COLLAPSE("upper(tag)")
     numbers = r"list_filter(fr, lambda x: regexp_matches(x, '^\d{1,3}$'))"
@@ -98,14 +100,14 @@ SELECT var_id, tag, 0 AS w, ls AS raws FROM p WHERE contains(st, chr(10)) AND le
 UNION ALL SELECT var_id, tag, 1, CASE WHEN len(fr) >= 3 AND len({numbers}) >= 2 AND len({letters}) = 1 THEN list_transform({numbers}, lambda n: upper({letters}[1]) || '-' || n)
 WHEN regexp_matches(up, '{_RANGE}') AND {part(3)} IN ('', {part(1)}) AND {hi} >= {lo} AND {hi} - {lo} <= 100 THEN list_transform(generate_series({lo}, {hi}), lambda n: {part(1)} || '-' || n)
 WHEN pre <> '' AND len(parts) > 1 AND len(list_filter(parts[2:], lambda x: NOT regexp_matches(x, '^\d+$'))) = 0 THEN list_concat(parts[1:1], list_transform(parts[2:], lambda x: pre || '-' || x)) ELSE parts END FROM p), unnest(generate_series(1, len(raws))) AS g(i)"""
-    return rf"""WITH c AS (SELECT DISTINCT var_id, tag, {cell} AS st, {both} AS up, {FRAGS(cell)} AS fr, list_filter(list_transform(string_split({cell}, chr(10)), lambda p: {STRIP('p')}), lambda p: p <> '') AS ls, list_filter(list_transform(regexp_split_to_array({cell}, '[,;/&]'), lambda p: {STRIP('p')}), lambda p: p <> '') AS parts FROM tag_variables WHERE tag IS NOT NULL),
+    return rf"""WITH c AS (SELECT DISTINCT var_id, tag, {cell} AS st, {both} AS up, {FRAGS(cell)} AS fr, list_filter(list_transform(string_split({cell}, chr(10)), lambda p: {STRIP('p')}), lambda p: p <> '') AS ls, list_filter(list_transform(regexp_split_to_array({cell}, '[,;/&]'), lambda p: {STRIP('p')}), lambda p: p <> '') AS parts FROM ({cells}) WHERE tag IS NOT NULL),
 p AS (SELECT *, regexp_extract({STATUS('upper(parts[1])')}, '^([A-Z]+)-\d+$', 1) AS pre FROM c WHERE st <> ''),
 n AS ({normal_tag_sql(source)}),
 ok AS (SELECT id.v AS var_id, id.c AS cell, id.w AS w, id.i AS i, tag FROM n WHERE tag IS NOT NULL), best AS (SELECT var_id, cell, min(w) AS w FROM ok GROUP BY ALL)
 SELECT var_id, (row_number() OVER (PARTITION BY var_id, cell ORDER BY i) - 1)::INT AS at, tag AS mark FROM ok JOIN best USING (var_id, cell, w)"""
 
 
-@query("expand_tag_cell", _cell_sql())
+@query("expand_tag_cell", expand_sql("SELECT var_id, tag FROM tag_variables"))
 def expand_tag_cell(spark: SparkSession, d: str) -> DataFrame:
     """STR-05: all tags of every cell (lines, several numbers, range, compound)."""
     return table(spark, d, "tag_variables").where("tag is not null").select("var_id", "tag").distinct().select("var_id", F.posexplode(S.expand_tag_cell(F.col("tag"))).alias("at", "mark"))
@@ -239,18 +241,17 @@ def mark_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tag_variables").where("tag is not null").select("var_id", "tag").distinct().groupBy(S.mark_type(F.col("tag")).alias("mark_type")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "class_of_service",
-    rf"""
-WITH c AS (SELECT DISTINCT cls, {COLLAPSE('upper(cls)')} AS t FROM ls_boxes WHERE cls IS NOT NULL)
-SELECT cls, CASE
-  WHEN (contains(t, 'LAY-IN') OR contains(t, 'T-BAR') OR contains(t, 'TBAR') OR contains(t, 'CEILING')) AND contains(t, 'SUPPLY') THEN 'AD-T-BAR SUPPLY'
-  WHEN (contains(t, 'LAY-IN') OR contains(t, 'T-BAR') OR contains(t, 'TBAR') OR contains(t, 'CEILING')) AND contains(t, 'RETURN') THEN 'AD-T-BAR RETURN'
-  WHEN (contains(t, 'SURFACE') OR contains(t, 'EXPOSED')) AND (contains(t, 'ROUND') OR (contains(t, 'SUPPLY') AND NOT contains(t, 'GRILLE'))) THEN 'AD-SURF SUPPLY'
-  WHEN (contains(t, 'SURFACE') OR contains(t, 'EXPOSED')) AND contains(t, 'RETURN') THEN 'AD-SURF RETURN'
-  WHEN contains(t, 'LINEAR') AND contains(t, 'SLOT') THEN 'AD-LINEAR SLOT DIFFUSER' WHEN contains(t, 'LINEAR') AND contains(t, 'PLENUM') THEN 'AD-LINEAR PLENUM'
-  WHEN regexp_matches(t, 'DIFFUSER|GRILLE|REGISTER|SUPPLY|RETURN|EXHAUST|PERFORATED|PLAQUE|FACE|LOUVERED|DROP|MOUNTED') THEN 'AD-GRD' END AS class FROM c""",
-)
+def service_sql(t: str) -> str:
+    """SQL of the air-device class of a folded service text."""
+    lay_in = f"(contains({t}, 'LAY-IN') OR contains({t}, 'T-BAR') OR contains({t}, 'TBAR') OR contains({t}, 'CEILING'))"
+    surface = f"(contains({t}, 'SURFACE') OR contains({t}, 'EXPOSED'))"
+    return f"""CASE WHEN {lay_in} AND contains({t}, 'SUPPLY') THEN 'AD-T-BAR SUPPLY' WHEN {lay_in} AND contains({t}, 'RETURN') THEN 'AD-T-BAR RETURN'
+  WHEN {surface} AND (contains({t}, 'ROUND') OR (contains({t}, 'SUPPLY') AND NOT contains({t}, 'GRILLE'))) THEN 'AD-SURF SUPPLY' WHEN {surface} AND contains({t}, 'RETURN') THEN 'AD-SURF RETURN'
+  WHEN contains({t}, 'LINEAR') AND contains({t}, 'SLOT') THEN 'AD-LINEAR SLOT DIFFUSER' WHEN contains({t}, 'LINEAR') AND contains({t}, 'PLENUM') THEN 'AD-LINEAR PLENUM'
+  WHEN regexp_matches({t}, 'DIFFUSER|GRILLE|REGISTER|SUPPLY|RETURN|EXHAUST|PERFORATED|PLAQUE|FACE|LOUVERED|DROP|MOUNTED') THEN 'AD-GRD' END"""
+
+
+@query("class_of_service", f"WITH c AS (SELECT DISTINCT cls, {COLLAPSE('upper(cls)')} AS t FROM ls_boxes WHERE cls IS NOT NULL) SELECT cls, {service_sql('t')} AS class FROM c")
 def class_of_service(spark: SparkSession, d: str) -> DataFrame:
     """STR-26: air-device class from service text by ordered rules."""
     return table(spark, d, "ls_boxes").where("cls is not null").select("cls").distinct().withColumn("class", S.class_of_service(F.col("cls"), F.lit("")))

@@ -173,6 +173,74 @@ def test_pixels():
     assert ports.fit_scale(5200, 100) == 0.5 and ports.fit_scale(10, 10) == 1.0
 
 
+def test_page_cache_is_first_in_first_out():
+    calls = []
+    c = ports.PageCache(lambda *k: calls.append(k) or np.zeros(1), size=2)
+    for k in ("a", "b", "a", "c", "b", "a"):
+        c.get(k, 0, 200)
+    assert [k[0] for k in calls] == ["a", "b", "c", "a"]
+
+
+def test_tiled_detector_and_crop_reader(spark):
+    img = np.full((900, 1300), 255, np.uint8)
+    img[100:140, 100:140] = img[850:890, 1250:1290] = 0
+    page = spark.createDataFrame([("p", 0, 200, 1300, 900, bytearray(img.tobytes()))], ports.RASTERS)
+
+    class Dark(ports.TiledDetector):
+        def __init__(self):
+            def detect(tiles):
+                assert len(tiles) <= 2
+                out = []
+                for t in tiles:
+                    y, x = np.nonzero(t < 128)
+                    out.append([("FAN", 0.9, int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1), ("FAN", 0.1, 0, 0, 1, 1), ("X", 0.9, 0, 0, 1, 1)])
+                return out
+
+            super().__init__(detect, only=("FAN",), batch=2)
+
+    got = {tuple(r)[2:] for r in ports.through(page, ports.BOXES, "dark", Dark).collect()}
+    assert got == {("FAN", 0.9, 100.0, 100.0, 140.0, 140.0), ("FAN", 0.9, 1250.0, 850.0, 1290.0, 890.0)}
+
+    class Share(ports.CropReader):
+        def __init__(self):
+            super().__init__(lambda crops: [(f"{(c == 0).mean():.2f}", 1.0) for c in crops], half=20, batch=16)
+
+    at = page.crossJoin(spark.createDataFrame([(i, 120.0, 120.0) for i in range(20)], "det_id bigint, cx double, cy double"))
+    r = ports.through(at, ports.CROP_TEXTS, "share", Share).collect()
+    assert len(r) == 20 and {x["text"] for x in r} == {"1.00"}
+
+
+def test_ruled_cells():
+    img = np.zeros((60, 90), bool)
+    for y in (5, 25, 45):
+        img[y, 5:75] = True
+    for x in (5, 30, 74):
+        img[5:46, x] = True
+    img[10:14, 10:20] = True  # text
+    assert ports.ruled_cells(img, 15) == [(6, 6, 30, 25), (6, 26, 30, 45), (31, 6, 74, 25), (31, 26, 74, 45)]
+    assert ports.ruled_cells(np.zeros((20, 20), bool), 5) == []
+    img[5:46, 74] = False  # open to the border
+    assert ports.ruled_cells(img, 15) == [(6, 6, 30, 25), (6, 26, 30, 45)]
+
+
+def test_project_and_page_choices(spark):
+    from tallysheet.operators import filters
+
+    df = spark.createDataFrame([(p, i) for p in ("alpha one", "beta", "Alpha two", None) for i in (9, 3, 5)], "project string, page int")
+    assert {r[0] for r in filters.chosen_projects(df, ("ALPHA",)).select("project").collect()} == {"alpha one", "Alpha two"}
+    assert {r[0] for r in filters.chosen_projects(df, starting="b").select("project").collect()} == {"beta"}
+    assert filters.chosen_projects(df).count() == 12 and filters.chosen_projects(df, limit=1).select("project").distinct().count() == 1
+    assert {r[1] for r in filters.page_cap(df.dropna(), ["project"], "page", 2).collect()} == {3, 5}
+
+
+def test_columns_to_reread(spark):
+    from tallysheet.operators import ocr
+
+    cells = [(t, r, c, v) for t, marks in ((1, ["A-1", "", ""]), (2, ["A-1", "A-2", ""])) for r, (m, n) in enumerate([("MARK", "CFM"), *[(m, "5") for m in marks]]) for c, v in enumerate((m, n))]
+    df = spark.createDataFrame([("p", *x) for x in cells], "project string, table_id int, r int, c int, value string")
+    assert rows(ocr.columns_to_reread(df, ["project"])) == [("p", 1, 0)]
+
+
 def test_sinks(spark, tmp_path):
     det = spark.createDataFrame([("p", 0, 1, "FAN", "EF-1", "direct", None, 0.9, 0.0, 0.0, 1.0, 1.0), ("p", 3, 2, "FAN", None, "none", "no_candidate_tags", 0.8, 0.0, 0.0, 1.0, 1.0)], "project string, page int, det_id int, cls string, tag string, tag_method string, untagged_reason string, conf double, x1 double, y1 double, x2 double, y2 double")
     body = json.loads(sinks.sidecars(det).first()["body"])
