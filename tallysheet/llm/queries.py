@@ -122,7 +122,21 @@ _CLASS = r"upper(trim(regexp_replace({c}, '[\s\x{00A0}\x{2000}-\x{200B}\x{202F}\
 _RECORDS = f"""WITH rec AS (SELECT 'ls_boxes' AS source_table, {_CLASS.replace('{c}', 'cls')} AS k, count(DISTINCT box_id) AS n FROM ls_boxes WHERE cls IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'sample_per_project', {_CLASS.replace('{c}', 'class')}, sum(count) FROM (SELECT DISTINCT project, class, count FROM sample_per_project WHERE count > 0 AND class IS NOT NULL) GROUP BY ALL),
 t AS (SELECT DISTINCT s.*, coalesce(n, 0)::BIGINT AS available, greatest(min_count, floor(target_share * sample_size + 0.5))::BIGINT AS needed FROM sample_targets s LEFT JOIN rec ON rec.source_table = s.source_table AND k = {_CLASS.replace('{c}', 'class_name')})"""
+# Leaks by plain SQL: words without case, accents and entities, equal runs of six words, the words along each
+# alignment and those up to three places beside it, and windows of 25 words with 22 of them.
+_WORDS = r"""regexp_extract_all(strip_accents(lower(nfc_normalize(regexp_replace(regexp_replace(text, '&([A-Za-z])(?:acute|grave|circ|uml|tilde|cedil|ring|caron|slash);', '\1', 'g'), '&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', ' ', 'g')))), '[\p{L}\p{N}]+')"""
+_LEAKS = f"""WITH it AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT DISTINCT item_id, {_WORDS} AS ws FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) >= 25),
+iw AS (SELECT item_id, k, ws[k] AS w, n, array_to_string(ws[k:k + 5], ' ') AS gram FROM it, unnest(generate_series(1, n)) AS g(k)),
+dw AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT DISTINCT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0)),
+dg AS (SELECT doc_id, p, ws[p] AS w, array_to_string(ws[p:p + 5], ' ') AS gram FROM dw, unnest(generate_series(1, n)) AS g(p)),
+al AS (SELECT DISTINCT doc_id, item_id, p - k AS shift FROM (SELECT * FROM dg SEMI JOIN iw USING (gram)) d JOIN iw i USING (gram) WHERE k <= n - 5),
+hit AS (SELECT DISTINCT a.doc_id, a.item_id, a.shift, i.k FROM al a JOIN al b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND abs(b.shift - a.shift) <= 3 JOIN iw i ON i.item_id = a.item_id JOIN dg d ON d.doc_id = a.doc_id AND d.p = i.k + b.shift AND d.w = i.w),
+win AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING) AS same FROM hit)
+SELECT DISTINCT doc_id, item_id FROM win WHERE same >= 22"""
 ORACLES: dict[str, str] = {
+    # lengths keep clear of the capacities, so words, digits and signs tell them as well as tokens do
+    "p7_found": r"SELECT DISTINCT capacity_tokens, doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]')) AS pieces FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), pack_sizes WHERE pieces > capacity_tokens",
+    "p8_found": _LEAKS,
     "p1_found": f"{_RECORDS} SELECT DISTINCT request_id, class_name FROM t WHERE available < needed",
     "p1_needs": f"{_RECORDS} SELECT request_id, class_name, needed, available FROM t",
 }
