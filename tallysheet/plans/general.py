@@ -114,7 +114,27 @@ def _text_sql(name: str) -> str:
 
 
 _FIELDS = ", ".join(f"coalesce({', '.join(_text_sql(n) if f in schema_drift.BASE['det'] and schema_drift.BASE['det'][f] == 'string' else f'try_cast(x->>{n!r} AS DOUBLE)' for n in names)}) AS {f}" for f, names in _CARRIED.items())
+_TOP_CARRIED = {"pdf": ("pdf", "pdf_path", "file"), "dpi": ("dpi", "resolution"), "funnel": ("funnel", "counts"), "tag_diagnostics": ("tag_diagnostics",), "pages": ("pages", "sheets")}
+
+
+def _drift_sql() -> str:
+    """Changes of each file by the names of the test tables, as plain SQL."""
+    names = ", ".join(f"('{lv}', '{f}', '{n}', '{schema_drift.BASE[lv][f]}')" for lv, fs in (("top", _TOP_CARRIED), ("det", _CARRIED)) for f, ns in fs.items() for n in ns)
+    return f"""WITH {_OBJECTS}, known(lv, f, k, typed) AS (VALUES {names}),
+keys AS (SELECT DISTINCT file_id, 'top' AS lv, e.key AS k, json_type(e.value) AS t FROM f, json_each(j) AS e WHERE json_type(j) = 'OBJECT'
+UNION SELECT DISTINCT file_id, 'det', e.key, json_type(e.value) FROM o, json_each(x) AS e),
+told AS (SELECT file_id, lv, k, CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' ELSE lower(t) END AS t, known.f, typed FROM keys LEFT JOIN known USING (lv, k)),
+files AS (SELECT file_id, 'top' AS lv FROM f UNION SELECT file_id, 'det' FROM o)
+SELECT file_id, f AS field_name, 'renamed' AS change_kind FROM told WHERE f <> k
+UNION SELECT file_id, f, 'retyped' FROM told WHERE f <> 'pages' AND t <> 'null' AND t <> typed
+UNION SELECT file_id, 'pages', 'retyped' FROM c JOIN f USING (file_id) WHERE json_type(j) = 'OBJECT' AND json_type(p) <> 'NULL' AND (json_type(p) <> 'OBJECT' OR file_id IN (SELECT file_id FROM m WHERE kind = 'OBJECT' AND json_type(v) <> 'ARRAY'))
+UNION SELECT file_id, b.f, 'removed' FROM files JOIN (SELECT DISTINCT lv, f FROM known) b USING (lv) WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.file_id = files.file_id AND told.lv = files.lv AND told.f = b.f)
+UNION SELECT file_id, k, 'added' FROM told WHERE f IS NULL
+UNION SELECT DISTINCT file_id, e.key, 'added' FROM n, json_each(v) AS e WHERE t = 'OBJECT' AND json_type(v->'detections') = 'ARRAY'"""
+
+
 ORACLES: dict[str, str] = {
+    "p3_found": _drift_sql(),
     "p3_detections": f"WITH {_OBJECTS} SELECT file_id, page AS page_index, pos AS det_index, {_FIELDS} FROM o",
     "p4_found": f"""WITH {_OBJECTS}
 SELECT DISTINCT file_id, page AS page_index, pos AS det_index, -1 AS cand_index FROM o
