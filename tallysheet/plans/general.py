@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallysheet.operators import nested_flatten, packed_split, schema_drift
+from tallysheet.operators import unit_harmonise as U
 from tallysheet.operators.unit_harmonise import harmonise_units, source_conversions, unit_statements, vocabulary
 from tallysheet.session import table, written
 
@@ -114,6 +115,33 @@ def _text_sql(name: str) -> str:
 
 
 _FIELDS = ", ".join(f"coalesce({', '.join(_text_sql(n) if f in schema_drift.BASE['det'] and schema_drift.BASE['det'][f] == 'string' else f'try_cast(x->>{n!r} AS DOUBLE)' for n in names)}) AS {f}" for f, names in _CARRIED.items())
+_UNIT_NAMES = ["SUPPLY AIR", "CFM", "AIRFLOW", "AIR FLOW", "VOLUME", "EXT STATIC", "ESP", "STATIC", "PRESSURE DROP", "MOTOR SIZE", "MOTOR", "BHP", "HP", "TOTAL COOLING", "MBH", "CAPACITY", "COOLING", "HEATING", "OPER WEIGHT", "UNIT WEIGHT", "WEIGHT", "EAT", "LAT", "EWT", "AMBIENT", "GPM", "WATER FLOW", "FLOW RATE", "HW FLOW", "NECK SIZE", "NECK", "INLET SIZE"]  # longer before shorter ones
+_FROM, _TO = "³²₂ºμ–—−×”“’‘″′", "322°µ---X\"\"''\"'"
+
+
+def _units_sql() -> str:
+    """Foreign properties by what is said of their unit, as plain SQL over the fixed vocabulary."""
+    q = lambda t: "'" + t.replace("'", "''").replace("\\u00a0", "\\x{00A0}") + "'"
+    blank = q(r"[\s\x{00A0}._,;:\[\]()\-]+")
+    canon = lambda c: f"regexp_replace(upper(translate({c}, {q(_FROM)}, {q(_TO)})), {blank}, '', 'g')"
+    words = ", ".join(f"({q(quantity)}, {q(label)}, {q(unit)}, {str(unit == next(iter(units))).lower()})" for quantity, units in U.UNITS.items() for unit, (_, _, spelt) in units.items() for label in spelt)
+    after = r"""\s*(?:ARE|IN|AS|GIVEN\s+AS|GIVEN\s+IN|ARE\s+IN|ARE\s+GIVEN\s+AS|:|=|-)?\s+([A-Z°"'#][^;,()]*?)\s*(?:\bAND\b|[;,()]|$)"""
+    said = "CASE quantity " + " ".join(f"WHEN {q(n)} THEN regexp_extract(notes, {q(chr(92) + 'b(?:' + w + ')' + chr(92) + 'b' + after)}, 1)" for n, w in U.NOTE_WORDS.items()) + " END"
+    lead = "regexp_extract(upper(e.key), '^[^A-Z]*(?:" + "|".join(n.replace(" ", "[^A-Z]+") for n in _UNIT_NAMES) + ")(?:[^A-Z]|$)')"
+    part = lambda i: f"regexp_extract(value, {q(U._VALUE)}, {i})"
+    number = q(r"^[\sØ]*(?:" + U._NUM + ")")
+    has = lambda label, name: f"LEFT JOIN (SELECT DISTINCT quantity, label, unit FROM vocabulary) {name} ON {name}.quantity = r.quantity AND {name}.label = r.{label}"
+    return f"""WITH vocabulary(quantity, label, unit, common) AS (VALUES {words}), names AS (SELECT quantity, upper(unnest(prop_names)) AS name FROM common_units),
+t AS (SELECT DISTINCT var_id, tag, schedule_name, properties FROM tag_variables WHERE properties IS NOT NULL),
+x AS (SELECT var_id, schedule_name, pos, e.key AS key, e.value AS value, {lead} AS led FROM (SELECT *, unnest(map_entries(properties)) AS e, generate_subscripts(map_entries(properties), 1) AS pos FROM t)),
+b AS (SELECT *, trim(regexp_replace(led, '[^A-Z]+', ' ', 'g')) AS base FROM x),
+o AS (SELECT var_id, schedule_name, upper(concat_ws(' ; ', schedule_name, string_agg(value, ' ; ' ORDER BY pos) FILTER (base = '' AND value IS NOT NULL))) AS notes FROM b GROUP BY var_id, schedule_name),
+p AS (SELECT b.var_id, key, value, base, quantity, notes, regexp_replace(upper(key), '^[^A-Z]*' || replace(base, ' ', '[^A-Z]+'), '') AS tail FROM b JOIN names ON name = base JOIN o ON o.var_id = b.var_id AND o.schedule_name IS NOT DISTINCT FROM b.schedule_name WHERE regexp_matches(value, {q(U._VALUE)})),
+r AS (SELECT DISTINCT p.var_id, key, p.quantity, {canon(part(2))} AS by_value, CASE WHEN trim(tail) = '' AND own.label IS NOT NULL THEN base ELSE {canon('tail')} END AS by_name, {canon(said.replace('CASE quantity', 'CASE p.quantity'))} AS by_note, {canon(f"regexp_replace({part(3)}, {number}, '')")} AS beside FROM p LEFT JOIN (SELECT DISTINCT quantity, label FROM vocabulary) own ON own.quantity = p.quantity AND own.label = base)
+SELECT DISTINCT var_id, key AS prop_name FROM r {has('by_value', 'v')} {has('by_name', 'n')} {has('by_note', 'm')} {has('beside', 's')} JOIN (SELECT DISTINCT quantity, unit AS hub FROM vocabulary WHERE common) h ON h.quantity = r.quantity
+WHERE coalesce(v.unit, n.unit, m.unit, hub) <> hub AND coalesce(s.unit, '') <> hub"""
+
+
 _TOP_CARRIED = {"pdf": ("pdf", "pdf_path", "file"), "dpi": ("dpi", "resolution"), "funnel": ("funnel", "counts"), "tag_diagnostics": ("tag_diagnostics",), "pages": ("pages", "sheets")}
 
 
@@ -134,6 +162,7 @@ UNION SELECT DISTINCT file_id, e.key, 'added' FROM n, json_each(v) AS e WHERE t
 
 
 ORACLES: dict[str, str] = {
+    "p2_found": _units_sql(),
     "p3_found": _drift_sql(),
     "p3_detections": f"WITH {_OBJECTS} SELECT file_id, page AS page_index, pos AS det_index, {_FIELDS} FROM o",
     "p4_found": f"""WITH {_OBJECTS}
