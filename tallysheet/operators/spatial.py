@@ -104,6 +104,14 @@ def _together(frames: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, frames) if frames else None
 
 
+def _bundled(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``_bundle``: groups dealt to bundles of a quarter of MAX_GROUP rows or so, each one call of a
+    worker, as a call for each of many small groups would cost more than its work. ``df`` is a cut frame."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * 4 // MAX_GROUP))
+    return df.withColumn("_bundle", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
+
 def keep_first(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Greedy suppression in rank order: nodes(id, rank), conflicts(a, b) -> ids kept.
 
@@ -134,8 +142,8 @@ def keep_first(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
             ends = edges.select(F.col("first").alias("node")).unionByName(edges.select(F.col("later").alias("node")))
             held = cut(edges.join(hook_and_shortcut(ends, edges.select(F.col("first").alias("a"), F.col("later").alias("b"))), edges["first"] == F.col("node")).drop("node"))
             small, edges = _parted(held, ["component"])
-        placed = small.withColumn("_o", F.dense_rank().over(Window.partitionBy("component").orderBy("r")))
-        dropped.append(cut(placed.select("component", "first", "later", "_o").groupBy("component").applyInArrow(visit, f"id {typed}")))
+        placed = _bundled(small, ["component"]).withColumn("_o", F.dense_rank().over(Window.partitionBy("_bundle").orderBy("r")))
+        dropped.append(cut(placed.select("_bundle", "first", "later", "_o").groupBy("_bundle").applyInArrow(visit, f"id {typed}")))
         if edges is None:
             break
         edges = edges.drop("component")
@@ -173,8 +181,9 @@ def greedy_match(edges: DataFrame, *order: str, by: tuple[str, ...] = ()) -> Dat
         return t.take(pa.array(out, pa.int64())).select(columns)
 
     def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
-        placed = df.withColumn("_o", F.row_number().over(Window.partitionBy(*keys).orderBy("_e"))).drop("_e")
-        return placed.groupBy(*keys).applyInArrow(visit, edges.schema)
+        # groups share no end, so those of a bundle may be visited together
+        placed = _bundled(df, keys).withColumn("_o", F.row_number().over(Window.partitionBy("_bundle").orderBy("_e"))).drop("_e")
+        return placed.groupBy("_bundle").applyInArrow(visit, edges.schema)
 
     if by:
         small, left = _parted(left, list(by))
@@ -212,15 +221,19 @@ def _distinct(boxes: DataFrame, keys: list[str], shape: list[str]) -> DataFrame:
 
 
 def _visited(d: DataFrame, keys: list[str], visit, shape: list[str]) -> DataFrame:
-    """Ids that ``visit`` keeps of each group, its rows in rank order: visit(list of shapes) -> kept positions."""
+    """Ids that ``visit`` keeps of each group, its rows in rank order: visit(array of shapes) -> kept positions."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t["_o"].to_numpy(), kind="stable")))
-        kept = visit(np.stack([t[c].to_numpy() for c in shape], axis=1).astype(float) if t.num_rows else np.zeros((0, len(shape))))
+        group = t["_g"].to_numpy()
+        at = np.stack([t[c].to_numpy() for c in shape], axis=1).astype(float)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+        kept = [a + i for a, b in zip(starts, [*starts[1:], len(group)], strict=True) for i in visit(at[a:b])]
         return pa.table({"id": t["rep"].take(pa.array(kept, pa.int64()))})
 
-    placed = d.select(*keys, "rep", *shape, F.row_number().over(Window.partitionBy(*keys).orderBy("rank")).alias("_o"))
-    return placed.groupBy(*keys).applyInArrow(run, f"id {d.schema['rep'].dataType.simpleString()}")
+    by = lambda *order: Window.partitionBy("_bundle").orderBy(*keys, *order)
+    placed = _bundled(d, keys).select("_bundle", "rep", *shape, F.dense_rank().over(by()).alias("_g"), F.row_number().over(by("rank")).alias("_o"))
+    return placed.groupBy("_bundle").applyInArrow(run, f"id {d.schema['rep'].dataType.simpleString()}")
 
 
 def _whole(d: DataFrame, keys: list[str], shape: list[str]) -> tuple[DataFrame, DataFrame]:
