@@ -34,8 +34,15 @@ def takeoff_rollup(dets: DataFrame, project: list[str]) -> DataFrame:
 
 
 def summary_by_tag(dets: DataFrame) -> DataFrame:
-    """Count and mean confidence by class and tag."""
-    return dets.groupBy("cls", F.coalesce(F.nullif("tag", F.lit("")), F.lit("(no-tag)")).alias("tag")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"))
+    """Count and mean confidence by class and tag.
+
+    Confidences are added as decimals, so a mean that ends in half a place is rounded upward whatever the order of
+    the rows; sums of doubles fall on either side of it. A group with a value beyond decimals (NaN, 1,000 or more)
+    has the mean of its doubles.
+    """
+    exact = F.col("conf").try_cast("decimal(18,15)")
+    mean = F.when(F.count(exact) == F.count("conf"), F.round(F.avg(exact), 6).cast("double")).otherwise(F.round(F.avg("conf"), 6))
+    return dets.groupBy("cls", F.coalesce(F.nullif("tag", F.lit("")), F.lit("(no-tag)")).alias("tag")).agg(F.count("*").alias("n"), mean.alias("mean_conf"))
 
 
 def confusion_matrix(pairs: DataFrame, predicted: str, actual: str) -> DataFrame:
