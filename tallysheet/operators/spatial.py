@@ -30,6 +30,7 @@ from tallysheet.session import cut
 MAX_GROUP = 1_000_000  # rows (boxes or edges) of a group that one task visits in order
 ROUNDS = 4  # rounds over larger groups before the rest is parted again
 DENSE = 1_000_000  # pairs to compare in a cell from which its work is split
+CHUNK = 1_000_000  # pairs that a visit compares at once
 
 
 def distance_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float, lx: str = "cx", ly: str = "cy", rx: str = "rx", ry: str = "ry") -> DataFrame:
@@ -104,11 +105,12 @@ def _together(frames: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, frames) if frames else None
 
 
-def _bundled(df: DataFrame, keys: list[str]) -> DataFrame:
+def _bundled(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Rows with ``_bundle``: groups dealt to bundles of a quarter of MAX_GROUP rows or so, each one call of a
-    worker, as a call for each of many small groups would cost more than its work. ``df`` is a cut frame."""
+    worker, as a call for each of many small groups would cost more than its work. ``df`` is a cut frame, or its
+    number of rows is given."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * 4 // MAX_GROUP))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(df.count() if rows is None else rows) * 4 // MAX_GROUP))
     return df.withColumn("_bundle", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
@@ -212,6 +214,95 @@ def greedy_match(edges: DataFrame, *order: str, by: tuple[str, ...] = ()) -> Dat
     return edges.limit(0) if out is None else out.select(columns)
 
 
+def _near_pairs(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], radius: float, visit) -> None:
+    """Calls ``visit(left rows, right rows)`` with the candidates of the left rows a to b, in their order and some
+    CHUNK at a time: the right rows of the 3 x 3 cells around each. left and right: (group, end, x, y), rows of one
+    left end stand together and come in one call."""
+    (lg, le, lx, ly), (rg, _, rx, ry) = left, right
+    gx, gy = np.floor(rx / radius), np.floor(ry / radius)
+    xs, ys = np.unique(gx), np.unique(gy)
+    key = lambda g, x, y: (g * len(xs) + x) * len(ys) + y
+    at = key(rg, np.searchsorted(xs, gx), np.searchsorted(ys, gy))
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    gx, gy = np.floor(lx / radius), np.floor(ly / radius)
+    y1, y2 = np.searchsorted(ys, gy - 1), np.searchsorted(ys, gy + 1, "right")
+    starts, counts = [], []
+    for a in (-1, 0, 1):  # cells of one column follow one another
+        x = np.minimum(np.searchsorted(xs, gx + a), len(xs) - 1)
+        starts.append(np.searchsorted(at, key(lg, x, y1)))
+        counts.append(np.where((xs[x] == gx + a) & (y2 > y1), np.searchsorted(at, key(lg, x, y2 - 1), "right") - starts[-1], 0))
+    start, count = np.stack(starts, axis=1), np.stack(counts, axis=1)
+    upto = np.append(0, np.cumsum(count.sum(axis=1)))
+    bounds = np.append(np.flatnonzero(np.append(True, le[1:] != le[:-1])), len(le))  # where an end begins
+    k = 0
+    while k < len(bounds) - 1:
+        j = max(k + 1, int(np.searchsorted(upto[bounds], upto[bounds[k]] + CHUNK, "right")) - 1)
+        a, b = bounds[k], bounds[j]
+        n = count[a:b].ravel()
+        first = np.repeat(start[a:b].ravel() - np.append(0, np.cumsum(n)[:-1]), n)
+        visit(np.repeat(np.repeat(np.arange(a, b), 3), n), order[first + np.arange(len(first))])
+        k = j
+
+
+def first_fit(ends: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """One-to-one matching (l, r) of one key: the lefts by rising ``l`` take their least unused ``r`` that is nearer
+    than ``radius`` (to nine places).
+
+    Each row of ends(keys.., l, cx, cy, r, rx, ry) holds a left end, a right one (the other's columns are NULL) or
+    both; rows may repeat. The pairs of a group are compared within its visit, so what is shuffled grows with the
+    rows, not with the pairs. A NULL id matches nothing.
+    """
+    rows, most = ends.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    small, large = (ends, None) if (most or 0) <= MAX_GROUP else _parted(cut(ends), keys)
+
+    def side(t: pa.Table, names: list[str]) -> tuple[np.ndarray, ...]:
+        """(group, end, x, y) and the group and id of each end, all by group and id."""
+        t = t.select(["_g", *names]).drop_null()
+        g, ids, x, y = (c.to_numpy() for c in t.columns)
+        ok = np.isfinite(x) & np.isfinite(y)
+        by = np.lexsort((ids[ok], g[ok]))
+        g, ids, x, y = (c[ok][by] for c in (g, ids, x, y))
+        new = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])) if len(g) else np.zeros(0, bool)
+        return g.astype(np.int64), np.cumsum(new) - 1, x, y, ids[new]
+
+    def visit(t: pa.Table) -> pa.Table:
+        (*left, l), (*right, r) = side(t, ["l", "cx", "cy"]), side(t, ["r", "rx", "ry"])
+        (_, le, lx, ly), (_, re, rx, ry) = left, right
+        used, taken = np.zeros(len(r), bool), np.full(len(l), -1)
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            free = ~used[re[j]]
+            i, j = i[free], j[free]
+            dx, dy = lx[i] - rx[j], ly[i] - ry[j]
+            near = np.sqrt(dx * dx + dy * dy) < radius - 5e-10  # what rounds to the radius is not nearer
+            a, b = le[i[near]], re[j[near]]
+            by = np.lexsort((b, a))
+            done, gone = -1, set()
+            for x, y in zip(a[by].tolist(), b[by].tolist(), strict=True):
+                if x != done and y not in gone:
+                    gone.add(y)
+                    taken[x] = y
+                    done = x
+            used[list(gone)] = True
+
+        if len(l) and len(r):
+            _near_pairs(tuple(left), tuple(right), radius, take)
+        return pa.table({"l": pa.array(l[taken >= 0], t["l"].type), "r": pa.array(r[taken[taken >= 0]], t["r"].type)})
+
+    kind = lambda c: ends.schema[c].dataType.simpleString()
+    placed = _bundled(small.dropna(subset=keys), keys, rows or 0).withColumn("_g", F.dense_rank().over(Window.partitionBy("_bundle").orderBy(*keys)))
+    out = placed.select("_bundle", "_g", "l", "cx", "cy", "r", "rx", "ry").groupBy("_bundle").applyInArrow(visit, f"l {kind('l')}, r {kind('r')}")
+    if large is None:
+        return out
+    finite = lambda *c: reduce(lambda x, y: x & y, [F.abs(v) < float("inf") for v in c])
+    lefts, rights = large.select(*keys, "l", "cx", "cy").dropna().where(finite("cx", "cy")), large.select(*keys, "r", "rx", "ry").dropna().where(finite("rx", "ry"))
+    pairs = distance_join(lefts, rights, keys, radius).where(F.round("dist", 9) < radius)
+    own = lambda c: F.to_json(F.struct(*keys, c)).alias(c)  # an id may stand in several groups
+    edges = pairs.select(*keys, F.col("l").alias("first"), F.col("r").alias("second"), own("l"), own("r")).distinct()
+    return out.unionByName(greedy_match(edges, "first", "second", by=tuple(keys)).select(F.col("first").alias("l"), F.col("second").alias("r")))
+
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallysheet.functions import geometry as G
@@ -35,17 +35,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 PAGE = ["project", "page"]
 
 
-def truth(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed boxes with area, once each, corners in order, class folded."""
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed boxes with area, corners in order, class folded; they may repeat."""
     cls = F.trim(F.regexp_replace(F.upper("cls"), r"[\s ]+", " "))
     b = table(spark, d, "ls_boxes").where("project is not null and page is not null and cls is not null and x1 <> x2 and y1 <> y2")
-    return b.select("box_id", "project", "page", F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"), cls.alias("cls")).distinct()
+    return b.select("box_id", "project", "page", F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"), cls.alias("cls"))
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed boxes, once each."""
+    return _reviewed(spark, d).distinct()
+
+
+def _moved() -> dict[str, Column]:
+    """The corners of a box as its detection has them."""
+    dx, dy = (F.col("box_id") * 37) % 23 - 11, (F.col("box_id") * 91) % 17 - 8
+    return {"x1": F.col("x1") + dx, "y1": F.col("y1") + dy, "x2": F.col("x2") + dx, "y2": F.col("y2") + dy}
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Detections: the boxes moved and in part relabelled."""
-    dx, dy = (F.col("box_id") * 37) % 23 - 11, (F.col("box_id") * 91) % 17 - 8
-    return truth(spark, d).select("box_id", "project", "page", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"), F.when(F.col("box_id") % 10 == 0, "FAN").otherwise(F.col("cls")).alias("cls"), ((F.col("box_id") * 53) % 100 / 100).alias("conf"))
+    return truth(spark, d).select("box_id", "project", "page", *[v.alias(c) for c, v in _moved().items()], F.when(F.col("box_id") % 10 == 0, "FAN").otherwise(F.col("cls")).alias("cls"), ((F.col("box_id") * 53) % 100 / 100).alias("conf"))
 
 
 TRUTH = r"truth AS (SELECT DISTINCT box_id, project, page, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2, trim(regexp_replace(upper(cls), '[\s\x{00A0}]+', ' ', 'g')) AS cls FROM ls_boxes WHERE project IS NOT NULL AND page IS NOT NULL AND cls IS NOT NULL AND x1 <> x2 AND y1 <> y2)"
@@ -95,8 +105,11 @@ def _near(spark: SparkSession, d: str, radius: float) -> DataFrame:
 @query("first_fit_match", f"WITH {TRUTH}, {FOUND}, m AS ({fold_sql(f'SELECT * FROM ({NEAR.replace("{2r}", "160")}) WHERE round(dist, 9) < 80', 'l, r')}) SELECT m.l AS det_id, m.r AS truth_id FROM m")
 def first_fit_match(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-15: detections in order take the first unused truth nearer than 80 px."""
-    e = _near(spark, d, 80.0).where("round(dist, 9) < 80").select(*PAGE, "l", "r").withColumns({"first": F.col("l"), "second": F.col("r")})
-    return spatial.greedy_match(e, "first", "second", by=("project", "page")).select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
+    m = _moved()
+    mid = {"cx": (m["x1"] + m["x2"]) / 2, "cy": (m["y1"] + m["y2"]) / 2, "rx": (F.col("x1") + F.col("x2")) / 2, "ry": (F.col("y1") + F.col("y2")) / 2}
+    # both ends of a box in one row; repeated rows change nothing
+    e = _reviewed(spark, d).select(*PAGE, F.col("box_id").alias("l"), F.col("box_id").alias("r"), *[v.alias(c) for c, v in mid.items()])
+    return spatial.first_fit(e, PAGE, 80.0).select(F.col("l").alias("det_id"), F.col("r").alias("truth_id"))
 
 
 @query("top_score_match", f"WITH {TRUTH}, {FOUND}, m AS ({fold_sql(f'SELECT * FROM ({PAIRS}) WHERE iou > 0', '-round(iou, 9), l, r')}) SELECT m.l AS det_id, m.r AS truth_id FROM m")

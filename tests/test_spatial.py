@@ -194,3 +194,39 @@ def test_copies_make_no_pairs(spark):
     assert e.count() == 2999 + 1
     c = hook_and_shortcut(box.select(F.col("id").alias("node")), e)
     assert c.select("component").distinct().count() == 3
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(0, 1000))
+def test_first_fit_is_the_sequential_one(spark, seed):
+    rng = random.Random(seed)
+    at = lambda: float(rng.choice([-1e15, *range(-60, 60, 3), rng.uniform(-60, 60)]))
+    both = [(rng.choice([1, 2, None]), rng.randint(0, 40), at(), at(), rng.randint(0, 40), at(), at()) for _ in range(60)]
+    lefts = [(1, rng.randint(0, 60), at(), at(), None, None, None) for _ in range(30)]
+    odd = [(1, None, 0.0, 0.0, 3, None, 0.0), (1, 4, float("nan"), 0.0, 5, 0.0, float("inf")), (2, 61, 0.0, 0.0, 61, 20.0, 0.0), (2, 62, 0.0, 0.0, 62, 19.9999999996, 0.0)]
+    data = [*both, *lefts, *odd, *both[:9]]
+    edges = [(k, a, b) for k, a, cx, cy, *_ in data for p, *_, b, rx, ry in data if k and k == p and None not in (a, cx, cy, b, rx, ry) and round(((cx - rx) ** 2 + (cy - ry) ** 2) ** 0.5, 9) < 20]
+    want = sorted((m for k in (1, 2) for m in sequential_match([(a, a, b) for p, a, b in edges if p == k])), key=repr)
+    df = spark.createDataFrame(data, "page int, l bigint, cx double, cy double, r bigint, rx double, ry double")
+    chunk, spatial.CHUNK = spatial.CHUNK, rng.choice([1, 7, spatial.CHUNK])
+    try:
+        assert rows(spatial.first_fit(df, ["page"], 20.0)) == want
+        if seed % 3 == 0:
+            with small_groups(3):
+                assert rows(spatial.first_fit(df, ["page"], 20.0)) == want
+    finally:
+        spatial.CHUNK = chunk
+    assert spatial.first_fit(df.limit(0), ["page"], 20.0).count() == 0
+
+
+def test_first_fit_shuffles_rows_and_no_pairs(spark, tmp_path_factory):
+    import re
+
+    from tallysheet.plans import box_queries
+
+    d, n = str(tmp_path_factory.mktemp("crowded")), 1500
+    b = spark.range(n).select(F.col("id").alias("box_id"), F.lit("p").alias("project"), F.lit(0).alias("page"), *[(F.col("id") % 7 + k).cast("double").alias(c) for c, k in (("x1", 0), ("y1", 0), ("x2", 9), ("y2", 9))], F.lit("FAN").alias("cls"))
+    b.write.parquet(f"{d}/ls_boxes.parquet")
+    m = box_queries.first_fit_match(spark, d)
+    assert m.where("det_id = truth_id").count() == n == m.count()  # each of 2.2 million pairs is near
+    assert not re.search("Join", m._jdf.queryExecution().optimizedPlan().toString())
