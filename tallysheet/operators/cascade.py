@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallysheet.functions.geometry import distance_confidence, match_confidence
 from tallysheet.functions.strings import alnum_fold, value_fold
 from tallysheet.operators.resolution import _edges, _tokens
-from tallysheet.operators.spatial import distance_join, greedy_match, window_join
+from tallysheet.operators.spatial import DENSE, _salted, distance_join, greedy_match, window_join
 from tallysheet.session import cut
 
 PT = 200 / 72
@@ -94,13 +94,26 @@ def split_bubble_pairs(bubbles: DataFrame, dx: float = 60.0, dy: float = 80.0, m
 
     A side must be all letters; texts are at most ``most`` long; coincident bubbles are no pair.
     """
-    b = bubbles.where(F.length("text") <= most)
-    left = b.select("project", "page", F.col("bubble_id").alias("a"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("text").alias("ta"))
-    right = b.select("project", "page", F.col("bubble_id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("text").alias("tb"))
-    near = distance_join(left, right, ["project", "page"], (dx * dx + dy * dy) ** 0.5)
-    alpha = lambda c: F.col(c).rlike("^[A-Za-z]+$")
-    ok = (F.col("a") != F.col("b")) & (F.abs(F.col("cx") - F.col("rx")) <= dx) & (F.abs(F.col("cy") - F.col("ry")) <= dy) & (alpha("ta") | alpha("tb")) & (F.col("dist") > 0)
-    return near.where(ok).select("project", "page", "a", "b", ((F.col("cx") + F.col("rx")) / 2).alias("x"), ((F.col("cy") + F.col("ry")) / 2).alias("y"), F.explode(F.array(F.concat("ta", "tb"), F.concat("tb", "ta"))).alias("text"))
+    letters = F.col("text").rlike("^[A-Za-z]+$")
+    b = bubbles.where(F.length("text") <= most).select("project", "page", "bubble_id", "x", "y", "text", letters.alias("letters"))
+    # cells of several windows' size, so that few windows touch more than one; letters, the lesser part, are repeated
+    w, h = 4 * dx, 4 * dy
+    at = lambda c, side: F.floor(c / F.lit(side)).cast("bigint")
+    on = ["project", "page", "_gx", "_gy"]
+    left = b.select("project", "page", F.col("bubble_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("text").alias("ta"), F.col("letters").alias("la"), at(F.col("x"), w).alias("_gx"), at(F.col("y"), h).alias("_gy"))
+    right = b.where("letters").select("project", "page", F.col("bubble_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("text").alias("tb"))
+    right = right.withColumn("_gx", F.explode(F.sequence(at(F.col("bx") - dx, w), at(F.col("bx") + dx, w)))).withColumn("_gy", F.explode(F.sequence(at(F.col("by") - dy, h), at(F.col("by") + dy, h))))
+    # a bound without counting the cells by themselves: those that share a hash are counted as one, the windows that
+    # touch a cell start in it or in one of its eight neighbours
+    n, few = left.groupBy(F.pmod(F.xxhash64(*on), F.lit(1 << 22))).agg(F.count("*").alias("n"), F.count_if("la").alias("few")).agg(F.max("n"), F.max("few")).first()
+    if (n or 0) * 9 * (few or 0) > DENSE:
+        left, right, on = _salted(left, right, on)
+    near = (F.col("a") != F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= dx) & (F.abs(F.col("ay") - F.col("by")) <= dy) & ((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
+    texts = [F.concat("ta", "tb"), F.concat("tb", "ta")]
+    pair = lambda a, b: [F.struct(F.col(a).alias("a"), F.col(b).alias("b"), t.alias("text")) for t in texts]
+    # the right side is all letters; where the left one is not, the pair comes up in this order only
+    both = F.explode(F.when(F.col("la"), F.array(*pair("a", "b"))).otherwise(F.array(*pair("a", "b"), *pair("b", "a")))).alias("p")
+    return left.join(right, on).where(near).select("project", "page", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"), both).select("project", "page", "p.a", "p.b", "x", "y", "p.text")
 
 
 def label_values(labels: DataFrame, values: DataFrame, by: list[str], cell: float = 128.0) -> DataFrame:

@@ -230,7 +230,9 @@ FROM b a JOIN b ON a.project = b.project AND a.page = b.page AND a.id <> b.id AN
 )
 def bubble_pairs(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-21, SET-04: split bubbles joined; texts are the letters and the numbers of marks."""
-    v = _placed(spark, d).where("tag is not null")
+    # of the variables only what the marks need
+    v = table(spark, d, "tag_variables").where("project is not null and page is not null and tag is not null").select("var_id", "project", (F.col("page") - 1).alias("page"), "tag", F.col("inferred_yolo_class").alias("cls")).distinct()
+    v = v.withColumns({"x": (F.col("var_id") * 37 % 2000).cast("double"), "y": (F.col("var_id") * 91 % 2000).cast("double")})
     halves = v.select("project", "page", "var_id", "x", "y", F.posexplode(F.filter(F.split("tag", r"[\s-]+"), lambda t: t != "")).alias("at", "text"))
     b = halves.select("project", "page", (F.col("var_id") * 16 + F.col("at")).alias("bubble_id"), (F.col("x") + F.col("at") * 20).alias("x"), "y", "text")
     return cascade.split_bubble_pairs(b)

@@ -136,3 +136,23 @@ def test_blocked_procedures_equal_plain_windows(spark):
     p = W.previous(b, ["k"], [F.col("i")], {"p": F.col("c")})
     assert {r["i"]: r["p"] for r in p.collect()} == {i: r["p"] for i, r in want.items()}
     assert W.fill_down(df.limit(0), ["k"], "i", F.col("v"), F.lit(False)).count() == 0
+
+
+def test_bubble_pairs_equal_all_pairs_and_leave_no_copy(spark, monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(3)
+    coordinate = lambda: rng.choice([float(rng.randint(-3, 9) * 80), rng.uniform(-300, 900), float("nan"), None])
+    data = [(rng.choice(["p", "p", "q", None]), 0, i, coordinate(), coordinate(), rng.choice(["EF", "1", "VAV", "A1", "22", "LONGER", None])) for i in range(400)]
+    data += [("p", 0, 1000 + i, float(i % 5), 0.0, "EF" if i % 2 else "7") for i in range(60)]
+    isnan = lambda v: v is None or v != v
+    ok = [d for d in data if d[0] and not isnan(d[3]) and not isnan(d[4]) and d[5] and len(d[5]) <= 4]
+    want = [(*a[:2], a[2], b[2], (a[3] + b[3]) / 2, (a[4] + b[4]) / 2, t) for a in ok for b in ok if a[:2] == b[:2] and a[2] != b[2] and abs(a[3] - b[3]) <= 60 and abs(a[4] - b[4]) <= 80 and a[3:5] != b[3:5] and (a[5].isalpha() or b[5].isalpha()) for t in (a[5] + b[5], b[5] + a[5])]
+    b = spark.createDataFrame(data, "project string, page int, bubble_id bigint, x double, y double, text string")
+    got = cascade.split_bubble_pairs(b)
+    assert rows(got.select("project", "page", "a", "b", "x", "y", "text")) == sorted(want, key=repr)
+    assert not re.search(r"LogicalRDD \[_|explode\(\[", got._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(cascade, "DENSE", 10)
+    monkeypatch.setattr("tallysheet.operators.spatial.DENSE", 10)
+    assert rows(cascade.split_bubble_pairs(b).select("project", "page", "a", "b", "x", "y", "text")) == sorted(want, key=repr)
