@@ -15,7 +15,7 @@ from tallysheet.functions import geometry as G
 from tallysheet.functions import maps
 from tallysheet.operators import spatial
 from tallysheet.operators.components import hook_and_shortcut
-from tallysheet.session import table
+from tallysheet.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,9 +53,14 @@ def _moved() -> dict[str, Column]:
     return {"x1": F.col("x1") + dx, "y1": F.col("y1") + dy, "x2": F.col("x2") + dx, "y2": F.col("y2") + dy}
 
 
+def _relabelled() -> Column:
+    """The class of a box as its detection has it."""
+    return F.when(F.col("box_id") % 10 == 0, "FAN").otherwise(F.col("cls"))
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Detections: the boxes moved and in part relabelled."""
-    return truth(spark, d).select("box_id", "project", "page", *[v.alias(c) for c, v in _moved().items()], F.when(F.col("box_id") % 10 == 0, "FAN").otherwise(F.col("cls")).alias("cls"), ((F.col("box_id") * 53) % 100 / 100).alias("conf"))
+    return truth(spark, d).select("box_id", "project", "page", *[v.alias(c) for c, v in _moved().items()], _relabelled().alias("cls"), ((F.col("box_id") * 53) % 100 / 100).alias("conf"))
 
 
 TRUTH = r"truth AS (SELECT DISTINCT box_id, project, page, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2, trim(regexp_replace(upper(cls), '[\s\x{00A0}]+', ' ', 'g')) AS cls FROM ls_boxes WHERE project IS NOT NULL AND page IS NOT NULL AND cls IS NOT NULL AND x1 <> x2 AND y1 <> y2)"
@@ -330,8 +335,13 @@ def position_recall(spark: SparkSession, d: str) -> DataFrame:
     from tallysheet.operators.aggregates import verdict
 
     m = first_fit_match(spark, d)
-    f = found(spark, d).select(F.col("box_id").alias("det_id"), F.col("cls").alias("f_cls"))
-    j = truth(spark, d).select("project", F.col("box_id").alias("truth_id"), "cls").join(m, "truth_id", "left").join(f, "det_id", "left")
+    # one shuffle by box serves both classes: equal rows share a box, so they are told apart where they are; boxes
+    # without id, which match nothing, are kept out of it, as a filter on one side only would make it two shuffles
+    b = _reviewed(spark, d)
+    t = spread(b.where("box_id is not null"), "box_id").distinct()
+    f = t.select(F.col("box_id").alias("det_id"), _relabelled().alias("f_cls"))
+    j = t.select("project", F.col("box_id").alias("truth_id"), "cls").join(m.join(f, "det_id", "left"), "truth_id", "left")
+    j = j.unionByName(b.where("box_id is null").distinct().select("project", "cls"), allowMissingColumns=True)
     g = j.groupBy("project").agg(F.count("*").alias("truth"), F.count("det_id").alias("placed"), F.count_if(F.col("f_cls") == F.col("cls")).alias("full_hits"))
     share = F.col("placed") / F.greatest("truth", F.lit(1))
     return g.withColumns({"position_recall": F.round(share, 6), "verdict": verdict(share)})

@@ -230,3 +230,14 @@ def test_first_fit_shuffles_rows_and_no_pairs(spark, tmp_path_factory):
     m = box_queries.first_fit_match(spark, d)
     assert m.where("det_id = truth_id").count() == n == m.count()  # each of 2.2 million pairs is near
     assert not re.search("Join", m._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_position_recall_writes_no_pairs(spark, tmp_path_factory):
+    from tallysheet.plans import box_queries
+
+    d = str(tmp_path_factory.mktemp("recall"))
+    data = [(i, p, 0, float(100 * i), 0.0, 100 * i + 9.0, 9.0, "VAV") for p, ids in (("p", range(1, 21)), ("q", range(21, 24))) for i in ids] + [(30, "q", 1, 0.0, 0.0, 0.0, 9.0, "VAV")]
+    spark.createDataFrame([*data, *data[:5]], "box_id bigint, project string, page int, x1 double, y1 double, x2 double, y2 double, cls string").write.parquet(f"{d}/ls_boxes.parquet")
+    r = box_queries.position_recall(spark, d)
+    assert rows(r) == [("p", 20, 20, 18, 1.0, "good"), ("q", 3, 3, 3, 1.0, "good")]
+    assert "LogicalRDD" not in r._jdf.queryExecution().optimizedPlan().toString()
